@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from freshet.llm import bytebpe, media, sharding, tokencount
+from freshet.llm import bytebpe, grammar, lexicon, media, packing, pii, sharding, tokencount
 from freshet.llm.common import documents
 
 
+def op3_min_bin_slack(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), bytebpe.default_path())
+
+
+def op4_transducer_lexicon(spark, sf_dir):
+    return lexicon.encode_documents(documents(spark, sf_dir), bytebpe.default_path(), keep_ids=False, digests=True)
+
+
+def op5_repair_grammar(spark, sf_dir):
+    blocks = grammar.write_blocks(documents(spark, sf_dir), bytebpe.default_path())
+    return grammar.read_documents(blocks, keep_ids=False)
+
+
+def op6_personal_data(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir))
+
+
 def op7_stratified_interleaving(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir))
 
@@ -19,6 +36,10 @@ def op9_wav_fingerprints(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_min_bin_slack": op3_min_bin_slack,
+    "op4_transducer_lexicon": op4_transducer_lexicon,
+    "op5_repair_grammar": op5_repair_grammar,
+    "op6_personal_data": op6_personal_data,
     "op7_stratified_interleaving": op7_stratified_interleaving,
     "op8_overlap_resync_counts": op8_overlap_resync_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,

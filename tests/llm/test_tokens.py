@@ -1,0 +1,154 @@
+"""Token operators against the tokenizers library and exact round trips."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from freshet.llm import bytebpe, grammar, lexicon, packing, tokencount
+
+PATH = bytebpe.default_path()
+
+
+@pytest.fixture(scope="session")
+def bpe():
+    return bytebpe.load(PATH)
+
+
+@pytest.fixture(scope="session")
+def truth(library, texts):
+    return {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_engine_equals_library_for_all_characters(bpe, library):
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(chars), 2000):
+        text = "".join(f"a{c}b  {c} 1{c}" for c in chars[i : i + 2000])
+        assert bpe.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_counts(docs, no_docs, truth, texts):
+    for chunk, overlap in ((tokencount.CHUNK, tokencount.OVERLAP), (256, 8)):
+        rows = tokencount.token_counts(docs, PATH, chunk=chunk, overlap=overlap).collect()
+        assert {r.doc_id: r.n_tokens for r in rows} == {i: len(x) for i, x in truth.items()}
+        assert all(r.n_bytes == len((texts[r.doc_id] or "").encode()) and r.over_limit == (r.n_tokens > 512) for r in rows)
+    assert tokencount.token_counts(no_docs, PATH).count() == 0
+
+
+def test_chunked_ids_are_exact_on_random_texts(bpe):
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b ", " ", "  ", "\n", "'", "re", "é", "7", " ", "<|endoftext|>", "x" * 70]) for _ in range(rng.randrange(400)))
+        got = np.concatenate([*tokencount.encode_chunked(text, bpe, 64, 4)]) if text else np.empty(0)
+        assert got.tolist() == bpe.encode(text).tolist()
+
+
+def test_transducer_holds_exactly_its_words():
+    rng = random.Random(1)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))).encode(): [rng.randrange(9) for _ in range(rng.randrange(1, 4))] for _ in range(800)}
+    held = lexicon.Lexicon(lexicon.compile_lexicon(words))
+    assert all(held.get(w) == tuple(ids) for w, ids in words.items())
+    for n in range(3000):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9))).encode()
+        assert (held.get(w) is not None) == (w in words)
+    assert lexicon.Lexicon(lexicon.compile_lexicon({})).get(b"a") is None
+
+
+def test_transducer_is_minimal():
+    """No two states accept the same endings."""
+    builder = lexicon.Builder()
+    for w in sorted(a + b for a in (b"pre", b"un", b"re") for b in (b"ing", b"ed", b"s", b"edly")):
+        builder.add(w)
+    builder.finish()
+    assert len(builder.states) == len(set(builder.states))
+    assert len(builder.states) < 20
+
+
+def test_lexicon_encodes_and_decodes(docs, no_docs, truth, library):
+    rows = lexicon.encode_documents(docs, PATH, digests=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == truth
+    for r in rows:
+        assert r.n_tokens == len(truth[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, truth[r.doc_id])).encode()).hexdigest()
+        text = library.decode(truth[r.doc_id], skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    back = lexicon.decode_documents(lexicon.encode_documents(docs, PATH), PATH).collect()
+    assert {r.doc_id: r.text for r in back} == {i: library.decode(x, skip_special_tokens=False) for i, x in truth.items()}
+    assert lexicon.encode_documents(no_docs, PATH).count() == 0
+
+
+def test_frequent_words_are_counted_over_all_rows(docs, texts):
+    from collections import Counter
+
+    counted = Counter(w for t in texts if t for w in t.split() if len(w) <= lexicon.WORD_BYTES)
+    expected = [w for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))]
+    assert lexicon.frequent_words(docs)[:5] == expected[:5]
+
+
+def test_grammar_round_trip_and_random_access():
+    rng = np.random.default_rng(3)
+    for n, top, limits in ((0, 5, (2,)), (1, 5, (2,)), (4000, 3, (50, 10, 4, 2, 2, 2)), (30000, 40, (20, 5, 2)), (5000, 50257, (2,)), (3000, 1, (2,) * 12)):
+        ids = rng.integers(0, top, n).astype(np.uint32)
+        row = grammar.to_block(ids, 70000, limits)
+        block = grammar.Block(row)
+        assert block.read(0, n).tolist() == ids.tolist()
+        for _ in range(20):
+            a, b = sorted(rng.integers(0, n + 1, 2))
+            assert block.read(int(a), int(b)).tolist() == ids[a:b].tolist()
+        if top < 50 and n > 1000:
+            assert row["n_symbols"] < 0.7 * n
+
+
+def test_grammar_files(docs, no_docs, truth):
+    for block_ids in (grammar.BLOCK_IDS, 100):
+        blocks = grammar.write_blocks(docs, PATH, block_ids=block_ids, limits=(8, 4, 2), partitions=3)
+        rows = {r.doc_id: r for r in grammar.read_documents(blocks).collect()}
+        at = 0
+        for i in sorted(truth):
+            ids = truth[i] + [2]
+            assert (rows[i].start, rows[i].n_tokens, rows[i].ids) == (at, len(ids), ids)
+            assert rows[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+            at += len(ids)
+    assert grammar.read_documents(grammar.write_blocks(no_docs, PATH)).count() == 0
+
+
+def test_closest_multiset_is_optimal():
+    rng = random.Random(2)
+    for _ in range(300):
+        room = rng.randrange(1, 40)
+        counts = {rng.randrange(1, 25): rng.randrange(1, 4) for _ in range(rng.randrange(1, 6))}
+        sums = {0}
+        for length, n in counts.items():
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        used = packing.closest_multiset(counts, room)
+        assert all(k <= counts[length] for length, k in used.items())
+        assert sum(length * k for length, k in used.items()) == max(s for s in sums if s <= room)
+
+
+def test_packing(docs, no_docs, truth):
+    for capacity in (packing.CAPACITY, 64):
+        packed = packing.pack(docs, PATH, capacity=capacity, keep_ids=True).cache()
+        rows = packed.collect()
+        by_doc, by_seq = {}, {}
+        for r in rows:
+            by_doc.setdefault(r.doc_id, []).append(r)
+            by_seq.setdefault(r.sequence_id, []).append(r)
+        for i, ids in truth.items():
+            held = sorted(by_doc[i], key=lambda r: r.start)
+            joined = np.concatenate([np.frombuffer(r.ids, "<u4") for r in held]).tolist()
+            assert joined == ids + [1] and [r.start for r in held] == np.cumsum([0] + [r.length for r in held])[:-1].tolist()
+            assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.doc_tokens == len(ids) + 1 for r in held)
+        assert sorted(by_seq) == list(range(len(by_seq)))
+        for held in by_seq.values():
+            at = 0
+            for r in sorted(held, key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert at <= capacity
+        total = sum(len(x) + 1 for x in truth.values())
+        assert len(by_seq) <= -(-total // capacity) + 2
+        made = packing.sequences(packed, capacity).collect()
+        assert sum(r.n_ids for r in made) == total and all(len(r.ids) == capacity for r in made)
+    assert packing.pack(no_docs, PATH).count() == 0
