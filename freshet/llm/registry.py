@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from freshet.llm import bytebpe, grammar, lexicon, media, packing, pii, sharding, tokencount
+from freshet.llm import bytebpe, grammar, lexicon, media, packing, pii, positive_unlabelled, quality, sharding, tokencount
 from freshet.llm.common import documents
 
 
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_hashed_ngram_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
 def op3_min_bin_slack(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), bytebpe.default_path())
 
@@ -35,7 +44,14 @@ def op9_wav_fingerprints(spark, sf_dir):
     return media.media_columns(documents(spark, sf_dir), keep_media=False, digests=True).drop("fp_time", "fp_pair")
 
 
+def op10_positive_unlabelled(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model, _ = positive_unlabelled.fit(docs, labels(spark, sf_dir))
+    return positive_unlabelled.classify(docs, model)
+
+
 QUERIES = {
+    "op2_hashed_ngram_quality": op2_hashed_ngram_quality,
     "op3_min_bin_slack": op3_min_bin_slack,
     "op4_transducer_lexicon": op4_transducer_lexicon,
     "op5_repair_grammar": op5_repair_grammar,
@@ -43,6 +59,7 @@ QUERIES = {
     "op7_stratified_interleaving": op7_stratified_interleaving,
     "op8_overlap_resync_counts": op8_overlap_resync_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,
+    "op10_positive_unlabelled": op10_positive_unlabelled,
 }
 
 ORACLES = {}
