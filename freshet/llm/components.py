@@ -1,0 +1,28 @@
+"""Connected components of a graph given as edges, by label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from freshet.llm.common import materialise
+
+
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """node, root for each node that `edges` (a, b: long) names; the root is the component's least node.
+
+    Each round takes the least label among neighbours, then the label's own label, so that paths shorten to their
+    square root at least; stars end after two rounds. Labels are written at each round.
+    """
+    both = materialise(edges.where("a <> b").select("a", "b").unionAll(edges.where("a <> b").selectExpr("b", "a")).distinct(), f"{tag}-edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
+    labels = materialise(labels, f"{tag}-labels")
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
+        lower = labels.join(near, labels.node == near.a).select("node", F.least("root", "near").alias("root"), F.col("root").alias("before"))
+        up = labels.select(F.col("node").alias("up_node"), F.col("root").alias("up_root"))
+        jumped = lower.join(up, lower.root == up.up_node).select("node", F.least("root", "up_root").alias("root"), (F.least("root", "up_root") < F.col("before")).alias("changed"))
+        done = materialise(jumped, f"{tag}-labels")
+        labels = done.select("node", "root")
+        if done.where("changed").isEmpty():
+            return labels

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from freshet.llm import bytebpe, grammar, lexicon, media, packing, pii, positive_unlabelled, quality, sharding, tokencount
+import corpus_pipeline
+from freshet.llm import bytebpe, grammar, lexicon, media, ngram_join, packing, pii, positive_unlabelled, quality, sharding, tokencount
 from freshet.llm.common import documents
 
 
@@ -10,6 +11,10 @@ def labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_chosen_path_join(spark, sf_dir):
+    return ngram_join.join(documents(spark, sf_dir)).drop("row")
+
+
 def op2_hashed_ngram_quality(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
@@ -51,6 +56,7 @@ def op10_positive_unlabelled(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_chosen_path_join": op1_chosen_path_join,
     "op2_hashed_ngram_quality": op2_hashed_ngram_quality,
     "op3_min_bin_slack": op3_min_bin_slack,
     "op4_transducer_lexicon": op4_transducer_lexicon,
@@ -60,6 +66,7 @@ QUERIES = {
     "op8_overlap_resync_counts": op8_overlap_resync_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_positive_unlabelled": op10_positive_unlabelled,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {}
