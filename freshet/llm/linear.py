@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,38 +12,55 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+CHUNK = 1 << 20  # numbers handled at once, so that temporary arrays stay small
+
+
 @dataclass
 class Rows:
     """Sparse rows, one after another."""
 
     number: np.ndarray
     value: np.ndarray
-    starts: np.ndarray
+    starts: np.ndarray  # of each row, and the end of the last
 
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-        sizes = np.array([len(n) for n, _ in rows], np.int64)
+        sizes = [len(n) for n, _ in rows]
         none = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-        return cls(np.concatenate(none[0] + [n for n, _ in rows]), np.concatenate(none[1] + [v for _, v in rows]), np.cumsum(sizes) - sizes)
+        return cls(np.concatenate(none[0] + [n for n, _ in rows]), np.concatenate(none[1] + [v for _, v in rows]), np.append(0, np.cumsum(sizes, dtype=np.int64)))
 
     def __len__(self) -> int:
-        return len(self.starts)
-
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(np.append(self.starts, len(self.number))))
-
-    def product(self, weights: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, weights=self.value * weights[self.number], minlength=len(self))
+        return len(self.starts) - 1
+
+    def chunks(self) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Rows by chunk: which rows, which numbers, and each number's row within the chunk."""
+        low = 0
+        while low < len(self):
+            high = max(low + 1, int(np.searchsorted(self.starts, self.starts[low] + CHUNK, "right")) - 1)
+            yield slice(low, high), slice(self.starts[low], self.starts[high]), np.repeat(np.arange(high - low), np.diff(self.starts[low : high + 1]))
+            low = high
+
+    def product(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self))
+        for rows, at, owner in self.chunks():
+            out[rows] = np.bincount(owner, weights=self.value[at] * weights[self.number[at]], minlength=rows.stop - rows.start)
+        return out
+
+    def back(self, g: np.ndarray, dim: int) -> np.ndarray:
+        """The product of the transposed rows with `g`."""
+        out = np.zeros(dim)
+        for rows, at, owner in self.chunks():
+            out += np.bincount(self.number[at], weights=self.value[at] * g[rows][owner], minlength=dim)
+        return out
 
 
 def minimise(rows: Rows, gradient: Callable[[np.ndarray], np.ndarray], dim: int, steps: int, rate: float, decay: float, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
     """Adam over all rows at each step. `gradient` gives, from the rows' products, the derivative of the loss by each."""
     weights, bias = (start[0].astype(np.float32), start[1]) if start else (np.zeros(dim, np.float32), 0.0)
     m, v = np.zeros(dim + 1), np.zeros(dim + 1)
-    owner = rows.owner()
     for step in range(1, steps + 1):
-        g = gradient(rows.product(weights, owner) + bias)
-        full = np.append(np.bincount(rows.number, weights=rows.value * g[owner], minlength=dim) + decay * weights, g.sum())
+        g = gradient(rows.product(weights) + bias)
+        full = np.append(rows.back(g, dim) + decay * weights, g.sum())
         m = 0.9 * m + 0.1 * full
         v = 0.99 * v + 0.01 * full**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)

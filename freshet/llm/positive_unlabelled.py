@@ -76,25 +76,24 @@ def stretched(z: np.ndarray, n_p: int, prior: float) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = SEED) -> tuple[quality.Model, float]:
     """The model and the estimated prior."""
     trained = fold(F.col("doc_id")) != 0
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows_p, _, _ = quality.sparse_rows(docs, quality.drawn(good.where(trained), positives, seed).withColumn("mark", F.lit(1)), "mark")
-    drawn = quality.drawn(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(trained), unlabelled, seed + 1)
-    rows_u, _, _ = quality.sparse_rows(docs, drawn.distinct().withColumn("mark", F.lit(0)), "mark")
-    if len(rows_p) < 4 or len(rows_u) < 4:
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    good = labels.where("quality = 1 and doc_id is not null").where(trained).select(doc_id).distinct()
+    any_text = docs.where("doc_id is not null").where(trained).select(doc_id)
+    # Marks: 0 for positives, 1 for unlabelled text; a document may be both.
+    drawn = quality.drawn(good, positives, seed).withColumn("mark", F.lit(0)).unionAll(quality.drawn(any_text, unlabelled, seed + 1).distinct().withColumn("mark", F.lit(1)))
+    rows, mark, _ = quality.sparse_rows(docs, drawn, "mark")
+    n_p, n_u = int((mark == 0).sum()), int((mark == 1).sum())
+    if n_p < 4 or n_u < 4:
         return quality.KEEPS_ALL, 1.0
-    # Every third row is kept apart for the prior; rows come in order of id, which says nothing of their text.
-    apart_p, apart_u = rows_p[::3], rows_u[::3]
-    first_p, first_u = [r for i, r in enumerate(rows_p) if i % 3], [r for i, r in enumerate(rows_u) if i % 3]
-    y = np.repeat([1, 0], [len(first_p), len(first_u)])
-    share = np.where(y == 1, 0.5 / len(first_p), 0.5 / len(first_u))
-    weights, bias = linear.minimise(linear.Rows.of(first_p + first_u), lambda z: share * (linear.sigmoid(z) - y), textfeatures.DIM, *FIRST)
-    apart = linear.Rows.of(apart_p + apart_u)
-    z = apart.product(weights, apart.owner()) + bias
-    prior = estimate_prior(z[: len(apart_p)], z[len(apart_p) :])
-    both = linear.Rows.of(rows_p + rows_u)
-    slope, shift = stretched(both.product(weights, both.owner()) + bias, len(rows_p), prior)
+    # Every third row of a kind is kept apart for the prior; rows come in order of id, which says nothing of their text.
+    apart = np.concatenate([np.arange(n_p), np.arange(n_u)]) % 3 == 0
+    share = np.where(mark == 0, 0.5 / (~apart & (mark == 0)).sum(), 0.5 / (~apart & (mark == 1)).sum()) * ~apart
+    weights, bias = linear.minimise(rows, lambda z: share * (linear.sigmoid(z) - (mark == 0)), textfeatures.DIM, *FIRST)
+    z = rows.product(weights) + bias
+    prior = estimate_prior(z[apart & (mark == 0)], z[apart & (mark == 1)])
+    slope, shift = stretched(z, n_p, prior)
     start = (slope * weights, slope * bias + shift)
-    weights, bias = linear.minimise(both, risk_gradient(prior, len(rows_p)), textfeatures.DIM, *SECOND, start)
+    weights, bias = linear.minimise(rows, risk_gradient(prior, n_p), textfeatures.DIM, *SECOND, start)
     return quality.Model(weights, bias), prior
 
 

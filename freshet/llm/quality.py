@@ -47,8 +47,8 @@ def drawn(ids: DataFrame, n: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
 
 
-def sparse_rows(docs: DataFrame, ids: DataFrame, mark: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """On the driver: features, marks and ids of the documents named by `ids` (doc_id and `mark`; a bounded number of rows)."""
+def sparse_rows(docs: DataFrame, ids: DataFrame, mark: str) -> tuple[linear.Rows, np.ndarray, np.ndarray]:
+    """On the driver, in order of mark and id: features, marks and ids of the documents named by `ids` (doc_id and `mark`; a bounded number of rows)."""
 
     def run(batch):
         rows = []
@@ -57,25 +57,29 @@ def sparse_rows(docs: DataFrame, ids: DataFrame, mark: str) -> tuple[list[tuple[
         return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "number": [n.tobytes() for n, _ in rows], "value": [v.tobytes() for _, v in rows]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id", F.col(mark).cast("int").alias("mark"))), "doc_id")
-    table: pa.Table = map_rows(texts, "doc_id long, mark int, number binary, value binary", run).toArrow().sort_by("doc_id")
-    rows = [(np.frombuffer(n, np.int32), np.frombuffer(v, np.float32)) for n, v in zip(table["number"].to_pylist(), table["value"].to_pylist())]
-    return rows, np.array(table["mark"].to_pylist(), np.int64), np.array(table["doc_id"].to_pylist(), np.int64)
+    table: pa.Table = map_rows(texts, "doc_id long, mark int, number binary, value binary", run).toArrow()
+    order = np.lexsort((table["doc_id"].to_numpy(), table["mark"].to_numpy()))
+    at = [(chunk, i) for chunk in range(table["number"].num_chunks) for i in range(len(table["number"].chunk(chunk)))]
+    views = {name: [table[name].chunk(c)[i].as_buffer() for c, i in at] for name in ("number", "value")}
+    sizes = np.array([len(views["number"][i]) // 4 for i in order], np.int64)
+    starts = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    number, value = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.float32)
+    for k, i in enumerate(order):
+        number[starts[k] : starts[k + 1]] = np.frombuffer(views["number"][i], np.int32)
+        value[starts[k] : starts[k + 1]] = np.frombuffer(views["value"][i], np.float32)
+    return linear.Rows(number, value, starts), table["mark"].to_numpy()[order].astype(np.int64), table["doc_id"].to_numpy()[order].astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     rows, y, ids = sparse_rows(docs, drawn(marked, sample, seed), "quality")
-    if len(set(y.tolist())) < 2:
-        return KEEPS_ALL
     rank = np.argsort(np.argsort(textfeatures.mix(ids.astype(np.uint64) + np.uint64(seed)), kind="stable"), kind="stable")
-    train = np.flatnonzero(rank % 5 != 0)
+    train = rank % 5 != 0
     if len(set(y[train].tolist())) < 2:
         return KEEPS_ALL
-    target = y[train]
-    weights, bias = linear.minimise(linear.Rows.of([rows[i] for i in train]), lambda z: (linear.sigmoid(z) - target) / len(target), textfeatures.DIM, STEPS, RATE, DECAY)
-    rest = np.flatnonzero(rank % 5 == 0)
-    held = linear.Rows.of([rows[i] for i in rest])
-    slope, shift = linear.platt(held.product(weights, held.owner()) + bias, y[rest]) if len(rest) else (1.0, 0.0)
+    share = train / train.sum()
+    weights, bias = linear.minimise(rows, lambda z: share * (linear.sigmoid(z) - y), textfeatures.DIM, STEPS, RATE, DECAY)
+    slope, shift = linear.platt((rows.product(weights) + bias)[~train], y[~train]) if not train.all() else (1.0, 0.0)
     return Model(weights, bias, slope, shift)
 
 
