@@ -1,4 +1,388 @@
-"""Queries over the driver's tables, with the SQL that checks them."""
+"""Queries over the driver's tables, one or more for each operator, with the SQL that checks them.
 
-QUERIES = {}
-ORACLES = {}
+The tables hold no rivers; `inputs` derives some. Values that add up in any order are given as text of nine digits,
+so that engines agree on them; whole-valued ones are given as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from freshet import sinks
+from freshet.functions import columns, crs, geometry
+from freshet.operators import control_points, folds, gages, network, runoff, spatial
+from freshet.plans import inputs
+from freshet.scratch import cut
+from freshet.sources import flo, tables
+
+COEFFICIENT = 0.0008
+START, END = "1996-01-01", "1997-12-01"
+
+
+def digits(c: str) -> Column:
+    return F.format_string("%.8e", c).alias(c)
+
+
+def _net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    segments = cut(inputs.segments(spark, sf_dir), "segments")
+    return segments, cut(network.edges(segments), "edges"), segments.count()
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, links, nodes = _net(spark, sf_dir)
+    return network.accumulate(runoff.local_area(segments).withColumnRenamed("area_km2", "q"), links, nodes)
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gages.compile_observations(inputs.observations(spark, sf_dir), START, END, inputs.crosswalk(spark, sf_dir))
+
+
+def flo_parse(spark, sf_dir):
+    return flo.parse(inputs.flo_lines(spark, sf_dir))
+
+
+def flo_to_cms(spark, sf_dir):
+    return inputs.observations(spark, sf_dir).select("date", "gage_id", columns.acft_month_to_cms("acft", "date").alias("flow_cms"))
+
+
+def obs_compile(spark, sf_dir):
+    return _observations(spark, sf_dir)
+
+
+def months(spark, sf_dir):
+    """The month starts between the first and the last day of shipping, neither of which need be one."""
+    first, last = inputs.table(spark, sf_dir, "lineitem").agg(F.date_add(F.min("l_shipdate").cast("date"), 3), F.max("l_shipdate").cast("date")).first()
+    return columns.months(spark, str(first), str(last)).select("date", columns.days_in_month("date").cast("long").alias("days"))
+
+
+def net_edges(spark, sf_dir):
+    return network.edges(inputs.segments(spark, sf_dir))
+
+
+def net_degrees(spark, sf_dir):
+    segments, links, _ = _net(spark, sf_dir)
+    return network.degrees(segments, links)
+
+
+def net_summary(spark, sf_dir):
+    segments, links, _ = _net(spark, sf_dir)
+    return network.summary(segments, links)
+
+
+def net_topo_level(spark, sf_dir):
+    segments, links, _ = _net(spark, sf_dir)
+    return network.levels(segments, links)
+
+
+def vaa_join_routed(spark, sf_dir):
+    """Flowlines without nodes, routed by a table that misses some and has no node for others."""
+    segments = inputs.segments(spark, sf_dir)
+    flow = segments.select((F.col("comid") + 0.25).alias("nhdplusid"), F.concat(F.lit("P"), "comid").alias("permanent_"), "areasqkm")
+    vaa = segments.where("comid % 13 <> 0").select((F.col("comid") + 0.25).cast("string").alias("nhdplusid"), "fromnode", F.expr("if(comid % 11 = 0, null, tonode)").alias("tonode"), "hydroseq")
+    return network.routed(flow, vaa).select("comid", "permanent_", "fromnode", "tonode", "hydroseq")
+
+
+def local_area(spark, sf_dir):
+    """Each of the columns that areas may come from, by turns without the better ones."""
+    segments = inputs.segments(spark, sf_dir)
+    base = segments.select("comid", F.expr("if(comid % 5 = 0, null, areasqkm)").alias("areasqkm"), F.expr("if(comid % 7 = 0, 'bad', cast(areasqkm * 3 as string))").alias("totdasqkm"), F.expr("if(comid % 3 = 0, null, areasqkm + 1)").alias("lengthkm"))
+    line = F.array(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct((F.col("areasqkm") * 3000).alias("x"), (F.col("areasqkm") * 4000).alias("y"))))
+    cases = [base, base.withColumn("areasqkm", F.lit(None).cast("double")), base.select("comid", "lengthkm"), segments.select("comid", line.alias("parts"))]
+    out = [runoff.local_area(c).withColumn("tier", F.lit(i)) for i, c in enumerate(cases)]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
+def route_unit(spark, sf_dir):
+    return _unit(spark, sf_dir)
+
+
+def flow_monthly(spark, sf_dir):
+    """Flagship: the flow of every segment in every month."""
+    return runoff.monthly(_unit(spark, sf_dir), columns.months(spark, START, END), COEFFICIENT)
+
+
+def flow_one_month_points(spark, sf_dir):
+    """The last month as the point file has it, places from a lattice."""
+    dates = columns.months(spark, START, END)
+    flows = runoff.monthly(_unit(spark, sf_dir), dates.agg(F.max("date").alias("date")), COEFFICIENT)
+    placed = flows.withColumn("lat", (F.col("comid") % 90).cast("double")).withColumn("lon", (F.col("comid") % 180).cast("double"))
+    return sinks.points_of(placed, END).withColumn("WKT", columns.point_text(F.col("LON").cast("int"), F.col("LAT").cast("int")))
+
+
+def reach_descendants(spark, sf_dir):
+    segments, links, nodes = _net(spark, sf_dir)
+    sources = inputs.crosswalk(spark, sf_dir).select(F.col("COMID").alias("comid"))
+    return network.reach(sources, links, nodes)
+
+
+def gage_enforce(spark, sf_dir):
+    """Observed months, enforced in the order of gages, at every segment that a gage changes and every other one."""
+    segments, links, nodes = _net(spark, sf_dir)
+    unit = network.accumulate(runoff.local_area(segments).withColumnRenamed("area_km2", "q"), links, nodes)
+    flow = cut(runoff.monthly(unit, columns.months(spark, START, END), COEFFICIENT), "flow")
+    observations = _observations(spark, sf_dir)
+    reached = cut(network.reach(observations.select("comid").distinct(), links, nodes), "reach")
+    return folds.enforce_gages(observations, reached, flow).select("date", "comid", digits("flow_cms"))
+
+
+def _snapped(spark, sf_dir):
+    return control_points.snap(inputs.control_points(spark, sf_dir), inputs.sites(spark, sf_dir), cell=500.0)
+
+
+def cp_snap(spark, sf_dir):
+    return _snapped(spark, sf_dir).select("UP_CP", "Next_DS_CP", "ChLosFac", F.col("file_row").cast("long").alias("file_row"), "UP_COMID", "DS_COMID", "snap_dist")
+
+
+def _paths(spark, sf_dir):
+    segments, links, nodes = _net(spark, sf_dir)
+    steps = cut(control_points.pairs(_snapped(spark, sf_dir), segments), "steps")
+    return steps, control_points.paths(steps, links, nodes)
+
+
+def cp_paths(spark, sf_dir):
+    return _paths(spark, sf_dir)[1].select(F.col("step").cast("long").alias("step"), F.col("pos").cast("long").alias("pos"), "comid")
+
+
+def loss_apply(spark, sf_dir):
+    steps, rows = _paths(spark, sf_dir)
+    steps = steps.join(rows.select("step").distinct(), "step", "left_semi")
+    return folds.apply_losses(steps, control_points.members(rows), _unit(spark, sf_dir)).select("comid", digits("q"))
+
+
+def _calibration(spark, sf_dir):
+    early = gages.first_dates(_observations(spark, sf_dir), columns.months(spark, START, END), 24)
+    return gages.calibration_table(early, _unit(spark, sf_dir))
+
+
+def calibrate_rmse(spark, sf_dir):
+    return _calibration(spark, sf_dir).select(F.col("i").cast("long").alias("i"), digits("coeff"), F.format_string("%.6e", "rmse").alias("rmse"))
+
+
+def calibrate_best(spark, sf_dir):
+    return gages.best_coefficient(_calibration(spark, sf_dir)).select(digits("coeff"), F.format_string("%.6e", "rmse").alias("rmse"))
+
+
+def basin_name_filter(spark, sf_dir):
+    return spatial.basin(inputs.table(spark, sf_dir, "region"), "r_name", "europe").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
+
+
+def basin_options(spark, sf_dir):
+    return spatial.basin_names(inputs.table(spark, sf_dir, "nation"), "n_name")
+
+
+def union_tiles(spark, sf_dir):
+    segments = inputs.segments(spark, sf_dir)
+    tiles = [segments.where("comid < 1000000").select("comid", "areasqkm"), segments.where("comid >= 1000000").select("comid", F.col("areasqkm").alias("lengthkm"))]
+    return tables.union_tiles(tiles)
+
+
+def vpu_sample(spark, sf_dir):
+    return tables.vpu_codes(inputs.table(spark, sf_dir, "part").withColumnRenamed("p_brand", "vpuid"))
+
+
+#: Two rectangles; the lattice of `sites` has no point on their edges.
+RECTANGLES = ((10_000.5, 20_000.5, 60_000.5, 70_000.5), (80_000.5, 5_000.5, 120_000.5, 30_000.5))
+
+
+def _rectangles(spark):
+    ring = lambda w, s, e, n: [[{"x": x, "y": y} for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))]]
+    return spark.createDataFrame([(ring(*r),) for r in RECTANGLES], f"parts {geometry.PARTS}")
+
+
+def _lines(spark, sf_dir):
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, i = F.col("x"), F.col("y"), F.col("comid")
+    return inputs.sites(spark, sf_dir).select("comid", F.array(F.array(p(x, y), p(x + 3000 + i % 17, y + 5000 - i % 13))).alias("parts"))
+
+
+def spatial_intersects(spark, sf_dir):
+    return spatial.intersecting(_lines(spark, sf_dir), _rectangles(spark)).select("comid")
+
+
+def line_measures(spark, sf_dir):
+    """Length and centroid of lines with two legs."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("x"), F.col("y")
+    lines = inputs.sites(spark, sf_dir).select("comid", F.array(F.array(p(x, y), p(x + 300, y + 400), p(x + 300 + (F.col("comid") % 5 + 1) * 120, y + 400 + (F.col("comid") % 5 + 1) * 50))).alias("parts"))
+    c = geometry.centroid(F.col("parts"))
+    return lines.select("comid", geometry.length(F.col("parts")).alias("length"), c.alias("c")).select("comid", F.format_string("%.6f", "length").alias("length"), F.format_string("%.4f", "c.x").alias("cx"), F.format_string("%.4f", "c.y").alias("cy"))
+
+
+def utm_forward(spark, sf_dir):
+    """Every lattice point as degrees, projected to zone 14 and back."""
+    at = inputs.sites(spark, sf_dir).select("comid", (F.lit(-102.0) + F.col("x") / 16384.0).alias("lon"), (F.lit(26.0) + F.col("y") / 16384.0).alias("lat"))
+    x, y = crs.to_utm(F.col("lon"), F.col("lat"), 14)
+    placed = at.withColumn("e", x).withColumn("n", y)
+    lon, lat = crs.from_utm(F.col("e"), F.col("n"), 14)
+    return placed.select("comid", F.format_string("%.3f", "e").alias("easting"), F.format_string("%.3f", "n").alias("northing"), (F.abs(lon - F.col("lon")) < 1e-8).alias("lon_back"), (F.abs(lat - F.col("lat")) < 1e-8).alias("lat_back"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        flow_monthly,
+        flo_parse,
+        flo_to_cms,
+        obs_compile,
+        months,
+        net_edges,
+        net_degrees,
+        net_summary,
+        net_topo_level,
+        vaa_join_routed,
+        local_area,
+        route_unit,
+        flow_one_month_points,
+        reach_descendants,
+        gage_enforce,
+        cp_snap,
+        cp_paths,
+        loss_apply,
+        calibrate_rmse,
+        calibrate_best,
+        basin_name_filter,
+        basin_options,
+        union_tiles,
+        vpu_sample,
+        spatial_intersects,
+        line_measures,
+        utm_forward,
+    )
+}
+
+# ---- SQL ----
+
+_SEGS = """segs AS (
+  SELECT i AS comid, CAST(i AS DOUBLE) AS fromnode, CAST(i // 2 AS DOUBLE) AS tonode,
+         CASE WHEN i > 100 AND i % 97 = 0 THEN NULL ELSE CAST(i AS DOUBLE) END AS hydroseq, CAST(p_size AS DOUBLE) AS areasqkm
+  FROM (SELECT p_partkey + 1 AS i, p_size FROM part)
+  UNION ALL
+  SELECT 1000000 + s_suppkey, CAST(x AS DOUBLE), CAST(x // 4 AS DOUBLE), CAST(x AS DOUBLE) - CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE)
+  FROM (SELECT s_suppkey, s_suppkey + 8 AS x FROM supplier)
+  UNION ALL
+  SELECT 2000000 + k, CAST(m AS DOUBLE), CAST(2 * m AS DOUBLE), CAST(m AS DOUBLE), CAST(0 AS DOUBLE)
+  FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS BIGINT) + 1 AS m FROM nation)
+), links AS (
+  SELECT DISTINCT a.comid AS up, b.comid AS ds FROM segs a JOIN segs b ON a.tonode = b.fromnode
+  WHERE a.hydroseq IS NULL OR b.hydroseq IS NULL OR a.hydroseq > b.hydroseq
+)"""
+_UNIT = f"""{_SEGS}, walks(src, node, hops) AS (
+  SELECT comid, comid, CAST(0 AS BIGINT) FROM segs
+  UNION ALL
+  SELECT w.src, l.ds, w.hops + 1 FROM walks w JOIN links l ON w.node = l.up
+), unit AS (
+  SELECT w.node AS comid, CAST(SUM(s.areasqkm) AS DOUBLE) AS q FROM walks w JOIN segs s ON w.src = s.comid GROUP BY w.node
+)"""
+_DAYS = "CAST(day(last_day(date)) AS DOUBLE) * CAST(86400 AS DOUBLE)"
+_MONTHS = f"(SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 MONTH) t(d))"
+_OBS = "(SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 'G' || l_suppkey AS gage_id, SUM(l_quantity) AS acft FROM lineitem GROUP BY ALL)"
+_CMS = f"acft * CAST(1233.48184 AS DOUBLE) / ({_DAYS})"
+_FLOW = f"CAST({COEFFICIENT} AS DOUBLE) * q * CAST(1e6 AS DOUBLE) / ({_DAYS})"
+_COMPILED = f"(SELECT date, gage_id, s_suppkey + 1 AS comid, {_CMS} AS flow_cms FROM {_OBS} JOIN supplier ON gage_id = 'G' || s_suppkey WHERE date BETWEEN DATE '{START}' AND DATE '{END}')"
+_SITES = "(SELECT p_partkey + 1 AS comid, CAST((p_partkey * 7919) % 1009 AS DOUBLE) * 128 AS x, CAST((p_partkey * 104729) % 2003 AS DOUBLE) * 64 AS y FROM part)"
+_POINTS = """(SELECT 'CP' || i AS UP_CP, 'CP' || (i // 8) AS Next_DS_CP, CAST(i % 16 AS DOUBLE) / 16 AS ChLosFac, i AS file_row,
+  CAST(((i - 1) * 7919) % 1009 AS DOUBLE) * 128 + 3 AS x, CAST(((i - 1) * 104729) % 2003 AS DOUBLE) * 64 - 5 AS y FROM (SELECT s_suppkey + 1 AS i FROM supplier))"""
+_SNAPPED = f"""near AS (
+  SELECT p.UP_CP, p.Next_DS_CP, p.ChLosFac, p.file_row, MIN(ROW((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.comid)) AS best
+  FROM {_POINTS} p CROSS JOIN {_SITES} s GROUP BY ALL
+), placed AS (SELECT UP_CP, Next_DS_CP, ChLosFac, file_row, best[2] AS UP_COMID, sqrt(best[1]) AS snap_dist FROM near),
+snapped AS (SELECT a.*, b.UP_COMID AS DS_COMID FROM placed a LEFT JOIN placed b ON a.Next_DS_CP = b.UP_CP)"""
+_PATHS = f"""{_SNAPPED}, steps AS (
+  SELECT file_row AS step, UP_COMID AS up, DS_COMID AS ds, ChLosFac AS loss FROM snapped
+  WHERE UP_COMID IN (SELECT comid FROM segs) AND DS_COMID IN (SELECT comid FROM segs)
+), hop AS (SELECT src, node, MIN(hops) AS hops FROM walks WHERE src IN (SELECT up FROM steps) GROUP BY ALL),
+parent AS (
+  SELECT c.src, c.node, MIN(l.up) AS par FROM hop c JOIN links l ON l.ds = c.node JOIN hop p ON p.src = c.src AND p.node = l.up AND p.hops = c.hops - 1 GROUP BY ALL
+), chain(step, src, node, pos) AS (
+  SELECT s.step, s.up, s.ds, h.hops FROM steps s JOIN hop h ON h.src = s.up AND h.node = s.ds WHERE s.up <> s.ds
+  UNION ALL
+  SELECT c.step, c.src, p.par, c.pos - 1 FROM chain c JOIN parent p ON p.src = c.src AND p.node = c.node
+)"""
+_GRID = "(SELECT i, CAST(0.0001 AS DOUBLE) + CAST(i AS DOUBLE) * ((CAST(0.005 AS DOUBLE) - CAST(0.0001 AS DOUBLE)) / 29) AS coeff FROM range(30) t(i))"
+_ERRORS = f"""pairs AS (SELECT q * CAST(1e6 AS DOUBLE) / CAST(2592000 AS DOUBLE) AS u, flow_cms AS o FROM {_COMPILED} c JOIN unit USING (comid)),
+errors AS (SELECT i, coeff, sqrt(AVG((coeff * u - o) * (coeff * u - o))) AS rmse FROM pairs CROSS JOIN {_GRID} GROUP BY i, coeff)"""
+
+
+def _touch(w: float, s: float, e: float, n: float) -> str:
+    """A line from (x, y) by (dx, dy) meets a rectangle where the parts inside its four sides share a stretch."""
+    low = f"greatest(0, least(({w} - x) / dx, ({e} - x) / dx), least(({s} - y) / dy, ({n} - y) / dy))"
+    high = f"least(1, greatest(({w} - x) / dx, ({e} - x) / dx), greatest(({s} - y) / dy, ({n} - y) / dy))"
+    return f"{low} <= {high}"
+
+
+def _utm_sql() -> str:
+    k = 2 * crs._N**0.5 / (1 + crs._N)
+    d = lambda v: f"CAST({v!r} AS DOUBLE)"
+    east = " + ".join(f"{d(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(crs._ALPHA, 1))
+    north = " + ".join(f"{d(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(crs._ALPHA, 1))
+    return f"""WITH pos AS (SELECT comid, radians(CAST(-102 AS DOUBLE) + x / 16384 - CAST(-99 AS DOUBLE)) AS turn, radians(CAST(26 AS DOUBLE) + y / 16384) AS phi FROM {_SITES}),
+t AS (SELECT comid, turn, sinh(atanh(sin(phi)) - {d(k)} * atanh({d(k)} * sin(phi))) AS t FROM pos),
+r AS (SELECT comid, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT comid, printf('%.3f', {d(500000.0)} + {d(crs._SCALE)} * (eta + {east})) AS easting, printf('%.3f', {d(crs._SCALE)} * (xi + {north})) AS northing, true AS lon_back, true AS lat_back FROM r"""
+
+
+ORACLES = {
+    "flow_monthly": f"WITH RECURSIVE {_UNIT} SELECT date, comid, {_FLOW} AS flow_cms FROM unit CROSS JOIN {_MONTHS}",
+    "flo_parse": f"""WITH obs AS (SELECT * FROM {_OBS}), years AS (SELECT DISTINCT gage_id, year(date) AS y FROM obs)
+SELECT make_date(y, m, 1) AS date, gage_id, COALESCE(acft, 0) AS acft FROM (SELECT gage_id, y, CAST(m AS BIGINT) AS m FROM years CROSS JOIN range(1, 13) t(m)) g
+LEFT JOIN obs o USING (gage_id) WHERE FALSE
+UNION ALL
+SELECT make_date(g.y, g.m, 1), g.gage_id, COALESCE(o.acft, 0) FROM (SELECT gage_id, y, CAST(m AS BIGINT) AS m FROM years CROSS JOIN range(1, 13) t(m)) g
+LEFT JOIN obs o ON o.gage_id = g.gage_id AND o.date = make_date(g.y, g.m, 1)""",
+    "flo_to_cms": f"SELECT date, gage_id, {_CMS} AS flow_cms FROM {_OBS}",
+    "obs_compile": f"SELECT * FROM {_COMPILED}",
+    "months": """WITH b AS (SELECT CAST(MIN(l_shipdate) AS DATE) + 3 AS a, CAST(MAX(l_shipdate) AS DATE) AS z FROM lineitem)
+SELECT CAST(d AS DATE) AS date, CAST(day(last_day(CAST(d AS DATE))) AS BIGINT) AS days FROM b, generate_series(CAST(date_trunc('month', a) AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 MONTH) t(d) WHERE d >= a""",
+    "net_edges": f"WITH {_SEGS} SELECT * FROM links",
+    "net_degrees": f"""WITH {_SEGS} SELECT comid, CAST((SELECT COUNT(*) FROM links WHERE ds = comid) AS BIGINT) AS in_degree,
+CAST((SELECT COUNT(*) FROM links WHERE up = comid) AS BIGINT) AS out_degree FROM segs""",
+    "net_summary": f"""WITH {_SEGS} SELECT (SELECT COUNT(*) FROM segs) AS nodes, (SELECT COUNT(*) FROM links) AS edges,
+(SELECT COUNT(*) FROM segs WHERE comid NOT IN (SELECT ds FROM links)) AS sources, (SELECT COUNT(*) FROM segs WHERE comid NOT IN (SELECT up FROM links)) AS sinks""",
+    "net_topo_level": f"WITH RECURSIVE {_UNIT} SELECT node AS comid, MAX(hops) AS topo_level FROM walks GROUP BY node",
+    "vaa_join_routed": f"WITH {_SEGS} SELECT comid, 'P' || comid AS permanent_, fromnode, tonode, hydroseq FROM segs WHERE comid % 13 <> 0 AND comid % 11 <> 0",
+    "local_area": f"""WITH {_SEGS} SELECT comid, CASE WHEN comid % 5 = 0 THEN 0 ELSE areasqkm END AS area_km2, 0 AS tier FROM segs
+UNION ALL SELECT comid, CASE WHEN comid % 7 = 0 THEN 0 ELSE areasqkm * 3 END, 1 FROM segs
+UNION ALL SELECT comid, CASE WHEN comid % 3 = 0 THEN NULL ELSE (areasqkm + 1) * 2 END, 2 FROM segs
+UNION ALL SELECT comid, areasqkm * 5 * 2, 3 FROM segs""",
+    "route_unit": f"WITH RECURSIVE {_UNIT} SELECT * FROM unit",
+    "flow_one_month_points": f"""WITH RECURSIVE {_UNIT}, f AS (SELECT date, comid, {_FLOW} AS flow FROM unit CROSS JOIN (SELECT DATE '{END}' AS date))
+SELECT strftime(date, '%Y-%m-%d') AS DATE, comid AS COMID, least(greatest(flow, -1e20), 1e20) AS FLOW_CMS, printf('%.6e', flow) AS FLOW_TXT,
+CAST(comid % 90 AS DOUBLE) AS LAT, CAST(comid % 180 AS DOUBLE) AS LON, 'POINT (' || (comid % 180) || ' ' || (comid % 90) || ')' AS WKT FROM f""",
+    "reach_descendants": f"WITH RECURSIVE {_UNIT} SELECT src, node AS comid, MIN(hops) AS hops FROM walks WHERE src IN (SELECT s_suppkey + 1 FROM supplier) GROUP BY ALL",
+    "gage_enforce": f"""WITH RECURSIVE {_UNIT}, obs AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY gage_id, comid) AS k FROM {_COMPILED}),
+reach AS (SELECT DISTINCT src, node FROM walks WHERE src IN (SELECT comid FROM obs)),
+flow AS (SELECT date, comid, {_FLOW} AS q FROM unit CROSS JOIN {_MONTHS}),
+state(date, k, comid, q) AS (
+  SELECT date, CAST(0 AS BIGINT), comid, q FROM flow WHERE comid IN (SELECT node FROM reach)
+  UNION ALL
+  SELECT s.date, s.k + 1, s.comid, CASE WHEN r.node IS NULL OR g.q <= 0 THEN s.q ELSE s.q * (o.flow_cms / g.q) END
+  FROM state s JOIN obs o ON o.date = s.date AND o.k = s.k + 1 JOIN state g ON g.date = s.date AND g.k = s.k AND g.comid = o.comid
+  LEFT JOIN reach r ON r.src = o.comid AND r.node = s.comid
+), last AS (SELECT date, comid, arg_max(q, k) AS q FROM state GROUP BY ALL)
+SELECT f.date, f.comid, printf('%.8e', COALESCE(l.q, f.q)) AS flow_cms FROM flow f LEFT JOIN last l USING (date, comid)""",
+    "cp_snap": f"WITH {_SNAPPED} SELECT UP_CP, Next_DS_CP, ChLosFac, file_row, UP_COMID, DS_COMID, snap_dist FROM snapped",
+    "cp_paths": f"WITH RECURSIVE {_UNIT}, {_PATHS} SELECT step, pos, node AS comid FROM chain",
+    "loss_apply": f"""WITH RECURSIVE {_UNIT}, {_PATHS}, held AS (SELECT s.*, row_number() OVER (ORDER BY step) AS k FROM steps s WHERE step IN (SELECT step FROM chain)),
+mem AS (SELECT h.k, c.node FROM chain c JOIN held h USING (step) WHERE c.pos > 0),
+state(k, comid, q) AS (
+  SELECT CAST(0 AS BIGINT), comid, q FROM unit WHERE comid IN (SELECT node FROM mem) OR comid IN (SELECT up FROM held)
+  UNION ALL
+  SELECT s.k + 1, s.comid, CASE WHEN m.node IS NULL OR d.q <= 0 THEN s.q ELSE s.q * (u.q * (1 - h.loss) / d.q) END
+  FROM state s JOIN held h ON h.k = s.k + 1 JOIN state u ON u.k = s.k AND u.comid = h.up JOIN state d ON d.k = s.k AND d.comid = h.ds
+  LEFT JOIN mem m ON m.k = h.k AND m.node = s.comid
+), last AS (SELECT comid, arg_max(q, k) AS q FROM state GROUP BY comid)
+SELECT comid, printf('%.8e', COALESCE(l.q, u.q)) AS q FROM unit u LEFT JOIN last l USING (comid)""",
+    "calibrate_rmse": f"WITH RECURSIVE {_UNIT}, {_ERRORS} SELECT i, printf('%.8e', coeff) AS coeff, printf('%.6e', rmse) AS rmse FROM errors",
+    "calibrate_best": f"WITH RECURSIVE {_UNIT}, {_ERRORS} SELECT printf('%.8e', coeff) AS coeff, printf('%.6e', rmse) AS rmse FROM errors ORDER BY errors.rmse, i LIMIT 1",
+    "basin_name_filter": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region WHERE lower(r_name) = 'europe'",
+    "basin_options": "SELECT DISTINCT n_name AS name FROM nation",
+    "union_tiles": f"WITH {_SEGS} SELECT comid, CASE WHEN comid < 1000000 THEN areasqkm END AS areasqkm, CASE WHEN comid >= 1000000 THEN areasqkm END AS lengthkm FROM segs",
+    "vpu_sample": "SELECT DISTINCT p_brand AS vpuid FROM part ORDER BY 1 LIMIT 25",
+    "spatial_intersects": f"""WITH l AS (SELECT comid, x, y, CAST(3000 + comid % 17 AS DOUBLE) AS dx, CAST(5000 - comid % 13 AS DOUBLE) AS dy FROM {_SITES})
+SELECT comid FROM l WHERE {" OR ".join(_touch(*r) for r in RECTANGLES)}""",
+    "line_measures": f"""WITH l AS (SELECT comid, x, y, CAST(comid % 5 + 1 AS DOUBLE) AS k FROM {_SITES})
+SELECT comid, printf('%.6f', 500 + 130 * k) AS length, printf('%.4f', (500 * (x + 150) + 130 * k * (x + 300 + 60 * k)) / (500 + 130 * k)) AS cx,
+printf('%.4f', (500 * (y + 200) + 130 * k * (y + 400 + 25 * k)) / (500 + 130 * k)) AS cy FROM l""",
+    "utm_forward": _utm_sql(),
+}

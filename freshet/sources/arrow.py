@@ -1,0 +1,14 @@
+"""Arrow batches from an iterator of rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
+
+
+def to_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(column, type=field.type) for column, field in zip(zip(*held), schema)], schema=schema)
