@@ -135,10 +135,11 @@ class Block:
             self.symbols |= np.unpackbits(np.frombuffer(row["high"], np.uint8, plane, b * plane), count=n).astype(np.uint32) << np.uint32(16 + b)
         self.rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        size = np.ones(n, np.int64)
-        inner = self.symbols >= self.base
-        size[inner] = self.lengths[self.symbols[inner] - self.base]
-        self.ends = np.cumsum(size)
+        # What every symbol expands to, one after another: an id to itself, then the rules.
+        self.table = np.concatenate([np.arange(self.base, dtype=np.uint32), expand(np.arange(self.base, self.base + len(self.rules)), self.rules, self.base)])
+        self.size = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+        self.first = np.cumsum(self.size) - self.size
+        self.ends = np.cumsum(self.size[self.symbols])
 
     def read(self, start: int, end: int) -> np.ndarray:
         """Ids start..end of the block; only the symbols that cover them are expanded."""
@@ -146,7 +147,10 @@ class Block:
             return np.empty(0, np.uint32)
         i, j = np.searchsorted(self.ends, [start, end - 1], "right")
         begin = int(self.ends[i - 1]) if i else 0
-        return expand(self.symbols[i : j + 1], self.rules, self.base)[start - begin : end - begin]
+        symbols = self.symbols[i : j + 1]
+        before = np.append(begin, self.ends[i:j]) - begin
+        at = np.repeat(self.first[symbols] - before, self.size[symbols]) + np.arange(int(self.ends[j]) - begin)
+        return self.table[at][start - begin : end - begin]
 
 
 def write_blocks(df: DataFrame, tokenizer: str, end: int = END, block_ids: int = BLOCK_IDS, limits=LIMITS, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
