@@ -18,7 +18,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` once and read it back. The loops below do this each round: plans stay short and lost executors cost no recomputation."""
+    """Write `df` once and read it back. Loops do this each round: plans stay short and lost executors cost no recomputation."""
     path = f"{scratch_root(df.sparkSession)}/freshet/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
