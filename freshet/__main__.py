@@ -1,4 +1,4 @@
-"""Command line (V3): python -m freshet --flowline-source ... ; every option has a default."""
+"""Command line (V3): python -m freshet --flowline-source ... ; options that aren't files to read have defaults."""
 
 from __future__ import annotations
 

@@ -206,9 +206,11 @@ def test_configuration():
     assert cfg.calibrate and cfg.runoff_coeff_m_per_month == 0.001 and cfg.vaa_file == "" and cfg.basin_name_value == "Brazos"
     assert parse_args([]) == ModelConfig.of()
     assert ModelConfig.for_years(2010, 2011).end_date == "2011-12-01"
+    whole = {"basin_shp": "b", "cp_meta_file": "c", "flo_file": "f"}
+    assert ModelConfig.of(**whole).validated().end_date == "2024-12-01"
     for bad in ({"flo_file": ""}, {"end_date": "2001-01-01"}, {"runoff_coeff_m_per_month": 0.0}, {"shapefile_date": "2031-01-01"}):
         with pytest.raises(ValueError):
-            ModelConfig.of(**bad).validated()
+            ModelConfig.of(**(whole | bad)).validated()
     with pytest.raises(ValueError):
         ModelConfig.for_years(2011, 2010)
 
