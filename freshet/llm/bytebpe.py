@@ -80,8 +80,11 @@ class ByteBpe:
 
     def decode(self, ids) -> str:
         """As the library's decode(ids, skip_special_tokens=False): ids without bytes give nothing, broken UTF-8 gives U+FFFD."""
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids if i < self.size]).decode("utf-8", errors="replace")
+        try:
+            raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        except IndexError:
+            raw = b"".join([self.bytes_of[i] for i in ids if i < self.size])
+        return raw.decode("utf-8", errors="replace")
 
 
 @functools.lru_cache(maxsize=2)

@@ -2,8 +2,7 @@
 
 Frequent words are counted over the whole corpus, encoded, and compiled into an automaton that shares suffixes as
 well as prefixes. Its arcs carry numbers that add up, along a word's path, to the word's rank among all words of
-the lexicon; that rank leads to the word's ids. The automaton is one block of arrays; each worker maps it into memory from a file in its own
-temporary folder. A word that it doesn't hold is merged exactly, by rank.
+the lexicon; that rank leads to the word's ids. The automaton is one block of arrays; each worker maps it into memory from a file in its own temporary folder. A word that it doesn't hold is merged exactly, by rank.
 
 Words are counted in two steps that need little traffic: a partition reports the words that make up at least
 `SHARE` of its own words. A word with that share of the corpus has it in one partition at least, so none is
@@ -36,7 +35,7 @@ from freshet.llm.common import arrow_schema, map_rows, to_batch
 SHARE = 1 / 100_000
 WORDS = 50_000  # of the lexicon
 WORD_BYTES = 48  # of a word of the lexicon; longer ones are merged
-MEMO = 200_000  # words that a worker remembers
+MEMO = 300_000  # words that a worker remembers; beyond it, those that aren't of the lexicon are let go
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", share: float = SHARE, words: int = WORDS) -> list[str]:
@@ -107,61 +106,64 @@ def compile_lexicon(outputs: dict[bytes, list[int]]) -> bytes:
         builder.add(word)
     root = builder.finish()
     below: list[int] = []  # words that a state accepts; targets come before their sources
-    first, labels, targets, adds, finals = [0], [], [], [], []
-    for final, arcs in builder.states:
+    keys, targets, adds, finals = [], [], [], []
+    for state, (final, arcs) in enumerate(builder.states):
         count = int(final)
         for byte, target in arcs:
-            labels.append(byte)
+            keys.append(state << 8 | byte)
             targets.append(target)
             adds.append(count)
             count += below[target]
         below.append(count)
         finals.append(final)
-        first.append(len(labels))
     ids = [outputs[w] for w in ordered]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) if ids else np.zeros(1)
-    arrays = [
-        np.array(first, "<u4"),
-        np.array(targets, "<u4"),
-        np.array(adds, "<u4"),
-        starts.astype("<u4"),
-        np.array(list(chain.from_iterable(ids)), "<u4"),
-        np.array(labels, np.uint8),
-        np.array(finals, np.uint8),
-    ]
-    return np.array([root, *map(len, arrays)], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
+    arrays = [keys, targets, adds, starts, list(chain.from_iterable(ids)), finals]
+    return np.array([root, *map(len, arrays)], "<u4").tobytes() + b"".join(np.array(a, dtype="<u4").tobytes() for a in arrays)
 
 
 class Lexicon:
-    """Look-ups in a compiled transducer."""
+    """Look-ups in a compiled transducer, many words at once.
+
+    An arc's key is its state and byte; keys ascend, so that one binary search a byte moves all words on.
+    """
 
     def __init__(self, block) -> None:
-        root, *sizes = np.frombuffer(block, "<u4", 8).tolist()
-        at, views = 32, []
-        for n, kind in zip(sizes, ["<u4"] * 5 + ["u1"] * 2):
-            views.append(memoryview(block)[at : at + n * (4 if kind == "<u4" else 1)].cast("I" if kind == "<u4" else "B"))
-            at += n * (4 if kind == "<u4" else 1)
+        root, *sizes = np.frombuffer(block, "<u4", 7).tolist()
+        at, views = 28, []
+        for n in sizes:
+            views.append(np.frombuffer(block, "<u4", n, at))
+            at += 4 * n
         self.root = root
-        self.first, self.targets, self.adds, self.starts, self.ids, self.labels, self.finals = views
+        self.keys, self.targets, self.adds, self.starts, self.ids, self.finals = views
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """Each word's rank among the lexicon's words; -1 for a word that it doesn't hold."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        state, rank = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        out = np.full(len(words), -1, np.int64)
+        at = np.flatnonzero(sizes > 0) if len(self.keys) else np.empty(0, np.int64)
+        depth = 0
+        while len(at):
+            key = (state[at] << 8 | data[begin[at] + depth]).astype(np.uint32)
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[arc] == key
+            at, arc = at[found], arc[found]
+            rank[at] += self.adds[arc]
+            state[at] = self.targets[arc]
+            depth += 1
+            done = sizes[at] == depth
+            ends = at[done]
+            ends = ends[self.finals[state[ends]] == 1]
+            out[ends] = rank[ends]
+            at = at[~done]
+        return out
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
-        state, rank = self.root, 0
-        first, labels, targets, adds = self.first, self.labels, self.targets, self.adds
-        for byte in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                middle = (low + high) >> 1
-                if labels[middle] < byte:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low == first[state + 1] or labels[low] != byte:
-                return None
-            rank += adds[low]
-            state = targets[low]
-        if not self.finals[state] or not word:
-            return None
-        return tuple(self.ids[self.starts[rank] : self.starts[rank + 1]])
+        rank = int(self.ranks([word])[0])
+        return None if rank < 0 else tuple(self.ids[self.starts[rank] : self.starts[rank + 1]].tolist())
 
 
 def mapped(block: bytes) -> Lexicon:
@@ -175,8 +177,8 @@ def mapped(block: bytes) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-class Codec(dict):
-    """Words to ids through the lexicon, else by merging; remembers a bounded number of words."""
+class Codec:
+    """Words to ids through the lexicon, else by merging; remembers a bounded number of words, the lexicon's for good."""
 
     def __init__(self, bpe: bytebpe.ByteBpe, lexicon: Lexicon) -> None:
         import regex
@@ -184,37 +186,77 @@ class Codec(dict):
         self.bpe, self.lexicon = bpe, lexicon
         self.words = regex.compile(bytebpe.WORDS).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(bpe.special, key=len, reverse=True))) + ")") if bpe.special else None
-        self.merge = bpe._fast._core_bpe.encode_single_piece
+        self.known: dict[str, bytes] = {}  # ids as little-endian uint32: joining them makes no number objects
+        self.held: dict[str, bytes] = {}
         self.decimal = [str(i) for i in range(bpe.size)]
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8")
-        ids = self.lexicon.get(raw) if len(raw) <= WORD_BYTES else None
-        if ids is None:
-            whole = self.bpe.ranks.get(raw)
-            if whole is not None:
-                ids = (whole,)
-            elif len(raw) >= bytebpe.LONG_RUN:
-                return tuple(self.bpe.library.encode(word, add_special_tokens=False).ids)
-            else:
-                ids = tuple(self.merge(raw))
-        if len(self) >= MEMO:
-            self.clear()
-        if len(raw) <= WORD_BYTES:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+    def merge(self, raw: bytes) -> list[int]:
+        """The ids of a word that the lexicon doesn't hold."""
+        whole = self.bpe.ranks.get(raw)
+        if whole is not None:
+            return [whole]
+        if len(raw) >= bytebpe.LONG_RUN:
+            return self.bpe.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids
+        return self.bpe._fast._core_bpe.encode_single_piece(raw)
+
+    def learn(self, words: set[str]) -> None:
+        """Look up words that aren't known yet."""
+        some = list(words)
+        raws = [w.encode("utf-8") for w in some]
+        ranks = self.lexicon.ranks(raws)
+        starts, ids = self.lexicon.starts, self.lexicon.ids
+        for i in np.flatnonzero(ranks >= 0).tolist():
+            rank = ranks[i]
+            self.known[some[i]] = self.held[some[i]] = ids[starts[rank] : starts[rank + 1]].tobytes()
+        rest = np.flatnonzero(ranks < 0).tolist()
+        merged = [self.merge(raws[i]) for i in rest]
+        data = np.fromiter(chain.from_iterable(merged), np.uint32).astype("<u4").tobytes()
+        at = 0
+        for i, n in zip(rest, map(len, merged)):
+            self.known[some[i]] = data[at : at + 4 * n]
+            at += 4 * n
+
+    def split(self, text: str) -> list[str | tuple[str]]:
+        """The words of a text; a special string is a tuple, so that it equals no word."""
         if self.specials is None or not self.specials.search(text):
-            return list(chain.from_iterable(map(self.__getitem__, self.words(text))))
-        out: list[int] = []
+            return self.words(text)
+        out: list[str] = []
         for i, part in enumerate(self.specials.split(text)):
-            out += [self.bpe.special[part]] if i % 2 else chain.from_iterable(map(self.__getitem__, self.words(part)))
+            out += [(part,)] if i % 2 else self.words(part)
         return out
 
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in groups of bounded size."""
+        for low, high in spans(texts):
+            if len(self.known) > MEMO:
+                self.known = dict(self.held)
+            split = [self.split(t) for t in texts[low:high]]
+            fresh = set().union(*split) - self.known.keys()
+            specials = {w for w in fresh if isinstance(w, tuple)}
+            self.learn(fresh - specials)
+            self.known.update({w: np.array([self.bpe.special[w[0]]], "<u4").tobytes() for w in specials})
+            get = self.known.__getitem__
+            for words in split:
+                yield np.frombuffer(b"".join(map(get, words)), "<u4")
+
     def decode(self, ids: list[int]) -> str:
         return self.bpe.decode(ids)
 
+    def decimals(self, ids: list[int]) -> str:
+        return ",".join(map(self.decimal.__getitem__, ids))
+
+
+def spans(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about `size` characters, or one longer text."""
+    low, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > low and held + len(text) > size:
+            yield low, i
+            low, held = i, 0
+        held += len(text)
+    if texts:
+        yield low, len(texts)
+
 
 def build(words: list[str], bpe: bytebpe.ByteBpe) -> bytes:
     """The compiled lexicon of the pieces of `words`, each as it stands after a space and at a line's start."""
@@ -241,14 +283,14 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         codec = _codec(tokenizer, digest, held.value)
         out: dict[str, list] = {name.split()[0]: [] for name in schema.split(", ")}
         out["doc_id"] = batch.column(0)
-        for text in batch.column(1):
-            ids = codec.encode(text.as_py() or "")
+        for ids in codec.encode([text or "" for text in batch.column(1).to_pylist()]):
             out["n_tokens"].append(len(ids))
             if digests:
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
+                plain = ids.tolist()
+                out["ids_sha256"].append(hashlib.sha256(codec.decimals(plain).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(codec.decode(plain).encode("utf-8")).hexdigest())
             if keep_ids:
-                out["ids"].append(ids)
+                out["ids"].append(ids.astype(np.int32))
         return out
 
     return map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), schema, run)
