@@ -1,30 +1,14 @@
-"""What the operators share: scratch tables, row numbers over a sorted table, and Arrow maps."""
+"""What the operators share: row numbers over a sorted table, and Arrow maps; scratch tables are freshet.scratch's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="freshet-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = f"{scratch_root(df.sparkSession)}/freshet/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from freshet.scratch import cut as materialise
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
