@@ -246,7 +246,8 @@ def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK)
     sizes = groups.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     chunks = F.ceil(F.col("_n") / block).cast("int")
     placed = groups.join(sizes, F.col("group") == F.col("_g")).select("row", "group", "copies", chunks.alias("chunks"), F.pmod(F.xxhash64("row", F.lit(3)), chunks).cast("int").alias("chunk"))
-    texts = keyed(docs).join(placed, "row").dropDuplicates(["row"])
+    # Always by shuffle: the groups grow with the documents, so a broadcast would only hold for small inputs.
+    texts = keyed(docs).join(placed.hint("merge"), "row").dropDuplicates(["row"])
     schema = "row long, group long, copies long, chunks int, chunk int, grams binary"
 
     def sets(batch):
