@@ -4,8 +4,10 @@ Documents are sets of hashed word n-grams. Equal sets become one class, stood fo
 rows go on. Each set is embedded in `COORDINATES` min-hash tokens, on which Jaccard similarity is the share of equal
 tokens. Each of `RUNS` runs grows a tree: a node samples one coordinate (a quarter of the nodes, two), and its sets
 go to the child of their token there. Nodes with one set end; nodes with up to `SMALL` are compared pair by pair;
-larger ones split again, to `DEPTH` levels. What still isn't small then is joined as a star without comparison.
-A pair at the threshold is lost by a run with a probability below one half, by all twelve below 0.0003.
+larger ones split again, to `DEPTH` levels, unless all their sets are in one candidate group already: at the first
+level, the sets of a large node are compared with one of them, drawn by hash, for that. What still isn't small at the last level
+is joined as a star without comparison.
+A pair at the threshold is lost by a run that splits four times with a probability of 0.43, by all ten of 0.0002.
 
 Comparisons on tokens only link sets into candidate groups. Inside each group, all sets are compared exactly on
 their n-grams, in blocks of bounded size, so similarities, link counts and classes are exact there. A group of any
@@ -32,9 +34,9 @@ from freshet.llm.components import components
 N = 5
 THRESHOLD = (4, 5)  # similarity of 0.8, as a fraction
 COORDINATES = 128
-RUNS = 12
+RUNS = 10
 SMALL = 64
-DEPTH = 8
+DEPTH = 4
 SLACK = 0.14  # candidates may look this much less similar on tokens (four standard deviations)
 BLOCK = 256  # sets of a chunk; two chunks meet in a block
 
@@ -171,23 +173,31 @@ def candidates(sets: DataFrame, runs: int = RUNS, small: int = SMALL, depth: int
         for _ in range(1 + (r % 4 == 0)):
             c = int(rng.integers(COORDINATES))
             first.append(F.xxhash64(F.lit(r), F.lit(c), F.col("tokens")[c]))
-    rows = sets.select("row", F.explode(F.array(*first)).alias("node"))
+    # Rows carry their candidate group as it is known so far: at first, the set itself.
+    rows = sets.select("row", F.col("row").alias("group"), F.explode(F.array(*first)).alias("node"))
     leaves, stars = [], []
     for level in range(1, depth + 1):
         rows = materialise(rows, f"join-level{level}")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least")).where("n > 1")
-        sized = materialise(rows.join(sizes, "node"), f"join-sized{level}")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min_by("row", F.xxhash64("node", "row")).alias("first"), F.min("group").alias("one"), F.max("group").alias("other"))
+        # A node whose sets are all in one candidate group already has nothing to add.
+        sized = materialise(rows.join(sizes.where("n > 1 and one <> other").drop("other"), "node"), f"join-sized{level}")
         leaves.append(sized.where(F.col("n") <= small).select("node", "row"))
         large = sized.where(F.col("n") > small)
         if level == depth:
-            stars.append(large.select(F.col("row").alias("a"), F.col("least").alias("b")))
-        elif large.isEmpty():
+            stars.append(large.select(F.col("group").alias("a"), F.col("one").alias("b")).distinct())
             break
-        else:
-            c = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDINATES)).cast("int")
-            child = lambda i: F.xxhash64("node", c(i), F.get("tokens", c(i)))
-            children = F.when(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(4)) == 0, F.array(child(1), child(2))).otherwise(F.array(child(1)))
-            rows = large.select("node", "row").join(sets.select("row", "tokens"), "row").select("row", F.explode(children).alias("node")).distinct()
+        if large.isEmpty():
+            break
+        if level == 1:
+            groups = components(near_first(large, sets, least), "join-first").withColumnRenamed("node", "row")
+            stars.append(groups.selectExpr("row as a", "root as b"))
+            tagged = materialise(large.drop("group").join(groups, "row", "left").select("node", "row", F.coalesce("root", "row").alias("group")), "join-tagged")
+            mixed = tagged.groupBy("node").agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("node")
+            large = tagged.join(mixed, "node", "left_semi")
+        c = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDINATES)).cast("int")
+        child = lambda i: F.xxhash64("node", c(i), F.get("tokens", c(i)))
+        children = F.when(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(4)) == 0, F.array(child(1), child(2))).otherwise(F.array(child(1)))
+        rows = large.select("node", "row", "group").join(sets.select("row", "tokens"), "row").select("row", "group", F.explode(children).alias("node")).distinct()
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionAll(more)
@@ -210,6 +220,18 @@ def candidates(sets: DataFrame, runs: int = RUNS, small: int = SMALL, depth: int
     return edges
 
 
+def near_first(large: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Edges (a, b) from the sets of large nodes to the one drawn from the node, where their tokens agree in `least` coordinates."""
+    pairs = large.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
+    brief = lambda name: sets.select(F.col("row").alias(name), F.col("brief").alias(f"brief_{name}"))
+
+    def agree(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides = [np.frombuffer(b"".join(batch.column(f"brief_{x}").to_pylist()), np.uint8).reshape(-1, COORDINATES) for x in "ab"]
+        return batch.select(["a", "b"]).filter(pa.array((sides[0] == sides[1]).sum(1) >= least))
+
+    return map_rows(pairs.join(brief("b"), "b").join(brief("a"), "a").select("a", "b", "brief_a", "brief_b"), "a long, b long", agree)
+
+
 def linked(value: np.ndarray, of: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (left, right) of sets with a similarity of at least THRESHOLD; `value` holds all sets' n-grams, `of` their set."""
     order = np.argsort(value, kind="stable")
