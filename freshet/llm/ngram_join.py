@@ -39,6 +39,7 @@ SMALL = 64
 DEPTH = 4
 SLACK = 0.14  # candidates may look this much less similar on tokens (four standard deviations)
 BLOCK = 256  # sets of a chunk; two chunks meet in a block
+BLOCK_GRAMS = 2_000_000  # n-grams of a chunk, on average
 
 _rng = np.random.default_rng(20_001)
 _FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -262,11 +263,11 @@ def linked(value: np.ndarray, of: np.ndarray, sizes: np.ndarray, left: np.ndarra
 def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK) -> DataFrame:
     """row, root, links: each set's number of linked documents and its local root, once for each block that it is in.
 
-    `groups` has row, group, copies (documents with this set). Sets are read again from the documents.
+    `groups` has row, group, copies (documents with this set), n_grams. Sets are read again from the documents.
     """
     spark = docs.sparkSession
-    sizes = groups.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.ceil(F.col("_n") / block).cast("int")
+    sizes = groups.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_grams").alias("_grams"))
+    chunks = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_grams") / BLOCK_GRAMS)).cast("int")
     placed = groups.join(sizes, F.col("group") == F.col("_g")).select("row", "group", "copies", chunks.alias("chunks"), F.pmod(F.xxhash64("row", F.lit(3)), chunks).cast("int").alias("chunk"))
     # Always by shuffle: the groups grow with the documents, so a broadcast would only hold for small inputs.
     texts = keyed(docs).join(placed.hint("merge"), "row").dropDuplicates(["row"])
@@ -324,11 +325,11 @@ def join(df: DataFrame, n: int = N, runs: int = RUNS, small: int = SMALL, depth:
     connected by links, n_links how many documents are linked to this one.
     """
     embedded = materialise(embed(df, n), "join-sets")
-    equal = embedded.where("key1 is not null").groupBy("key1", "key2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"))
+    equal = embedded.where("key1 is not null").groupBy("key1", "key2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.max("n_grams").cast("long").alias("n_grams"))
     equal = materialise(equal, "join-classes")
     sets = materialise(embedded.join(equal.select(F.col("rep").alias("row")), "row", "left_semi").dropDuplicates(["row"]).select("row", "tokens", "brief"), "join-tokens")
     groups = components(candidates(sets, runs, small, depth), "join-groups")
-    grouped = materialise(groups.join(equal.select("rep", "copies"), F.col("node") == F.col("rep")).select(F.col("node").alias("row"), F.col("root").alias("group"), "copies"), "join-grouped")
+    grouped = materialise(groups.join(equal.select("rep", "copies", "n_grams"), F.col("node") == F.col("rep")).select(F.col("node").alias("row"), F.col("root").alias("group"), "copies", "n_grams"), "join-grouped")
     checked = materialise(verified(grouped, df, n, block), "join-checked")
     found = checked.groupBy(F.col("row").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("row").alias("a"), F.col("root").alias("b")), "join-links")
