@@ -47,8 +47,8 @@ def drawn(ids: DataFrame, n: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
 
 
-def sparse_rows(docs: DataFrame, ids: DataFrame, mark: str) -> tuple[linear.Rows, np.ndarray, np.ndarray]:
-    """On the driver, in order of mark and id: features, marks and ids of the documents named by `ids` (doc_id and `mark`; a bounded number of rows)."""
+def sparse_rows(docs: DataFrame, named: DataFrame, mark: str) -> tuple[linear.Rows, np.ndarray, np.ndarray]:
+    """On the driver, in order of mark and id: features, marks and ids of the documents in `named` (doc_id and `mark`; a bounded number of rows)."""
 
     def run(batch):
         rows = []
@@ -56,7 +56,7 @@ def sparse_rows(docs: DataFrame, ids: DataFrame, mark: str) -> tuple[linear.Rows
             rows += textfeatures.sparse(group, textfeatures.counts(group))
         return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "number": [n.tobytes() for n, _ in rows], "value": [v.tobytes() for _, v in rows]}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id", F.col(mark).cast("int").alias("mark"))), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named.select("doc_id", F.col(mark).cast("int").alias("mark"))), "doc_id")
     table: pa.Table = map_rows(texts, "doc_id long, mark int, number binary, value binary", run).toArrow()
     order = np.lexsort((table["doc_id"].to_numpy(), table["mark"].to_numpy()))
     at = [(chunk, i) for chunk in range(table["number"].num_chunks) for i in range(len(table["number"].chunk(chunk)))]
@@ -67,7 +67,10 @@ def sparse_rows(docs: DataFrame, ids: DataFrame, mark: str) -> tuple[linear.Rows
     for k, i in enumerate(order):
         number[starts[k] : starts[k + 1]] = np.frombuffer(views["number"][i], np.int32)
         value[starts[k] : starts[k + 1]] = np.frombuffer(views["value"][i], np.float32)
-    return linear.Rows(number, value, starts), table["mark"].to_numpy()[order].astype(np.int64), table["doc_id"].to_numpy()[order].astype(np.int64)
+    marks, ids = (table[name].to_numpy()[order].astype(np.int64) for name in ("mark", "doc_id"))
+    del table, views
+    pa.default_memory_pool().release_unused()
+    return linear.Rows(number, value, starts), marks, ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
