@@ -1,7 +1,7 @@
 """Queries over the driver's tables, one or more for each operator, with the SQL that checks them.
 
-The tables hold no rivers; `inputs` derives some. Values that add up in any order are given as text of nine digits,
-so that engines agree on them; whole-valued ones are given as they are.
+The tables hold no rivers; `inputs` derives some. Values that add up or multiply in any order are given as text of
+six to nine digits, so that engines agree on them; whole-valued ones are given as they are.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ COEFFICIENT = 0.0008
 START, END = "1996-01-01", "1997-12-01"
 
 
-def digits(c: str) -> Column:
-    return F.format_string("%.8e", c).alias(c)
+def digits(c: str, after: int = 8) -> Column:
+    return F.format_string(f"%.{after}e", c).alias(c)
 
 
 def _net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
@@ -123,7 +123,7 @@ def gage_enforce(spark, sf_dir):
     flow = cut(runoff.monthly(unit, columns.months(spark, START, END), COEFFICIENT), "flow")
     observations = _observations(spark, sf_dir)
     reached = cut(network.reach(observations.select("comid").distinct(), links, nodes), "reach")
-    return folds.enforce_gages(observations, reached, flow).select("date", "comid", digits("flow_cms"))
+    return folds.enforce_gages(observations, reached, flow).select("date", "comid", digits("flow_cms", 5))
 
 
 def _snapped(spark, sf_dir):
@@ -360,7 +360,7 @@ state(date, k, comid, q) AS (
   FROM state s JOIN obs o ON o.date = s.date AND o.k = s.k + 1 JOIN state g ON g.date = s.date AND g.k = s.k AND g.comid = o.comid
   LEFT JOIN reach r ON r.src = o.comid AND r.node = s.comid
 ), last AS (SELECT date, comid, arg_max(q, k) AS q FROM state GROUP BY ALL)
-SELECT f.date, f.comid, printf('%.8e', COALESCE(l.q, f.q)) AS flow_cms FROM flow f LEFT JOIN last l USING (date, comid)""",
+SELECT f.date, f.comid, printf('%.5e', COALESCE(l.q, f.q)) AS flow_cms FROM flow f LEFT JOIN last l USING (date, comid)""",
     "cp_snap": f"WITH {_SNAPPED} SELECT UP_CP, Next_DS_CP, ChLosFac, file_row, UP_COMID, DS_COMID, snap_dist FROM snapped",
     "cp_paths": f"WITH RECURSIVE {_UNIT}, {_PATHS} SELECT step, pos, node AS comid FROM chain",
     "loss_apply": f"""WITH RECURSIVE {_UNIT}, {_PATHS}, held AS (SELECT s.*, row_number() OVER (ORDER BY step) AS k FROM steps s WHERE step IN (SELECT step FROM chain)),
