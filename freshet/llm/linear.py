@@ -54,13 +54,13 @@ class Rows:
         return out
 
 
-def minimise(rows: Rows, gradient: Callable[[np.ndarray], np.ndarray], dim: int, steps: int, rate: float, decay: float, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
-    """Adam over all rows at each step. `gradient` gives, from the rows' products, the derivative of the loss by each."""
+def descend(gradient: Callable[[int, np.ndarray, float], tuple[np.ndarray, float]], dim: int, steps: int, rate: float, decay: float, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """Adam. `gradient` gives, from the step's number (from 0), weights and bias, the derivative of the loss by both."""
     weights, bias = (start[0].astype(np.float32), start[1]) if start else (np.zeros(dim, np.float32), 0.0)
     m, v = np.zeros(dim + 1), np.zeros(dim + 1)
     for step in range(1, steps + 1):
-        g = gradient(rows.product(weights) + bias)
-        full = np.append(rows.back(g, dim) + decay * weights, g.sum())
+        by_weights, by_bias = gradient(step - 1, weights, bias)
+        full = np.append(by_weights + decay * weights, by_bias)
         m = 0.9 * m + 0.1 * full
         v = 0.99 * v + 0.01 * full**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
@@ -69,6 +69,16 @@ def minimise(rows: Rows, gradient: Callable[[np.ndarray], np.ndarray], dim: int,
     return weights, float(bias)
 
 
+def minimise(rows: Rows, gradient: Callable[[np.ndarray], np.ndarray], dim: int, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Descent over all rows at each step. `gradient` gives, from the rows' products, the derivative of the loss by each."""
+
+    def full(_: int, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        g = gradient(rows.product(weights) + bias)
+        return rows.back(g, dim), g.sum()
+
+    return descend(full, dim, steps, rate, decay)
+
+
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """Slope and shift that calibrate products `z` to the labels, by Newton steps with smoothed targets."""
     up, down = y.sum(), (1 - y).sum()

@@ -1,27 +1,33 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; unlabelled text is drawn from all documents. A first classifier
-of positives against unlabelled text gives, on rows kept apart, the share of unlabelled text that is positive:
-the least ratio of the shares of both kinds above a threshold, with a confidence margin (best-bin estimation).
-With that prior the classifier minimises the non-negative unbiased risk: the risk of unlabelled text taken as
+Trusted positives are labelled rows of quality 1; unlabelled text is every document. A first classifier of positives
+against some unlabelled text is only a score and a place to start. By its score, all unlabelled text that it wasn't
+trained on gives the share that is positive: the least ratio of the shares of both kinds above a threshold, with a
+confidence margin (best-bin estimation). With that prior the classifier minimises the non-negative unbiased risk: the risk of unlabelled text taken as
 negative, less the positives' part in it, never counts below zero; where it would, that step goes against its
 gradient. The loss is the bounded sigmoid loss, so that an error in the prior can't outweigh the few negatives;
 the first classifier, stretched to least risk, is where the descent starts.
 
-Both samples are bounded (`POSITIVES`, `UNLABELLED`; smallest seeded hash of the id) and taken only from rows
-outside the held-out fold. Every document is scored whole, from its text alone.
+The labelled sample and the first classifier's unlabelled one are bounded (`POSITIVES`, `UNLABELLED`; smallest seeded
+hash of the id). Prior, start and descent take all documents: these are dealt by id into parts of at least `UNLABELLED`
+on average, as many as the descent has steps at most, and a step sums the gradient of one part in the executors, so each
+document is used once or more. Sums are of whole numbers and don't depend on how the table is dealt. All of it keeps to
+rows outside the held-out fold. Every document is scored whole, from its text alone.
 
 Cases: null and empty texts get the score of a text without features; without positives every score is 1.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import linear, quality, textfeatures
-from freshet.llm.common import map_rows
+from freshet.llm.common import map_rows, materialise
 
 POSITIVES = 2000
 UNLABELLED = 3000
@@ -30,6 +36,7 @@ FOLDS = 5
 THRESHOLD = 0.3
 FIRST = (40, 0.05, 1e-4)  # steps, rate and weight decay of the first classifier
 SECOND = (40, 0.01, 1e-5)  # and of the descent from it
+TASKS = 48  # that sum a part at most; the driver adds up as many arrays of DIM numbers
 
 
 def fold(id_col: Column) -> Column:
@@ -40,37 +47,46 @@ def fold(id_col: Column) -> Column:
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
     """The positives' share of unlabelled text, from both kinds' products on rows kept apart."""
     cuts = np.sort(positive)
-    above_p = 1 - np.arange(len(cuts)) / len(cuts)
-    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
-    margin = np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / delta) / (2 * len(positive)))
+    return prior_of(np.bincount(np.searchsorted(cuts, unlabelled, "right"), minlength=len(cuts) + 1), delta)
+
+
+def prior_of(reached: np.ndarray, delta: float = 0.1) -> float:
+    """The same from how many unlabelled products reach none, the first, the first two ... of the sorted positive ones."""
+    n_p, n_u = len(reached) - 1, reached.sum()
+    above_p = 1 - np.arange(n_p) / n_p
+    above_u = 1 - np.cumsum(reached)[:-1] / n_u
+    margin = np.sqrt(np.log(4 / delta) / (2 * n_u)) + np.sqrt(np.log(4 / delta) / (2 * n_p))
     best = np.argmin((above_u + margin) / above_p)
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
-def risk(z: np.ndarray, prior: float, n_p: int) -> float:
-    """Non-negative unbiased risk of the products `z` (positives first) under the sigmoid loss."""
-    p, u = linear.sigmoid(z[:n_p]), linear.sigmoid(z[n_p:])
-    return float(prior * (1 - p).mean() + max(0.0, u.mean() - prior * p.mean()))
+def risk(p: np.ndarray, u_mean: float, prior: float) -> float:
+    """Non-negative unbiased risk under the sigmoid loss, from the positives' sigmoids and the unlabelled ones' mean."""
+    return float(prior * (1 - p).mean() + max(0.0, u_mean - prior * p.mean()))
 
 
-def risk_gradient(prior: float, n_p: int):
-    """Derivative of the non-negative risk by each row's product; the positives come first."""
+def tried(z: np.ndarray) -> list[tuple[float, float]]:
+    """Slopes, and the positives' lower quantiles as zero, to try on the products; `z` are the positives'."""
+    zeros = np.quantile(z, [0.002, 0.005, 0.01, 0.02, 0.05]) - 0.3 * (np.median(z) - np.quantile(z, 0.01))
+    return [(slope, float(zero)) for slope in (1.0, 2.0, 4.0) for zero in zeros]
 
-    def gradient(z: np.ndarray) -> np.ndarray:
-        p, u = linear.sigmoid(z[:n_p]), linear.sigmoid(z[n_p:])
-        of_p, of_u = prior * p * (1 - p) / len(p), u * (1 - u) / len(u)
-        if u.mean() < prior * p.mean():  # the risk of the negatives came out below zero: back
-            return np.concatenate([of_p, -of_u])
-        return np.concatenate([-2 * of_p, of_u])
 
-    return gradient
+def summed(part: DataFrame, add: Callable[[textfeatures.Group, np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """`n` whole numbers: what `add` gives for each group of texts of `part` and their ids, added up."""
 
+    def run(batches):
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, group in textfeatures.groups(batch.column(1).to_pylist()):
+                total += add(group, ids[first : first + group.n])
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
-def stretched(z: np.ndarray, n_p: int, prior: float) -> tuple[float, float]:
-    """Slope and shift of the products `z` of least risk, among steps of the slope and the positives' lower quantiles as zero."""
-    zeros = np.quantile(z[:n_p], [0.002, 0.005, 0.01, 0.02, 0.05]) - 0.3 * (np.median(z[:n_p]) - np.quantile(z[:n_p], 0.01))
-    tried = [(risk(slope * (z - zero), prior, n_p), slope, -slope * zero) for slope in (1.0, 2.0, 4.0) for zero in zeros]
-    return min(tried)[1:]
+    tasks = min(part.sparkSession.sparkContext.defaultParallelism, TASKS)
+    out = np.zeros(n, np.int64)
+    for held in part.select("doc_id", "text").coalesce(tasks).mapInArrow(run, "total binary").toArrow()["total"]:
+        out += np.frombuffer(held.as_buffer(), np.int64)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = SEED) -> tuple[quality.Model, float]:
@@ -78,10 +94,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     trained = fold(F.col("doc_id")) != 0
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     good = labels.where("quality = 1 and doc_id is not null").where(trained).select(doc_id).distinct()
-    any_text = docs.where("doc_id is not null").where(trained).select(doc_id)
+    all_text = docs.where("doc_id is not null").where(trained).select(doc_id, "text")
     # Marks: 0 for positives, 1 for unlabelled text; a document may be both.
-    drawn = quality.drawn(good, positives, seed).withColumn("mark", F.lit(0)).unionAll(quality.drawn(any_text, unlabelled, seed + 1).distinct().withColumn("mark", F.lit(1)))
-    rows, mark, _ = quality.sparse_rows(docs, drawn, "mark")
+    drawn = quality.drawn(good, positives, seed).withColumn("mark", F.lit(0)).unionAll(quality.drawn(all_text.select("doc_id"), unlabelled, seed + 1).distinct().withColumn("mark", F.lit(1)))
+    rows, mark, ids = quality.sparse_rows(docs, drawn, "mark")
     n_p, n_u = int((mark == 0).sum()), int((mark == 1).sum())
     if n_p < 4 or n_u < 4:
         return quality.KEEPS_ALL, 1.0
@@ -89,14 +105,68 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     apart = np.concatenate([np.arange(n_p), np.arange(n_u)]) % 3 == 0
     share = np.where(mark == 0, 0.5 / (~apart & (mark == 0)).sum(), 0.5 / (~apart & (mark == 1)).sum()) * ~apart
     weights, bias = linear.minimise(rows, lambda z: share * (linear.sigmoid(z) - (mark == 0)), textfeatures.DIM, *FIRST)
+    seen = ids[~apart & (mark == 1)]
+    end = rows.starts[n_p]
+    rows = linear.Rows(rows.number[:end].copy(), rows.value[:end].copy(), rows.starts[: n_p + 1].copy())  # the positives
     z = rows.product(weights) + bias
-    prior = estimate_prior(z[apart & (mark == 0)], z[apart & (mark == 1)])
-    slope, shift = stretched(z, n_p, prior)
-    start = (slope * weights, slope * bias + shift)
-    weights, bias = linear.minimise(rows, risk_gradient(prior, n_p), textfeatures.DIM, *SECOND, start)
+
+    parts = max(1, min(SECOND[0], all_text.count() // max(1, unlabelled)))
+    dealt = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id"), F.lit(parts)).cast("int")
+    texts = materialise(all_text.withColumn("part", dealt).coalesce(8 * docs.sparkSession.sparkContext.defaultParallelism), "pu-texts", "part")
+    prior, slope, shift = start(texts, weights, bias, z, apart[:n_p], seen)
+    weights, bias = descent(texts, parts, rows, prior, (slope * weights, slope * bias + shift))
     return quality.Model(weights, bias), prior
 
 
+def start(texts: DataFrame, weights: np.ndarray, bias: float, z: np.ndarray, apart: np.ndarray, seen: np.ndarray) -> tuple[float, float, float]:
+    """The prior, and slope and shift of least risk, of the first classifier. z: the positives' products; seen: ids that it was trained on as unlabelled."""
+    cuts, lines = np.sort(z[apart]), tried(z)
+    held = texts.sparkSession.sparkContext.broadcast((weights, bias, cuts, lines, seen))
+
+    def add(group: textfeatures.Group, ids: np.ndarray) -> np.ndarray:
+        weights, bias, cuts, lines, seen = held.value
+        z = textfeatures.linear(group, textfeatures.counts(group), weights) + bias
+        reached = np.bincount(np.searchsorted(cuts, z[~np.isin(ids, seen)], "right"), minlength=len(cuts) + 1)
+        means = [np.rint(textfeatures.UNIT * linear.sigmoid(slope * (z - zero))).sum() for slope, zero in lines]
+        return np.concatenate([reached, means, [group.n]]).astype(np.int64)
+
+    out = summed(texts, add, len(cuts) + 2 + len(lines))
+    held.destroy()
+    reached, means = out[: len(cuts) + 1], out[len(cuts) + 1 : -1] / textfeatures.UNIT / out[-1]
+    prior = prior_of(reached)
+    _, slope, zero = min((risk(linear.sigmoid(slope * (z - zero)), mean, prior), slope, zero) for (slope, zero), mean in zip(lines, means))
+    return prior, slope, -slope * zero
+
+
+def descent(texts: DataFrame, parts: int, positive: linear.Rows, prior: float, begin: tuple[np.ndarray, float]) -> tuple[np.ndarray, float]:
+    """Descent on the non-negative risk; each step takes all positives and the next part of the unlabelled text."""
+    context = texts.sparkSession.sparkContext
+
+    def gradient(step: int, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        held = context.broadcast((weights, bias))
+
+        def add(group: textfeatures.Group, _: np.ndarray) -> np.ndarray:
+            weights, bias = held.value
+            c = textfeatures.counts(group)
+            families, shares = textfeatures.features(group, c), textfeatures.dense(group, c)
+            u = linear.sigmoid(textfeatures.linear(group, c, weights, families, shares) + bias)
+            ends = [np.rint(textfeatures.UNIT * u * (1 - u)).sum(), np.rint(textfeatures.UNIT * u).sum(), group.n]
+            return np.append(textfeatures.back(group, families, shares, u * (1 - u)), np.array(ends, np.int64))
+
+        out = summed(texts.where(F.col("part") == step % parts), add, textfeatures.DIM + 3)
+        held.destroy()
+        n = max(1, out[-1])  # a part may be empty in a table of many equal ids
+        of_u, mean = out[:-2] / textfeatures.UNIT / n, out[-2] / textfeatures.UNIT / n
+        p = linear.sigmoid(positive.product(weights) + bias)
+        of_p = prior * p * (1 - p) / len(p)
+        of_p = np.append(positive.back(of_p, textfeatures.DIM), of_p.sum())
+        # Where the risk of the negatives came out below zero: back.
+        full = of_p - of_u if mean < prior * p.mean() else of_u - 2 * of_p
+        return full[:-1], full[-1]
+
+    return linear.descend(gradient, textfeatures.DIM, *SECOND, begin)
+
+
 def classify(df: DataFrame, model: quality.Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of `df`."""
     held = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights

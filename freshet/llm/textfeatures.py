@@ -188,15 +188,28 @@ def dense(g: Group, c: Counts) -> np.ndarray:
 SCALE = 8.0  # of a family's averages, so that common features are of the size of the dense ones
 
 
-def linear(g: Group, c: Counts, weights: np.ndarray) -> np.ndarray:
-    """The product of each text's features with `weights` (DIM of them)."""
-    out = dense(g, c) @ weights[-DENSE:]
-    for text, number in features(g, c):
+def linear(g: Group, c: Counts, weights: np.ndarray, families: list | None = None, shares: np.ndarray | None = None) -> np.ndarray:
+    """The product of each text's features with `weights` (DIM of them); `features` and `dense` may be given."""
+    out = (dense(g, c) if shares is None else shares) @ weights[-DENSE:]
+    for text, number in features(g, c) if families is None else families:
         total = per_text(text, g.n, weights[number])
         out += SCALE * total / np.maximum(1, per_text(text, g.n))
     return out
 
 
+UNIT = float(1 << 32)  # one, in sums that must not depend on the order of texts
+
+
+def back(g: Group, families: list, shares: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+    """The product of the transposed features with `of_text` (at most 1/4), in whole `UNIT`ths: a group's sums stay below 2 ** 53, so they are exact."""
+    out = np.zeros(DIM)
+    for text, number in families:
+        each = np.rint(SCALE * UNIT * of_text / np.maximum(1, per_text(text, g.n)))
+        out += np.bincount(number, weights=each[text], minlength=DIM)
+    out[-DENSE:] += np.rint(UNIT * shares * of_text[:, None]).sum(0)
+    return out.astype(np.int64)
+
+
 def sparse(g: Group, c: Counts) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text, its feature numbers and their values."""
     parts = []

@@ -17,8 +17,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` once and read it back. Loops do this each round: plans stay short and lost executors cost no recomputation."""
+def cut(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write `df` once, in folders by the columns `by`, and read it back. Loops do this each round: plans stay short and lost executors cost no recomputation."""
     path = f"{scratch_root(df.sparkSession)}/freshet/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -131,6 +131,27 @@ def test_prior_estimate():
     assert abs(positive_unlabelled.estimate_prior(p, u) - 0.7) < 0.06
 
 
+def test_back_is_the_transposed_product():
+    texts = ["Some words, some more words.", "", "a a a b\nb", "é" * 50]
+    (_, group), = textfeatures.groups(texts)
+    c = textfeatures.counts(group)
+    of_text = np.array([0.25, 0.1, 0.003, 0.2])
+    out = textfeatures.back(group, textfeatures.features(group, c), textfeatures.dense(group, c), of_text) / textfeatures.UNIT
+    np.testing.assert_allclose(out, linear.Rows.of(textfeatures.sparse(group, c)).back(of_text, textfeatures.DIM), rtol=1e-5, atol=1e-7)
+
+
+def test_all_unlabelled_text_is_used(corpus):
+    """A sample of 24 says little of the prior, and has few of each kind of junk."""
+    docs, labels, bad, labelled = corpus
+    model, prior = positive_unlabelled.fit(docs, labels, unlabelled=24)
+    again, same = positive_unlabelled.fit(docs.repartition(5), labels, unlabelled=24)
+    assert prior == same and np.array_equal(model.weights, again.weights) and model.bias == again.bias
+    assert abs(prior - 0.8) < 0.06
+    rows = positive_unlabelled.classify(docs, model).collect()
+    right = [(r.doc_id not in bad) == bool(r.predicted) for r in rows if r.held_out and r.doc_id in labelled]
+    assert sum(right) / len(right) > 0.93
+
+
 def test_platt_calibrates():
     rng = np.random.default_rng(7)
     z = rng.normal(0, 2, 4000)
