@@ -64,6 +64,28 @@ def test_further_kinds(text, kinds):
     assert [pii.KINDS[k] for _, k, _ in pii.all_spans(text)[1] if k > 3] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("GB82 WEST 1234 5698 7654 32 I paid", ["GB82 WEST 1234 5698 7654 32"]),
+        ("GB82WEST12345698765432 2024", ["GB82WEST12345698765432"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 EUR 50", ["DE89 3704 0044 0532 0130 00"]),
+        ("BIC WESTGB22 GB82 WEST 1234 5698 7654 32 BIC WESTGB22", ["GB82 WEST 1234 5698 7654 32"]),
+        ("AB13 GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+        ("GB82 WEST 1234 5698 7654 32and", []),
+    ],
+)
+def test_iban_among_other_tokens(text, found):
+    spans = pii.all_spans(text)[1]
+    assert [text[s:e] for s, k, e in spans if k == 4] == found
+    assert not any(x in pii.mask(text, spans) for x in found)
+
+
+def test_iban_scan_is_linear():
+    for text in ("AB12 " * 60_000, "AB12" * 75_000, "GB82 WEST 1234 5698 7654 33 " * 10_000):
+        assert not pii.ibans(text)
+
+
 def test_operator(docs, no_docs, texts):
     rows = {r.doc_id: r for r in pii.find(docs).collect()}
     assert len(rows) == len(texts)
