@@ -324,6 +324,11 @@ def join(df: DataFrame, n: int = N, runs: int = RUNS, small: int = SMALL, depth:
     Two documents are linked at a similarity of at least 0.8; class_id is the least doc_id of the documents
     connected by links, n_links how many documents are linked to this one.
     """
+    return classified(df, n, runs, small, depth, block).drop("class")
+
+
+def classified(df: DataFrame, n: int = N, runs: int = RUNS, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """The columns of `join`, and class: a row of the class, the same for all of them; null for a text without words."""
     embedded = materialise(embed(df, n), "join-sets")
     equal = embedded.where("key1 is not null").groupBy("key1", "key2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.max("n_grams").cast("long").alias("n_grams"))
     equal = materialise(equal, "join-classes")
@@ -336,13 +341,14 @@ def join(df: DataFrame, n: int = N, runs: int = RUNS, small: int = SMALL, depth:
     whole = equal.join(found, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", "copies", "least_id", F.coalesce("root", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     whole = materialise(whole, "join-whole")
     names = whole.groupBy("class").agg(F.min("least_id").alias("class_id"))
-    named = whole.join(names, "class").select("key1", "key2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return embedded.select("doc_id", "n_grams", "row", "key1", "key2").join(named, ["key1", "key2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_grams", "row")
+    named = whole.join(names, "class").select("key1", "key2", "class", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return embedded.select("doc_id", "n_grams", "row", "key1", "key2").join(named, ["key1", "key2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_grams", "row", "class")
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
-    """One row of each class: that of the least id, all columns as they are."""
-    kept = join(df).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("row", F.col("doc_id").alias("_id")).distinct()
+    """One row of each class: that of the least id, then of the least row hash, null ids last; all columns as they are."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = classified(df).groupBy(F.coalesce("class", "row").alias("class")).agg(F.min(order).alias("first")).select("first.row")
     names = df.columns
     rows = df.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     return rows.join(kept, (rows["_row"] == kept["row"])).dropDuplicates(["_row"]).select(*names)

@@ -94,6 +94,17 @@ def test_cases(spark, docs, no_docs, texts):
     assert {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(no_id).collect()} == {(None, 3, 2), (3, 3, 2)}
 
 
+def test_one_row_of_a_class_stays_with_tied_or_null_ids(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, near), (7, near + " x"), (9, near + " y"), (None, near + " z"), (None, near + " z")]
+    rows += [(None, "other " + near.replace("w", "v") + end) for end in ("", " x", " y")]
+    rows += [(7, ""), (7, " "), (None, None), (3, "a b c"), (3, "d e f")]
+    kept = ngram_join.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept if (r.text or "").startswith("w0")] == [7]
+    assert [r.doc_id for r in kept if (r.text or "").startswith("other")] == [None]
+    assert sorted(repr((r.doc_id, r.text)) for r in kept if not (r.text or "").startswith(("w0", "other"))) == sorted(map(repr, rows[-5:]))
+
+
 def test_components(spark):
     rng = random.Random(3)
     for n, m in ((50, 30), (60, 90), (40, 0)):
