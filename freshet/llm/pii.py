@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Base kinds (email, ip, card, phone) are fixed by their pattern and rule; their spans always stay. The further kinds
-start from a score, gain when a checksum holds or a telling word stands in the `CONTEXT` characters before, lose
-when a denying word does, and count from `THRESHOLD` on. An IBAN ends after its country's length, or else after the
+start from a score, gain when a checksum holds or a telling word stands in the `CONTEXT` characters before or after, lose
+when a denying word stands before, and count from `THRESHOLD` on. An IBAN ends after its country's length, or else after the
 longest stretch of whole tokens, as the checksum confirms. Every scan is linear in the text: no pattern is tried again
 inside a run that it has already read, but for an IBAN's, of 34 characters at most, which may begin at each token.
 
@@ -35,6 +35,7 @@ _DIGIT = re.compile(r"[0-9]")
 #: Further kinds: pattern, score to start from, telling words, denying words.
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"\w")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key) ?[=:] ?\"?[A-Za-z0-9_/+-]{12,}\"?)")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
 FURTHER = {
@@ -117,21 +118,27 @@ def ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _near(text: str, start: int, kind: str) -> float:
+def _near(text: str, start: int, end: int, kind: str) -> float:
+    """The kind's score with its context, whose outer ends are cut at word boundaries. A denying word names what comes next, so it only counts before."""
     score, telling, denying = FURTHER[kind]
-    before = text[max(0, start - CONTEXT) : start]
-    return score + 0.3 * bool(telling.search(before)) - 0.3 * bool(denying.search(before))
+    low, high = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+    while 0 < low < start and _WORD.match(text, low - 1) and _WORD.match(text, low):
+        low += 1
+    while end < high < len(text) and _WORD.match(text, high - 1) and _WORD.match(text, high):
+        high -= 1
+    before, after = text[low:start], text[end:high]
+    return score + 0.3 * bool(telling.search(before) or telling.search(after)) - 0.3 * bool(denying.search(before))
 
 
 def further_spans(text: str) -> list[tuple[int, int, int, float]]:
     """(start, kind number, end, score) of the kinds that the score decides."""
     out = []
     for start, end in ibans(text):
-        out.append((start, 4, end, _near(text, start, "iban") + 0.6))
+        out.append((start, 4, end, _near(text, start, end, "iban") + 0.6))
     for m in _SECRET.finditer(text):
-        out.append((m.start(), 5, m.end(), _near(text, m.start(), "secret")))
+        out.append((m.start(), 5, m.end(), _near(text, m.start(), m.end(), "secret")))
     for m in _LOCAL_PHONE.finditer(text):
-        out.append((m.start(), 6, m.end(), _near(text, m.start(), "local_phone")))
+        out.append((m.start(), 6, m.end(), _near(text, m.start(), m.end(), "local_phone")))
     return [x for x in out if x[3] >= THRESHOLD]
 
 

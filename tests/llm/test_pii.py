@@ -86,6 +86,22 @@ def test_iban_scan_is_linear():
         assert not pii.ibans(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("(386) 555-3733 is my phone", True),
+        ("555-123-4567 (mobile)", True),
+        ("(386) 555-3733 " + "x" * 28 + " phones", False),  # the window ends inside the last word
+        ("phone" + " " * 47 + "(386) 555-3733", False),
+        ("iphone " + "x" * 40 + " (386) 555-3733", False),  # or begins inside the first
+        ("serial 555-123-4567 (mobile)", False),
+        ("call 555-123-4567 to order", True),
+    ],
+)
+def test_context_on_both_sides(text, found):
+    assert (6 in [k for _, k, _ in pii.all_spans(text)[1]]) == found
+
+
 def test_operator(docs, no_docs, texts):
     rows = {r.doc_id: r for r in pii.find(docs).collect()}
     assert len(rows) == len(texts)
