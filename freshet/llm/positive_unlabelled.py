@@ -19,6 +19,7 @@ Cases: null and empty texts get the score of a text without features; without po
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -80,12 +81,15 @@ def summed(part: DataFrame, add: Callable[[textfeatures.Group, np.ndarray], np.n
             ids = batch.column(0).to_numpy()
             for first, group in textfeatures.groups(batch.column(1).to_pylist()):
                 total += add(group, ids[first : first + group.n])
-        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
+        # Byte by byte of the numbers, most of which are zero: small results keep the driver's memory small.
+        packed = zlib.compress(total.view(np.uint8).reshape(n, 8).T.tobytes(), 1)
+        yield pa.RecordBatch.from_pydict({"total": pa.array([packed], pa.binary())})
 
     tasks = min(part.sparkSession.sparkContext.defaultParallelism, TASKS)
     out = np.zeros(n, np.int64)
     for held in part.select("doc_id", "text").coalesce(tasks).mapInArrow(run, "total binary").toArrow()["total"]:
-        out += np.frombuffer(held.as_buffer(), np.int64)
+        out += np.ascontiguousarray(np.frombuffer(zlib.decompress(held.as_buffer()), np.uint8).reshape(8, n).T).view(np.int64)[:, 0]
+    pa.default_memory_pool().release_unused()
     return out
 
 
@@ -107,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     weights, bias = linear.minimise(rows, lambda z: share * (linear.sigmoid(z) - (mark == 0)), textfeatures.DIM, *FIRST)
     seen = ids[~apart & (mark == 1)]
     end = rows.starts[n_p]
-    rows = linear.Rows(rows.number[:end].copy(), rows.value[:end].copy(), rows.starts[: n_p + 1].copy())  # the positives
+    rows = linear.Rows(rows.number[:end].copy(), rows.value[:end].copy(), rows.starts[: n_p + 1])  # the positives
     z = rows.product(weights) + bias
 
     parts = max(1, min(SECOND[0], all_text.count() // max(1, unlabelled)))
