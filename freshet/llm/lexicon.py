@@ -2,14 +2,17 @@
 
 Frequent words are counted over the whole corpus, encoded, and compiled into an automaton that shares suffixes as
 well as prefixes. Its arcs carry numbers that add up, along a word's path, to the word's rank among all words of
-the lexicon; that rank leads to the word's ids. The automaton is one block of arrays; each worker maps it into memory from a file in its own temporary folder. A word that it doesn't hold is merged exactly, by rank.
+the lexicon; that rank leads to the word's ids. The automaton is one block of arrays; each worker maps it into memory from a
+file without a name. A word that it doesn't hold is merged exactly, by rank.
 
 Words are counted in two steps that need little traffic: a partition reports the words that make up at least
 `SHARE` of its own words. A word with that share of the corpus has it in one partition at least, so none is
 missed, and no more than 1 / SHARE words come from a partition. The lexicon decides how fast encoding is, never its result.
 
-Cases: a null text is an empty one (no ids); special strings inside a text become their ids, as the tokenizers
-library does by default; very long words go to the library, whose merging stays near-linear.
+Cases: a null text is an empty one (no ids); an empty table gives an empty lexicon and no rows; repeated rows and null
+ids each get their row; ties among frequent words go by the word; other columns are ignored. Special strings inside a
+text become their ids, as the tokenizers library does by default. Texts are encoded whole, in groups of bounded size or
+one by one; very long words go to the library, whose merging stays near-linear.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import hashlib
 import mmap
 import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -167,13 +169,10 @@ class Lexicon:
 
 
 def mapped(block: bytes) -> Lexicon:
-    """Map the block from a file in this machine's temporary folder; workers of one machine share the file."""
-    path = os.path.join(tempfile.gettempdir(), f"freshet-lexicon-{hashlib.sha256(block).hexdigest()[:24]}")
-    if not os.path.exists(path):
-        with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
-            out.write(block)
-        os.replace(out.name, path)
-    with open(path, "rb") as f:
+    """Map the block from a file in memory that has no name: it takes no folder and ends with the worker."""
+    with open(os.memfd_create("lexicon"), "w+b") as f:
+        f.write(block)
+        f.flush()
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 

@@ -66,6 +66,13 @@ def test_transducer_is_minimal():
     assert len(builder.states) < 20
 
 
+def test_mapping_a_lexicon_leaves_no_file(tmp_path, monkeypatch):
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    held = lexicon.mapped(lexicon.compile_lexicon({b"ab": [1, 2], b"cb": [3]}))
+    assert (held.get(b"ab"), held.get(b"cb"), held.get(b"b")) == ((1, 2), (3,), None)
+    assert not list(tmp_path.iterdir())
+
+
 def test_lexicon_encodes_and_decodes(docs, no_docs, truth, library):
     rows = lexicon.encode_documents(docs, PATH, digests=True).collect()
     assert {r.doc_id: r.ids for r in rows} == truth
