@@ -31,6 +31,11 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def positions(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `fn` makes of `df` while its columns go by their positions, so that no name (dots, repeats) is in the way."""
+    return fn(df.toDF(*[f"c{i}" for i in range(len(df.columns))])).toDF(*df.columns)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -12,7 +12,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-CHUNK = 1 << 20  # numbers handled at once, so that temporary arrays stay small
+CHUNK = 1 << 19  # numbers handled at once, so that temporary arrays stay small
 
 
 @dataclass

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import map_rows
+from freshet.llm.common import map_rows, positions
 
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "local_phone")
 BASE = KINDS[:4]
@@ -192,8 +192,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with the spans of its text masked; null texts stay null, other columns stay as they are."""
-    names = df.columns
-    at = names.index(text_col)
+    at = df.columns.index(text_col)
 
     def run(batch):
         import pyarrow as pa
@@ -203,8 +202,7 @@ def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
         columns[at] = pa.array(texts, type=batch.schema.field(at).type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return map_rows(df, _ddl(df), run)
+    def whole(batches):
+        yield from map(run, batches)
 
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return positions(df, lambda plain: plain.mapInArrow(whole, plain.schema))

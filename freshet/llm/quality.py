@@ -1,11 +1,14 @@
 """Quality rules: base counts, then a calibrated logistic regression on hashed word and character n-grams.
 
-The model is fitted on the driver from a bounded sample of labelled rows (`SAMPLE`, the rows with the smallest
-seeded hash of their id), four fifths to train and the rest to calibrate by Platt's method. All texts are then
-scored whole, in Arrow batches; only the weights (of a fixed number) are sent to the executors.
+The model is fitted on the driver from a bounded sample of labelled rows (`SAMPLE` ids, those with the smallest
+seeded hash, and `NUMBERS` features of their texts at most), four fifths to train and the rest to calibrate by Platt's
+method. All texts are then scored whole, in Arrow batches; only the weights (of a fixed number) are sent to the executors.
 
 Cases: a null or empty text has no words and fails the base rules; without labels of both kinds the method rejects
-nothing; equal texts get equal results; labels repeated for an id count as the higher one.
+nothing; equal texts get equal results; labels repeated for an id count as the higher one; documents that share a
+labelled id give one row to the sample, and each its own result; an empty table gives no rows; a null id is kept; a very
+long text is scored whole by its task and gives the sample one row of at most DIM features; other columns are left as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import linear, textfeatures
-from freshet.llm.common import map_rows
+from freshet.llm.common import map_rows, materialise, positions
 
 SAMPLE = 3000  # labelled rows that the model is fitted on, at most
+NUMBERS = 12_000_000  # features of the rows of a kind that a model is fitted on, at most (8 bytes each)
+SLICES = 4  # in which they come to the driver
 SEED = 29
 THRESHOLD = 0.5  # documents below it go
 MIN_WORDS = 50
@@ -47,29 +52,45 @@ def drawn(ids: DataFrame, n: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
 
 
-def sparse_rows(docs: DataFrame, named: DataFrame, mark: str) -> tuple[linear.Rows, np.ndarray, np.ndarray]:
-    """On the driver, in order of mark and id: features, marks and ids of the documents in `named` (doc_id and `mark`; a bounded number of rows)."""
+def sparse_rows(docs: DataFrame, named: DataFrame, mark: str, numbers: int = NUMBERS) -> tuple[linear.Rows, np.ndarray, np.ndarray]:
+    """On the driver, in order of mark and id: features, marks and ids of the documents in `named` (doc_id and `mark`; a bounded number of rows).
+
+    An id stands for one text, that of the least hash. Of each mark, rows are taken by the hash of their id as long as their
+    features are `numbers` at most. Features are written by the executors and come to the driver slice by slice.
+    """
 
     def run(batch):
         rows = []
         for _, group in textfeatures.groups(batch.column("text").to_pylist()):
             rows += textfeatures.sparse(group, textfeatures.counts(group))
-        return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "number": [n.tobytes() for n, _ in rows], "value": [v.tobytes() for _, v in rows]}
+        return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n": [len(n) for n, _ in rows], "number": [n.tobytes() for n, _ in rows], "value": [v.tobytes() for _, v in rows]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named.select("doc_id", F.col(mark).cast("int").alias("mark"))), "doc_id")
-    table: pa.Table = map_rows(texts, "doc_id long, mark int, number binary, value binary", run).toArrow()
-    order = np.lexsort((table["doc_id"].to_numpy(), table["mark"].to_numpy()))
-    at = [(chunk, i) for chunk in range(table["number"].num_chunks) for i in range(len(table["number"].chunk(chunk)))]
-    views = {name: [table[name].chunk(c)[i].as_buffer() for c, i in at] for name in ("number", "value")}
-    sizes = np.array([len(views["number"][i]) // 4 for i in order], np.int64)
+    one = texts.groupBy("doc_id", "mark").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("doc_id", "mark", "first.text")
+    written = materialise(map_rows(one, "doc_id long, mark int, n long, number binary, value binary", run), "sparse-rows")
+    listed = written.select("doc_id", "mark", "n").toArrow()  # as many rows as `named` has, at most
+    ids, marks, sizes = (listed[name].to_numpy().astype(np.int64) for name in ("doc_id", "mark", "n"))
+    taken = np.zeros(len(ids), bool)
+    for kind in np.unique(marks):
+        at = np.flatnonzero(marks == kind)
+        at = at[np.argsort(textfeatures.mix(ids[at].astype(np.uint64)), kind="stable")]
+        taken[at[np.cumsum(sizes[at]) <= numbers]] = True
+    ids, marks, sizes = ids[taken], marks[taken], sizes[taken]
+    order = np.lexsort((ids, marks))
+    ids, marks, sizes = ids[order], marks[order], sizes[order]
     starts = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    place = {key: i for i, key in enumerate(zip(marks.tolist(), ids.tolist()))}
     number, value = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.float32)
-    for k, i in enumerate(order):
-        number[starts[k] : starts[k + 1]] = np.frombuffer(views["number"][i], np.int32)
-        value[starts[k] : starts[k + 1]] = np.frombuffer(views["value"][i], np.float32)
-    marks, ids = (table[name].to_numpy()[order].astype(np.int64) for name in ("mark", "doc_id"))
-    del table, views
-    pa.default_memory_pool().release_unused()
+    for part in range(SLICES if place else 0):
+        table = written.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == part).toArrow()
+        for batch in table.to_batches():
+            for j, key in enumerate(zip(batch.column("mark").to_pylist(), batch.column("doc_id").to_pylist())):
+                if key in place:
+                    i = place[key]
+                    number[starts[i] : starts[i + 1]] = np.frombuffer(batch.column("number")[j].as_buffer(), np.int32)
+                    value[starts[i] : starts[i + 1]] = np.frombuffer(batch.column("value")[j].as_buffer(), np.float32)
+        del table
+        pa.default_memory_pool().release_unused()
     return linear.Rows(number, value, starts), marks, ids
 
 
@@ -125,4 +146,4 @@ def filtered(df: DataFrame, model: Model, threshold: float = THRESHOLD, base_rul
                 keep[first : first + group.n] = good
             yield batch.filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return positions(df, lambda plain: plain.mapInArrow(run, plain.schema))

@@ -97,6 +97,34 @@ def test_quality_cases(spark, docs, no_docs, texts):
     assert quality.score(no_docs, quality.KEEPS_ALL).count() == 0 and quality.filtered(no_docs, quality.KEEPS_ALL).count() == 0
 
 
+def test_the_drivers_sample_is_bounded(spark, monkeypatch):
+    """A thousand rows of one id are one row of the sample, and features are bounded."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2000).select((F.col("id") % 1000 * (F.col("id") % 2)).alias("doc_id"), F.concat(F.lit("some words and number "), "id").alias("text")).repartition(4)
+    named = spark.createDataFrame([(0, 1), (1, 1), (3, 0), (3, 1), (5000, 0)], "doc_id long, mark int")
+    rows, marks, ids = quality.sparse_rows(docs, named, "mark")
+    assert list(zip(marks.tolist(), ids.tolist())) == [(0, 3), (1, 0), (1, 1), (1, 3)] and len(rows) == 4
+    texts = {i: min((r.text for r in docs.where(f"doc_id = {i}").select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(1).collect())) for i in (0, 1, 3)}
+    (_, group), = textfeatures.groups([texts[i] for i in (3, 0, 1, 3)])
+    for i, (n, v) in enumerate(textfeatures.sparse(group, textfeatures.counts(group))):
+        at = slice(rows.starts[i], rows.starts[i + 1])
+        assert np.array_equal(rows.number[at], n) and np.array_equal(rows.value[at], v)
+    again = quality.sparse_rows(docs.repartition(2), named, "mark", numbers=2 * int(np.diff(rows.starts).max()))
+    assert again[1].tolist() == [0, 1, 1]
+    none = quality.sparse_rows(docs, named.limit(0), "mark")
+    assert len(none[0]) == 0 and len(none[1]) == 0
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    from freshet.llm import pii
+
+    df = spark.createDataFrame([(1, "card 4111 1111 1111 1111", "v", 2), (None, None, None, None)], "doc_id long, text string, `a.b` string, `c0` int")
+    for out in (quality.filtered(df, quality.KEEPS_ALL, base_rules=False), pii.masked(df)):
+        assert out.columns == df.columns
+        assert {(r["doc_id"], r["a.b"], r["c0"]) for r in out.collect()} == {(1, "v", 2), (None, None, None)}
+
+
 def test_positive_unlabelled(corpus):
     docs, labels, bad, labelled = corpus
     model, prior = positive_unlabelled.fit(docs, labels)
