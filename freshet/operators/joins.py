@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 MANY = 1000
 
 
-def spread_join(df: DataFrame, side: DataFrame, keys: str | list[str], total: int, how: str = "inner") -> DataFrame:
+def spread_join(df: DataFrame, side: DataFrame, keys: str | list[str], total: int, how: str = "inner", distinct: bool = False) -> DataFrame:
     """`df` joined with `side` on `keys` (inner or left), so that no task gets more than about a thousandth of `df` for one key.
 
     `side` has one row for each key and a column `n`: how many rows of `df` have the key, or more, but `total` over all
     keys at most. Keys with over total / MANY rows are therefore at most MANY: their rows of `side` are broadcast, and
-    `df`'s stay where they are. All others meet by a shuffle. `n` isn't returned. A null key never matches.
+    `df`'s stay where they are. All others meet by a shuffle. `n` isn't returned. A null key never matches. With
+    `distinct`, one row of each key is returned; hot keys are thinned where they are, before they are shuffled.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     is_hot = F.col("n") * MANY > total
     hot, rest = side.where(is_hot).drop("n"), side.where(~is_hot).drop("n")
-    cold = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return df.join(F.broadcast(hot), keys).unionByName(cold)
+    warm = df.join(F.broadcast(hot), keys)
+    # By a shuffle at every size: the rest grows with the rows, so a broadcast would hold for small inputs only.
+    cold = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys, how)
+    if distinct:
+        warm, cold = warm.dropDuplicates(keys), cold.dropDuplicates(keys)
+    return warm.unionByName(cold)

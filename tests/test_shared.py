@@ -59,6 +59,8 @@ def test_spread_join(spark, monkeypatch, many):
         got = joins.spread_join(df, side, "k", 300, how)
         want = df.join(side.drop("n"), "k", how)
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        once = joins.spread_join(df, side, "k", 300, distinct=True).collect()
+        assert len(once) == len({r.k for r in once}) == side.count()
 
 
 @pytest.mark.parametrize("many", [4, 1000])
