@@ -21,8 +21,8 @@ def spread_join(df: DataFrame, side: DataFrame, keys: str | list[str], total: in
     is_hot = F.col("n") * MANY > total
     hot, rest = side.where(is_hot).drop("n"), side.where(~is_hot).drop("n")
     warm = df.join(F.broadcast(hot), keys)
-    # By a shuffle at every size: the rest grows with the rows, so a broadcast would hold for small inputs only.
-    cold = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys, how)
-    if distinct:
-        warm, cold = warm.dropDuplicates(keys), cold.dropDuplicates(keys)
-    return warm.unionByName(cold)
+    thinned = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    if not distinct:
+        return warm.unionByName(thinned.join(rest, keys, how))
+    # The shuffle that brings equal keys together serves the join too.
+    return warm.dropDuplicates(keys).unionByName(thinned.join(rest.hint("merge"), keys, how).dropDuplicates(keys))
