@@ -1,4 +1,4 @@
-"""Command line (V3): python -m freshet --flowline-source ... ; options that aren't files to read have defaults."""
+"""Command line (V3): python -m freshet --flowline-source ... ; the control-point and flow files have no defaults."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ _NUMBERS = {"runoff_coeff_m_per_month": float, "calibration_months": int}
 def parse_args(argv: list[str] | None = None) -> ModelConfig:
     parser = argparse.ArgumentParser(prog="freshet", description="Monthly streamflow of every segment of a river network.")
     for name, default in DEFAULTS.items():
-        flag = "--runoff-coeff" if name == "runoff_coeff_m_per_month" else "--" + name.replace("_", "-")
+        flag = "--" + name.replace("_", "-")
         if isinstance(default, bool):
             parser.add_argument(flag, dest=name, action="store_true")
         else:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from datetime import date
 
-#: Option defaults of a command-line run (fixed values). Input files without one must be named.
+#: Option defaults of a command-line run (fixed values). The control-point and flow files have none and must be named.
 DEFAULTS = {
     "flowline_source": "Shape",
     "flowline_layer": None,
     "vaa_file": "Shape/NHDFlowlineVAA.dbf",
-    "basin_shp": None,
+    "basin_shp": "river_basin/TWDB_MRBs_2014.shp",
     "basin_name_field": "basin_name",
     "basin_name_value": "Brazos",
     "cp_meta_file": None,
     "flo_file": None,
-    "output_file": "monthly_flows.csv",
+    "output_file": "modeled_monthly_comid_flows.csv",
     "output_shapefile": None,
     "shapefile_date": None,
     "start_date": "2010-01-01",

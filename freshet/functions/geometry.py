@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,75 @@ def bounds(df: DataFrame, parts: str = "parts") -> tuple[float, float, float, fl
     xs, ys = F.transform(points, lambda p: p.x), F.transform(points, lambda p: p.y)
     row = df.agg(F.min(F.array_min(xs)), F.min(F.array_min(ys)), F.max(F.array_max(xs)), F.max(F.array_max(ys))).first()
     return None if row[0] is None else tuple(row)
+
+
+def from_geojson(kind: Column, coordinates: Column) -> Column:
+    """Parts from a GeoJSON geometry's type and the text of its coordinates; further dimensions are left out."""
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    rings = lambda c: F.transform(c, lambda r: F.transform(r, point))
+    by_depth = [
+        (("Point",), F.array(F.array(point(F.from_json(coordinates, "array<double>"))))),
+        (("LineString", "MultiPoint"), rings(F.array(F.from_json(coordinates, "array<array<double>>")))),
+        (("MultiLineString", "Polygon"), rings(F.from_json(coordinates, "array<array<array<double>>>"))),
+        (("MultiPolygon",), rings(F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>")))),
+    ]
+    out = F.lit(None).cast(PARTS)
+    for kinds, parts in by_depth:
+        out = F.when(kind.isin(*kinds), parts).otherwise(out)
+    return out
+
+
+def wkb_parts(data: bytes | None) -> list[list[dict]] | None:
+    """Parts from well-known binary, in either byte order, with or without an SRID; further dimensions are left out."""
+    if not data:
+        return None
+    out: list[list[dict]] = []
+
+    def read(at: int) -> int:
+        order = "<" if data[at] else ">"
+        (code,) = struct.unpack_from(order + "I", data, at + 1)
+        kind, at = code % 1000 & 0xFF if code < 1 << 28 else code & 0xFF, at + 5
+        extra = code // 1000 % 4 if code < 1 << 28 else (code >> 31 & 1) + (code >> 30 & 1)
+        dims = 2 + ((extra + 1) // 2 if code < 1 << 28 else extra)
+        if code & 0x20000000:
+            at += 4
+
+        def points(at: int, n: int) -> int:
+            values = struct.unpack_from(f"{order}{n * dims}d", data, at)
+            out.append([{"x": x, "y": y} for x, y in zip(values[::dims], values[1::dims])])
+            return at + 8 * n * dims
+
+        if kind == 1:
+            return points(at, 1)
+        (n,) = struct.unpack_from(order + "I", data, at)
+        at += 4
+        if kind == 2:
+            return points(at, n)
+        for _ in range(n):
+            if kind == 3:
+                (m,) = struct.unpack_from(order + "I", data, at)
+                at = points(at + 4, m)
+            else:
+                at = read(at)
+        return at
+
+    read(0)
+    return out
+
+
+def from_wkb(df: DataFrame, column: str) -> DataFrame:
+    """`df` with `parts` in place of a column of well-known binary."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    rest = [c for c in df.columns if c != column]
+    schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL(f"parts {PARTS}")])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            parts = pa.array([wkb_parts(g) for g in batch.column(len(rest)).to_pylist()], arrow.field(len(rest)).type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], parts], schema=arrow)
+
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`")).mapInArrow(run, schema)

@@ -2,33 +2,46 @@
 
 Both are folds: step k scales the flows of a set of segments by a factor that depends on flows as they are then,
 at one or two segments only. So the fold runs over those few segments, giving every step's factor, and each
-segment's flow is multiplied by the factors of the steps that it belongs to. Order of steps is kept as data.
+segment's flow is multiplied by the factors of the steps that it belongs to, one after another in their order: results
+are those of a plain loop to the last digit, and the same in every run.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.components import components
+from freshet.scratch import cut
 
-def _product() -> F.Column:
-    return F.product("scale")
+
+def scaled(flow: Column, scales: str) -> Column:
+    """`flow` times the scales (order, scale) of the array `scales`, in order; a segment has one for each step that it belongs to."""
+    return F.aggregate(F.array_sort(F.coalesce(F.col(scales), F.array())), flow, lambda q, s: q * s.scale)
 
 
 def loss_scales(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFrame:
     """step and scale for each control-point pair, in order of step.
 
     `steps` has step, up, ds, loss; `members` has step, comid: the path without its head; `flow` has comid, q.
-    A step's factor is q_up (1 - loss) / q_ds if q_ds is over 0, else 1. There are as many rows as control points.
+    A step's factor is q_up (1 - loss) / q_ds if q_ds is over 0, else 1. Steps that share no segment, directly or
+    through others, don't change each other's factors: a task folds one such set, the control points of a river
+    and its tributaries.
     """
-    ends = steps.select(F.explode(F.array("up", "ds")).alias("comid")).distinct()
-    held = ends.join(members, "comid", "left").groupBy("comid").agg(F.collect_list("step").alias("in_steps")).join(flow, "comid", "left")
-    rows = steps.select("step", "up", "ds", "loss").withColumn("kind", F.lit("step")).unionByName(held.select("comid", "q", "in_steps").withColumn("kind", F.lit("end")), allowMissingColumns=True)
+    spark = steps.sparkSession
+    ends = steps.select("step", F.explode(F.array("up", "ds")).alias("comid"))
+    # Steps are numbered below zero, so that they are nodes of their own beside the segments.
+    used = ends.unionByName(members.select("step", "comid")).select((-1 - F.col("step")).alias("a"), F.col("comid").alias("b"))
+    rivers = components(used, "loss-rivers")
+    of = rivers.where("node < 0").select((-1 - F.col("node")).alias("step"), F.col("root").alias("river"))
+    held = members.join(ends.select("comid").distinct(), "comid", "left_semi").join(of, "step").groupBy("river", "comid").agg(F.collect_list("step").alias("in_steps"))
+    held = ends.join(of, "step").select("river", "comid").distinct().join(held, ["river", "comid"], "left").join(flow, "comid", "left")
+    rows = steps.join(of, "step").select("river", "step", "up", "ds", "loss").unionByName(held.select("river", "comid", "q", "in_steps"), allowMissingColumns=True)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends, steps = pdf[pdf.kind == "end"], pdf[pdf.kind == "step"].sort_values("step")
+        ends, steps = pdf[pdf.step.isna()], pdf[pdf.step.notna()].sort_values("step")
         at = {int(c): i for i, c in enumerate(ends.comid)}
         q = ends.q.to_numpy(float, na_value=np.nan).copy()
         hit: dict[int, list[int]] = {}
@@ -43,45 +56,63 @@ def loss_scales(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFr
             q[hit.get(int(k), [])] *= scale
         return pd.DataFrame({"step": steps.step.astype("int64"), "scale": np.array(scales, float)})
 
-    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "step long, scale double")
+    return cut(rows.groupBy("river").applyInPandas(fold, "step long, scale double"), "loss-scales") if not steps.isEmpty() else spark.createDataFrame([], "step long, scale double")
 
 
 def apply_losses(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFrame:
     """Comid and q after all losses."""
-    factors = members.join(loss_scales(steps, members, flow), "step").groupBy("comid").agg(_product().alias("factor"))
-    return flow.join(factors, "comid", "left").select("comid", (F.col("q") * F.coalesce("factor", F.lit(1.0))).alias("q"))
+    scales = members.join(loss_scales(steps, members, flow), "step").groupBy("comid").agg(F.collect_list(F.struct("step", "scale")).alias("scales"))
+    return flow.join(scales, "comid", "left").select("comid", scaled(F.col("q"), "scales").alias("q"))
+
+
+#: Pairs of gages above each other that are sent to every task; where there are more, they travel with the observations.
+SENT_PAIRS = 1_000_000
 
 
 def gage_scales(observations: DataFrame, reached: DataFrame, flow: DataFrame) -> DataFrame:
-    """date, comid (of the gage), scale for each observation that is in the network, folded in order within each date.
+    """date, order (of the observation within its date), comid (of the gage), scale for each observation that is in the
+    network, folded in order within each date.
 
     `observations` has date, gage_id, comid, flow_cms; `reached` has src, comid for every gage's segment and those below;
     `flow` has date, comid, flow_cms. A group is one date's gages.
     """
+    spark = observations.sparkSession
     inside = reached.select(F.col("src").alias("comid")).distinct()
     obs = observations.join(inside, "comid").select("date", "gage_id", "comid", F.col("flow_cms").alias("observed"))
-    hits = reached.join(inside, "comid", "left_semi").groupBy("src").agg(F.collect_set("comid").alias("below"))
-    rows = obs.join(flow, ["date", "comid"]).join(hits, F.col("comid") == F.col("src")).select("date", "gage_id", "comid", "observed", "flow_cms", "below")
+    rows = obs.join(flow, ["date", "comid"]).select("date", "gage_id", "comid", "observed", "flow_cms")
+    pairs = cut(reached.join(inside, "comid", "left_semi").select("src", "comid"), "gage-pairs")
+    sent = None
+    if pairs.count() <= SENT_PAIRS:
+        table = pairs.orderBy("src").toArrow()  # at most SENT_PAIRS
+        sent = spark.sparkContext.broadcast((table["src"].to_numpy(), table["comid"].to_numpy()))
+    else:
+        rows = rows.join(pairs.groupBy("src").agg(F.collect_list("comid").alias("below")), F.col("comid") == F.col("src")).drop("src")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["gage_id", "comid"], kind="stable")
-        q = dict(zip(pdf.comid, pdf.flow_cms))
+        if sent is None:
+            below = dict(zip(pdf.comid, pdf.below))
+        else:
+            src, to = sent.value
+            below = {c: to[slice(*np.searchsorted(src, [c, c + 1]))] for c in pdf.comid}
+        comids = pdf.comid.unique()
+        at = {c: i for i, c in enumerate(comids)}
+        q = pdf.drop_duplicates("comid").flow_cms.to_numpy(float)
+        hit = {c: [at[node] for node in below[c] if node in at] for c in comids}
         scales = []
-        for comid, observed, below in zip(pdf.comid, pdf.observed, pdf.below):
-            modeled = q[comid]
+        for comid, observed in zip(pdf.comid, pdf.observed):
+            modeled = q[at[comid]]
             scale = 1.0 if modeled <= 0 else observed / modeled
             scales.append(scale)
-            for node in below:
-                if node in q:
-                    q[node] *= scale
-        return pd.DataFrame({"date": pdf.date, "comid": pdf.comid, "scale": scales})
+            q[hit[comid]] *= scale
+        return pd.DataFrame({"date": pdf.date, "order": np.arange(len(pdf)), "comid": pdf.comid, "scale": np.array(scales, float)})
 
-    return rows.groupBy("date").applyInPandas(fold, "date date, comid long, scale double")
+    return rows.groupBy("date").applyInPandas(fold, "date date, order long, comid long, scale double")
 
 
 def enforce_gages(observations: DataFrame, reached: DataFrame, flow: DataFrame) -> DataFrame:
     """G1: date, comid, flow_cms after enforcement; dates without observations stay as they are."""
     scales = gage_scales(observations, reached, flow)
-    factors = scales.join(reached.select(F.col("src").alias("gage"), F.col("comid").alias("node")), F.col("comid") == F.col("gage")).groupBy("date", "node").agg(_product().alias("factor"))
-    joined = flow.join(factors.withColumnRenamed("node", "comid"), ["date", "comid"], "left")
-    return joined.select("date", "comid", (F.col("flow_cms") * F.coalesce("factor", F.lit(1.0))).alias("flow_cms"))
+    below = scales.join(reached.select(F.col("src").alias("gage"), F.col("comid").alias("node")), F.col("comid") == F.col("gage"))
+    each = below.groupBy("date", F.col("node").alias("comid")).agg(F.collect_list(F.struct("order", "scale")).alias("scales"))
+    return flow.join(each, ["date", "comid"], "left").select("date", "comid", scaled(F.col("flow_cms"), "scales").alias("flow_cms"))

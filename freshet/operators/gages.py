@@ -27,17 +27,20 @@ def first_dates(observations: DataFrame, dates: DataFrame, n: int) -> DataFrame:
 
 
 def calibration_table(observations: DataFrame, unit_flow: DataFrame) -> DataFrame:
-    """CA1, A9: i, coeff, rmse for every coefficient.
+    """CA1, A9: i, coeff, rmse for every coefficient; no rows when no observation lies in the network.
 
     Routing is linear: a coefficient's error at an observation is c u - o with u the routed area over a thirty-day
-    month. One aggregate (sums of u u, u o, o o) gives every coefficient's error; observations outside the network don't count.
+    month. One aggregate has a sum of squares for every coefficient. Unknown flows, null or NaN, make the errors NaN;
+    observations outside the network don't count.
     """
-    u = F.col("q") * 1.0e6 / F.lit(CALIBRATION_SECONDS)
-    rows = observations.join(unit_flow, "comid").select(u.alias("u"), F.col("flow_cms").alias("o"))
-    sums = rows.agg(F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(F.col("u") * F.col("o")).alias("uo"), F.sum(F.col("o") * F.col("o")).alias("oo"), F.count(F.lit(1)).alias("n"))
-    grid = linspace(observations.sparkSession, *COEFFICIENTS)
-    error = F.col("coeff") * F.col("coeff") * F.col("uu") - 2 * F.col("coeff") * F.col("uo") + F.col("oo")
-    return sums.where("n > 0").crossJoin(F.broadcast(grid)).select("i", "coeff", F.sqrt(F.greatest(error, F.lit(0.0)) / F.col("n")).alias("rmse"))
+    nan = F.lit(float("nan"))
+    u = F.coalesce(F.col("q"), nan) * 1.0e6 / F.lit(CALIBRATION_SECONDS)
+    rows = observations.join(unit_flow, "comid").select(u.alias("u"), F.coalesce("flow_cms", nan).alias("o"))
+    tried = linspace(*COEFFICIENTS)
+    error = lambda c: F.lit(c) * F.col("u") - F.col("o")
+    means = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(error(c) * error(c)).alias(f"e{i}") for i, c in enumerate(tried)])
+    each = F.array(*[F.struct(F.lit(c).alias("coeff"), F.sqrt(f"e{i}").alias("rmse")) for i, c in enumerate(tried)])
+    return means.where("n > 0").select(F.posexplode(each).alias("i", "t")).select("i", "t.coeff", "t.rmse")
 
 
 def best_coefficient(table: DataFrame) -> DataFrame:
@@ -53,7 +56,8 @@ def calibrate(observations: DataFrame, unit_flow: DataFrame, dates: DataFrame, m
     early = first_dates(observations, dates, months)
     if early.isEmpty():
         raise ValueError("no gage observations in the calibration months")
-    best = best_coefficient(calibration_table(early, unit_flow)).first()
+    table = calibration_table(early, unit_flow)
+    best = best_coefficient(table).first()
     if best is None:
-        raise ValueError("no gage observation lies in the network")
+        raise ValueError("no gage observation lies in the network" if table.isEmpty() else "calibration by unknown flows: no coefficient has an error")
     return best["coeff"]

@@ -6,14 +6,12 @@ double the hop count each round, so their number is the logarithm of the network
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.columns import number, whole_id
 from freshet.operators.numbering import row_numbers
-from freshet.scratch import cut
+from freshet.scratch import cut, scope
 
 
 def join_vaa(flow: DataFrame, vaa: DataFrame) -> DataFrame:
@@ -91,60 +89,61 @@ def validate(segments: DataFrame, links: DataFrame, log=lambda text: None) -> di
     return found
 
 
-def powers(links: DataFrame, nodes: int, counted: bool = False) -> Iterator[tuple[int, DataFrame]]:
-    """(hops, pairs exactly that many hops apart) for 1, 2, 4, ... while there are any; with `counted`, `w` is the number of paths.
+#: (hops, pairs that many hops apart: up, ds, and w, the number of paths) for 1, 2, 4, ...
+Powers = list[tuple[int, DataFrame]]
+
+
+def powers(links: DataFrame, nodes: int) -> Powers:
+    """The network's closure by doubling, computed once for all that follows from it.
 
     N2: pairs further apart than there are nodes prove a cycle: ValueError.
     """
-    pairs = links.select("up", "ds", F.lit(1.0).alias("w")) if counted else links.select("up", "ds")
-    hops = 1
-    pairs = cut(pairs, "hops1")
+    out: Powers = []
+    hops, pairs = 1, cut(links.select("up", "ds", F.lit(1.0).alias("w")), "hops1")
     while not pairs.isEmpty():
         if hops > nodes or (hops == 1 and not pairs.where("up = ds").isEmpty()):
             raise ValueError("the network has a cycle")
-        yield hops, pairs
-        left = pairs.withColumnRenamed("ds", "middle")
-        right = pairs.withColumnRenamed("up", "middle")
-        if counted:
-            joined = left.withColumnRenamed("w", "w1").join(right, "middle").groupBy("up", "ds").agg(F.sum(F.col("w1") * F.col("w")).alias("w"))
-        else:
-            joined = left.join(right, "middle").select("up", "ds").distinct()
+        out.append((hops, pairs))
+        left = pairs.select("up", F.col("ds").alias("middle"), F.col("w").alias("w1"))
+        joined = left.join(pairs.withColumnRenamed("up", "middle"), "middle").groupBy("up", "ds").agg(F.sum(F.col("w1") * F.col("w")).alias("w"))
         hops *= 2
         pairs = cut(joined, f"hops{hops}")
+    return out
 
 
 def check_acyclic(segments: DataFrame, links: DataFrame) -> None:
     """N2, without keeping anything."""
-    for _ in powers(links, segments.count()):
-        pass
+    with scope(segments.sparkSession):
+        powers(links, segments.count())
 
 
-def levels(segments: DataFrame, links: DataFrame) -> DataFrame:
+def levels(segments: DataFrame, closure: Powers) -> DataFrame:
     """Comid and topo_level, the longest path from a source. Every edge leads to a higher level."""
     out = segments.select("comid", F.lit(0).cast("long").alias("topo_level"))
-    for hops, pairs in powers(links, segments.count()):
+    for hops, pairs in closure:
         reached = pairs.join(out, pairs.up == out.comid).groupBy("ds").agg((F.max("topo_level") + hops).alias("reached"))
         out = cut(out.join(reached, out.comid == reached.ds, "left").select("comid", F.greatest("topo_level", F.coalesce("reached", F.lit(0))).alias("topo_level")), "levels")
     return out
 
 
-def accumulate(local: DataFrame, links: DataFrame, nodes: int | None = None) -> DataFrame:
+def accumulate(local: DataFrame, closure: Powers) -> DataFrame:
     """Comid and q, each segment's own flow plus that of every path that leads to it.
 
     A segment hands its whole flow to every segment below it, so on braided networks flow counts once for each path.
-    Round k adds what comes from 2**k hops away to sums that cover fewer hops: q <- q + A**(2**k) q.
+    Round k adds what comes from 2**k hops away to sums that cover fewer hops: q <- q + A**(2**k) q. An unknown (null)
+    flow of its own makes a segment's flow, and that of all below it, NaN (T3).
     """
-    out = local.select("comid", F.col("q").cast("double").alias("q"))
-    for _, pairs in powers(links, nodes or local.count(), counted=True):
+    out = local.select("comid", F.coalesce(F.col("q").cast("double"), F.lit(float("nan"))).alias("q"))
+    for _, pairs in closure:
         inflow = pairs.join(out, pairs.up == out.comid).groupBy("ds").agg(F.sum(F.col("w") * F.col("q")).alias("inflow"))
         out = cut(out.join(inflow, out.comid == inflow.ds, "left").select("comid", (F.col("q") + F.coalesce("inflow", F.lit(0.0))).alias("q")), "flow")
     return out
 
 
-def reach(sources: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
+def reach(sources: DataFrame, closure: Powers) -> DataFrame:
     """(src, comid, hops) for every segment at or below each of `sources` (comid), by the fewest hops."""
     out = sources.select(F.col("comid").alias("src"), "comid", F.lit(0).cast("long").alias("hops")).distinct()
-    for step, pairs in powers(links, nodes):
+    for step, pairs in closure:
         further = out.join(pairs, out.comid == pairs.up).select("src", F.col("ds").alias("comid"), (F.col("hops") + step).alias("hops"))
         out = cut(out.unionByName(further).groupBy("src", "comid").agg(F.min("hops").alias("hops")), "reach")
     return out

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import crs, geometry
 from freshet.functions.columns import local_runoff, month_seconds, number
 
+log = logging.getLogger("freshet")
+
 
 def local_area(segments: DataFrame, zone: int | None = None) -> DataFrame:
     """comid and area_km2, from the first column that has any value: areasqkm, totdasqkm (nulls are 0 in both), twice
@@ -19,6 +23,8 @@ def local_area(segments: DataFrame, zone: int | None = None) -> DataFrame:
     counts = segments.agg(F.lit(0).alias("_"), *[F.count(number(c)).alias(c) for c in present]).first()
     for c in present:
         if counts[c]:
+            if c == "totdasqkm":  # T4
+                log.warning("areas come from totdasqkm, which holds whole drainage areas: routed flows count areas again")
             return segments.select("comid", F.coalesce(number(c), F.lit(0.0)).alias("area_km2"))
     if "lengthkm" in segments.columns:
         return segments.select("comid", (number("lengthkm") * 2.0).alias("area_km2"))

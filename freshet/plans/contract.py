@@ -1,37 +1,55 @@
 """Queries over the driver's tables, one or more for each operator, with the SQL that checks them.
 
-The tables hold no rivers; `inputs` derives some. Values that add up or multiply in any order are given as text of
-six to nine digits, so that engines agree on them; whole-valued ones are given as they are.
+The tables hold no rivers; `inputs` derives some, and files of them. Values that add up in any order are given as text of
+nine digits, so that engines agree on them; whole-valued ones are given as they are.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet import sinks
+from freshet.config import ModelConfig
 from freshet.functions import columns, crs, geometry
 from freshet.operators import control_points, folds, gages, network, runoff, spatial
 from freshet.plans import inputs
-from freshet.scratch import cut
+from freshet.plans.model import run_model
+from freshet.scratch import cut, scratch_root
 from freshet.sources import flo, tables
 
 COEFFICIENT = 0.0008
-START, END = "1996-01-01", "1997-12-01"
+#: Nearly all months of shipping: one at each end is left off. Calibration takes the first of them.
+START, END = "1995-02-01", "2001-10-01"
+CALIBRATION_MONTHS = 24
+#: The whole model runs over a year.
+MODEL_END = "1996-01-01"
 
 
 def digits(c: str, after: int = 8) -> Column:
     return F.format_string(f"%.{after}e", c).alias(c)
 
 
-def _net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+def _net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     segments = cut(inputs.segments(spark, sf_dir), "segments")
-    return segments, cut(network.edges(segments), "edges"), segments.count()
+    return segments, cut(network.edges(segments), "edges")
+
+
+def _routed(segments: DataFrame, closure: network.Powers) -> DataFrame:
+    return network.accumulate(runoff.local_area(segments).withColumnRenamed("area_km2", "q"), closure)
+
+
+def _closed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, network.Powers]:
+    segments, links = _net(spark, sf_dir)
+    return segments, links, network.powers(links, segments.count())
 
 
 def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, links, nodes = _net(spark, sf_dir)
-    return network.accumulate(runoff.local_area(segments).withColumnRenamed("area_km2", "q"), links, nodes)
+    segments, _, closure = _closed(spark, sf_dir)
+    return _routed(segments, closure)
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,18 +79,18 @@ def net_edges(spark, sf_dir):
 
 
 def net_degrees(spark, sf_dir):
-    segments, links, _ = _net(spark, sf_dir)
+    segments, links = _net(spark, sf_dir)
     return network.degrees(segments, links)
 
 
 def net_summary(spark, sf_dir):
-    segments, links, _ = _net(spark, sf_dir)
+    segments, links = _net(spark, sf_dir)
     return network.summary(segments, links)
 
 
 def net_topo_level(spark, sf_dir):
-    segments, links, _ = _net(spark, sf_dir)
-    return network.levels(segments, links)
+    segments, _, closure = _closed(spark, sf_dir)
+    return network.levels(segments, closure)
 
 
 def vaa_join_routed(spark, sf_dir):
@@ -83,6 +101,30 @@ def vaa_join_routed(spark, sf_dir):
     return network.routed(flow, vaa).select("comid", "permanent_", "fromnode", "tonode", "hydroseq")
 
 
+def vaa_join_permanent(spark, sf_dir):
+    """Routed by text ids; some flowlines have no number, and others have none at all in common with the table."""
+    segments = inputs.segments(spark, sf_dir)
+    flow = segments.select(F.expr("if(comid % 17 = 0, null, comid + 0.25)").alias("nhdplusid"), F.expr("if(comid % 19 = 0, null, concat('P', comid))").alias("permanent_"))
+    vaa = segments.select(F.concat(F.lit("P"), "comid").alias("permanent_"), "fromnode", "tonode", F.col("hydroseq").cast("string").alias("hydroseq"))
+    return network.routed(flow, vaa).select("comid", "permanent_", "fromnode", "tonode", "hydroseq")
+
+
+def routed_numbers(spark, sf_dir):
+    """Flowlines without numbers are numbered in the order of their file, those without nodes left out."""
+    segments = inputs.segments(spark, sf_dir)
+    flow = segments.select(F.concat(F.lit("P"), "comid").alias("permanent_"), (-F.col("comid")).alias("file_row"), F.expr("if(comid % 23 = 0, null, fromnode)").alias("fromnode"), "tonode", "hydroseq")
+    return network.routed(flow).select("comid", "permanent_")
+
+
+def model_run(spark, sf_dir):
+    """A whole run from files to the CSV file: basin, routing table by text ids, control points, losses, gages, places."""
+    folder = f"{scratch_root(spark)}/freshet/model-{uuid.uuid4().hex}"
+    options = inputs.model_files(spark, sf_dir, folder)
+    run_model(ModelConfig.of(**options, basin_name_value="lattice", start_date=START, end_date=MODEL_END, runoff_coeff_m_per_month=COEFFICIENT), spark)
+    out = spark.read.csv(options["output_file"], schema="date date, comid long, flow_cms double, lat double, lon double", header=True)
+    return out.select("date", "comid", digits("flow_cms"), F.format_string("%.3f", "lat").alias("lat"), F.format_string("%.3f", "lon").alias("lon"))
+
+
 def local_area(spark, sf_dir):
     """Each of the columns that areas may come from, by turns without the better ones."""
     segments = inputs.segments(spark, sf_dir)
@@ -106,24 +148,26 @@ def flow_one_month_points(spark, sf_dir):
     """The last month as the point file has it, places from a lattice."""
     dates = columns.months(spark, START, END)
     flows = runoff.monthly(_unit(spark, sf_dir), dates.agg(F.max("date").alias("date")), COEFFICIENT)
+    # Some flows are beyond the numbers that a point file may hold.
+    flows = flows.withColumn("flow_cms", F.expr("flow_cms * case when comid % 11 = 0 then 1e22D when comid % 13 = 0 then -1e22D else 1D end"))
     placed = flows.withColumn("lat", (F.col("comid") % 90).cast("double")).withColumn("lon", (F.col("comid") % 180).cast("double"))
     return sinks.points_of(placed, END).withColumn("WKT", columns.point_text(F.col("LON").cast("int"), F.col("LAT").cast("int")))
 
 
 def reach_descendants(spark, sf_dir):
-    segments, links, nodes = _net(spark, sf_dir)
-    sources = inputs.crosswalk(spark, sf_dir).select(F.col("COMID").alias("comid"))
-    return network.reach(sources, links, nodes)
+    segments, _, closure = _closed(spark, sf_dir)
+    sources = inputs.crosswalk(spark, sf_dir).select(F.col("COMID").alias("comid")).join(segments.select("comid"), "comid", "left_semi")
+    return network.reach(sources, closure)
 
 
 def gage_enforce(spark, sf_dir):
     """Observed months, enforced in the order of gages, at every segment that a gage changes and every other one."""
-    segments, links, nodes = _net(spark, sf_dir)
-    unit = network.accumulate(runoff.local_area(segments).withColumnRenamed("area_km2", "q"), links, nodes)
-    flow = cut(runoff.monthly(unit, columns.months(spark, START, END), COEFFICIENT), "flow")
-    observations = _observations(spark, sf_dir)
-    reached = cut(network.reach(observations.select("comid").distinct(), links, nodes), "reach")
-    return folds.enforce_gages(observations, reached, flow).select("date", "comid", digits("flow_cms", 5))
+    segments, _, closure = _closed(spark, sf_dir)
+    flow = runoff.monthly(_routed(segments, closure), columns.months(spark, START, END), COEFFICIENT)
+    observations = cut(_observations(spark, sf_dir), "observations")
+    gaged = observations.select("comid").distinct().join(segments.select("comid"), "comid", "left_semi")
+    reached = cut(network.reach(gaged, closure), "reach")
+    return folds.enforce_gages(observations, reached, flow).select("date", "comid", digits("flow_cms"))
 
 
 def _snapped(spark, sf_dir):
@@ -135,9 +179,9 @@ def cp_snap(spark, sf_dir):
 
 
 def _paths(spark, sf_dir):
-    segments, links, nodes = _net(spark, sf_dir)
+    segments, links, closure = _closed(spark, sf_dir)
     steps = cut(control_points.pairs(_snapped(spark, sf_dir), segments), "steps")
-    return steps, control_points.paths(steps, links, nodes)
+    return steps, control_points.paths(steps, links, closure), _routed(segments, closure)
 
 
 def cp_paths(spark, sf_dir):
@@ -145,22 +189,71 @@ def cp_paths(spark, sf_dir):
 
 
 def loss_apply(spark, sf_dir):
-    steps, rows = _paths(spark, sf_dir)
+    """Losses of all of the flow are among them, so some steps find no flow at their lower end."""
+    steps, rows, unit = _paths(spark, sf_dir)
     steps = steps.join(rows.select("step").distinct(), "step", "left_semi")
-    return folds.apply_losses(steps, control_points.members(rows), _unit(spark, sf_dir)).select("comid", digits("q"))
+    return folds.apply_losses(steps, control_points.members(rows), unit).select("comid", digits("q"))
 
 
 def _calibration(spark, sf_dir):
-    early = gages.first_dates(_observations(spark, sf_dir), columns.months(spark, START, END), 24)
+    """By the first months of a longer run; some gages lie outside the network."""
+    early = gages.first_dates(_observations(spark, sf_dir), columns.months(spark, START, END), CALIBRATION_MONTHS)
     return gages.calibration_table(early, _unit(spark, sf_dir))
 
 
 def calibrate_rmse(spark, sf_dir):
-    return _calibration(spark, sf_dir).select(F.col("i").cast("long").alias("i"), digits("coeff"), F.format_string("%.6e", "rmse").alias("rmse"))
+    return _calibration(spark, sf_dir).select(F.col("i").cast("long").alias("i"), digits("coeff"), digits("rmse"))
 
 
 def calibrate_best(spark, sf_dir):
-    return gages.best_coefficient(_calibration(spark, sf_dir)).select(digits("coeff"), F.format_string("%.6e", "rmse").alias("rmse"))
+    return gages.best_coefficient(_calibration(spark, sf_dir)).select(digits("coeff"), digits("rmse"))
+
+
+def _known(c: str) -> Column:
+    return F.when(F.isnan(c), F.lit("unknown")).otherwise(F.format_string("%.8e", c)).alias(c)
+
+
+def calibrate_unknown(spark, sf_dir):
+    """One unknown flow leaves no coefficient with an error, and no best one."""
+    early = gages.first_dates(_observations(spark, sf_dir), columns.months(spark, START, END), CALIBRATION_MONTHS)
+    early = early.withColumn("flow_cms", F.when((F.col("comid") != 2) | (F.month("date") != 3), F.col("flow_cms")))
+    table = cut(gages.calibration_table(early, _unit(spark, sf_dir)), "unknown")
+    return table.select(F.col("i").cast("long").alias("i"), _known("rmse"), F.lit(not gages.best_coefficient(table).isEmpty()).alias("has_best"))
+
+
+def route_unknown(spark, sf_dir):
+    """Lengths stand for areas; an unknown one makes all flow below it unknown."""
+    segments, _, closure = _closed(spark, sf_dir)
+    lengths = segments.select("comid", F.expr("if(comid % 50 = 0, null, areasqkm)").alias("lengthkm"))
+    return _routed(lengths, closure).select("comid", _known("q"))
+
+
+def flo_bad_numbers(spark, sf_dir):
+    """Flow files with one bad token: whether reading them fails, whatever is asked of them later."""
+    good = inputs.flo_lines(spark, sf_dir)
+    cases = {"as it is": good, "a value": good.unionAll(spark.sql("select 'G0 1950 x 1 1 1 1 1 1 1 1 1 1 1'")), "a year": good.unionAll(spark.sql("select 'G0 199x 1 1 1 1 1 1 1 1 1 1 1 1'")), "short lines only": good.where(F.size(F.split(F.trim("value"), r"\s+")) < 14)}
+    out = []
+    for name, lines in cases.items():
+        path = f"{scratch_root(spark)}/freshet/flo-{uuid.uuid4().hex}"
+        lines.write.text(path)
+        try:
+            out.append((name, "", flo.read(spark, path).count()))
+        except (ValueError, PySparkException) as error:
+            out.append((name, "no rows" if isinstance(error, ValueError) else "not a number", 0))
+    return spark.createDataFrame(out, "file string, error string, rows long")
+
+
+def net_cycles(spark, sf_dir):
+    """Whether the network passes the check for cycles, as it is and with one edge that leads back."""
+    segments, links = _net(spark, sf_dir)
+    out = []
+    for name, pairs in (("as it is", links), ("a long way back", links.unionByName(spark.sql("select 1L as up, 64L as ds"))), ("a segment that leads to itself", links.unionByName(spark.sql("select 5L as up, 5L as ds")))):
+        try:
+            network.check_acyclic(segments, pairs)
+            out.append((name, False))
+        except ValueError:
+            out.append((name, True))
+    return spark.createDataFrame(out, "network string, cycle boolean")
 
 
 def basin_name_filter(spark, sf_dir):
@@ -178,7 +271,7 @@ def union_tiles(spark, sf_dir):
 
 
 def vpu_sample(spark, sf_dir):
-    return tables.vpu_codes(inputs.table(spark, sf_dir, "part").withColumnRenamed("p_brand", "vpuid"))
+    return tables.vpu_codes(inputs.table(spark, sf_dir, "part").select(F.expr("if(p_partkey % 7 = 0 or p_brand < 'Brand#2', null, p_brand)").alias("vpuid")), names=12)
 
 
 #: Two rectangles; the lattice of `sites` has no point on their edges.
@@ -230,9 +323,14 @@ QUERIES = {
         net_degrees,
         net_summary,
         net_topo_level,
+        net_cycles,
         vaa_join_routed,
+        vaa_join_permanent,
+        routed_numbers,
         local_area,
         route_unit,
+        route_unknown,
+        model_run,
         flow_one_month_points,
         reach_descendants,
         gage_enforce,
@@ -241,6 +339,8 @@ QUERIES = {
         loss_apply,
         calibrate_rmse,
         calibrate_best,
+        calibrate_unknown,
+        flo_bad_numbers,
         basin_name_filter,
         basin_options,
         union_tiles,
@@ -276,19 +376,22 @@ _UNIT = f"""{_SEGS}, walks(src, node, hops) AS (
 )"""
 _DAYS = "CAST(day(last_day(date)) AS DOUBLE) * CAST(86400 AS DOUBLE)"
 _MONTHS = f"(SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 MONTH) t(d))"
-_OBS = "(SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 'G' || l_suppkey AS gage_id, SUM(l_quantity) AS acft FROM lineitem GROUP BY ALL)"
+_OBS = """(SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 'G' || l_suppkey AS gage_id,
+  SUM(CASE WHEN month(l_shipdate) % 5 = 0 AND l_suppkey % 3 = 0 THEN 0 ELSE l_quantity END) AS acft FROM lineitem GROUP BY ALL)"""
 _CMS = f"acft * CAST(1233.48184 AS DOUBLE) / ({_DAYS})"
 _FLOW = f"CAST({COEFFICIENT} AS DOUBLE) * q * CAST(1e6 AS DOUBLE) / ({_DAYS})"
-_COMPILED = f"(SELECT date, gage_id, s_suppkey + 1 AS comid, {_CMS} AS flow_cms FROM {_OBS} JOIN supplier ON gage_id = 'G' || s_suppkey WHERE date BETWEEN DATE '{START}' AND DATE '{END}')"
+_GAGED = "(CASE WHEN s_suppkey % 10 = 7 THEN 9000000 ELSE 1 END + s_suppkey)"
+_COMPILED = f"(SELECT date, gage_id, {_GAGED} AS comid, {_CMS} AS flow_cms FROM {_OBS} JOIN supplier ON gage_id = 'G' || s_suppkey WHERE date BETWEEN DATE '{START}' AND DATE '{END}')"
+_EARLY = f"date < DATE '{START}' + INTERVAL {CALIBRATION_MONTHS} MONTH"
 _SITES = "(SELECT p_partkey + 1 AS comid, CAST((p_partkey * 7919) % 1009 AS DOUBLE) * 128 AS x, CAST((p_partkey * 104729) % 2003 AS DOUBLE) * 64 AS y FROM part)"
-_POINTS = """(SELECT 'CP' || i AS UP_CP, 'CP' || (i // 8) AS Next_DS_CP, CAST(i % 16 AS DOUBLE) / 16 AS ChLosFac, i AS file_row,
+_POINTS = """(SELECT 'CP' || i AS UP_CP, 'CP' || (i // 8) AS Next_DS_CP, CAST(i % 17 AS DOUBLE) / 16 AS ChLosFac, i AS file_row,
   CAST(((i - 1) * 7919) % 1009 AS DOUBLE) * 128 + 3 AS x, CAST(((i - 1) * 104729) % 2003 AS DOUBLE) * 64 - 5 AS y FROM (SELECT s_suppkey + 1 AS i FROM supplier))"""
 _SNAPPED = f"""near AS (
   SELECT p.UP_CP, p.Next_DS_CP, p.ChLosFac, p.file_row, MIN(ROW((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.comid)) AS best
   FROM {_POINTS} p CROSS JOIN {_SITES} s GROUP BY ALL
 ), placed AS (SELECT UP_CP, Next_DS_CP, ChLosFac, file_row, best[2] AS UP_COMID, sqrt(best[1]) AS snap_dist FROM near),
 snapped AS (SELECT a.*, b.UP_COMID AS DS_COMID FROM placed a LEFT JOIN placed b ON a.Next_DS_CP = b.UP_CP)"""
-_PATHS = f"""{_SNAPPED}, steps AS (
+_PATHS = """steps AS (
   SELECT file_row AS step, UP_COMID AS up, DS_COMID AS ds, ChLosFac AS loss FROM snapped
   WHERE UP_COMID IN (SELECT comid FROM segs) AND DS_COMID IN (SELECT comid FROM segs)
 ), hop AS (SELECT src, node, MIN(hops) AS hops FROM walks WHERE src IN (SELECT up FROM steps) GROUP BY ALL),
@@ -299,8 +402,31 @@ parent AS (
   UNION ALL
   SELECT c.step, c.src, p.par, c.pos - 1 FROM chain c JOIN parent p ON p.src = c.src AND p.node = c.node
 )"""
+_LOST = """held AS (SELECT s.*, row_number() OVER (ORDER BY step) AS k FROM steps s WHERE step IN (SELECT step FROM chain)),
+mem AS (SELECT h.k, c.node FROM chain c JOIN held h USING (step) WHERE c.pos > 0),
+folded(k, comid, q) AS (
+  SELECT CAST(0 AS BIGINT), comid, q FROM unit WHERE comid IN (SELECT node FROM mem) OR comid IN (SELECT up FROM held)
+  UNION ALL
+  SELECT s.k + 1, s.comid, CASE WHEN m.node IS NULL OR d.q <= 0 THEN s.q ELSE s.q * (u.q * (1 - h.loss) / d.q) END
+  FROM folded s JOIN held h ON h.k = s.k + 1 JOIN folded u ON u.k = s.k AND u.comid = h.up JOIN folded d ON d.k = s.k AND d.comid = h.ds
+  LEFT JOIN mem m ON m.k = h.k AND m.node = s.comid
+), left_over AS (SELECT comid, arg_max(q, k) AS q FROM folded GROUP BY comid),
+lost AS (SELECT comid, COALESCE(l.q, u.q) AS q FROM unit u LEFT JOIN left_over l USING (comid))"""
+_ENFORCED = f"""obs AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY gage_id, comid) AS k FROM {_COMPILED} WHERE comid IN (SELECT comid FROM unit)),
+reach AS (SELECT DISTINCT src, node FROM walks WHERE src IN (SELECT comid FROM obs)),
+state(date, k, comid, q) AS (
+  SELECT date, CAST(0 AS BIGINT), comid, q FROM flow WHERE comid IN (SELECT node FROM reach)
+  UNION ALL
+  SELECT s.date, s.k + 1, s.comid, CASE WHEN r.node IS NULL OR g.q <= 0 THEN s.q ELSE s.q * (o.flow_cms / g.q) END
+  FROM state s JOIN obs o ON o.date = s.date AND o.k = s.k + 1 JOIN state g ON g.date = s.date AND g.k = s.k AND g.comid = o.comid
+  LEFT JOIN reach r ON r.src = o.comid AND r.node = s.comid
+), last AS (SELECT date, comid, arg_max(q, k) AS q FROM state GROUP BY ALL)"""
+_INSIDE = "segs AS (SELECT * FROM every_seg WHERE comid < 2000000)"
+_LATTICE = f"""(SELECT comid, -102 + x / 16384 + 0.0052 AS lon, 26.0003 + y / 16384 AS lat FROM {_SITES}
+  UNION ALL SELECT 1000000 + s_suppkey, -102 + (CAST(s_suppkey % 997 AS DOUBLE) * 128 + 64) / 16384 + 0.0052, 26.0003 + (CAST(s_suppkey % 1999 AS DOUBLE) * 64 + 32) / 16384 FROM supplier)"""
+_AT_HOME = """snapped AS (SELECT s_suppkey + 1 AS file_row, s_suppkey + 1 AS UP_COMID, CASE WHEN s_suppkey >= 7 THEN (s_suppkey + 1) // 8 END AS DS_COMID, CAST((s_suppkey + 1) % 17 AS DOUBLE) / 16 AS ChLosFac FROM supplier)"""
 _GRID = "(SELECT i, CAST(0.0001 AS DOUBLE) + CAST(i AS DOUBLE) * ((CAST(0.005 AS DOUBLE) - CAST(0.0001 AS DOUBLE)) / 29) AS coeff FROM range(30) t(i))"
-_ERRORS = f"""pairs AS (SELECT q * CAST(1e6 AS DOUBLE) / CAST(2592000 AS DOUBLE) AS u, flow_cms AS o FROM {_COMPILED} c JOIN unit USING (comid)),
+_ERRORS = f"""pairs AS (SELECT q * CAST(1e6 AS DOUBLE) / CAST(2592000 AS DOUBLE) AS u, flow_cms AS o FROM {_COMPILED} c JOIN unit USING (comid) WHERE {_EARLY}),
 errors AS (SELECT i, coeff, sqrt(AVG((coeff * u - o) * (coeff * u - o))) AS rmse FROM pairs CROSS JOIN {_GRID} GROUP BY i, coeff)"""
 
 
@@ -346,39 +472,34 @@ UNION ALL SELECT comid, CASE WHEN comid % 7 = 0 THEN 0 ELSE areasqkm * 3 END, 1
 UNION ALL SELECT comid, CASE WHEN comid % 3 = 0 THEN NULL ELSE (areasqkm + 1) * 2 END, 2 FROM segs
 UNION ALL SELECT comid, areasqkm * 5 * 2, 3 FROM segs""",
     "route_unit": f"WITH RECURSIVE {_UNIT} SELECT * FROM unit",
-    "flow_one_month_points": f"""WITH RECURSIVE {_UNIT}, f AS (SELECT date, comid, {_FLOW} AS flow FROM unit CROSS JOIN (SELECT DATE '{END}' AS date))
+    "flow_one_month_points": f"""WITH RECURSIVE {_UNIT}, f AS (
+  SELECT date, comid, {_FLOW} * CASE WHEN comid % 11 = 0 THEN CAST(1e22 AS DOUBLE) WHEN comid % 13 = 0 THEN CAST(-1e22 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS flow FROM unit CROSS JOIN (SELECT DATE '{END}' AS date))
 SELECT strftime(date, '%Y-%m-%d') AS DATE, comid AS COMID, least(greatest(flow, -1e20), 1e20) AS FLOW_CMS, printf('%.6e', flow) AS FLOW_TXT,
 CAST(comid % 90 AS DOUBLE) AS LAT, CAST(comid % 180 AS DOUBLE) AS LON, 'POINT (' || (comid % 180) || ' ' || (comid % 90) || ')' AS WKT FROM f""",
-    "reach_descendants": f"WITH RECURSIVE {_UNIT} SELECT src, node AS comid, MIN(hops) AS hops FROM walks WHERE src IN (SELECT s_suppkey + 1 FROM supplier) GROUP BY ALL",
-    "gage_enforce": f"""WITH RECURSIVE {_UNIT}, obs AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY gage_id, comid) AS k FROM {_COMPILED}),
-reach AS (SELECT DISTINCT src, node FROM walks WHERE src IN (SELECT comid FROM obs)),
-flow AS (SELECT date, comid, {_FLOW} AS q FROM unit CROSS JOIN {_MONTHS}),
-state(date, k, comid, q) AS (
-  SELECT date, CAST(0 AS BIGINT), comid, q FROM flow WHERE comid IN (SELECT node FROM reach)
-  UNION ALL
-  SELECT s.date, s.k + 1, s.comid, CASE WHEN r.node IS NULL OR g.q <= 0 THEN s.q ELSE s.q * (o.flow_cms / g.q) END
-  FROM state s JOIN obs o ON o.date = s.date AND o.k = s.k + 1 JOIN state g ON g.date = s.date AND g.k = s.k AND g.comid = o.comid
-  LEFT JOIN reach r ON r.src = o.comid AND r.node = s.comid
-), last AS (SELECT date, comid, arg_max(q, k) AS q FROM state GROUP BY ALL)
-SELECT f.date, f.comid, printf('%.5e', COALESCE(l.q, f.q)) AS flow_cms FROM flow f LEFT JOIN last l USING (date, comid)""",
+    "reach_descendants": f"WITH RECURSIVE {_UNIT} SELECT src, node AS comid, MIN(hops) AS hops FROM walks WHERE src IN (SELECT {_GAGED} FROM supplier) GROUP BY ALL",
+    "gage_enforce": f"""WITH RECURSIVE {_UNIT}, flow AS (SELECT date, comid, {_FLOW} AS q FROM unit CROSS JOIN {_MONTHS}), {_ENFORCED}
+SELECT f.date, f.comid, printf('%.8e', COALESCE(l.q, f.q)) AS flow_cms FROM flow f LEFT JOIN last l USING (date, comid)""",
     "cp_snap": f"WITH {_SNAPPED} SELECT UP_CP, Next_DS_CP, ChLosFac, file_row, UP_COMID, DS_COMID, snap_dist FROM snapped",
-    "cp_paths": f"WITH RECURSIVE {_UNIT}, {_PATHS} SELECT step, pos, node AS comid FROM chain",
-    "loss_apply": f"""WITH RECURSIVE {_UNIT}, {_PATHS}, held AS (SELECT s.*, row_number() OVER (ORDER BY step) AS k FROM steps s WHERE step IN (SELECT step FROM chain)),
-mem AS (SELECT h.k, c.node FROM chain c JOIN held h USING (step) WHERE c.pos > 0),
-state(k, comid, q) AS (
-  SELECT CAST(0 AS BIGINT), comid, q FROM unit WHERE comid IN (SELECT node FROM mem) OR comid IN (SELECT up FROM held)
-  UNION ALL
-  SELECT s.k + 1, s.comid, CASE WHEN m.node IS NULL OR d.q <= 0 THEN s.q ELSE s.q * (u.q * (1 - h.loss) / d.q) END
-  FROM state s JOIN held h ON h.k = s.k + 1 JOIN state u ON u.k = s.k AND u.comid = h.up JOIN state d ON d.k = s.k AND d.comid = h.ds
-  LEFT JOIN mem m ON m.k = h.k AND m.node = s.comid
-), last AS (SELECT comid, arg_max(q, k) AS q FROM state GROUP BY comid)
-SELECT comid, printf('%.8e', COALESCE(l.q, u.q)) AS q FROM unit u LEFT JOIN last l USING (comid)""",
-    "calibrate_rmse": f"WITH RECURSIVE {_UNIT}, {_ERRORS} SELECT i, printf('%.8e', coeff) AS coeff, printf('%.6e', rmse) AS rmse FROM errors",
-    "calibrate_best": f"WITH RECURSIVE {_UNIT}, {_ERRORS} SELECT printf('%.8e', coeff) AS coeff, printf('%.6e', rmse) AS rmse FROM errors ORDER BY errors.rmse, i LIMIT 1",
+    "cp_paths": f"WITH RECURSIVE {_UNIT}, {_SNAPPED}, {_PATHS} SELECT step, pos, node AS comid FROM chain",
+    "loss_apply": f"WITH RECURSIVE {_UNIT}, {_SNAPPED}, {_PATHS}, {_LOST} SELECT comid, printf('%.8e', q) AS q FROM lost",
+    "calibrate_rmse": f"WITH RECURSIVE {_UNIT}, {_ERRORS} SELECT i, printf('%.8e', coeff) AS coeff, printf('%.8e', rmse) AS rmse FROM errors",
+    "calibrate_best": f"WITH RECURSIVE {_UNIT}, {_ERRORS} SELECT printf('%.8e', coeff) AS coeff, printf('%.8e', rmse) AS rmse FROM errors ORDER BY errors.rmse, i LIMIT 1",
+    "calibrate_unknown": "SELECT i, 'unknown' AS rmse, false AS has_best FROM range(30) t(i)",
+    "route_unknown": f"""WITH RECURSIVE {_UNIT}, unknown AS (SELECT DISTINCT node AS comid FROM walks WHERE src % 50 = 0)
+SELECT comid, CASE WHEN comid IN (SELECT comid FROM unknown) THEN 'unknown' ELSE printf('%.8e', 2 * q) END AS q FROM unit""",
+    "flo_bad_numbers": """SELECT 'as it is' AS file, '' AS error, COUNT(*) * 12 AS rows FROM (SELECT DISTINCT l_suppkey, year(l_shipdate) FROM lineitem)
+UNION ALL VALUES ('a value', 'not a number', 0), ('a year', 'not a number', 0), ('short lines only', 'no rows', 0)""",
+    "net_cycles": "SELECT * FROM (VALUES ('as it is', false), ('a long way back', true), ('a segment that leads to itself', true)) t(network, cycle)",
+    "vaa_join_permanent": f"WITH {_SEGS} SELECT comid, 'P' || comid AS permanent_, fromnode, tonode, hydroseq FROM segs WHERE comid % 17 <> 0 AND comid % 19 <> 0",
+    "routed_numbers": f"WITH {_SEGS} SELECT row_number() OVER (ORDER BY comid DESC) AS comid, 'P' || comid AS permanent_ FROM segs WHERE comid % 23 <> 0",
+    "model_run": f"""WITH RECURSIVE {_UNIT.replace("segs AS", "every_seg AS", 1).replace("), links AS", "), " + _INSIDE + ", links AS", 1)}, {_AT_HOME}, {_PATHS}, {_LOST},
+flow AS (SELECT date, comid, {_FLOW} AS q FROM lost CROSS JOIN {_MONTHS} WHERE date <= DATE '{MODEL_END}'), {_ENFORCED}
+SELECT f.date, f.comid, printf('%.8e', COALESCE(l.q, f.q)) AS flow_cms, printf('%.3f', p.lat) AS lat, printf('%.3f', p.lon) AS lon
+FROM flow f JOIN {_LATTICE} p USING (comid) LEFT JOIN last l USING (date, comid)""",
     "basin_name_filter": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region WHERE lower(r_name) = 'europe'",
     "basin_options": "SELECT DISTINCT n_name AS name FROM nation",
     "union_tiles": f"WITH {_SEGS} SELECT comid, CASE WHEN comid < 1000000 THEN areasqkm END AS areasqkm, CASE WHEN comid >= 1000000 THEN areasqkm END AS lengthkm FROM segs",
-    "vpu_sample": "SELECT DISTINCT p_brand AS vpuid FROM part ORDER BY 1 LIMIT 25",
+    "vpu_sample": "SELECT DISTINCT p_brand AS vpuid FROM part WHERE p_partkey % 7 <> 0 AND p_brand >= 'Brand#2' ORDER BY 1 LIMIT 12",
     "spatial_intersects": f"""WITH l AS (SELECT comid, x, y, CAST(3000 + comid % 17 AS DOUBLE) AS dx, CAST(5000 - comid % 13 AS DOUBLE) AS dy FROM {_SITES})
 SELECT comid FROM l WHERE {" OR ".join(_touch(*r) for r in RECTANGLES)}""",
     "line_measures": f"""WITH l AS (SELECT comid, x, y, CAST(comid % 5 + 1 AS DOUBLE) AS k FROM {_SITES})

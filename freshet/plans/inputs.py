@@ -25,8 +25,9 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, gage_id, acft by month of shipping and supplier."""
-    items = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "MM").alias("date"), F.concat(F.lit("G"), F.col("l_suppkey").cast("string")).alias("gage_id"), "l_quantity")
+    """date, gage_id, acft by month of shipping and supplier; every third gage has nothing in May and October."""
+    dry = (F.month("l_shipdate") % 5 == 0) & (F.col("l_suppkey") % 3 == 0)
+    items = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "MM").alias("date"), F.concat(F.lit("G"), F.col("l_suppkey").cast("string")).alias("gage_id"), F.when(dry, 0.0).otherwise(F.col("l_quantity")).alias("l_quantity"))
     return items.groupBy("date", "gage_id").agg(F.sum("l_quantity").alias("acft"))
 
 
@@ -41,7 +42,9 @@ def flo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("gage_id"), (F.col("s_suppkey") + 1).alias("COMID"))
+    """Gages by segment; one of ten lies outside the network."""
+    comid = F.expr("if(s_suppkey % 10 = 7, 9000000, 1) + s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("gage_id"), comid.alias("COMID"))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +57,42 @@ def control_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "supplier").selectExpr("s_suppkey + 1 as i").selectExpr(
         "concat('CP', i) as UP_CP",
         "concat('CP', i div 8) as Next_DS_CP",
-        "(i % 16) / 16.0D as ChLosFac",
+        "(i % 17) / 16.0D as ChLosFac",
         "i as file_row",
         "cast(((i - 1) * 7919) % 1009 as double) * 128 + 3 as x",
         "cast(((i - 1) * 104729) % 2003 as double) * 64 - 5 as y",
     )
     again = points.where("file_row <= 5").withColumn("file_row", F.col("file_row") + 1_000_000).withColumn("x", F.col("x") + 5000)
     return points.unionByName(again)
+
+
+#: Bounds of the basin of `model_files`; segments from 2,000,000 on lie outside it.
+BASIN = (-103.0, 25.0, -93.0, 35.0)
+
+
+def model_files(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The files of a model run, as options of its configuration: Parquet, CSV, GeoJSON lines and flow text."""
+    # Braids lie beside the lattice of the tree.
+    braids = table(spark, sf_dir, "supplier").selectExpr("1000000 + s_suppkey as comid", "cast(s_suppkey % 997 as double) * 128 + 64 as x", "cast(s_suppkey % 1999 as double) * 64 + 32 as y")
+    outside = table(spark, sf_dir, "nation").selectExpr("2000000 + n_nationkey as comid", "cast(400000 + n_nationkey as double) as x", "0.0D as y")
+    at = sites(spark, sf_dir).unionByName(braids).unionByName(outside).select("comid", (F.lit(-102.0) + F.col("x") / 16384.0).alias("lon"), (F.lit(26.0003) + F.col("y") / 16384.0).alias("lat"))
+    point = lambda x: F.struct(x.alias("x"), F.col("lat").alias("y"))
+    lines = at.withColumn("parts", F.array(F.array(point(F.col("lon")), point(F.col("lon") + 0.0104))))
+    flow = segments(spark, sf_dir).join(lines, "comid").select(
+        F.concat(F.lit("P"), "comid").alias("Permanent_Identifier"), F.col("comid").cast("double").alias("NHDPlusID"), F.col("areasqkm").alias("AreaSqKm"), "parts", F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), (F.col("lon") + 0.0104).alias("xmax"), F.col("lat").alias("ymax")
+    )
+    flow.write.parquet(f"{folder}/flow.parquet")
+    routing = segments(spark, sf_dir).select(F.concat(F.lit("P"), "comid").alias("Permanent_"), F.col("fromnode").alias("FromNode"), F.col("tonode").alias("ToNode"), F.col("hydroseq").alias("HydroSeq"))
+    routing.write.csv(f"{folder}/vaa.csv", header=True)
+    west, south, east, north = BASIN
+    ring = f"[[[{west},{south}],[{east},{south}],[{east},{north}],[{west},{north}],[{west},{south}]]]"
+    names = spark.createDataFrame([(f'{{"type":"Feature","properties":{{"basin_name":"{name}"}},"geometry":{{"type":"Polygon","coordinates":{shape}}}}}',) for name, shape in (("Lattice", ring), ("Elsewhere", "[[[0,0],[1,0],[1,1],[0,0]]]"))], "value string")
+    names.write.text(f"{folder}/basin.geojsonl")
+    placed = control_points(spark, sf_dir).drop("x", "y").join(at.withColumnRenamed("comid", "i"), F.col("i") == F.regexp_extract("UP_CP", r"[0-9]+", 0).cast("long"))
+    rows = placed.select("UP_CP", "Next_DS_CP", "ChLosFac", F.col("lat").alias("LAT"), (F.col("lon") + 0.0052 + F.when(F.col("file_row") > 1_000_000, 0.5).otherwise(0.0)).alias("LONG"), "file_row")
+    rows.repartitionByRange(1, "file_row").sortWithinPartitions("file_row").drop("file_row").write.csv(f"{folder}/cp.csv", header=True)
+    pairs = crosswalk(spark, sf_dir)
+    pairs.unionAll(pairs).write.csv(f"{folder}/gages.csv", header=True)
+    flo_lines(spark, sf_dir).write.text(f"{folder}/flows.flo")
+    names = {"flowline_source": "flow.parquet", "vaa_file": "vaa.csv", "basin_shp": "basin.geojsonl", "cp_meta_file": "cp.csv", "gage_crosswalk_file": "gages.csv", "flo_file": "flows.flo", "output_file": "out.csv"}
+    return {option: f"{folder}/{name}" for option, name in names.items()}

@@ -14,7 +14,7 @@ from freshet.config import ModelConfig
 from freshet.functions import crs, geometry
 from freshet.functions.columns import months
 from freshet.operators import control_points, folds, gages, network, runoff, spatial
-from freshet.scratch import cut
+from freshet.scratch import cut, scope
 from freshet.sources import archives, flo, flowlines, tables
 
 log = logging.getLogger("freshet")
@@ -22,11 +22,11 @@ log = logging.getLogger("freshet")
 
 @dataclass
 class Network:
-    """Segments (comid, hydroseq, areas, parts, ...), edges (up, ds), and their count."""
+    """Segments (comid, hydroseq, areas, parts, ...), edges (up, ds), their closure, which is computed once, and the UTM zone."""
 
     segments: DataFrame
     links: DataFrame
-    nodes: int
+    closure: network.Powers
     zone: int | None
 
 
@@ -44,7 +44,7 @@ def build_network(spark: SparkSession, flow: DataFrame, basin: DataFrame, vaa: D
     links = cut(network.edges(segments), "edges")
     nodes = network.validate(segments, links, log.info)["nodes"]
     box = geometry.bounds(segments)
-    return Network(segments, links, nodes, crs.utm_zone(box[0], box[2]) if is_geographic(box) else None)
+    return Network(segments, links, network.powers(links, nodes), crs.utm_zone(box[0], box[2]) if is_geographic(box) else None)
 
 
 def centroids(net: Network) -> DataFrame:
@@ -57,32 +57,40 @@ def centroids(net: Network) -> DataFrame:
     return at.withColumn("lon", lon).withColumn("lat", lat)
 
 
+def routed_area(net: Network) -> DataFrame:
+    """comid and q: the area that drains to each segment, over every path."""
+    return network.accumulate(runoff.local_area(net.segments, net.zone).withColumnRenamed("area_km2", "q"), net.closure)
+
+
 def flows(
     net: Network,
+    unit: DataFrame,
     dates: DataFrame,
     coefficient: float,
     steps: DataFrame | None = None,
     members: DataFrame | None = None,
     observations: DataFrame | None = None,
 ) -> DataFrame:
-    """date, comid, flow_cms after routing, losses and gages.
+    """date, comid, flow_cms after routing, losses and gages. `unit` is the routed area.
 
     Routing and losses are linear in the local flow (of positive coefficients), so they run once, on areas.
     """
-    area = runoff.local_area(net.segments, net.zone).withColumnRenamed("area_km2", "q")
-    unit = network.accumulate(area, net.links, net.nodes)
     if steps is not None:
         unit = cut(folds.apply_losses(steps, members, unit), "lost")
     out = runoff.monthly(unit, dates, coefficient)
     if observations is None:
         return out
-    reached = cut(network.reach(observations.select("comid").distinct().join(net.segments.select("comid"), "comid", "left_semi"), net.links, net.nodes), "gage-reach")
+    gaged = observations.select("comid").distinct().join(net.segments.select("comid"), "comid", "left_semi")
+    reached = cut(network.reach(gaged, net.closure), "gage-reach")
     # Only dates with observations are enforced; the others pass by the fold untouched.
     return folds.enforce_gages(observations, reached, out)
 
 
 def run_model(cfg: ModelConfig, spark: SparkSession, progress_cb: Callable[[int, str], None] | None = None) -> DataFrame:
-    """V2: run the model, write what the configuration asks for, and return date, comid, flow_cms, lat, lon, topo_level."""
+    """V2: run the model, write what the configuration asks for, and return date, comid, flow_cms, lat, lon, topo_level.
+
+    All tables that the run wrote in between are deleted at its end; the result is one of its own.
+    """
 
     def progress(percent: int, stage: str) -> None:
         log.info("%s (%s %%)", stage, percent)
@@ -90,36 +98,41 @@ def run_model(cfg: ModelConfig, spark: SparkSession, progress_cb: Callable[[int,
             progress_cb(max(0, min(100, percent)), stage)
 
     cfg.validated()
-    progress(1, "reading the basin and flowlines")
-    basin = spatial.basin(tables.read_any(spark, cfg.basin_shp), cfg.basin_name_field, cfg.basin_name_value)
-    source = archives.prepare(cfg.flowline_source)
-    flow = flowlines.read(spark, source, cfg.flowline_layer, geometry.bounds(basin))
-    vaa = None
-    if not {"fromnode", "tonode"} <= set(flow.columns):
-        vaa = tables.vaa(spark, cfg.vaa_file) if cfg.vaa_file else flowlines.embedded_vaa(spark, source)
-    net = build_network(spark, flow, basin, vaa)
-    levels = network.levels(net.segments, net.links)
-    progress(20, "network built")
-    at = cut(centroids(net), "centroids")
-    points = tables.control_points(spark, cfg.cp_meta_file)
-    x, y = crs.to_utm(F.col("LONG"), F.col("LAT"), net.zone) if net.zone else (F.col("LONG"), F.col("LAT"))
-    snapped = control_points.snap(control_points.xy(points, x, y), at.select("comid", "x", "y"), cell=5000.0)
-    steps = cut(control_points.pairs(snapped, net.segments), "steps")
-    path_rows = control_points.paths(steps, net.links, net.nodes)
-    steps = steps.join(path_rows.select("step").distinct(), "step", "left_semi")
-    progress(25, "control points placed")
-    observed = flo.read(spark, cfg.flo_file)  # read even if no gage is placed: a broken file is an error
-    placed = tables.crosswalk(spark, cfg.gage_crosswalk_file) if cfg.gage_crosswalk_file else None
-    observations = cut(gages.compile_observations(observed, cfg.start_date, cfg.end_date, placed), "observations")
-    progress(35, "observations read")
-    dates = months(spark, cfg.start_date, cfg.end_date)
-    coefficient = cfg.runoff_coeff_m_per_month
-    if cfg.calibrate:
-        area = runoff.local_area(net.segments, net.zone).withColumnRenamed("area_km2", "q")
-        coefficient = gages.calibrate(observations, network.accumulate(area, net.links, net.nodes), dates, cfg.calibration_months)
-    progress(42, "flows")
-    out = flows(net, dates, coefficient, steps, control_points.members(path_rows), None if placed is None else observations)
-    result = cut(out.join(at.select("comid", "lat", "lon"), "comid").join(levels, "comid").select("date", "comid", "flow_cms", "lat", "lon", "topo_level"), "flows")
+    with scope(spark) as held:
+        progress(1, "reading the basin and flowlines")
+        basin = spatial.basin(tables.read_any(spark, cfg.basin_shp), cfg.basin_name_field, cfg.basin_name_value)
+        source = archives.prepare(cfg.flowline_source)
+        flow = flowlines.read(spark, source, cfg.flowline_layer, geometry.bounds(basin))
+        vaa = None
+        if not {"fromnode", "tonode"} <= set(flow.columns):
+            vaa = tables.vaa(spark, cfg.vaa_file) if cfg.vaa_file else flowlines.embedded_vaa(spark, source)
+        net = build_network(spark, flow, basin, vaa)
+        levels = network.levels(net.segments, net.closure)
+        progress(20, "network built")
+        at = cut(centroids(net), "centroids")
+        points = tables.control_points(spark, cfg.cp_meta_file)
+        x, y = crs.to_utm(F.col("LONG"), F.col("LAT"), net.zone) if net.zone else (F.col("LONG"), F.col("LAT"))
+        snapped = control_points.snap(control_points.xy(points, x, y), at.select("comid", "x", "y"), cell=5000.0)
+        steps = cut(control_points.pairs(snapped, net.segments), "steps")
+        path_rows = control_points.paths(steps, net.links, net.closure)
+        steps = steps.join(path_rows.select("step").distinct(), "step", "left_semi")
+        progress(25, "control points placed")
+        observed = flo.read(spark, cfg.flo_file)  # read even if no gage is placed: a broken file is an error
+        placed = tables.crosswalk(spark, cfg.gage_crosswalk_file) if cfg.gage_crosswalk_file else None
+        if placed is None:
+            log.info("no gage crosswalk: gages are not enforced, and calibration has nothing to go by")
+        observations = cut(gages.compile_observations(observed, cfg.start_date, cfg.end_date, placed), "observations")
+        progress(35, "observations read")
+        dates = months(spark, cfg.start_date, cfg.end_date)
+        unit = routed_area(net)
+        coefficient = cfg.runoff_coeff_m_per_month
+        if cfg.calibrate:
+            coefficient = gages.calibrate(observations, unit, dates, cfg.calibration_months)
+            log.info("calibrated coefficient: %.6f m a month", coefficient)
+        progress(42, "flows")
+        out = flows(net, unit, dates, coefficient, steps, control_points.members(path_rows), None if placed is None else observations)
+        result = cut(out.join(at.select("comid", "lat", "lon"), "comid").join(levels, "comid").select("date", "comid", "flow_cms", "lat", "lon", "topo_level"), "flows")
+        held.keep(result)
     progress(92, "writing")
     sinks.write_flows(result, cfg.output_file)
     if cfg.output_shapefile:

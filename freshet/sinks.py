@@ -12,18 +12,43 @@ from freshet.sources import shapefile
 def write_flows(flows: DataFrame, path: str) -> None:
     """K1: date, COMID, flow_cms, lat, lon in order of date and network.
 
-    A path that ends in .csv becomes a folder with one CSV file, headed, as the reference format asks for one
-    file; any other path becomes Parquet by year, which has no single writer.
+    A path that ends in .csv becomes one file with a header; unknown numbers are empty in it. Any other path becomes
+    Parquet by year, which has no single writer.
     """
-    columns = [F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("comid").alias("COMID"), "flow_cms", "lat", "lon"]
+    plain = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    order = ("date", "topo_level", "comid")
     if path.lower().endswith(".csv"):
-        ordered = flows.repartitionByRange(1, "date", "topo_level", "comid").sortWithinPartitions("date", "topo_level", "comid")
-        ordered.select(*columns).write.mode("overwrite").csv(path, header=True)
+        columns = [F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("comid").alias("COMID"), *map(plain, ("flow_cms", "lat", "lon"))]
+        _write_csv(flows.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns), path)
     else:
-        parted = flows.withColumn("year", F.year("date")).repartitionByRange("year", "date", "topo_level", "comid").sortWithinPartitions("date", "topo_level", "comid")
+        columns = ["date", F.col("comid").alias("COMID"), "flow_cms", "lat", "lon"]
+        parted = flows.withColumn("year", F.year("date")).repartitionByRange("year", *order).sortWithinPartitions(*order)
         parted.select("year", *columns).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def _write_csv(df: DataFrame, path: str) -> None:
+    """The rows as one file: sorted and written in parts by all tasks, then put one after another through Spark's file access."""
+    spark = df.sparkSession
+    jvm, parts = spark._jvm, path + "-parts"
+    df.write.mode("overwrite").csv(parts)
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    files = folder.getFileSystem(conf)
+    names = sorted(f.getPath().toString() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    if files.exists(target):
+        files.delete(target, True)
+    out = files.create(target, True)
+    try:
+        out.write(bytearray((",".join(df.columns) + "\n").encode()))
+        for name in names:
+            part = files.open(jvm.org.apache.hadoop.fs.Path(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+    files.delete(folder, True)
+
+
 def points_of(flows: DataFrame, day: str) -> DataFrame:
     """One month as DATE, COMID, FLOW_CMS, FLOW_TXT, LAT, LON; ValueError when the month isn't there."""
     month = flows.where(F.col("date") == F.lit(day).cast("date"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.scratch import cut
+
 
 def parse(lines: DataFrame) -> DataFrame:
     """date, gage_id, acft from a table of text lines (`value`).
@@ -18,8 +20,11 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The file's observations in order of date and gage (O1); ValueError when it has none."""
-    out = parse(spark.read.text(path))
+    """The file's observations in order of date and gage (O1); ValueError when it has none.
+
+    T11: every line is parsed here, whatever is used of it later: a year or value that isn't a number fails at once.
+    """
+    out = cut(parse(spark.read.text(path)), "flow-file")
     if out.isEmpty():
         raise ValueError(f"no flow rows in {path}")
     return out.orderBy("date", "gage_id")

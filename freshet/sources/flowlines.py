@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions import geometry
 from freshet.functions.columns import lower_names, number
 from freshet.operators.numbering import row_numbers
 from freshet.sources import shapefile, tables
@@ -17,19 +18,21 @@ FLOWLINE_LAYERS = ("NetworkNHDFlowline", "NHDFlowline")
 VAA_LAYER = "NHDPlusFlowlineVAA"
 TILE_PATTERN = "NHDFlowline_*.shp"
 
-Bbox = tuple[float, float, float, float]
+Bbox = tables.Bbox
 #: (spark, geodatabase path, layer, bbox or None) -> DataFrame with `parts` where the layer has shapes
 LayerReader = Callable[[SparkSession, str, str, Bbox | None], DataFrame]
 
 
 def driver_layer_reader(spark: SparkSession, path: str, layer: str, bbox: Bbox | None = None) -> DataFrame:
-    """Reads a geodatabase layer with pyogrio, where that is installed; convert large ones to Parquet instead."""
+    """Reads a geodatabase layer with pyogrio, where that is installed, on the driver; convert large ones instead (README)."""
     try:
         from pyogrio.raw import read_arrow
     except ImportError as error:
-        raise RuntimeError("file geodatabases need pyogrio; convert the layer to Parquet or a shapefile") from error
-    _, table = read_arrow(path, layer=layer, bbox=bbox)
-    return spark.createDataFrame(table.to_pandas())
+        raise RuntimeError("file geodatabases need pyogrio; convert the layer to GeoJSON lines or Parquet (README)") from error
+    meta, table = read_arrow(path, layer=layer, bbox=bbox)
+    at = meta.get("geometry_name") or "wkb_geometry"
+    out = spark.createDataFrame(table)
+    return geometry.from_wkb(out, at) if at in out.columns else out
 
 
 def read_layer(spark: SparkSession, path: str, preferred: str | None, bbox: Bbox | None, reader: LayerReader) -> DataFrame:
@@ -58,8 +61,8 @@ def read(spark: SparkSession, source: str, layer: str | None = None, bbox: Bbox
         tiles = sorted(map(str, path.glob(TILE_PATTERN)))
         if not tiles:
             raise FileNotFoundError(f"{source} has neither geodatabases nor {TILE_PATTERN}")
-        return normalised(tables.union_tiles([shapefile.read(spark, t).withColumn("file_row", F.col("file_row") + (i << 40)) for i, t in enumerate(tiles)]))
-    return normalised(tables.read_any(spark, source))
+        return normalised(tables.union_tiles([shapefile.read(spark, t, bbox).withColumn("file_row", F.col("file_row") + (i << 40)) for i, t in enumerate(tiles)]))
+    return normalised(tables.read_any(spark, source, bbox))
 
 
 def embedded_vaa(spark: SparkSession, source: str, reader: LayerReader = driver_layer_reader) -> DataFrame:

@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from freshet.functions.geometry import PARTS
 
+#: The text that names WGS 84 degrees in a .prj file (fixed value).
 WGS84_WKT = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
+Bbox = tuple[float, float, float, float]
+
 _HEADER_BYTES = 32 * 260  # a dBASE header has up to 255 fields of 32 bytes
 
 
@@ -57,8 +60,14 @@ def dbf_rows(data: bytes) -> Iterator[tuple]:
         yield tuple(row)
 
 
-def shp_parts(data: bytes) -> Iterator[list[list[dict]] | None]:
-    """The parts of each record; a point is one part of one point, an empty shape None."""
+def outside(data: bytes, at: int, bbox: Bbox) -> bool:
+    """Whether the bounds at this place of the file don't meet `bbox`."""
+    west, south, east, north = struct.unpack_from("<4d", data, at)
+    return west > bbox[2] or east < bbox[0] or south > bbox[3] or north < bbox[1]
+
+
+def shp_parts(data: bytes, bbox: Bbox | None = None) -> Iterator[list[list[dict]] | None]:
+    """The parts of each record; a point is one part of one point, an empty shape, or one outside `bbox`, None."""
     at = 100
     while at + 8 <= len(data):
         words = struct.unpack(">I", data[at + 4 : at + 8])[0]
@@ -67,6 +76,8 @@ def shp_parts(data: bytes) -> Iterator[list[list[dict]] | None]:
         if kind in (1, 11, 21):
             x, y = struct.unpack("<2d", data[body + 4 : body + 20])
             yield [[{"x": x, "y": y}]]
+        elif bbox and kind in (3, 5, 13, 15, 23, 25) and outside(data, body + 4, bbox):
+            yield None
         elif kind in (3, 5, 13, 15, 23, 25):
             n_parts, n_points = struct.unpack("<2i", data[body + 36 : body + 44])
             starts = [*struct.unpack(f"<{n_parts}i", data[body + 44 : body + 44 + 4 * n_parts]), n_points]
@@ -79,10 +90,11 @@ def shp_parts(data: bytes) -> Iterator[list[list[dict]] | None]:
 _SPARK_TYPES = {"N": "double", "F": "double", "L": "boolean"}
 
 
-def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read(spark: SparkSession, paths: str | list[str], bbox: Bbox | None = None) -> DataFrame:
     """The attributes, `file_row` (tile and record in order) and, for .shp files, `parts` of each record.
 
-    Tiles must agree in their fields; use tables.union_tiles on single reads otherwise.
+    Tiles must agree in their fields; use tables.union_tiles on single reads otherwise. Lines and polygons outside `bbox`
+    keep their row, but their points aren't read: `parts` is null.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     shapes = not paths[0].lower().endswith(".dbf")
@@ -108,7 +120,7 @@ def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             for i in range(batch.num_rows):
                 tile = order[batch.column("stem")[i].as_py()] << 40
                 rows = dbf_rows(batch.column("dbf")[i].as_py())
-                parts = shp_parts(batch.column("shp")[i].as_py()) if shapes else iter(lambda: None, 0)
+                parts = shp_parts(batch.column("shp")[i].as_py(), bbox) if shapes else iter(lambda: None, 0)
                 records = ((*row, tile + n, *([p] if shapes else [])) for n, (row, p) in enumerate(zip(rows, parts)) if row is not None)
                 yield from to_batches(records, arrow)
 

@@ -7,20 +7,55 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions import geometry
 from freshet.functions.columns import lower_names, require
 from freshet.sources import shapefile
 
+#: Columns of the control-point file (fixed values).
 CP_COLUMNS = ("UP_CP", "Next_DS_CP", "ChLosFac", "LAT", "LONG")
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its suffix: .csv, .dbf, .shp, .json or Parquet."""
-    kind = path.lower().rsplit(".", 1)[-1]
+#: Columns of Parquet tables that hold a shape's bounds, if they are there.
+BOUNDS = ("xmin", "ymin", "xmax", "ymax")
+
+Bbox = tuple[float, float, float, float]
+
+
+def read_any(spark: SparkSession, path: str, bbox: Bbox | None = None) -> DataFrame:
+    """A table by its suffix: .csv, .dbf, .shp, .json, GeoJSON lines (.geojsonl, .geojsons) or Parquet.
+
+    Shapes are in `parts`; a Parquet table may have them as well-known binary in `geometry`. With `bbox`, shapes that
+    lie outside it may be left out: those of a Parquet table whose rows have their bounds, before they are read. Rows
+    without an id of their own are all kept, since their place gives them one.
+    """
+    kind = path.lower().rstrip("/").rsplit(".", 1)[-1]
     if kind == "csv":
         return spark.read.csv(path, header=True)
     if kind in ("dbf", "shp"):
-        return shapefile.read(spark, path)
-    return spark.read.json(path) if kind == "json" else spark.read.parquet(path)
+        return shapefile.read(spark, path, bbox)
+    if kind in ("geojsonl", "geojsons"):
+        return geojson_lines(spark, path)
+    if kind == "json":
+        return spark.read.json(path)
+    out = spark.read.parquet(path)
+    lower = {c.lower(): c for c in out.columns}
+    if bbox and set(BOUNDS) <= set(lower) and {"permanent_", "permanent_identifier"} & set(lower):
+        west, south, east, north = bbox
+        xmin, ymin, xmax, ymax = (F.col(lower[c]) for c in BOUNDS)
+        out = out.where((xmin <= east) & (xmax >= west) & (ymin <= north) & (ymax >= south))
+    at = lower.get("geometry")
+    if at and dict(out.dtypes)[at] == "binary" and "parts" not in lower:
+        out = geometry.from_wkb(out, at)
+    return out
+
+
+def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One feature a line: its properties as columns, and `parts`. Files of any size are read in parallel."""
+    kinds = dict(spark.read.json(path).dtypes)
+    if not kinds.get("properties", "").startswith("struct"):
+        raise ValueError(f"no features with properties in {path}")
+    held = spark.read.schema(f"properties {kinds['properties']}, geometry struct<type: string, coordinates: string>").json(path)
+    return held.select("properties.*", geometry.from_geojson(F.col("geometry.type"), F.col("geometry.coordinates")).alias("parts"))
 
 
 def control_points(spark: SparkSession, path: str) -> DataFrame:

@@ -30,7 +30,14 @@ def as_list(df):
     [(CHAIN, (1, 2, 4), (1, 3, 7)), (Y, (1, 2, 4, 8), (1, 2, 7, 15)), (DIAMOND, (1, 10, 100, 1000), (1, 11, 101, 1112)), ([], (5, 6), (5, 6))],
 )
 def test_accumulate(spark, pairs, local, expected):
-    assert as_list(network.accumulate(flow_table(spark, local), edge_table(spark, pairs))) == list(expected)
+    assert as_list(network.accumulate(flow_table(spark, local), network.powers(edge_table(spark, pairs), len(local)))) == list(expected)
+
+
+@pytest.mark.parametrize(("pairs", "local", "unknown"), [(CHAIN, (None, 1, 1), {1, 2, 3}), (Y, (1, None, 1, 1), {2, 3, 4}), (DIAMOND, (1, 1, None, 1), {3, 4}), (CHAIN, (1, 1, float("nan")), {3})])
+def test_an_unknown_area_spreads_downstream(spark, pairs, local, unknown):
+    areas = spark.createDataFrame([(i + 1, None if v is None else float(v)) for i, v in enumerate(local)], "comid long, q double")
+    got = network.accumulate(areas, network.powers(edge_table(spark, pairs), len(local))).collect()
+    assert {r.comid for r in got if r.q != r.q} == unknown and all(r.q is not None for r in got)
 
 
 def test_edges_follow_hydroseq(spark):
@@ -51,7 +58,7 @@ def test_cycles_are_errors(spark, pairs):
 
 def test_levels_and_summary(spark):
     segments = spark.range(1, 5).withColumnRenamed("id", "comid")
-    got = network.levels(segments, edge_table(spark, DIAMOND)).orderBy("comid").collect()
+    got = network.levels(segments, network.powers(edge_table(spark, DIAMOND), 4)).orderBy("comid").collect()
     assert [r.topo_level for r in got] == [0, 1, 1, 2]
     assert network.summary(segments, edge_table(spark, Y)).first().asDict() == {"nodes": 4, "edges": 3, "sources": 2, "sinks": 1}
     with pytest.raises(ValueError, match="no segments"):
@@ -74,10 +81,10 @@ def test_random_networks(spark, seed):
         for j in down[i]:
             q[j] += q[i]
             level[j] = max(level[j], level[i] + 1)
-    links = edge_table(spark, pairs).cache()
-    assert as_list(network.accumulate(flow_table(spark, local), links)) == list(q.values())
+    closure = network.powers(edge_table(spark, pairs), n)
+    assert as_list(network.accumulate(flow_table(spark, local), closure)) == list(q.values())
     segments = spark.range(1, n + 1).withColumnRenamed("id", "comid")
-    assert {r.comid: r.topo_level for r in network.levels(segments, links).collect()} == level
+    assert {r.comid: r.topo_level for r in network.levels(segments, closure).collect()} == level
     expected = set()
     for s in (1, 5, 9):
         hops, front = {s: 0}, [s]
@@ -85,15 +92,16 @@ def test_random_networks(spark, seed):
             front = [j for i in front for j in down[i] if j not in hops and not hops.update({j: hops[i] + 1})]
         expected |= {(s, i, h) for i, h in hops.items()}
     sources = spark.createDataFrame([(1,), (5,), (9,)], "comid long")
-    assert {tuple(r) for r in network.reach(sources, links, n).collect()} == expected
+    assert {tuple(r) for r in network.reach(sources, closure).collect()} == expected
 
 
 def loss_case(spark, pairs, local, ends):
     links, n = edge_table(spark, pairs), len(local)
     steps = spark.createDataFrame([(k, up, ds, f) for k, (up, ds, f) in enumerate(ends)], "step long, up long, ds long, loss double")
-    rows = control_points.paths(steps, links, n)
+    closure = network.powers(links, n)
+    rows = control_points.paths(steps, links, closure)
     steps = steps.join(rows.select("step").distinct(), "step", "left_semi")
-    flow = network.accumulate(flow_table(spark, local), links)
+    flow = network.accumulate(flow_table(spark, local), closure)
     return as_list(folds.apply_losses(steps, control_points.members(rows), flow))
 
 
@@ -135,17 +143,35 @@ def test_random_losses_equal_a_plain_fold(spark):
     assert loss_case(spark, pairs, local, ends) == pytest.approx(list(q.values()))
 
 
+def test_rivers_are_folded_apart(spark):
+    """Two rivers and a step that no other touches, with steps in mixed order."""
+    pairs = [(1, 2), (2, 3), (11, 12), (12, 13), (21, 22)]
+    flow = spark.createDataFrame([(i, float(i)) for i in (1, 2, 3, 11, 12, 13, 21, 22)], "comid long, q double")
+    closure = network.powers(edge_table(spark, pairs), 8)
+    steps = spark.createDataFrame([(0, 11, 13, 0.5), (1, 1, 3, 0.25), (2, 12, 13, 0.5), (3, 1, 2, 0.0), (4, 21, 22, 1.0)], "step long, up long, ds long, loss double")
+    rows = control_points.paths(steps, edge_table(spark, pairs), closure)
+    q = {i: float(i) for i in (1, 2, 3, 11, 12, 13, 21, 22)}
+    for up, ds, loss, path in ((11, 13, 0.5, (12, 13)), (1, 3, 0.25, (2, 3)), (12, 13, 0.5, (13,)), (1, 2, 0.0, (2,)), (21, 22, 1.0, (22,))):
+        scale = q[up] * (1 - loss) / q[ds]
+        for i in path:
+            q[i] *= scale
+    got = {r.comid: r.q for r in folds.apply_losses(steps, control_points.members(rows), flow).collect()}
+    assert got == q  # to the last digit
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
 @pytest.mark.parametrize(
     ("observed", "expected"),
     [([("A", 2, 6.0)], (1, 6, 14)), ([("A", 2, 6.0), ("B", 1, 3.0)], (3, 18, 42)), ([("A", 1, 0.0), ("B", 2, 5.0)], (0, 0, 0)), ([("A", 99, 5.0)], (1, 3, 7))],
 )
-def test_gages(spark, observed, expected):
-    links = edge_table(spark, CHAIN)
-    flow = network.accumulate(flow_table(spark, (1, 2, 4)), links)
+def test_gages(spark, monkeypatch, sent, observed, expected):
+    monkeypatch.setattr(folds, "SENT_PAIRS", sent)
+    closure = network.powers(edge_table(spark, CHAIN), 3)
+    flow = network.accumulate(flow_table(spark, (1, 2, 4)), closure)
     dates = spark.createDataFrame([(date(2010, 1, 1),), (date(2010, 2, 1),)], "date date")
     monthly = flow.crossJoin(dates).select("date", "comid", F.col("q").alias("flow_cms"))
     obs = spark.createDataFrame([(date(2010, 1, 1), g, c, v) for g, c, v in observed], "date date, gage_id string, comid long, flow_cms double")
-    reached = network.reach(obs.select("comid").where("comid < 4"), links, 3)
+    reached = network.reach(obs.select("comid").where("comid < 4"), closure)
     got = folds.enforce_gages(obs, reached, monthly).orderBy("date", "comid").collect()
     assert [r.flow_cms for r in got] == pytest.approx([*expected, 1, 3, 7])
 
@@ -161,6 +187,20 @@ def test_calibration(spark):
     for bad in (obs.limit(0), obs.withColumn("comid", F.lit(9).cast("long")), obs.withColumn("date", F.lit(date(2011, 1, 1)))):
         with pytest.raises(ValueError, match="gage|calibration"):
             gages.calibrate(bad, unit, dates, 1)
+    two = obs.unionByName(obs.withColumn("flow_cms", F.lit(None).cast("double")))
+    assert all(r.rmse != r.rmse for r in gages.calibration_table(two, unit).collect())
+    for unknown in (two, obs.withColumn("flow_cms", F.lit(float("nan")))):
+        with pytest.raises(ValueError, match="unknown flows"):
+            gages.calibrate(unknown, unit, dates, 1)
+
+
+def test_the_calibrations_error_does_not_cancel(spark):
+    """A good fit of large flows: sums of squares would lose the error."""
+    coeff = 0.0001 + 4 * (0.0049 / 29)
+    flows = [coeff * 1e6 * 1e6 * k / 2592000 + 1e-4 for k in range(1, 20)]
+    obs = spark.createDataFrame([(date(2010, 1, 1), "A", k, v) for k, v in enumerate(flows, 1)], "date date, gage_id string, comid long, flow_cms double")
+    row = gages.best_coefficient(gages.calibration_table(obs, flow_table(spark, [1e6 * k for k in range(1, 20)]))).first()
+    assert row.rmse == pytest.approx(1e-4, rel=1e-3)
 
 
 def test_local_area(spark):
@@ -191,6 +231,21 @@ def test_routed(spark):
     assert [r.fromnode for r in network.routed(df.select("nhdplusid", "permanent_"), vaa).collect()] == [5.0]
 
 
+def test_nearest_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(control_points, "FAR_QUERIES", 3)
+    rng = random.Random(3)
+    sites = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(30)]
+    queries = [(f"q{i}", rng.uniform(-50, 400), rng.uniform(-50, 150)) for i in range(60)]
+    got = {r.qid: r.comid for r in control_points.nearest(spark.createDataFrame(queries, "qid string, x double, y double"), spark.createDataFrame(sites, "comid long, x double, y double"), 4.0).collect()}
+    assert got == {q: min(sites, key=lambda s: (s[1] - x) ** 2 + (s[2] - y) ** 2)[0] for q, x, y in queries}
+
+
+def test_a_control_point_without_a_place_is_an_error(spark):
+    points = spark.createDataFrame([("A", "B", 0.1, 0, None, 0.0)], "UP_CP string, Next_DS_CP string, ChLosFac double, file_row long, x double, y double")
+    with pytest.raises(ValueError, match="no place"):
+        control_points.snap(points, spark.createDataFrame([(1, 10.0, 0.0)], "comid long, x double, y double"), 50.0)
+
+
 def test_snapping_and_keep_first(spark):
     points = spark.createDataFrame([("A", "B", 0.1, 0, 0.0, 0.0), ("B", None, 0.2, 1, 900.0, 0.0), ("A", "B", 0.3, 2, 500.0, 500.0), ("C", "Z", 0.0, 3, 1e7, 1e7)], "UP_CP string, Next_DS_CP string, ChLosFac double, file_row long, x double, y double")
     sites = spark.createDataFrame([(1, 10.0, 0.0), (2, 1000.0, 0.0), (3, -10.0, 0.0)], "comid long, x double, y double")

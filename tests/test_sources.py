@@ -31,9 +31,10 @@ def test_flo(spark, tmp_path):
     path.write_text("short\n")
     with pytest.raises(ValueError, match="no flow rows"):
         flo.read(spark, str(path))
-    path.write_text(f"S1 2010 {values.replace('120', 'x')}\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        flo.read(spark, str(path)).collect()
+    for bad in (f"S1 2010 {values.replace('120', 'x')}", f"S1 2010 x {values}", f"S1 201x {values}"):
+        path.write_text(f"S0 2011 {values}\n{bad}\n")
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):  # by reading alone, whatever is used of it
+            flo.read(spark, str(path))
 
 
 def test_stream_reads_each_file_once(spark, tmp_path):
@@ -56,7 +57,7 @@ def test_scalars(spark):
     assert one(spark, columns.clipped(F.lit(1e30))) == 1e20
     assert [one(spark, columns.whole_id(F.lit(v))) for v in (0.5, 1.5, 2.4)] == [0, 2, 2]
     assert [one(spark, columns.number(F.lit(v))) for v in ("1.5", "x", "NaN")] == [1.5, None, None]
-    assert [r.coeff for r in columns.linspace(spark, 0.0, 1.0, 3).orderBy("i").collect()] == [0.0, 0.5, 1.0]
+    assert columns.linspace(0.0, 1.0, 3) == [0.0, 0.5, 1.0] and columns.linspace(2.0, 9.0, 1) == [2.0] and columns.linspace(0.0001, 0.005, 30)[-1] == 0.005
     with pytest.raises(KeyError):
         columns.require(spark.range(1), "x")
     with pytest.raises(ValueError, match="case"):
@@ -71,6 +72,13 @@ def test_utm(spark):
     assert [crs.utm_zone(*b) for b in ((-98, -96), (-180, -180), (179, 180))] == [14, 1, 60]
 
 
+def test_unknown_flows_are_empty_in_the_csv(spark, tmp_path):
+    flows = spark.createDataFrame([(date(2010, 1, 1), 7, float("nan"), 31.5, None, 0), (date(2010, 1, 1), 8, 2.5, 31.5, -97.0, 1)], "date date, comid long, flow_cms double, lat double, lon double, topo_level long")
+    for _ in range(2):  # a file that is there is replaced
+        sinks.write_flows(flows, str(tmp_path / "o.csv"))
+    assert (tmp_path / "o.csv").read_text() == "date,COMID,flow_cms,lat,lon\n2010-01-01,7,,31.5,\n2010-01-01,8,2.5,31.5,-97.0\n"
+
+
 def line(*points):
     return [[{"x": float(x), "y": float(y)} for x, y in points]]
 
@@ -135,12 +143,14 @@ def test_point_shapefile_round_trip(spark, tmp_path):
         sinks.write_points(flows, str(tmp_path / "x.shp"), "2011-01-01")
 
 
-def polyline(path, shapes, names):
+def polyline(path, shapes, names, bounds=False):
     """A line shapefile with one text field."""
     shp, dbf = bytearray(), bytearray(struct.pack("<4BIHH20x", 3, 126, 1, 1, len(shapes), 65, 11))
     dbf += struct.pack("<11sc4xBB14x", b"NAME", b"C", 10, 0) + b"\r"
     for i, (points, name) in enumerate(zip(shapes, names)):
-        body = struct.pack("<i4d2ii", 3, 0, 0, 0, 0, 1, len(points), 0) + b"".join(struct.pack("<2d", *p) for p in points)
+        xs, ys = zip(*points)
+        box = (min(xs), min(ys), max(xs), max(ys)) if bounds else (0, 0, 0, 0)
+        body = struct.pack("<i4d2ii", 3, *box, 1, len(points), 0) + b"".join(struct.pack("<2d", *p) for p in points)
         shp += struct.pack(">2i", i + 1, len(body) // 2) + body
         dbf += b" " + name.encode().ljust(10)
     head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(shp)) // 2) + struct.pack("<2i8d", 1000, 3, *[0.0] * 8)
@@ -148,6 +158,61 @@ def polyline(path, shapes, names):
     path.with_suffix(".dbf").write_bytes(dbf)
 
 
+def test_shapes_outside_the_bounds_are_not_read(spark, tmp_path):
+    polyline(tmp_path / "a", [[(0, 0), (0, 1)], [(50, 2), (50, 3)]], ["in", "out"], bounds=True)
+    rows = shapefile.read(spark, str(tmp_path / "a.shp"), (-1, -1, 1, 1)).orderBy("file_row").collect()
+    assert [(r.NAME, r.parts is None) for r in rows] == [("in", False), ("out", True)]
+    boxes = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0), ("b", 5.0, 5.0, 6.0, 6.0)], "Permanent_ string, xmin double, ymin double, xmax double, ymax double")
+    boxes.write.parquet(str(tmp_path / "b.parquet"))
+    pruned = flowlines.read(spark, str(tmp_path / "b.parquet"), None, (0.5, 0.5, 2.0, 2.0))
+    assert [r.permanent_ for r in pruned.collect()] == ["a"]
+    assert "PushedFilters: [IsNotNull" in pruned._jdf.queryExecution().toString() and tables.read_any(spark, str(tmp_path / "b.parquet")).count() == 2
+    boxes.drop("Permanent_").write.parquet(str(tmp_path / "c.parquet"))
+    assert tables.read_any(spark, str(tmp_path / "c.parquet"), (0.5, 0.5, 2.0, 2.0)).count() == 2  # their place is their id
+
+
+def test_geojson_lines(spark, tmp_path):
+    (tmp_path / "layer.geojsonl").write_text(
+        """{"type":"Feature","properties":{"NHDPlusID":1.5,"Permanent_Identifier":"a"},"geometry":{"type":"LineString","coordinates":[[1,2,9],[3,4,9]]}}
+{"type":"Feature","properties":{"NHDPlusID":2},"geometry":{"type":"MultiLineString","coordinates":[[[1,2],[3,4]],[[5,6],[7,8]]]}}
+
+{"type":"Feature","properties":{},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}}
+{"type":"Feature","properties":{"Permanent_Identifier":"p"},"geometry":{"type":"Point","coordinates":[8,9]}}
+{"type":"Feature","properties":{"Permanent_Identifier":"n"},"geometry":null}
+"""
+    )
+    rows = flowlines.read(spark, str(tmp_path / "layer.geojsonl")).collect()
+    shapes = [r.parts and [[(p.x, p.y) for p in part] for part in r.parts] for r in rows]
+    assert shapes == [[[(1, 2), (3, 4)]], [[(1, 2), (3, 4)], [(5, 6), (7, 8)]], [[(0, 0), (1, 0), (1, 1), (0, 0)], [(5, 5), (6, 5), (6, 6), (5, 5)]], [[(8, 9)]], None]
+    assert [(r.nhdplusid, r.permanent_) for r in rows[:2]] == [(1.5, "a"), (2.0, None)]
+    (tmp_path / "bad.geojsonl").write_text('{"a": 1}\n')
+    with pytest.raises(ValueError, match="features"):
+        tables.read_any(spark, str(tmp_path / "bad.geojsonl"))
+
+
+def wkb(kind, points, order="<", dims=2, head=None):
+    mark = b"\x01" if order == "<" else b"\x00"
+    flat = [v for p in points for v in p]
+    return mark + (head or struct.pack(order + "I", kind)) + struct.pack(order + "I", len(points)) + struct.pack(f"{order}{len(flat)}d", *flat)
+
+
+def test_well_known_binary(spark, tmp_path):
+    plain = [[{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": 4.0}]]
+    two, three = [(1, 2), (3, 4)], [(1, 2, 9), (3, 4, 9)]
+    assert geometry.wkb_parts(wkb(2, two)) == geometry.wkb_parts(wkb(2, two, ">")) == plain
+    assert geometry.wkb_parts(wkb(1002, three)) == geometry.wkb_parts(wkb(2, three, head=struct.pack("<I", 0x80000002))) == plain
+    assert geometry.wkb_parts(wkb(3002, [(1, 2, 8, 9), (3, 4, 8, 9)])) == plain
+    assert geometry.wkb_parts(wkb(2, two, head=struct.pack("<II", 0x20000002, 4326))) == plain
+    many = b"\x01" + struct.pack("<II", 5, 2) + wkb(2, two) + wkb(2, two, ">")
+    assert geometry.wkb_parts(many) == plain * 2
+    ring = b"\x01" + struct.pack("<II", 3, 1) + struct.pack("<I", 2) + struct.pack("<4d", 1, 2, 3, 4)
+    assert geometry.wkb_parts(ring) == plain and geometry.wkb_parts(b"\x01" + struct.pack("<I2d", 1, 1, 2)) == [[{"x": 1.0, "y": 2.0}]]
+    assert geometry.wkb_parts(None) is None
+    spark.createDataFrame([(1, wkb(2, two)), (2, None)], "NHDPlusID int, geometry binary").write.parquet(str(tmp_path / "g.parquet"))
+    rows = flowlines.read(spark, str(tmp_path / "g.parquet")).orderBy("nhdplusid").collect()
+    assert [r.parts and [[tuple(p) for p in part] for part in r.parts] for r in rows] == [[[(1.0, 2.0), (3.0, 4.0)]], None]
+
+
 def test_flowline_dispatch(spark, tmp_path):
     for i in (2, 1):
         polyline(tmp_path / f"NHDFlowline_{i}", [[(i, 0), (i, 1)], [(i, 2), (i, 3)]], [f"n{i}a", f"n{i}b"])
@@ -201,12 +266,29 @@ def test_archives(tmp_path):
     assert len(list((tmp_path / "_extracted_gdb").rglob("x.gdb"))) == 1
 
 
+#: The command line's options and their defaults, as they must be (fixed values).
+OPTIONS = {
+    "--flowline-source": "Shape", "--flowline-layer": None, "--vaa-file": "Shape/NHDFlowlineVAA.dbf", "--basin-shp": "river_basin/TWDB_MRBs_2014.shp", "--basin-name-field": "basin_name",
+    "--basin-name-value": "Brazos", "--cp-meta-file": None, "--flo-file": None, "--gage-crosswalk-file": None, "--output-file": "modeled_monthly_comid_flows.csv", "--output-shapefile": None,
+    "--shapefile-date": None, "--start-date": "2010-01-01", "--end-date": "2024-12-01", "--runoff-coeff-m-per-month": 0.0008, "--calibrate": False, "--calibration-months": 24,
+}
+
+
+@pytest.mark.parametrize(("flag", "default"), OPTIONS.items())
+def test_command_line(flag, default):
+    name = flag[2:].replace("-", "_")
+    assert getattr(parse_args([]), name) == default
+    given = [flag] if default is False else [flag, "7"]
+    assert getattr(parse_args(given), name) == (True if default is False else type(default)(7) if isinstance(default, (int, float)) else "7")
+    assert len(OPTIONS) == 17 == len(ModelConfig.of().__dict__)
+
+
 def test_configuration():
-    cfg = parse_args(["--calibrate", "--runoff-coeff", "0.001", "--vaa-file", ""])
+    cfg = parse_args(["--calibrate", "--runoff-coeff-m-per-month", "0.001", "--vaa-file", ""])
     assert cfg.calibrate and cfg.runoff_coeff_m_per_month == 0.001 and cfg.vaa_file == "" and cfg.basin_name_value == "Brazos"
     assert parse_args([]) == ModelConfig.of()
     assert ModelConfig.for_years(2010, 2011).end_date == "2011-12-01"
-    whole = {"basin_shp": "b", "cp_meta_file": "c", "flo_file": "f"}
+    whole = {"cp_meta_file": "c", "flo_file": "f"}
     assert ModelConfig.of(**whole).validated().end_date == "2024-12-01"
     for bad in ({"flo_file": ""}, {"end_date": "2001-01-01"}, {"runoff_coeff_m_per_month": 0.0}, {"shapefile_date": "2031-01-01"}):
         with pytest.raises(ValueError):
@@ -234,6 +316,8 @@ def test_model_run(spark, tmp_path):
     assert flow["2010-01-01", 4] == pytest.approx(local(4, 31) * target / local(3, 31))
     assert flow["2010-02-01", 3] == pytest.approx(0) and flow["2010-02-01", 2] == pytest.approx(local(2, 28)) and len(flow) == 8
     assert seen == sorted(seen) and seen[0] == 1 and seen[-1] == 100
+    assert (tmp_path / "out.csv").is_file() and not (tmp_path / "out.csv-parts").exists()
+    assert (tmp_path / "out.csv").read_text().splitlines()[0] == "date,COMID,flow_cms,lat,lon"
     written = spark.read.csv(str(tmp_path / "out.csv"), header=True).collect()
     assert [(r.date, r.COMID) for r in written[:4]] == [("2010-01-01", c) for c in ("1", "2", "3", "4")]
     assert float(written[0].lat) == pytest.approx(31.05, abs=1e-3) and float(written[0].lon) == pytest.approx(-97, abs=1e-3)
