@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Cases, beside those that the stages' operators state: an empty table passes all stages and gives no pieces; null and
+empty texts fail the quality rules; rows with the same id, or without one, are judged one by one, and stay unless their
+texts are near copies; other columns are carried through unchanged, but n_chars, which follows a masked text; very long
+texts are judged, masked and packed whole. Without labels of both kinds the classifiers reject nothing.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freshet.llm import bytebpe, ngram_join, packing, pii, positive_unlabelled, quality
 from freshet.llm.common import documents, materialise
+from freshet.scratch import scope
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked in the texts; n_chars follows the text."""
-    return pii.masked(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    masked = pii.masked(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    with scope(spark) as held:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+            held.release(docs)  # the tables of the stages before have served
+        held.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

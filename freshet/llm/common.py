@@ -53,7 +53,8 @@ def numbered(df: DataFrame, order: list, tag: str, within: list[str] | None = No
     """Add `row_no` (from 0, gapless) over the total order `order`; with `within`, add `group_no` too, the number inside each group.
 
     One range shuffle sorts the rows; only counts per partition (and group) are combined, so no group is ever gathered in a task.
-    The sorted rows are written once, so that the numbers can't change when a partition is computed again.
+    The sorted rows are written once, so that the numbers can't change when a partition is computed again. What is
+    broadcast has a row for each of `partitions`, whatever the table.
     """
     spark = df.sparkSession
     within = within or []

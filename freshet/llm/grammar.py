@@ -11,8 +11,9 @@ bit of a symbol, one bit per symbol), `n_symbols`; beside them the documents' id
 
 Blocks are rows of a Parquet table in the shared folder, so Spark's commit protocol covers lost executors.
 
-Cases: a null or empty text is the end id alone; an empty table has no blocks; repeated ids keep their rows, in
-order of arrival; other columns are ignored.
+Cases: a null or empty text is the end id alone; an empty table has no blocks; repeated ids keep their rows, in the
+order of their texts' hashes, null ids first, so that starts are the same in every run; a very long text is one document
+of one block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,7 +185,10 @@ def write_blocks(df: DataFrame, tokenizer: str, end: int = END, block_ids: int =
             yield close()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id go by their texts. Rows with the same id and text are alike: their number only keeps them from one range.
+    order = ["doc_id", "_h1", "_h2", "_row"]
+    keyed = rows.select("*", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(7), "text").alias("_h2"), F.monotonically_increasing_id().alias("_row"))
+    ordered = keyed.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialise(ordered.mapInArrow(run, BLOCK_SCHEMA), "grammar-blocks")
 
 
@@ -208,5 +212,5 @@ def read_documents(blocks: DataFrame, keep_ids: bool = True) -> DataFrame:
                     out["ids"] = [p.astype(np.int32) for p in pieces]
                 yield to_batch(out, arrow)
 
-    # One row for each partition that was written: small by construction.
+    # One row for each partition that was written, as many as write_blocks was given.
     return blocks.join(F.broadcast(base.withColumnRenamed("base", "base_ids")), "part").mapInArrow(run, schema)

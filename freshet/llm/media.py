@@ -5,8 +5,9 @@ band of each frame the strongest bin is a peak if it isn't below the band's peak
 peak is paired with the next `FAN` peaks within `SPAN` frames; a pair is stored as the anchor's frame (time code)
 and a number made of both bins and their distance in time.
 
-Cases: a null or empty text is one block of fill bytes; equal texts give equal values; long texts are
-transformed in blocks of frames, so memory is bounded by the text itself.
+Cases: a null or empty text is one block of fill bytes; equal texts give equal values; repeated rows and null ids each
+get their row; an empty table gives no rows; long texts are transformed in blocks of frames, so memory is bounded by
+the text itself; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -225,8 +225,8 @@ def candidates(sets: DataFrame, recall: float = RECALL, small: int = SMALL, dept
         if large.isEmpty():
             break
         if level == 1:
-            groups = components(near_first(large, sets, least), "join-first").withColumnRenamed("node", "row")
-            stars.append(groups.selectExpr("row as a", "root as b"))
+            groups, links = first_groups(near_first(large, sets, least))
+            stars.append(links)
             tagged = materialise(large.drop("group").join(groups, "row", "left").select("node", "row", F.coalesce("root", "row").alias("group")), "join-tagged")
             mixed = tagged.groupBy("node").agg(F.min("group").alias("one"), F.max("group").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other").select("node", "n")
             large = spread_join(tagged, mixed, "node", tagged.count())
@@ -270,6 +270,20 @@ def near_first(large: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return map_rows(both.select("a", "b", "brief_a", "brief_b"), "a long, b long", agree)
 
 
+def first_groups(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """row and root, a set that the row is linked with through edges (a, b) of `near`; and edges that link the same sets, one or two for each a.
+
+    The root is the least b of any a that shares a b: all of a large cluster find the same one, as a rule.
+    """
+    near = materialise(near, "join-near")
+    least = near.groupBy("a").agg(F.min("b").alias("least"))
+    of_b = near.join(least, "a").groupBy("b").agg(F.min("least").alias("root"), F.count(F.lit(1)).alias("n"))
+    pairs = spread_join(near, of_b, "b", near.count())
+    groups = materialise(pairs.groupBy(F.col("a").alias("row")).agg(F.min("root").alias("root"), F.collect_set("b").alias("others")), "join-first")  # as many others as runs have first coordinates
+    links = groups.select(F.col("row").alias("a"), F.col("root").alias("b")).unionAll(groups.select(F.col("root").alias("a"), F.explode("others").alias("b")).distinct())
+    return groups.select("row", "root"), links
+
+
 def linked(value: np.ndarray, of: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (left, right) of sets with a similarity of at least THRESHOLD; `value` holds all sets' n-grams, `of` their set."""
     order = np.argsort(value, kind="stable")
@@ -437,20 +451,23 @@ def decided(rings: DataFrame, far: DataFrame, block: int) -> tuple[DataFrame, Da
     return sure, met.select(F.xxhash64("group", F.least("me", "other"), F.greatest("me", "other")).alias("block"), "row", "copies", (F.col("me") > F.col("other")).cast("int").alias("side"), (F.col("me") == F.col("other")).alias("own"))
 
 
-def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK) -> DataFrame:
-    """row, root, links: each set's number of linked documents and its local root, once for each block that it is in.
+def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK) -> tuple[DataFrame, bool]:
+    """row, root, links, settled: each set's number of linked documents and its local root, once for each block that it is in;
+    where settled, the local root is the only one. And whether any row isn't settled.
 
     `groups` is as placed_sets has it. Sets are read again from the documents.
     """
     spark = docs.sparkSession
     held = materialise(placed_sets(groups, docs, n, block), "join-placed")
-    blocks = held.where("chunks = 1").select(F.xxhash64("group").alias("block"), "row", "copies", F.lit(0).alias("side"), F.lit(True).alias("own"), "grams")
-    sure = None
+    blocks = held.where("chunks = 1").select(F.xxhash64("group").alias("block"), "row", "copies", F.lit(0).alias("side"), F.lit(True).alias("own"), "grams", F.lit(True).alias("settled"))
+    sure, is_open = None, False
     large = held.where("chunks > 1")
     if not large.isEmpty():
         sure, met = decided(*ringed(large), block)
-        blocks = blocks.unionByName(met.join(large.select("row", "grams"), "row"))
-    out_schema = "row long, root long, links long"
+        met = materialise(met, "join-met")
+        if is_open := not met.isEmpty():
+            blocks = blocks.unionByName(met.join(large.select("row", "grams"), "row").withColumn("settled", F.lit(False)))
+    out_schema = "row long, root long, links long, settled boolean"
     arrow = arrow_schema(spark, out_schema)
 
     def compare(key: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -473,11 +490,11 @@ def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK)
                 np.add.at(links, low + a, copies[low + b])
                 np.add.at(links, low + b, copies[low + a])
             root[low:high] = low + local_roots(high - low, a, b)
-        yield to_batch({"row": row, "root": row[root], "links": links}, arrow)
+        yield to_batch({"row": row, "root": row[root], "links": links, "settled": table["settled"].combine_chunks()}, arrow)
 
     parts = shuffle_partitions(spark)
     out = blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda batches: by_key(batches, "block", compare), out_schema)
-    return out if sure is None else out.unionByName(sure)
+    return (out if sure is None else out.unionByName(sure.withColumn("settled", F.lit(not is_open)))), is_open
 
 
 def join(df: DataFrame, n: int = N, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
@@ -506,11 +523,14 @@ def classified(df: DataFrame, n: int = N, recall: float = RECALL, small: int = S
             grouped = materialise(groups.select(F.col("node").alias("row"), F.col("root").alias("group")).join(of_set, "row"), "join-grouped")
             inner.keep(grouped)
         with scope(spark) as inner:
-            checked = materialise(verified(grouped, df, n, block), "join-checked")
+            checked, is_open = verified(grouped, df, n, block)
+            checked = materialise(checked, "join-checked")
             inner.keep(checked)
-        found = checked.groupBy(F.col("row").alias("rep")).agg(F.sum("links").alias("links"))
-        classes = components(checked.select(F.col("row").alias("a"), F.col("root").alias("b")), "join-links").withColumnRenamed("node", "rep")
-        whole = equal.select("rep", "key1", "key2", "copies", "least_id").join(found, "rep", "left").join(classes, "rep", "left")
+        found = checked.groupBy(F.col("row").alias("rep")).agg(F.sum("links").alias("links"), F.min(F.when(F.col("settled"), F.col("root"))).alias("root"))
+        if is_open:
+            classes = components(checked.where("not settled").select(F.col("row").alias("a"), F.col("root").alias("b")), "join-links")
+            found = found.join(classes.select(F.col("node").alias("rep"), F.col("root").alias("joined")), "rep", "left").select("rep", "links", F.coalesce("root", "joined").alias("root"))
+        whole = equal.select("rep", "key1", "key2", "copies", "least_id").join(found, "rep", "left")
         whole = materialise(whole.select("key1", "key2", "copies", "least_id", F.coalesce("root", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "join-whole")
         names = whole.groupBy("class").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
         named = spread_join(whole, names, "class", whole.count()).select("key1", "key2", "class", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"))

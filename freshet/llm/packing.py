@@ -7,8 +7,8 @@ left finds the multiset that comes closest to the rest of the window, backtracki
 used, and the window is repeated as often as the counts allow. Pieces then take their places by their rank among
 pieces of equal length; ranks come from counts per partition, so a length that many pieces share is never gathered.
 
-Cases: a null or empty text is one piece of the end id alone; an empty table gives no rows; repeated rows are packed
-like others; other columns are ignored.
+Cases: a null or empty text is one piece of the end id alone; an empty table gives no rows; repeated rows and null ids
+are packed like others; a very long text is cut into as many pieces as it needs; other columns are ignored.
 """
 
 from __future__ import annotations

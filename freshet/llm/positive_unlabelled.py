@@ -14,7 +14,9 @@ on average, as many as the descent has steps at most, and a step sums the gradie
 document is used once or more. Sums are of whole numbers and don't depend on how the table is dealt. All of it keeps to
 rows outside the held-out fold. Every document is scored whole, from its text alone.
 
-Cases: null and empty texts get the score of a text without features; without positives every score is 1.
+Cases: null and empty texts get the score of a text without features; without positives every score is 1; an empty
+table gives no rows; documents that share an id give one row to the first classifier's sample, and each its own score;
+a null id is scored but not trained on; a very long text is one row, held whole by its task; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from freshet.llm import linear, quality, textfeatures
 from freshet.llm.common import map_rows, materialise
+from freshet.scratch import scope
 
 POSITIVES = 2000
 UNLABELLED = 3000
@@ -37,7 +40,7 @@ FOLDS = 5
 THRESHOLD = 0.3
 FIRST = (40, 0.05, 1e-4)  # steps, rate and weight decay of the first classifier
 SECOND = (40, 0.01, 1e-5)  # and of the descent from it
-TASKS = 48  # that sum a part at most; the driver adds up as many arrays of DIM numbers
+TASKS = 48  # sums of DIM numbers that the driver adds up, at most
 
 
 def fold(id_col: Column) -> Column:
@@ -67,13 +70,30 @@ def risk(p: np.ndarray, u_mean: float, prior: float) -> float:
 
 
 def tried(z: np.ndarray) -> list[tuple[float, float]]:
-    """Slopes, and the positives' lower quantiles as zero, to try on the products; `z` are the positives'."""
+    """Slopes, and points to take as zero, to try on the products; `z` are the positives'.
+
+    The sigmoid loss is flat far from zero, so the descent needs products of about 1 with a zero between the kinds. The
+    positives' kind ends below nearly all of them: zeros lie under a few low quantiles, by a part of the distance from
+    the median to the first percentile. The data decide between them, by the least risk.
+    """
     zeros = np.quantile(z, [0.002, 0.005, 0.01, 0.02, 0.05]) - 0.3 * (np.median(z) - np.quantile(z, 0.01))
     return [(slope, float(zero)) for slope in (1.0, 2.0, 4.0) for zero in zeros]
 
 
+def packed(total: np.ndarray) -> pa.RecordBatch:
+    """Whole numbers byte by byte, most of which are zero, compressed: small results keep the driver's memory small."""
+    return pa.RecordBatch.from_pydict({"total": pa.array([zlib.compress(total.view(np.uint8).reshape(len(total), 8).T.tobytes(), 1)], pa.binary())})
+
+
+def unpacked(held: pa.Scalar, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(held.as_buffer()), np.uint8).reshape(8, n).T).view(np.int64)[:, 0]
+
+
 def summed(part: DataFrame, add: Callable[[textfeatures.Group, np.ndarray], np.ndarray], n: int) -> np.ndarray:
-    """`n` whole numbers: what `add` gives for each group of texts of `part` and their ids, added up."""
+    """`n` whole numbers: what `add` gives for each group of texts of `part` and their ids, added up.
+
+    Each task adds up its texts; where there are more than TASKS of them, a second level of tasks adds up their sums.
+    """
 
     def run(batches):
         total = np.zeros(n, np.int64)
@@ -81,14 +101,21 @@ def summed(part: DataFrame, add: Callable[[textfeatures.Group, np.ndarray], np.n
             ids = batch.column(0).to_numpy()
             for first, group in textfeatures.groups(batch.column(1).to_pylist()):
                 total += add(group, ids[first : first + group.n])
-        # Byte by byte of the numbers, most of which are zero: small results keep the driver's memory small.
-        packed = zlib.compress(total.view(np.uint8).reshape(n, 8).T.tobytes(), 1)
-        yield pa.RecordBatch.from_pydict({"total": pa.array([packed], pa.binary())})
+        yield packed(total)
+
+    def again(batches):
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for held in batch.column(0):
+                total += unpacked(held, n)
+        yield packed(total)
 
-    tasks = min(part.sparkSession.sparkContext.defaultParallelism, TASKS)
+    sums = part.select("doc_id", "text").mapInArrow(run, "total binary")
+    if sums._jdf.queryExecution().toRdd().getNumPartitions() > TASKS:
+        sums = sums.repartition(TASKS).mapInArrow(again, "total binary")
     out = np.zeros(n, np.int64)
-    for held in part.select("doc_id", "text").coalesce(tasks).mapInArrow(run, "total binary").toArrow()["total"]:
-        out += np.ascontiguousarray(np.frombuffer(zlib.decompress(held.as_buffer()), np.uint8).reshape(8, n).T).view(np.int64)[:, 0]
+    for held in sums.toArrow()["total"]:
+        out += unpacked(held, n)
     pa.default_memory_pool().release_unused()
     return out
 
@@ -114,12 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rows = linear.Rows(rows.number[:end].copy(), rows.value[:end].copy(), rows.starts[: n_p + 1])  # the positives
     z = rows.product(weights) + bias
 
-    parts = max(1, min(SECOND[0], all_text.count() // max(1, unlabelled)))
-    dealt = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id"), F.lit(parts)).cast("int")
-    texts = materialise(all_text.withColumn("part", dealt).coalesce(8 * docs.sparkSession.sparkContext.defaultParallelism), "pu-texts", "part")
-    prior, slope, shift = start(texts, weights, bias, z, apart[:n_p], seen)
-    weights, bias = descent(texts, parts, rows, prior, (slope * weights, slope * bias + shift))
-    return quality.Model(weights, bias), prior
+    with scope(docs.sparkSession):
+        parts = max(1, min(SECOND[0], all_text.count() // max(1, unlabelled)))
+        dealt = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id"), F.lit(parts)).cast("int")
+        texts = materialise(all_text.withColumn("part", dealt).coalesce(8 * docs.sparkSession.sparkContext.defaultParallelism), "pu-texts", "part")
+        prior, slope, shift = start(texts, weights, bias, z, apart[:n_p], seen)
+        weights, bias = descent(texts, parts, rows, prior, (slope * weights, slope * bias + shift))
+        return quality.Model(weights, bias), prior
 
 
 def start(texts: DataFrame, weights: np.ndarray, bias: float, z: np.ndarray, apart: np.ndarray, seen: np.ndarray) -> tuple[float, float, float]:

@@ -7,8 +7,10 @@ give shards that match the mixture and differ by one row at most.
 Only ids, sources and hashes are sorted, never texts. Both sorts are range shuffles, and a source of any size is
 ranked by adding up counts per partition, so no source is gathered in a task.
 
-Cases: a null source is a stratum of its own; null texts have no bytes; an empty table gives no rows; repeated
-rows are rows like others; ties are broken by source and id.
+Cases: a null source is a stratum of its own; null texts have no bytes; an empty table gives no rows; rows with null
+or repeated ids are shuffled by their texts' sizes and checksums too; rows alike in all of these are rows like others,
+and it makes no difference which of them takes which place. Equal fractions go by source. Texts of any length are only
+measured. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,11 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string"))).alias("_stratum"),
-            F.xxhash64(F.lit(seed), F.col(id_col)).alias("_shuffled"),
-        ),
+        ).withColumn("_shuffled", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")),
         "shard-rows",
-    )
+    ).withColumn("_row", F.monotonically_increasing_id())
     total = small.count()
-    ranked = numbered(small, ["_stratum", "_shuffled", "doc_id"], "shard-strata", within=["_stratum"])
+    ranked = numbered(small, ["_stratum", "_shuffled", "doc_id", "text_crc32", "size", "_row"], "shard-strata", within=["_stratum"])
     strata = ranked.groupBy("_stratum").agg(F.min("row_no").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     places = ranked.select("_part", "_stratum").distinct().join(strata, "_stratum")
     fraction = (F.col("row_no") - F.col("_first") + 0.5) / F.col("_rows")

@@ -7,7 +7,8 @@ first character of a word, so every encoding starts a new word there, whatever l
 boundaries within `GUARD` bytes of its end aren't used: what follows could still change them. When an
 overlap holds no such boundary it is widened, at last to the whole chunk, and then the chunk grows.
 
-Cases: null text counts as empty (0 tokens); repeated rows each get their row; other columns are ignored.
+Cases: null text counts as empty (0 tokens); an empty table gives no rows; repeated rows and null ids each get their
+row; texts of any length are counted whole, chunk by chunk; other columns are ignored.
 """
 
 from __future__ import annotations

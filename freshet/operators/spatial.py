@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import geometry
@@ -54,12 +56,12 @@ def _cells(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
 
 
-def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> F.Column:
+def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> Column:
     c = F.col
     return (c(bx) - c(ax)) * (c(py) - c(ay)) - (c(by) - c(ay)) * (c(px) - c(ax))
 
 
-def _within(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> F.Column:
+def _within(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> Column:
     return F.col(px).between(F.least(ax, bx), F.greatest(ax, bx)) & F.col(py).between(F.least(ay, by), F.greatest(ay, by))
 
 
@@ -67,7 +69,8 @@ def intersecting(lines: DataFrame, polygons: DataFrame, size: float | None = Non
     """The lines (comid, parts, ...) that touch any polygon (parts: rings, even-odd), whole.
 
     A line touches a polygon when one of its segments crosses or touches an edge of it, or else when its parts' first
-    points lie inside. Segments and edges meet in equal cells; points meet the edges of their row of cells. Lines outside
+    points lie inside. Segments and edges meet in equal cells. For points, each cell's corner is known to lie inside or not, and
+    only the edges of the point's own cell that are passed on the way from there change that. Lines outside
     the polygons' bounds drop out first. `size` is the cells' width, by default a 64th of the polygons' extent.
     """
     box = geometry.bounds(polygons)
@@ -100,9 +103,37 @@ def intersecting(lines: DataFrame, polygons: DataFrame, size: float | None = Non
     crossing = spread.join(edge_cells, ["cx", "cy"]).where(touches | crosses).select("comid")
 
     starts = inside_box.select("comid", F.posexplode("parts").alias("part", "points")).select("comid", "part", F.col("points")[0]["x"].alias("px"), F.col("points")[0]["y"].alias("py"))
-    rows = lambda df, low, high: df.withColumn("cy", F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
-    bands = rows(edge.withColumn("low", F.least("ey1", "ey2")).withColumn("high", F.greatest("ey1", "ey2")), "low", "high")
-    ray = starts.withColumn("cy", F.floor(F.col("py") / size)).join(bands, "cy")
-    right = ((F.col("ey1") > F.col("py")) != (F.col("ey2") > F.col("py"))) & (F.col("px") < (F.col("ex2") - F.col("ex1")) * (F.col("py") - F.col("ey1")) / F.nullif(F.col("ey2") - F.col("ey1"), F.lit(0.0)) + F.col("ex1"))
-    inside = ray.where(right).groupBy("comid", "part", "polygon").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("comid")
+    starts = starts.withColumn("cx", F.floor(F.col("px") / size)).withColumn("cy", F.floor(F.col("py") / size))
+    odd = starts.join(_odd_cells(edge, size, west), ["cx", "cy"]).select("comid", "part", "polygon", F.lit(1).alias("n"))
+    left, low = F.col("cx") * F.lit(size), F.col("cy") * F.lit(size)
+    up = _passes("ex1", "ex2", left) & ((_at(left, "x", "y") > low) != (_at(left, "x", "y") > F.col("py")))
+    along = _passes("ey1", "ey2", F.col("py")) & ((_at(F.col("py"), "y", "x") > left) != (_at(F.col("py"), "y", "x") > F.col("px")))
+    legs = up.cast("int") + along.cast("int")
+    passed = starts.join(edge_cells, ["cx", "cy"]).select("comid", "part", "polygon", legs.alias("n")).where("n > 0")
+    inside = odd.unionAll(passed).groupBy("comid", "part", "polygon").agg(F.sum("n").alias("n")).where("n % 2 = 1").select("comid")
     return lines.join(crossing.unionAll(inside).distinct(), "comid", "left_semi")
+
+
+def _passes(a: str, b: str, level: Column) -> Column:
+    """Whether an edge's ends lie on two sides of a level; an end on the level counts as below it."""
+    return (F.col(a) > level) != (F.col(b) > level)
+
+
+def _at(level: Column, axis: str, other: str) -> Column:
+    """Where an edge passes a level of an axis, on the other axis; null where it runs along it."""
+    a1, a2, b1, b2 = (F.col(f"e{c}{i}") for c in (axis, other) for i in (1, 2))
+    return b1 + (level - a1) * (b2 - b1) / F.nullif(a2 - a1, F.lit(0.0))
+
+
+def _odd_cells(edge: DataFrame, size: float, west: float) -> DataFrame:
+    """polygon, cx, cy of the cells whose lower left corner has an odd number of the polygon's edges to its right, so lies inside."""
+    row = F.sequence(F.floor(F.least("ey1", "ey2") / size), F.floor(F.greatest("ey1", "ey2") / size))
+    level = F.col("cy") * F.lit(size)
+    passed = edge.withColumn("cy", F.explode(row)).where(_passes("ey1", "ey2", level))
+    # An edge lies to the right of the corners up to `last`.
+    counts = passed.groupBy("polygon", "cy", (F.ceil(_at(level, "y", "x") / size) - 1).alias("last")).agg(F.count(F.lit(1)).alias("n"))
+    # In a row of cells, as many numbers as cells: from the right, how many edges follow, and where the next one to the left is.
+    from_right = Window.partitionBy("polygon", "cy").orderBy(F.desc("last"))
+    first = F.lit(math.floor(west / size) - 1).cast("long")
+    runs = counts.select("polygon", "cy", "last", F.coalesce(F.lead("last").over(from_right), first).alias("before"), F.sum("n").over(from_right).alias("n"))
+    return runs.where("n % 2 = 1 and last > before").select("polygon", "cy", F.explode(F.sequence(F.col("before") + 1, F.col("last"))).alias("cx"))

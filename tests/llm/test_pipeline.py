@@ -60,3 +60,27 @@ def test_stages(spark, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.start, r.ids_crc32) for r in packed)
     assert max(r.offset + r.length for r in whole) <= packing.CAPACITY
+
+
+def test_cases(spark, sf_dir, tmp_path):
+    """Null and repeated ids, a very long text, nulls in every column and columns with other names pass all stages; so does an empty table."""
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = whole.where("doc_id = 1").first().text
+    long = " ".join(f"{w}{i}" for i in range(60) for w in words.split())
+    rows = [(1, words + " one more", None, None, None), (None, "different " + words[::-1], None, None, 5), (None, "different " + words[::-1], None, None, 6), (1, long, "en", "s", 0)]
+    more = spark.createDataFrame(rows, whole.schema)
+    from pyspark.sql import functions as F
+
+    docs = whole.unionByName(more).withColumns({"row": F.lit(1), "_row": F.lit(2), "part": F.lit("x")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    kept = kept.collect()
+    assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 1 for r in kept) == 2  # the near copy of a text went, the long text stayed
+    assert all((r.row, r._row, r.part) == (1, 2, "x") for r in kept)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

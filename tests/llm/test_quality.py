@@ -168,6 +168,93 @@ def test_back_is_the_transposed_product():
     np.testing.assert_allclose(out, linear.Rows.of(textfeatures.sparse(group, c)).back(of_text, textfeatures.DIM), rtol=1e-5, atol=1e-7)
 
 
+def dense_rows(texts):
+    """Features as a matrix of the columns in use, and these columns."""
+    rows = [row for _, group in textfeatures.groups(texts) for row in textfeatures.sparse(group, textfeatures.counts(group))]
+    used = np.unique(np.concatenate([n for n, _ in rows]))
+    x = np.zeros((len(rows), len(used)))
+    for i, (n, v) in enumerate(rows):
+        x[i, np.searchsorted(used, n)] = v
+    return x, used, linear.Rows.of(rows)
+
+
+def plain_adam(gradient, dim, steps, rate, decay, w, b):
+    m, v = np.zeros(dim + 1), np.zeros(dim + 1)
+    for t in range(1, steps + 1):
+        by_w, by_b = gradient(w, b)
+        g = np.append(by_w + decay * w, by_b)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+        w, b = w - step[:-1], b - step[-1]
+    return w, b
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_the_risks_gradient_is_its_derivative(spark, monkeypatch, prior):
+    """The derivative of the risk by numeric differences, by the plain formula, and the descent that sums it in tasks."""
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta!", "eps 7", "ZETA"]
+    good = [" ".join(rng.choice(words[:4], 30)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(30)]
+    x, used, _ = dense_rows(good + texts)
+    p_rows, u_rows = x[:12], x[12:]
+    w0, b0 = rng.normal(0, 0.05, len(used)), 0.1
+    z = lambda rows, w, b: linear.sigmoid(rows @ w + b)
+    risk = lambda w, b: positive_unlabelled.risk(z(p_rows, w, b), z(u_rows, w, b).mean(), prior)
+
+    def gradient(w, b):
+        p, u = z(p_rows, w, b), z(u_rows, w, b)
+        of_p, of_u = prior * p * (1 - p) / len(p), u * (1 - u) / len(u)
+        whole = u.mean() >= prior * p.mean()
+        # The risk's own derivative, or, where the negatives' risk came out below zero, away from it.
+        side = (-2 * of_p, of_u) if whole else (of_p, -of_u)
+        return side[0] @ p_rows + side[1] @ u_rows, side[0].sum() + side[1].sum()
+
+    direction = rng.normal(0, 1, len(used))
+    numeric = (risk(w0 + 1e-6 * direction, b0) - risk(w0 - 1e-6 * direction, b0)) / 2e-6
+    p, u = z(p_rows, w0, b0), z(u_rows, w0, b0)
+    if u.mean() >= prior * p.mean():
+        assert numeric == pytest.approx(gradient(w0, b0)[0] @ direction, rel=1e-4, abs=1e-8)
+    else:
+        assert numeric == pytest.approx(-(prior * p * (1 - p) / 12) @ p_rows @ direction, rel=1e-4, abs=1e-8)
+    steps = (4, 0.01, 1e-5)
+    monkeypatch.setattr(positive_unlabelled, "SECOND", steps)
+    table = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, part int").repartition(3)
+    begin = np.zeros(textfeatures.DIM, np.float32)
+    begin[used] = w0
+    positive = dense_rows(good)[2]
+    weights, bias = positive_unlabelled.descent(table, 1, positive, prior, (begin, b0))
+    w, b = plain_adam(gradient, len(used), *steps, w0, b0)
+    np.testing.assert_allclose(weights[used], w, rtol=1e-3, atol=2e-5)
+    assert bias == pytest.approx(b, rel=1e-3)
+
+
+def test_sums_are_the_same_with_a_second_level_of_tasks(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(9)
+    add = lambda group, ids: np.array([group.n, ids.sum(), 1 << 40], np.int64)
+    whole = positive_unlabelled.summed(df.coalesce(1), add, 3)
+    monkeypatch.setattr(positive_unlabelled, "TASKS", 2)
+    again = positive_unlabelled.summed(df, add, 3)
+    assert whole[:2].tolist() == again[:2].tolist() == [400, 400 * 399 // 2] and again[2] % (1 << 40) == 0
+
+
+def test_training_follows_the_plain_descent():
+    """Logistic regression on the hashed features: the derivative by numeric differences, and the descent by a plain one."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["good", "fine", "bad", "worse"], 20)) for _ in range(40)]
+    y = np.array([t.count("good") + t.count("fine") > 10 for t in texts], int)
+    x, used, rows = dense_rows(texts)
+    share = np.full(40, 1 / 40)
+    loss = lambda w, b: -(share * (y * np.log(linear.sigmoid(x @ w + b)) + (1 - y) * np.log(1 - linear.sigmoid(x @ w + b)))).sum()
+    by = lambda w, b: (x.T @ (share * (linear.sigmoid(x @ w + b) - y)), (share * (linear.sigmoid(x @ w + b) - y)).sum())
+    w0, direction = rng.normal(0, 0.1, len(used)), rng.normal(0, 1, len(used))
+    assert (loss(w0 + 1e-6 * direction, 0) - loss(w0 - 1e-6 * direction, 0)) / 2e-6 == pytest.approx(by(w0, 0)[0] @ direction, rel=1e-4)
+    weights, bias = linear.minimise(rows, lambda z: share * (linear.sigmoid(z) - y), textfeatures.DIM, 30, 0.05, 1e-4)
+    w, b = plain_adam(by, len(used), 30, 0.05, 1e-4, np.zeros(len(used)), 0.0)
+    np.testing.assert_allclose(weights[used], w, rtol=1e-3, atol=1e-4)
+    assert bias == pytest.approx(b, rel=1e-3) and not np.delete(weights, used).any()
+
+
 def test_all_unlabelled_text_is_used(corpus):
     """A sample of 24 says little of the prior, and has few of each kind of junk."""
     docs, labels, bad, labelled = corpus

@@ -27,6 +27,26 @@ def test_shards_match_the_mixture(spark):
     assert again == {r.doc_id: (r.shard, r.slot) for r in got}
 
 
+def test_shards_equal_a_plain_version(spark, messy, messy_rows):
+    """Ranks within the sources, fractions, one sort and equal cuts, in plain Python; the shuffle's hash is Spark's."""
+    from pyspark.sql import functions as F
+
+    text = F.coalesce("text", F.lit(""))
+    crc, size = F.crc32(text.cast("binary")), F.octet_length(text) + sharding.OVERHEAD
+    rows = [tuple(r) for r in messy.select("source", F.xxhash64(F.lit(sharding.SEED), "doc_id", crc, size.cast("long")), "doc_id", crc, size).collect()]
+    sources = defaultdict(list)
+    for source, *rest in rows:
+        sources["-" if source is None else "+" + source].append(tuple((v is not None, v) for v in rest))
+    mixed = sorted(((rank + 0.5) / len(held), source, row) for source, held in sources.items() for rank, row in enumerate(sorted(held)))
+    places, next_slot = Counter(), Counter()
+    for i, (_, _, (_, doc_id, crc, size)) in enumerate(mixed):
+        shard = i * 40 // len(mixed)
+        places[doc_id[1], size[1], crc[1], shard, next_slot[shard]] += 1
+        next_slot[shard] += 1
+    for df in (messy, messy.repartition(7)):
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(df).collect()) == places
+
+
 def test_shard_cases(docs, no_docs, texts):
     got = sharding.shard(docs.unionByName(docs)).collect()
     assert len(got) == 2 * len(texts)

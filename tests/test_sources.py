@@ -114,7 +114,8 @@ def test_intersects_equals_a_plain_version(spark):
     expected = {i for i, (a, b) in enumerate(lines) if any(inside(a, p) or any(crosses(a, b, c, d) for ring in p for c, d in zip(ring, ring[1:])) for p in rings)}
     flow = spark.createDataFrame([(i, line(*x)) for i, x in enumerate(lines)], f"comid long, parts {geometry.PARTS}")
     basin = spark.createDataFrame([([line(*r)[0] for r in p],) for p in rings], f"parts {geometry.PARTS}")
-    assert {r.comid for r in spatial.intersecting(flow, basin).collect()} == expected
+    for size in (None, 7.0, 40.0, 1000.0):
+        assert {r.comid for r in spatial.intersecting(flow, basin, size).collect()} == expected
     assert spatial.intersecting(flow, basin.limit(0)).count() == 0
 
 
