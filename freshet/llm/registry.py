@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from freshet.llm import bytebpe, grammar, lexicon, media, ngram_join, packing, pii, positive_unlabelled, quality, sharding, tokencount
+from freshet.llm import bytebpe, grammar, lexicon, media, ngram_join, packing, pii, positive_unlabelled, quality, repeats, sharding, spelling, tokencount
 from freshet.llm.common import documents
 
 
@@ -55,6 +57,15 @@ def op10_positive_unlabelled(spark, sf_dir):
     return positive_unlabelled.classify(docs, model)
 
 
+def op11_difference_cover(spark, sf_dir):
+    return repeats.removed(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_active_node_variants(spark, sf_dir):
+    counted = spelling.word_counts(documents(spark, sf_dir), change=spelling.with_slips)
+    return spelling.variants(counted)
+
+
 QUERIES = {
     "op1_chosen_path_join": op1_chosen_path_join,
     "op2_hashed_ngram_quality": op2_hashed_ngram_quality,
@@ -66,6 +77,8 @@ QUERIES = {
     "op8_overlap_resync_counts": op8_overlap_resync_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_positive_unlabelled": op10_positive_unlabelled,
+    "op11_difference_cover": op11_difference_cover,
+    "op12_active_node_variants": op12_active_node_variants,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -99,6 +99,7 @@ COLUMNS = {
     "op8_overlap_resync_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op9_wav_fingerprints": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
     "op10_positive_unlabelled": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_difference_cover": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
 }
 
 
@@ -110,4 +111,4 @@ def test_query(spark, name):
     assert {c: types.get(c) for c in (x.split()[0] for x in COLUMNS[name].split(", "))} == dict(x.split() for x in COLUMNS[name].split(", "))
     ids = {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect()}
     assert {r.doc_id for r in out.select("doc_id").collect()} == ids
-    assert set(COLUMNS) | {"pipeline"} == set(registry.QUERIES)
+    assert set(COLUMNS) | {"op12_active_node_variants", "pipeline"} == set(registry.QUERIES)
