@@ -73,6 +73,21 @@ def scope(spark: SparkSession) -> Iterator[Scope]:
             _scopes[-1].tables += held.kept
 
 
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end inside are deleted at their end, not when the driver's memory is next collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """Write `df` once, in folders by the columns `by`, and read it back. Loops do this each round: plans stay short and lost executors cost no recomputation."""
     spark = df.sparkSession
