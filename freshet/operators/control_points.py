@@ -1,4 +1,4 @@
-"""Control points: snapping to segments and the paths between them (A2, J6, J7, N7, N8, P9, SP9, SP10)."""
+"""Control points: snapping to segments and the paths between them (A2, J7, N7, N8, P9, SP10)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.columns import lookup
+from freshet.operators.nearest import nearest
 from freshet.operators.network import Powers, reach
 from freshet.scratch import cut
 
@@ -16,43 +17,7 @@ def keep_first(points: DataFrame, key: str = "UP_CP") -> DataFrame:
     return points.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-#: Queries that are left over after some rounds are compared with all sites at once if there are no more than these.
-FAR_QUERIES = 1000
-
-
-def nearest(queries: DataFrame, sites: DataFrame, cell: float) -> DataFrame:
-    """For each query (qid, x, y) the nearest site (comid, x, y), however far: qid, comid, distance. The lower comid wins a tie.
-
-    Both sides are put in square cells and joined on a query's own cell and its eight neighbours. A site found within
-    one cell's width can't be beaten from outside; other queries go on with cells twice as wide. Once few are left,
-    they are broadcast and every task gives its nearest site for each, so that no cell needs to hold a great share of
-    the sites; if more than FAR_QUERIES are left, cells widen on.
-    """
-    place = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
-    queries = cut(queries.select("qid", "x", "y").dropna(subset=["x", "y"]), "queries")
-    sites = cut(sites.select("comid", F.col("x").alias("sx"), F.col("y").alias("sy")).dropna(), "sites")
-    if sites.isEmpty():
-        return queries.select("qid", F.lit(None).cast("long").alias("comid"), F.lit(None).cast("double").alias("distance")).where(F.lit(False))
-    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    least = F.min(F.struct(d2.alias("d2"), "comid")).alias("best")
-    of_best = ("qid", F.col("best.comid").alias("comid"), F.sqrt("best.d2").alias("distance"))
-    found = None
-    while True:
-        left = queries.count()
-        if left <= FAR_QUERIES:
-            last = sites.join(F.broadcast(queries)).groupBy("qid").agg(least).select(*of_best)
-            return last if found is None else found.unionByName(last)
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        asked = queries.withColumn("cx", place("x")).withColumn("cy", place("y")).withColumn("dx", near).withColumn("dy", near)
-        asked = asked.select("qid", "x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-        held = sites.withColumn("cx", place("sx")).withColumn("cy", place("sy"))
-        best = cut(asked.join(held, ["cx", "cy"]).groupBy("qid").agg(least).select(*of_best).where(F.col("distance") <= F.lit(cell)), "nearest")
-        found = best if found is None else found.unionByName(best)
-        queries = cut(queries.join(best, "qid", "left_anti"), "queries")
-        cell *= 2
-
-
-def snap(points: DataFrame, centroids: DataFrame, cell: float) -> DataFrame:
+def snap(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """SP10: every control point with UP_COMID, DS_COMID and snap_dist.
 
     `points` has UP_CP, Next_DS_CP, ChLosFac, file_row, x, y; `centroids` has comid, x, y of the segments in the same
@@ -62,7 +27,7 @@ def snap(points: DataFrame, centroids: DataFrame, cell: float) -> DataFrame:
     nowhere = first.where(F.col("x").isNull() | F.isnan("x") | F.col("y").isNull() | F.isnan("y")).first()
     if nowhere:
         raise ValueError(f"control point {nowhere['UP_CP']} has no place")
-    placed = nearest(first.select(F.col("UP_CP").alias("qid"), "x", "y"), centroids, cell)
+    placed = nearest(first.select(F.col("UP_CP").alias("qid"), "x", "y"), centroids)
     snapped = first.join(placed, first.UP_CP == placed.qid).drop("qid").withColumnRenamed("comid", "UP_COMID").withColumnRenamed("distance", "snap_dist")
     snapped = cut(snapped, "snapped")
     return lookup(snapped, "Next_DS_CP", snapped, "UP_CP", "UP_COMID", "DS_COMID")

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.operators.components import components
+from freshet.operators.numbering import row_numbers
 from freshet.scratch import cut
 
 
@@ -67,19 +68,32 @@ def apply_losses(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataF
 
 #: Pairs of gages above each other that are sent to every task; where there are more, they travel with the observations.
 SENT_PAIRS = 1_000_000
+#: Scales (months times gages) that are broadcast at once; where there are more, months go by turns.
+SENT_SCALES = 4_000_000
 
 
-def gage_scales(observations: DataFrame, reached: DataFrame, flow: DataFrame) -> DataFrame:
-    """date, order (of the observation within its date), comid (of the gage), scale for each observation that is in the
-    network, folded in order within each date.
+def gage_slots(observations: DataFrame, reached: DataFrame) -> DataFrame:
+    """date, comid, observed and slot of the observations in the network.
 
-    `observations` has date, gage_id, comid, flow_cms; `reached` has src, comid for every gage's segment and those below;
-    `flow` has date, comid, flow_cms. A group is one date's gages.
+    Slots number the gages from 0 in the order in which they are enforced, by gage_id and comid; a gage that is
+    observed more than once in a month has a slot for each time, by the value.
     """
-    spark = observations.sparkSession
     inside = reached.select(F.col("src").alias("comid")).distinct()
     obs = observations.join(inside, "comid").select("date", "gage_id", "comid", F.col("flow_cms").alias("observed"))
-    rows = obs.join(flow, ["date", "comid"]).select("date", "gage_id", "comid", "observed", "flow_cms")
+    obs = cut(obs.withColumn("nth", F.row_number().over(Window.partitionBy("date", "gage_id", "comid").orderBy("observed"))), "gage-observations")
+    slots = row_numbers(obs.select("gage_id", "comid", "nth").distinct(), ["gage_id", "comid", "nth"], "slot", first=0)
+    return cut(obs.join(slots, ["gage_id", "comid", "nth"]).select("date", "comid", "observed", F.col("slot").cast("int").alias("slot")), "gage-slots")
+
+
+def gage_scales(slots: DataFrame, reached: DataFrame, flow: DataFrame) -> DataFrame:
+    """date and scales (slot, scale) of each date with observations, folded in the order of slots within the date.
+
+    `slots` is what gage_slots gives; `reached` has src, comid for every gage's segment and those below; `flow` has date,
+    comid, flow_cms. A group is one date's gages.
+    """
+    spark = slots.sparkSession
+    inside = slots.select("comid").distinct()
+    rows = slots.join(flow.select("date", "comid", "flow_cms"), ["date", "comid"])
     pairs = cut(reached.join(inside, "comid", "left_semi").select("src", "comid"), "gage-pairs")
     sent = None
     if pairs.count() <= SENT_PAIRS:
@@ -89,7 +103,7 @@ def gage_scales(observations: DataFrame, reached: DataFrame, flow: DataFrame) ->
         rows = rows.join(pairs.groupBy("src").agg(F.collect_list("comid").alias("below")), F.col("comid") == F.col("src")).drop("src")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gage_id", "comid"], kind="stable")
+        pdf = pdf.sort_values("slot")
         if sent is None:
             below = dict(zip(pdf.comid, pdf.below))
         else:
@@ -105,14 +119,47 @@ def gage_scales(observations: DataFrame, reached: DataFrame, flow: DataFrame) ->
             scale = 1.0 if modeled <= 0 else observed / modeled
             scales.append(scale)
             q[hit[comid]] *= scale
-        return pd.DataFrame({"date": pdf.date, "order": np.arange(len(pdf)), "comid": pdf.comid, "scale": np.array(scales, float)})
+        return pd.DataFrame({"date": pdf.date.iloc[:1], "scales": [[{"slot": int(k), "scale": float(v)} for k, v in zip(pdf.slot, scales)]]})
+
+    return rows.groupBy("date").applyInPandas(fold, "date date, scales array<struct<slot:int,scale:double>>")
 
-    return rows.groupBy("date").applyInPandas(fold, "date date, order long, comid long, scale double")
 
+def enforce_gages(observations: DataFrame, reached: DataFrame, flow: DataFrame, at_gages: DataFrame | None = None) -> DataFrame:
+    """G1: date, comid, flow_cms after enforcement; dates without observations stay as they are.
 
-def enforce_gages(observations: DataFrame, reached: DataFrame, flow: DataFrame) -> DataFrame:
-    """G1: date, comid, flow_cms after enforcement; dates without observations stay as they are."""
-    scales = gage_scales(observations, reached, flow)
-    below = scales.join(reached.select(F.col("src").alias("gage"), F.col("comid").alias("node")), F.col("comid") == F.col("gage"))
-    each = below.groupBy("date", F.col("node").alias("comid")).agg(F.collect_list(F.struct("order", "scale")).alias("scales"))
-    return flow.join(each, ["date", "comid"], "left").select("date", "comid", scaled(F.col("flow_cms"), "scales").alias("flow_cms"))
+    A segment holds the slots of the gages above it, in order, once for all months; a month has one array of its scales.
+    A flow meets both by its comid and its date and is multiplied by the scales of its slots one after another. `flow` may
+    bring its slots along (`slots`, as segment_slots gives them). `at_gages` is the same flow at the gages' segments,
+    where that costs less than looking them up.
+    """
+    return _enforced(gage_slots(observations, reached), reached, flow, at_gages)
+
+
+def segment_slots(slots: DataFrame, reached: DataFrame) -> DataFrame:
+    """comid and slots, the slots of the gages at and above it in order, of every segment that has any."""
+    of_gage = slots.select(F.col("comid").alias("src"), "slot").distinct()
+    return reached.join(of_gage, "src").groupBy("comid").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+
+
+def _enforced(slots: DataFrame, reached: DataFrame, flow: DataFrame, at_gages: DataFrame | None = None) -> DataFrame:
+    if "slots" not in flow.columns:
+        flow = flow.join(segment_slots(slots, reached), "comid", "left")
+    scales = cut(gage_scales(slots, reached, flow if at_gages is None else at_gages), "gage-scales")
+    last = scales.agg(F.max(F.array_max(F.transform("scales", lambda s: s.slot)))).first()[0]
+    if last is None:
+        return flow.select("date", "comid", "flow_cms")
+    # A month's scales by slot; a gage without an observation in the month leaves flows as they are.
+    by_slot = F.map_from_entries("scales")
+    months = scales.select("date", F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.coalesce(F.element_at(by_slot, k), F.lit(1.0))).alias("by_slot"))
+    months = cut(months, "gage-months")
+    dates = [r.date for r in months.select("date").orderBy("date").collect()]  # months of a run
+    step = max(1, SENT_SCALES // (last + 1))
+    value = F.aggregate("slots", F.col("flow_cms"), lambda q, k: q * F.element_at("by_slot", k + 1))
+    kept = F.when(F.col("slots").isNull() | F.col("by_slot").isNull(), F.col("flow_cms")).otherwise(value)
+    out = None
+    for i in range(0, len(dates), step):
+        within = (F.col("date") >= F.lit(dates[i]) if i else F.lit(True)) & (F.col("date") < F.lit(dates[i + step]) if i + step < len(dates) else F.lit(True))
+        # At most SENT_SCALES numbers, or one month's.
+        part = flow.where(within).join(F.broadcast(months.where(within)), "date", "left").select("date", "comid", kept.alias("flow_cms"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -6,6 +6,8 @@ double the hop count each round, so their number is the logarithm of the network
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,13 +119,25 @@ def check_acyclic(segments: DataFrame, links: DataFrame) -> None:
         powers(links, segments.count())
 
 
+def _rounds(out: DataFrame, closure: Powers, further: Callable[[DataFrame, int, DataFrame], DataFrame], tag: str) -> DataFrame:
+    """`further` for each power of the closure in turn; every round is written, and the one before it is let go."""
+    with scope(out.sparkSession) as held:
+        for hops, pairs in closure:
+            out = cut(further(out, hops, pairs), tag)
+            held.release(out)
+        held.keep(out)
+    return out
+
+
 def levels(segments: DataFrame, closure: Powers) -> DataFrame:
     """Comid and topo_level, the longest path from a source. Every edge leads to a higher level."""
     out = segments.select("comid", F.lit(0).cast("long").alias("topo_level"))
-    for hops, pairs in closure:
+
+    def further(out: DataFrame, hops: int, pairs: DataFrame) -> DataFrame:
         reached = pairs.join(out, pairs.up == out.comid).groupBy("ds").agg((F.max("topo_level") + hops).alias("reached"))
-        out = cut(out.join(reached, out.comid == reached.ds, "left").select("comid", F.greatest("topo_level", F.coalesce("reached", F.lit(0))).alias("topo_level")), "levels")
-    return out
+        return out.join(reached, out.comid == reached.ds, "left").select("comid", F.greatest("topo_level", F.coalesce("reached", F.lit(0))).alias("topo_level"))
+
+    return _rounds(out, closure, further, "levels")
 
 
 def accumulate(local: DataFrame, closure: Powers) -> DataFrame:
@@ -134,16 +148,20 @@ def accumulate(local: DataFrame, closure: Powers) -> DataFrame:
     flow of its own makes a segment's flow, and that of all below it, NaN (T3).
     """
     out = local.select("comid", F.coalesce(F.col("q").cast("double"), F.lit(float("nan"))).alias("q"))
-    for _, pairs in closure:
+
+    def further(out: DataFrame, _: int, pairs: DataFrame) -> DataFrame:
         inflow = pairs.join(out, pairs.up == out.comid).groupBy("ds").agg(F.sum(F.col("w") * F.col("q")).alias("inflow"))
-        out = cut(out.join(inflow, out.comid == inflow.ds, "left").select("comid", (F.col("q") + F.coalesce("inflow", F.lit(0.0))).alias("q")), "flow")
-    return out
+        return out.join(inflow, out.comid == inflow.ds, "left").select("comid", (F.col("q") + F.coalesce("inflow", F.lit(0.0))).alias("q"))
+
+    return _rounds(out, closure, further, "flow")
 
 
 def reach(sources: DataFrame, closure: Powers) -> DataFrame:
     """(src, comid, hops) for every segment at or below each of `sources` (comid), by the fewest hops."""
     out = sources.select(F.col("comid").alias("src"), "comid", F.lit(0).cast("long").alias("hops")).distinct()
-    for step, pairs in closure:
-        further = out.join(pairs, out.comid == pairs.up).select("src", F.col("ds").alias("comid"), (F.col("hops") + step).alias("hops"))
-        out = cut(out.unionByName(further).groupBy("src", "comid").agg(F.min("hops").alias("hops")), "reach")
-    return out
+
+    def further(out: DataFrame, step: int, pairs: DataFrame) -> DataFrame:
+        below = out.join(pairs, out.comid == pairs.up).select("src", F.col("ds").alias("comid"), (F.col("hops") + step).alias("hops"))
+        return out.unionByName(below).groupBy("src", "comid").agg(F.min("hops").alias("hops"))
+
+    return _rounds(out, closure, further, "reach")

@@ -38,10 +38,10 @@ def projected(parts: Column, zone: int | None) -> Column:
     return parts if zone is None else geometry.transformed(parts, lambda x, y: crs.to_utm(x, y, zone))
 
 
-def monthly(unit_flow: DataFrame, dates: DataFrame, coefficient: float) -> DataFrame:
-    """Date, comid and flow_cms from `q`, the routed area in square kilometres.
+def monthly(unit_flow: DataFrame, dates: DataFrame, coefficient: float, *keep: str) -> DataFrame:
+    """Date, comid and flow_cms from `q`, the routed area in square kilometres, and the columns `keep`.
 
     Routing is linear, so it runs once and each month only scales it. Months are few; segments are never shuffled.
     """
     flow = local_runoff(F.lit(coefficient), F.col("q"), month_seconds("date"))
-    return unit_flow.crossJoin(F.broadcast(dates)).select("date", "comid", flow.alias("flow_cms"))
+    return unit_flow.crossJoin(F.broadcast(dates)).select("date", "comid", flow.alias("flow_cms"), *keep)

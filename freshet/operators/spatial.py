@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import geometry
+from freshet.scratch import cut
 
 #: Names that a basin field goes by, best first (fixed values).
 BASIN_FIELDS = ("basin_name", "basin", "name", "riverbasin")
@@ -66,8 +67,9 @@ def _within(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> Column:
 
 
 def intersecting(lines: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
-    """The lines (comid, parts, ...) that touch any polygon (parts: rings, even-odd), whole.
+    """The lines (parts, ...) that touch any polygon (parts: rings, even-odd), whole, as often as they are there.
 
+    Rows are told apart by a number that they get here, not by an id of theirs: ids may be missing or occur twice.
     A line touches a polygon when one of its segments crosses or touches an edge of it, or else when its parts' first
     points lie inside. Segments and edges meet in equal cells. For points, each cell's corner is known to lie inside or not, and
     only the edges of the point's own cell that are passed on the way from there change that. Lines outside
@@ -81,7 +83,8 @@ def intersecting(lines: DataFrame, polygons: DataFrame, size: float | None = Non
     xs = F.transform(F.flatten("parts"), lambda p: p.x)
     ys = F.transform(F.flatten("parts"), lambda p: p.y)
     near = (F.array_min(xs) <= east) & (F.array_max(xs) >= west) & (F.array_min(ys) <= north) & (F.array_max(ys) >= south)
-    inside_box = lines.where(near).select("comid", "parts")
+    numbered = cut(lines.where(near).withColumn("_line", F.monotonically_increasing_id()), "lines")
+    inside_box = numbered.select(F.col("_line").alias("comid"), "parts")
 
     named = polygons.withColumn("polygon", F.xxhash64(F.to_json("parts")))
     edge = named.select("polygon", F.explode(geometry.segments(F.col("parts"))).alias("e")).select("polygon", *[F.col(f"e.{a}").alias(f"e{a}") for a in ("x1", "y1", "x2", "y2")])
@@ -111,7 +114,8 @@ def intersecting(lines: DataFrame, polygons: DataFrame, size: float | None = Non
     legs = up.cast("int") + along.cast("int")
     passed = starts.join(edge_cells, ["cx", "cy"]).select("comid", "part", "polygon", legs.alias("n")).where("n > 0")
     inside = odd.unionAll(passed).groupBy("comid", "part", "polygon").agg(F.sum("n").alias("n")).where("n % 2 = 1").select("comid")
-    return lines.join(crossing.unionAll(inside).distinct(), "comid", "left_semi")
+    found = crossing.unionAll(inside).select(F.col("comid").alias("_line")).distinct()
+    return numbered.join(found, "_line", "left_semi").drop("_line")
 
 
 def _passes(a: str, b: str, level: Column) -> Column:

@@ -37,7 +37,7 @@ def is_geographic(box: tuple[float, float, float, float]) -> bool:
 
 def build_network(spark: SparkSession, flow: DataFrame, basin: DataFrame, vaa: DataFrame | None = None) -> Network:
     """Flowlines that touch the basin, routed, as a checked acyclic network."""
-    inside = cut(spatial.intersecting(flow.withColumn("comid", F.xxhash64("permanent_")), basin), "inside").drop("comid")
+    inside = cut(spatial.intersecting(flow, basin), "inside")
     if inside.isEmpty():
         raise ValueError(f"no flowline touches the basin; regions in the source: {', '.join(tables.vpu_sample(flow)) or 'unknown'}")
     segments = network.routed(inside, vaa)
@@ -77,13 +77,18 @@ def flows(
     """
     if steps is not None:
         unit = cut(folds.apply_losses(steps, members, unit), "lost")
-    out = runoff.monthly(unit, dates, coefficient)
     if observations is None:
-        return out
+        return runoff.monthly(unit, dates, coefficient)
     gaged = observations.select("comid").distinct().join(net.segments.select("comid"), "comid", "left_semi")
-    reached = cut(network.reach(gaged, net.closure), "gage-reach")
-    # Only dates with observations are enforced; the others pass by the fold untouched.
-    return folds.enforce_gages(observations, reached, out)
+    return enforced(unit, dates, coefficient, observations, cut(network.reach(gaged, net.closure), "gage-reach"))
+
+
+def enforced(unit: DataFrame, dates: DataFrame, coefficient: float, observations: DataFrame, reached: DataFrame) -> DataFrame:
+    """date, comid, flow_cms of every month with its gages enforced. Segments get the gages above them before months multiply them."""
+    slots = folds.gage_slots(observations, reached)
+    held = unit.join(folds.segment_slots(slots, reached), "comid", "left")
+    at_gages = runoff.monthly(unit.join(slots.select("comid").distinct(), "comid", "left_semi"), dates, coefficient)
+    return folds._enforced(slots, reached, runoff.monthly(held, dates, coefficient, "slots"), at_gages)
 
 
 def run_model(cfg: ModelConfig, spark: SparkSession, progress_cb: Callable[[int, str], None] | None = None) -> DataFrame:
@@ -112,7 +117,7 @@ def run_model(cfg: ModelConfig, spark: SparkSession, progress_cb: Callable[[int,
         at = cut(centroids(net), "centroids")
         points = tables.control_points(spark, cfg.cp_meta_file)
         x, y = crs.to_utm(F.col("LONG"), F.col("LAT"), net.zone) if net.zone else (F.col("LONG"), F.col("LAT"))
-        snapped = control_points.snap(control_points.xy(points, x, y), at.select("comid", "x", "y"), cell=5000.0)
+        snapped = control_points.snap(control_points.xy(points, x, y), at.select("comid", "x", "y"))
         steps = cut(control_points.pairs(snapped, net.segments), "steps")
         path_rows = control_points.paths(steps, net.links, net.closure)
         steps = steps.join(path_rows.select("step").distinct(), "step", "left_semi")

@@ -7,13 +7,15 @@ session's JVM ends.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[Scope] = []
+#: The scopes that are open in this thread or task, innermost last: queries of two threads don't share any.
+_scopes: contextvars.ContextVar[tuple[Scope, ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -59,7 +61,8 @@ class Scope:
 def scope(spark: SparkSession) -> Iterator[Scope]:
     """Tables written inside are deleted at the end, but for those kept; after an error, all of them."""
     held = Scope(spark)
-    _scopes.append(held)
+    outer = _scopes.get()
+    _scopes.set((*outer, held))
     try:
         yield held
     except BaseException:
@@ -67,10 +70,10 @@ def scope(spark: SparkSession) -> Iterator[Scope]:
         held.kept = []
         raise
     finally:
-        _scopes.pop()
+        _scopes.set(outer)
         held.release()
-        if _scopes:
-            _scopes[-1].tables += held.kept
+        if outer:
+            outer[-1].tables += held.kept
 
 
 @contextlib.contextmanager
@@ -96,6 +99,6 @@ def cut(df: DataFrame, tag: str, *by: str) -> DataFrame:
     files, at = _at(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
-    if _scopes:
-        _scopes[-1].tables.append((out, path))
+    if open_ := _scopes.get():
+        open_[-1].tables.append((out, path))
     return out

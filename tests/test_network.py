@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import control_points, folds, gages, network, runoff
+from freshet.operators import control_points, folds, gages, joins, nearest, network, runoff
 
 CHAIN = [(1, 2), (2, 3)]
 Y = [(1, 3), (2, 3), (3, 4)]
@@ -176,6 +176,33 @@ def test_gages(spark, monkeypatch, sent, observed, expected):
     assert [r.flow_cms for r in got] == pytest.approx([*expected, 1, 3, 7])
 
 
+@pytest.mark.parametrize("scales", [1, 7, 1_000_000])
+def test_gages_of_many_months_against_a_plain_loop(spark, monkeypatch, scales):
+    """Months without observations, gages seen twice in a month, gages on one segment: the same doubles."""
+    monkeypatch.setattr(folds, "SENT_SCALES", scales)
+    rng = random.Random(scales)
+    pairs = [(i, i // 2) for i in range(2, 32)]
+    closure = network.powers(edge_table(spark, pairs), 31)
+    below = lambda c: {c} | (below(c // 2) if c > 1 else set())
+    months = [date(2010, m, 1) for m in range(1, 7)]
+    obs = [(m, f"G{c % 5}", c, round(rng.uniform(0, 9), 2)) for m in months[1:] for c in rng.sample(range(1, 32), 12)] + [(months[1], "G9", 40, 1.0)]
+    obs += [(m, g, c, v + 0.5) for m, g, c, v in obs[:9]] + [(months[2], "A", 8, 0.0)]
+    unit = {c: rng.uniform(1, 9) for c in range(1, 32)}
+    flow = {(m, c): unit[c] * (i + 1) for i, m in enumerate(months) for c in unit}
+    table = spark.createDataFrame([(m, c, q) for (m, c), q in flow.items()], "date date, comid long, flow_cms double")
+    for m, g, c, v in sorted(obs):
+        if c in unit:
+            scale = 1.0 if flow[m, c] <= 0 else v / flow[m, c]
+            for node in below(c):
+                flow[m, node] *= scale
+    observed = spark.createDataFrame(obs, "date date, gage_id string, comid long, flow_cms double")
+    reached = network.reach(observed.select("comid").where("comid < 40"), closure)
+    out = folds.enforce_gages(observed, reached, table)
+    assert {(r.date, r.comid): r.flow_cms for r in out.collect()} == flow
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning" in line and "date" in line.split("hashpartitioning", 1)[1] for line in plan.splitlines())
+
+
 def test_calibration(spark):
     best = 0.0001 + 4 * (0.0049 / 29)
     obs = spark.createDataFrame([(date(2010, 1, 1), "A", 1, best * 1e6 / 2592000)], "date date, gage_id string, comid long, flow_cms double")
@@ -231,26 +258,40 @@ def test_routed(spark):
     assert [r.fromnode for r in network.routed(df.select("nhdplusid", "permanent_"), vaa).collect()] == [5.0]
 
 
-def test_nearest_of_many_queries(spark, monkeypatch):
-    monkeypatch.setattr(control_points, "FAR_QUERIES", 3)
+@pytest.mark.parametrize(("leaf", "many"), [(1, 1), (1, 1000), (3, 1000), (64, 1000)])
+def test_nearest(spark, monkeypatch, leaf, many):
+    """Scattered and crowded sites, some in one place, queries among them and far away."""
+    monkeypatch.setattr(nearest, "LEAF", leaf)
+    monkeypatch.setattr(joins, "MANY", many)
     rng = random.Random(3)
-    sites = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(30)]
-    queries = [(f"q{i}", rng.uniform(-50, 400), rng.uniform(-50, 150)) for i in range(60)]
-    got = {r.qid: r.comid for r in control_points.nearest(spark.createDataFrame(queries, "qid string, x double, y double"), spark.createDataFrame(sites, "comid long, x double, y double"), 4.0).collect()}
-    assert got == {q: min(sites, key=lambda s: (s[1] - x) ** 2 + (s[2] - y) ** 2)[0] for q, x, y in queries}
+    sites = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(40)]
+    sites += [(100 + i, 50 + rng.uniform(0, 1e-3), 50 + rng.uniform(0, 1e-3)) for i in range(40)] + [(200 - i, 7.0, 7.0) for i in range(20)] + [(300, 90.0, 10.0), (301, 90.0, 12.0)]
+    queries = [(f"q{i}", rng.uniform(-50, 400), rng.uniform(-50, 150)) for i in range(40)] + [(f"c{i}", 50 + rng.uniform(0, 1e-3), 50 + rng.uniform(0, 1e-3)) for i in range(30)]
+    queries += [("tie", 90.0, 11.0), ("same", 7.0, 7.0), ("far", 1e9, -1e9)]
+    rows = spark.createDataFrame(queries + [("none", None, 1.0), ("nan", float("nan"), 1.0)], "qid string, x double, y double")
+    got = {r.qid: (r.comid, r.distance) for r in nearest.nearest(rows, spark.createDataFrame(sites + [(-1, None, 0.0)], "comid long, x double, y double")).collect()}
+    want = {q: min((((s[1] - x) ** 2 + (s[2] - y) ** 2) ** 0.5, s[0]) for s in sites) for q, x, y in queries}
+    assert got == {q: (c, d) for q, (d, c) in want.items()}
+
+
+def test_nearest_without_sites_or_extent(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0)], "qid string, x double, y double")
+    none = spark.createDataFrame([], "comid long, x double, y double")
+    assert nearest.nearest(rows, none).count() == 0 and nearest.nearest(rows.limit(0), none.unionAll(spark.sql("select 1L, 1D, 1D"))).count() == 0
+    assert nearest.nearest(rows, spark.sql("select explode(array(5L, 4L)) as comid, 4D as x, 6D as y")).first().asDict() == {"qid": "a", "comid": 4, "distance": 5.0}
 
 
 def test_a_control_point_without_a_place_is_an_error(spark):
     points = spark.createDataFrame([("A", "B", 0.1, 0, None, 0.0)], "UP_CP string, Next_DS_CP string, ChLosFac double, file_row long, x double, y double")
     with pytest.raises(ValueError, match="no place"):
-        control_points.snap(points, spark.createDataFrame([(1, 10.0, 0.0)], "comid long, x double, y double"), 50.0)
+        control_points.snap(points, spark.createDataFrame([(1, 10.0, 0.0)], "comid long, x double, y double"))
 
 
 def test_snapping_and_keep_first(spark):
     points = spark.createDataFrame([("A", "B", 0.1, 0, 0.0, 0.0), ("B", None, 0.2, 1, 900.0, 0.0), ("A", "B", 0.3, 2, 500.0, 500.0), ("C", "Z", 0.0, 3, 1e7, 1e7)], "UP_CP string, Next_DS_CP string, ChLosFac double, file_row long, x double, y double")
     sites = spark.createDataFrame([(1, 10.0, 0.0), (2, 1000.0, 0.0), (3, -10.0, 0.0)], "comid long, x double, y double")
-    got = {r.UP_CP: r for r in control_points.snap(points, sites, 50.0).collect()}
+    got = {r.UP_CP: r for r in control_points.snap(points, sites).collect()}
     assert (got["A"].UP_COMID, got["A"].DS_COMID, got["A"].snap_dist, got["A"].ChLosFac) == (1, 2, 10.0, 0.1)
     assert got["B"].DS_COMID is None and got["C"].UP_COMID == 2 and got["C"].DS_COMID is None
-    steps = control_points.pairs(control_points.snap(points, sites, 50.0), sites).collect()
+    steps = control_points.pairs(control_points.snap(points, sites), sites).collect()
     assert [(r.step, r.up, r.ds) for r in steps] == [(0, 1, 2)]

@@ -1,6 +1,7 @@
 """Scratch tables, joins on hot keys, and components."""
 
 import random
+import threading
 from pathlib import Path
 
 import pytest
@@ -35,6 +36,41 @@ def test_a_scope_deletes_what_it_does_not_keep(spark):
     assert folders(spark) == before
 
 
+def test_scopes_of_two_threads(spark):
+    """A table that one thread wrote outlives the scope of another that opened earlier and ends later, and the other way round."""
+    opened, written, ended = threading.Event(), threading.Event(), threading.Event()
+    rows = {}
+
+    def one():
+        with scratch.scope(spark):
+            opened.set()
+            assert written.wait(60)
+        ended.set()
+
+    def two():
+        assert opened.wait(60)
+        with scratch.scope(spark):
+            table = scratch.cut(spark.range(7).toDF("a"), "threads")
+            written.set()
+            assert ended.wait(60)
+            rows["two"] = table.count()
+
+    threads = [threading.Thread(target=f) for f in (one, two)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert rows == {"two": 7}
+
+
+def test_tidy_shuffles_leaves_settings_as_they_were(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with scratch.tidy_shuffles(spark):
+        assert spark.conf.get(key) == "true" and spark.range(100).repartition(3).groupBy("id").count().count() == 100
+    assert spark.conf.get(key, None) == before
+
+
 class Cluster:
     """A session of a cluster that names no shared folder."""
 

@@ -13,7 +13,7 @@ from freshet.__main__ import parse_args
 from freshet.config import ModelConfig
 from freshet.functions import columns, crs, geometry
 from freshet.operators import spatial
-from freshet.plans.model import run_model
+from freshet.plans.model import build_network, run_model
 from freshet.sources import archives, flo, flowlines, shapefile, tables
 from freshet.streaming import observations
 
@@ -119,6 +119,19 @@ def test_intersects_equals_a_plain_version(spark):
     assert spatial.intersecting(flow, basin.limit(0)).count() == 0
 
 
+def test_lines_go_by_their_row(spark):
+    """Repeated and missing ids, and whole rows that are there twice; a COMID that occurs twice inside the basin is an error."""
+    line = lambda x: [[{"x": x, "y": 1.0}, {"x": x + 0.5, "y": 1.0}]]
+    rows = [("A", line(1.0)), ("A", line(1.0)), ("B", line(2.0)), ("C", line(50.0)), (None, line(1.5)), (None, line(60.0)), ("A", line(70.0))]
+    flow = spark.createDataFrame([(p, float(i), float(i), float(i + 1), float(9 - i), x) for i, (p, x) in enumerate(rows)], f"permanent_ string, nhdplusid double, fromnode double, tonode double, hydroseq double, parts {geometry.PARTS}")
+    basin = spark.createDataFrame([([[{"x": x, "y": y} for x, y in ((0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0), (0.0, 0.0))]],)], f"parts {geometry.PARTS}")
+    inside = spatial.intersecting(flow, basin)
+    assert inside.columns == flow.columns and sorted(r.nhdplusid for r in inside.collect()) == [0.0, 1.0, 2.0, 4.0]
+    assert sorted(r.comid for r in build_network(spark, flow, basin).segments.collect()) == [0, 1, 2, 4]
+    with pytest.raises(ValueError, match="COMID 0 occurs 2 times"):
+        build_network(spark, flow.withColumn("nhdplusid", F.when(F.col("nhdplusid") > 1, F.col("nhdplusid")).otherwise(0.0)), basin)
+
+
 def test_basins(spark):
     df = spark.createDataFrame([(1, "BRAZOS"), (2, "Trinity"), (3, None)], "id long, Basin string")
     assert [r.id for r in spatial.basin(df, "Basin", "brazos").collect()] == [1]
