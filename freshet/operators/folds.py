@@ -23,21 +23,33 @@ def scaled(flow: Column, scales: str) -> Column:
     return F.aggregate(F.array_sort(F.coalesce(F.col(scales), F.array())), flow, lambda q, s: q * s.scale)
 
 
+#: Steps, and segments at their ends, that one task folds; where there are more, each river is folded by itself.
+FOLDED = 200_000
+
+
 def loss_scales(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFrame:
     """step and scale for each control-point pair, in order of step.
 
     `steps` has step, up, ds, loss; `members` has step, comid: the path without its head; `flow` has comid, q.
     A step's factor is q_up (1 - loss) / q_ds if q_ds is over 0, else 1. Steps that share no segment, directly or
-    through others, don't change each other's factors: a task folds one such set, the control points of a river
+    through others, don't change each other's factors: beyond FOLDED, a task folds one such set, the control points of a river
     and its tributaries.
     """
     spark = steps.sparkSession
     ends = steps.select("step", F.explode(F.array("up", "ds")).alias("comid"))
-    # Steps are numbered below zero, so that they are nodes of their own beside the segments.
-    used = ends.unionByName(members.select("step", "comid")).select((-1 - F.col("step")).alias("a"), F.col("comid").alias("b"))
-    rivers = components(used, "loss-rivers")
-    of = rivers.where("node < 0").select((-1 - F.col("node")).alias("step"), F.col("root").alias("river"))
-    held = members.join(ends.select("comid").distinct(), "comid", "left_semi").join(of, "step").groupBy("river", "comid").agg(F.collect_list("step").alias("in_steps"))
+    n = steps.count()
+    if not n:
+        return spark.createDataFrame([], "step long, scale double")
+    # Hits beside the ends are those of members at ends only, so few steps have few rows.
+    inner = cut(members.join(ends.select("comid").distinct(), "comid", "left_semi").select("step", "comid"), "loss-inner")
+    if n <= FOLDED and inner.count() <= FOLDED:
+        of = steps.select("step", F.lit(0).cast("long").alias("river"))
+    else:
+        # Steps are numbered below zero, so that they are nodes of their own beside the segments.
+        used = ends.unionByName(members.select("step", "comid")).select((-1 - F.col("step")).alias("a"), F.col("comid").alias("b"))
+        rivers = components(used, "loss-rivers")
+        of = rivers.where("node < 0").select((-1 - F.col("node")).alias("step"), F.col("root").alias("river"))
+    held = inner.join(of, "step").groupBy("river", "comid").agg(F.collect_list("step").alias("in_steps"))
     held = ends.join(of, "step").select("river", "comid").distinct().join(held, ["river", "comid"], "left").join(flow, "comid", "left")
     rows = steps.join(of, "step").select("river", "step", "up", "ds", "loss").unionByName(held.select("river", "comid", "q", "in_steps"), allowMissingColumns=True)
 
@@ -57,7 +69,7 @@ def loss_scales(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFr
             q[hit.get(int(k), [])] *= scale
         return pd.DataFrame({"step": steps.step.astype("int64"), "scale": np.array(scales, float)})
 
-    return cut(rows.groupBy("river").applyInPandas(fold, "step long, scale double"), "loss-scales") if not steps.isEmpty() else spark.createDataFrame([], "step long, scale double")
+    return cut(rows.groupBy("river").applyInPandas(fold, "step long, scale double"), "loss-scales")
 
 
 def apply_losses(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFrame:
@@ -86,13 +98,14 @@ def gage_slots(observations: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 def gage_scales(slots: DataFrame, reached: DataFrame, flow: DataFrame) -> DataFrame:
-    """date and scales (slot, scale) of each date with observations, folded in the order of slots within the date.
+    """date and scales, the scale of every slot, of each date with observations, folded in the order of slots within the date.
 
-    `slots` is what gage_slots gives; `reached` has src, comid for every gage's segment and those below; `flow` has date,
+    A slot without an observation in the month has 1. `slots` is what gage_slots gives; `reached` has src, comid for every gage's segment and those below; `flow` has date,
     comid, flow_cms. A group is one date's gages.
     """
     spark = slots.sparkSession
     inside = slots.select("comid").distinct()
+    size = slots.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
     rows = slots.join(flow.select("date", "comid", "flow_cms"), ["date", "comid"])
     pairs = cut(reached.join(inside, "comid", "left_semi").select("src", "comid"), "gage-pairs")
     sent = None
@@ -119,9 +132,11 @@ def gage_scales(slots: DataFrame, reached: DataFrame, flow: DataFrame) -> DataFr
             scale = 1.0 if modeled <= 0 else observed / modeled
             scales.append(scale)
             q[hit[comid]] *= scale
-        return pd.DataFrame({"date": pdf.date.iloc[:1], "scales": [[{"slot": int(k), "scale": float(v)} for k, v in zip(pdf.slot, scales)]]})
+        every = np.ones(size)
+        every[pdf.slot.to_numpy()] = scales
+        return pd.DataFrame({"date": pdf.date.iloc[:1], "scales": [every]})
 
-    return rows.groupBy("date").applyInPandas(fold, "date date, scales array<struct<slot:int,scale:double>>")
+    return rows.groupBy("date").applyInPandas(fold, "date date, scales array<double>")
 
 
 def enforce_gages(observations: DataFrame, reached: DataFrame, flow: DataFrame, at_gages: DataFrame | None = None) -> DataFrame:
@@ -145,21 +160,17 @@ def _enforced(slots: DataFrame, reached: DataFrame, flow: DataFrame, at_gages: D
     if "slots" not in flow.columns:
         flow = flow.join(segment_slots(slots, reached), "comid", "left")
     scales = cut(gage_scales(slots, reached, flow if at_gages is None else at_gages), "gage-scales")
-    last = scales.agg(F.max(F.array_max(F.transform("scales", lambda s: s.slot)))).first()[0]
-    if last is None:
+    dates = scales.select("date", F.size("scales")).orderBy("date").collect()  # months of a run
+    if not dates:
         return flow.select("date", "comid", "flow_cms")
-    # A month's scales by slot; a gage without an observation in the month leaves flows as they are.
-    by_slot = F.map_from_entries("scales")
-    months = scales.select("date", F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.coalesce(F.element_at(by_slot, k), F.lit(1.0))).alias("by_slot"))
-    months = cut(months, "gage-months")
-    dates = [r.date for r in months.select("date").orderBy("date").collect()]  # months of a run
-    step = max(1, SENT_SCALES // (last + 1))
-    value = F.aggregate("slots", F.col("flow_cms"), lambda q, k: q * F.element_at("by_slot", k + 1))
-    kept = F.when(F.col("slots").isNull() | F.col("by_slot").isNull(), F.col("flow_cms")).otherwise(value)
+    step = max(1, SENT_SCALES // dates[0][1])
+    dates = [r.date for r in dates]
+    value = F.aggregate("slots", F.col("flow_cms"), lambda q, k: q * F.element_at("scales", k + 1))
+    kept = F.when(F.col("slots").isNull() | F.col("scales").isNull(), F.col("flow_cms")).otherwise(value)
     out = None
     for i in range(0, len(dates), step):
         within = (F.col("date") >= F.lit(dates[i]) if i else F.lit(True)) & (F.col("date") < F.lit(dates[i + step]) if i + step < len(dates) else F.lit(True))
         # At most SENT_SCALES numbers, or one month's.
-        part = flow.where(within).join(F.broadcast(months.where(within)), "date", "left").select("date", "comid", kept.alias("flow_cms"))
+        part = flow.where(within).join(F.broadcast(scales.where(within)), "date", "left").select("date", "comid", kept.alias("flow_cms"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.joins import spread_join
-from freshet.scratch import cut, scope
+from freshet.scratch import cut
 
 #: Least number of sites that a cell is split at; cells with quarters in a level at most.
 LEAF, LEAVES = 64, 16_384
 #: Levels counted in a pass, and in all: cells of the last one aren't split.
-LEVELS, DEPTH = 6, 30
+LEVELS, DEPTH = 7, 28
 
 _BOX = ("west", "south", "east", "north")
 
@@ -38,30 +38,33 @@ def _counted(cells: DataFrame) -> DataFrame:
     return cells.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
 
 
-def _tree(sites: DataFrame, leaf: int) -> DataFrame:
-    """id, parent, level, cx, cy, is_leaf and the bounds of the sites of each cell that has any and whose parent has more than `leaf`."""
+def _id(level: Column, cx: Column, cy: Column) -> Column:
+    return level.cast("long") * (1 << 2 * DEPTH) + cx * (1 << DEPTH) + cy
+
+
+def _tree(sites: DataFrame, leaf: int) -> tuple[DataFrame, int]:
+    """The cells that have sites and whose parent has more than `leaf`: id, parent, level, cx, cy, is_leaf and the bounds of their sites; the deepest level."""
     held, crowded, base = None, None, 0
-    while base < DEPTH:
+    while True:
         inside = sites if crowded is None else sites.join(F.broadcast(crowded), [F.call_function("shiftright", sites[c], F.lit(DEPTH - base)) == crowded[f"in_{c}"] for c in ("cx", "cy")], "left_semi")
         last = min(base + LEVELS, DEPTH)
         points = inside.select(F.lit(last).alias("level"), *[F.call_function("shiftright", F.col(c), F.lit(DEPTH - last)).alias(c) for c in ("cx", "cy")], F.lit(1).cast("long").alias("n"), F.col("sx").alias("west"), F.col("sy").alias("south"), F.col("sx").alias("east"), F.col("sy").alias("north"))
-        finest = _counted(points)
         up = F.col("level") - F.col("to")
-        spread = finest.withColumn("to", F.explode(F.sequence(F.lit(base + 1 if base else 0), F.lit(last))))
+        spread = _counted(points).withColumn("to", F.explode(F.sequence(F.lit(base + 1 if base else 0), F.lit(last))))
         spread = spread.select(F.col("to").alias("level"), *[F.call_function("shiftright", F.col(c), up).alias(c) for c in ("cx", "cy")], "n", *_BOX)
-        level = cut(_counted(spread), "tree-levels")
-        held = level if held is None else held.unionByName(level)
+        counted = cut(_counted(spread), "tree-levels")
+        held = counted if held is None else held.unionByName(counted)
+        deepest = counted.where(F.col("n") > leaf).agg(F.max("level")).first()[0]
+        depth = min(DEPTH, base if deepest is None else deepest + 1)
         base = last
-        crowded = level.where((F.col("level") == last) & (F.col("n") > leaf)).select(F.col("cx").alias("in_cx"), F.col("cy").alias("in_cy"))
-        if crowded.isEmpty():
+        if deepest is None or deepest < last or last == DEPTH:
             break
-    split = held.where((F.col("n") > leaf) & (F.col("level") < DEPTH)).select((F.col("level") + 1).alias("level"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    named = held.withColumn("px", F.shiftright("cx", 1)).withColumn("py", F.shiftright("cy", 1))
-    kept = named.join(split, ["level", "px", "py"], "left_semi").unionByName(named.where("level = 0"))
-    numbered = cut(kept.withColumn("id", F.monotonically_increasing_id()), "tree")
-    above = numbered.select((F.col("level") + 1).alias("level"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("id").alias("parent"))
+        crowded = counted.where((F.col("level") == last) & (F.col("n") > leaf)).select(F.col("cx").alias("in_cx"), F.col("cy").alias("in_cy"))
     is_leaf = (F.col("n") <= leaf) | (F.col("level") == DEPTH)
-    return cut(numbered.join(above, ["level", "px", "py"], "left").select("id", "parent", "level", "cx", "cy", is_leaf.alias("is_leaf"), *_BOX), "tree")
+    parent = F.when(F.col("level") > 0, _id(F.col("level") - 1, F.shiftright("cx", 1), F.shiftright("cy", 1)))
+    named = held.select(_id(F.col("level"), F.col("cx"), F.col("cy")).alias("id"), parent.alias("parent"), "level", "cx", "cy", is_leaf.alias("is_leaf"), *_BOX)
+    kept = named.join(named.where("not is_leaf").select(F.col("id").alias("parent")), "parent", "left_semi")
+    return cut(kept.select(*named.columns).unionByName(named.where("level = 0")), "tree"), depth
 
 
 def _square(a: Column) -> Column:
@@ -77,54 +80,36 @@ def _most(x: Column, y: Column) -> Column:
     return F.greatest(_square(F.col("west") - x), _square(x - F.col("east"))) + F.greatest(_square(F.col("south") - y), _square(y - F.col("north")))
 
 
-def _compared(asked: DataFrame, leaves: DataFrame) -> DataFrame:
-    """`asked` (id: a leaf, x, y, ...) with `best`: square distance and comid of the leaf's nearest site. A leaf that many ask isn't gathered."""
-    asked = cut(asked, "nearest-asked")
-    wanted = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    d2 = lambda s: _square(F.col("x") - s.sx) + _square(F.col("y") - s.sy)
-    met = spread_join(asked, leaves.join(wanted, "id"), "id", asked.count())
-    return met.withColumn("best", F.array_min(F.transform("sites", lambda s: F.struct(d2(s).alias("d2"), s.comid.alias("comid"))))).drop("sites")
-
-
 def nearest(queries: DataFrame, sites: DataFrame) -> DataFrame:
     """For each query (qid, x, y) the nearest site (comid, x, y), however far: qid, comid, distance. The lower comid wins a tie.
 
     Queries and sites without a place are left out; without sites there are no rows.
     """
-    with scope(queries.sparkSession) as held:
-        found = _nearest(queries, sites)
-        held.keep(found)
-    return found
-
-
-def _nearest(queries: DataFrame, sites: DataFrame) -> DataFrame:
-    queries = cut(queries.select("qid", "x", "y").dropna(subset=["x", "y"]), "nearest-queries")
+    queries = queries.select("qid", "x", "y").dropna(subset=["x", "y"])
     places = cut(sites.select("comid", F.col("x").alias("sx"), F.col("y").alias("sy")).dropna().groupBy("sx", "sy").agg(F.min("comid").alias("comid")), "nearest-sites")
     n, west, south, east, north = places.agg(F.count(F.lit(1)), F.min("sx"), F.min("sy"), F.max("sx"), F.max("sy")).first()
     if not n:
-        return cut(queries.select("qid", F.lit(None).cast("long").alias("comid"), F.lit(None).cast("double").alias("distance")).where(F.lit(False)), "nearest")
+        return queries.select("qid", F.lit(None).cast("long").alias("comid"), F.lit(None).cast("double").alias("distance")).where(F.lit(False))
     side = max(east - west, north - south) or 1.0
     placed = lambda df, x, y: df.withColumn("cx", _place(x, west, side)).withColumn("cy", _place(y, south, side))
-    leaf = max(LEAF, n // LEAVES)
-    cells = _tree(placed(places, "sx", "sy"), leaf)
-    depth = cells.agg(F.max("level")).first()[0]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
-    of_leaf = cells.where("is_leaf").select("id", "level", "cx", "cy")
-    every = placed(places, "sx", "sy").select("comid", "sx", "sy", "cx", "cy", levels)
-    in_leaf = every.select("comid", "sx", "sy", "level", *_at_level(F.col("level"))).join(F.broadcast(of_leaf), ["level", "cx", "cy"])
+    cells, depth = _tree(placed(places, "sx", "sy"), max(LEAF, n // LEAVES))
+    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
+    in_cell = lambda df, *keep: df.select(*keep, "cx", "cy", level).select(*keep, _id(F.col("level"), *_at_level(F.col("level"))).alias("id"))
     # At most `leaf` sites, but where they lie closer than the last level tells apart.
-    leaves = cut(in_leaf.groupBy("id").agg(F.collect_list(F.struct("comid", "sx", "sy")).alias("sites")), "nearest-leaves")
-
-    own = placed(queries, "x", "y").select("qid", "x", "y", "cx", "cy", levels)
-    own = own.select("qid", "x", "y", "level", *_at_level(F.col("level"))).join(F.broadcast(cells.select("id", "level", "cx", "cy", "is_leaf", *_BOX)), ["level", "cx", "cy"])
-    start = cut(own.groupBy("qid", "x", "y").agg(F.max(F.struct("level", "id", "is_leaf", _most(F.col("x"), F.col("y")).alias("bound"))).alias("s")).select("qid", "x", "y", "s.id", "s.is_leaf", "s.bound"), "nearest-start")
-    by_leaf = _compared(start.where("is_leaf").select("qid", "x", "y", "id"), leaves).select("qid", "x", "y", F.col("best.d2").alias("bound"))
-    bounded = by_leaf.unionByName(start.where("not is_leaf").select("qid", "x", "y", "bound"))
+    leaves = in_cell(placed(places, "sx", "sy"), "comid", "sx", "sy").join(F.broadcast(cells.where("is_leaf").select("id")), "id")
+    leaves = leaves.groupBy("id").agg(F.collect_list(F.struct("comid", "sx", "sy")).alias("sites"))
 
+    x, y = F.col("x"), F.col("y")
+    own = in_cell(placed(queries, "x", "y"), "qid", "x", "y").join(F.broadcast(cells.select("id", *_BOX)), "id")
+    # Ids grow with levels.
+    asked = own.groupBy("qid", "x", "y").agg(F.max(F.struct("id", _most(x, y).alias("bound"))).alias("s")).select("qid", "x", "y", "s.bound", F.lit(0).cast("long").alias("id"))
     down = cells.where("parent is not null").select(F.col("parent").alias("at"), "id", *_BOX).unionByName(cells.where("is_leaf").select(F.col("id").alias("at"), "id", *_BOX))
-    root = cells.where("level = 0").first()["id"]
-    asked = bounded.withColumn("id", F.lit(root))
     for _ in range(depth):
-        asked = asked.withColumnRenamed("id", "at").join(F.broadcast(down), "at").where(_least(F.col("x"), F.col("y")) <= F.col("bound")).select("qid", "x", "y", "bound", "id")
-    met = _compared(asked.select("qid", "x", "y", "id"), leaves)
-    return cut(met.groupBy("qid").agg(F.min("best").alias("best")).select("qid", F.col("best.comid").alias("comid"), F.sqrt("best.d2").alias("distance")), "nearest")
+        asked = asked.withColumnRenamed("id", "at").join(F.broadcast(down), "at").where(_least(x, y) <= F.col("bound")).select("qid", "x", "y", "bound", "id")
+    asked = cut(asked.drop("bound"), "nearest-asked")
+    # A leaf that many queries ask isn't gathered.
+    wanted = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    d2 = lambda s: _square(x - s.sx) + _square(y - s.sy)
+    met = spread_join(asked, leaves.join(wanted, "id"), "id", asked.count())
+    best = F.array_min(F.transform("sites", lambda s: F.struct(d2(s).alias("d2"), s.comid.alias("comid"))))
+    return met.groupBy("qid").agg(F.min(best).alias("best")).select("qid", F.col("best.comid").alias("comid"), F.sqrt("best.d2").alias("distance"))
