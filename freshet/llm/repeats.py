@@ -197,29 +197,27 @@ def _told(row: dict, buckets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ties(parts: list[np.ndarray], first_too: bool) -> list[np.ndarray]:
+    """For each string of each part (none twice in a part) whether an earlier part has it too, or with `first_too` any other part."""
+    joined = np.concatenate(parts)
+    order = np.argsort(joined, kind="quicksort" if first_too else "stable")
+    same = joined[order[1:]] == joined[order[:-1]]
+    tie = np.zeros(len(joined), bool)
+    tie[order[1:]] = same
+    if first_too:
+        tie[order[:-1]] |= same
+    return np.split(tie, np.cumsum([len(p) for p in parts])[:-1])
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """One bucket of the cover's strings: a bit for each that another block has too."""
-    parts = [np.frombuffer(x.as_py(), "<u4") for x in table["names"].combine_chunks()]
-    ordered = np.sort(np.concatenate(parts))
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    return _back(table, [np.isin(p, twice, assume_unique=False) for p in parts])
+    return _back(table, _ties([np.frombuffer(x.as_py(), "<u4") for x in table["names"].combine_chunks()], True))
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """One bucket of suffixes: a bit for each string that an earlier block has."""
-    blocks = table["block"].to_numpy()
-    parts = [np.frombuffer(x.as_py(), "<u8") for x in table["names"].combine_chunks()]
-    by_block = np.argsort(blocks, kind="stable")
-    joined = np.concatenate([parts[i] for i in by_block])
-    order = np.argsort(joined, kind="stable")
-    tie = np.zeros(len(joined), bool)
-    tie[order[1:]] = joined[order[1:]] == joined[order[:-1]]
-    bits: list = [None] * len(parts)
-    start = 0
-    for i in by_block:
-        bits[i] = tie[start : start + len(parts[i])]
-        start += len(parts[i])
-    return _back(table, bits)
+    table = table.take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
+    return _back(table, _ties([np.frombuffer(x.as_py(), "<u8") for x in table["names"].combine_chunks()], False))
 
 
 def _back(table: pa.Table, bits: list[np.ndarray]) -> pa.Table:
