@@ -24,7 +24,6 @@ other than id and text are not read. A text is held whole by its task, with abou
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,12 +90,35 @@ def _bits_for(strings: int, least: int) -> int:
     return max(int(least - 1).bit_length(), int(-(-strings // BUCKET) - 1).bit_length() if strings > BUCKET else 0)
 
 
+def _packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+
+
+def coded(names: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as their differences, each in as many bytes as the largest of these needs."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    steps = np.zeros((len(raw), 8), np.uint8)
+    steps[:, :width] = raw
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 class Block:
     """Documents one after another, as stored in a row."""
 
     def __init__(self, row: dict) -> None:
         self.row = row
-        self.buf = np.frombuffer(zlib.decompress(row["bytes"]), np.uint8)
+        self.buf = _unpacked(row["bytes"], row["n_bytes"])
         self.lengths = np.asarray(row["lengths"], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
@@ -130,7 +152,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         size = 0
 
         def close() -> pa.RecordBatch:
-            return to_batch({"block": [ids[0]], "doc_ids": [ids], "lengths": [[len(t) for t in texts]], "n_bytes": [size], "bytes": [zlib.compress(b"".join(texts), 1)]}, arrow)
+            return to_batch({"block": [ids[0]], "doc_ids": [ids], "lengths": [[len(t) for t in texts]], "n_bytes": [size], "bytes": [_packed(b"".join(texts))]}, arrow)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -153,8 +175,8 @@ def _by_bucket(block: int, names: np.ndarray, buckets: np.ndarray, bits: int, na
         return
     first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     for a, b in zip(first, np.append(first[1:], len(names))):
-        part = ((names[a:b] << np.uint64(bits)) >> np.uint64(32)).astype("<u4") if narrow else names[a:b].astype("<u8")
-        yield {"bucket": int(buckets[a]), "block": block, "names": part.tobytes()}
+        part = ((names[a:b] << np.uint64(bits)) >> np.uint64(32)).astype("<u4").tobytes() if narrow else coded(names[a:b])
+        yield {"bucket": int(buckets[a]), "block": block, "names": part}
 
 
 def _leading(x: np.ndarray, bits: int) -> np.ndarray:
@@ -165,27 +187,32 @@ def _rows(dicts: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
     return to_batch({name: [d[name] for d in dicts] for name in arrow.names}, arrow)
 
 
+def _strings(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the `keys`, least weighty first: the number of each row's string, and the first and last row of each string, strings in order."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    new[:1] = True
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return which, order[new], order[np.append(new[1:], True)] if len(order) else order
+
+
 def _cover_strings(block: Block, length: int, period: int, bits: int) -> tuple[np.ndarray, ...]:
-    """The block's cover: positions, the number of each one's string; the strings, sorted, and their buckets."""
+    """The block's cover: positions, the number of each one's string, each string's first and last row; the strings, sorted, and their buckets."""
     at, name = block.cover(length, period)
-    strings, which = np.unique(name, return_inverse=True)
-    return at, which, strings, _leading(strings, bits)
+    which, first, last = _strings(name)
+    return at, which, first, last, name[first], _leading(name[first], bits)
 
 
 def _suffixes(block: Block, candidate: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, ...]:
-    """The block's candidates: positions, the number of each one's string; the strings, sorted by bucket and name, and their buckets."""
+    """The block's candidates: positions, the number of each one's string, each string's first row; the strings, sorted by bucket and name, and their buckets."""
     at = np.flatnonzero(candidate)
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return at, none, np.zeros(0, np.uint64), none
-    first, second = (x[at] for x in names(block.buf, length))
-    bucket = _leading(second, bits)
-    order = np.lexsort((first, bucket))
-    new = np.r_[True, (first[order][1:] != first[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])]
-    which = np.empty(len(at), np.int64)
-    which[order] = np.cumsum(new) - 1
-    leads = order[new]
-    return at, which, first[leads], bucket[leads]
+    name, other = (x[at] for x in names(block.buf, length)) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    bucket = _leading(other, bits)
+    which, first, _ = _strings(name, bucket)
+    return at, which, first, name[first], bucket[first]
 
 
 def _told(row: dict, buckets: np.ndarray) -> np.ndarray:
@@ -217,7 +244,7 @@ def _shared(table: pa.Table) -> pa.Table:
 def _repeated(table: pa.Table) -> pa.Table:
     """One bucket of suffixes: a bit for each string that an earlier block has."""
     table = table.take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
-    return _back(table, _ties([np.frombuffer(x.as_py(), "<u8") for x in table["names"].combine_chunks()], False))
+    return _back(table, _ties([decoded(x.as_py()) for x in table["names"].combine_chunks()], False))
 
 
 def _back(table: pa.Table, bits: list[np.ndarray]) -> pa.Table:
@@ -256,7 +283,7 @@ def removed(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_col:
 
     def cover_sent(bits: int):
         def of(row: dict) -> Iterator[dict]:
-            _, _, strings, buckets = _cover_strings(Block(row), length, period, bits)
+            *_, strings, buckets = _cover_strings(Block(row), length, period, bits)
             return _by_bucket(row["block"], strings, buckets, bits, narrow=True)
 
         return of
@@ -264,31 +291,27 @@ def removed(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_col:
     def candidates(bits: int):
         def of(row: dict) -> Iterator[dict]:
             block = Block(row)
-            at, which, strings, buckets = _cover_strings(block, length, period, bits)
-            ranked = _told(row, buckets)
+            at, which, first, last, strings, buckets = _cover_strings(block, length, period, bits)
             # Strings of two documents of the block are ranked by the block itself.
             doc = block.document()[at]
-            low, high = np.full(len(strings), len(block.ids)), np.full(len(strings), -1)
-            np.minimum.at(low, which, doc)
-            np.maximum.at(high, which, doc)
-            ranked |= low < high
+            ranked = _told(row, buckets) | (doc[first] < doc[last])
             n = len(block.buf)
-            steps = np.zeros(n + 1, np.int32)
-            hit = at[ranked[which]] if len(at) else at
-            np.add.at(steps, np.maximum(hit - period + 1, 0), 1)
-            np.add.at(steps, hit + 1, -1)
-            near = (np.cumsum(steps[:n]) > 0) & (block.room() >= length)
-            yield {name: row[name] for name in ("block", "doc_ids", "lengths", "n_bytes", "bytes")} | {"n_candidates": int(near.sum()), "candidates": zlib.compress(np.packbits(near).tobytes(), 1)}
+            up_to = np.zeros(n + period, np.int32)
+            up_to[1 + at[ranked[which]]] = 1
+            up_to[: n + 1].cumsum(out=up_to[: n + 1])
+            up_to[n + 1 :] = up_to[n]
+            near = (up_to[period:] > up_to[:-period]) & (block.room() >= length)
+            yield {name: row[name] for name in ("block", "doc_ids", "lengths", "n_bytes", "bytes")} | {"n_candidates": int(near.sum()), "candidates": _packed(np.packbits(near).tobytes())}
 
         return of
 
     def near_of(block: Block) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(zlib.decompress(block.row["candidates"]), np.uint8), count=len(block.buf)).astype(bool)
+        return np.unpackbits(_unpacked(block.row["candidates"], (len(block.buf) + 7) // 8), count=len(block.buf)).astype(bool)
 
     def suffixes_sent(bits: int):
         def of(row: dict) -> Iterator[dict]:
             block = Block(row)
-            _, _, strings, buckets = _suffixes(block, near_of(block), length, bits)
+            *_, strings, buckets = _suffixes(block, near_of(block), length, bits)
             return _by_bucket(row["block"], strings, buckets, bits, narrow=False)
 
         return of
@@ -296,15 +319,13 @@ def removed(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_col:
     def cut_out(bits: int):
         def of(row: dict) -> Iterator[dict]:
             block = Block(row)
-            at, which, strings, buckets = _suffixes(block, near_of(block), length, bits)
-            earlier = _told(row, buckets)
+            at, which, first, _, buckets = _suffixes(block, near_of(block), length, bits)
             own = block.ids[block.document()[at]]
-            least_id = np.full(len(strings), np.iinfo(np.int64).max)
-            np.minimum.at(least_id, which, own)
-            goes = at[earlier[which] | (least_id[which] < own)] if len(at) else at
+            # Documents go by their ids, so a string's first row has its least one.
+            goes = at[_told(row, buckets)[which] | (own[first][which] < own)]
             steps = np.zeros(len(block.buf) + 1, np.int32)
-            np.add.at(steps, goes, 1)
-            np.add.at(steps, goes + length, -1)
+            steps[goes] += 1
+            steps[goes + length] -= 1
             gone = np.cumsum(steps[:-1]) > 0
             for doc_id, a, b in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist()):
                 mask = gone[a:b]

@@ -90,3 +90,10 @@ def test_names_follow_the_bytes(length):
     for a in range(0, 3000):
         assert (one[a] == one[0]) == (bytes(buf[a : a + length]) == bytes(buf[:length]))
     assert len(np.unique(one)) == len(np.unique(two)) == len({bytes(buf[a : a + length]) for a in range(len(one))})
+
+
+def test_coded_numbers():
+    rng = np.random.default_rng(1)
+    for names in (np.array([0], np.uint64), np.array([2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64)), np.arange(300, dtype=np.uint64)):
+        assert (repeats.decoded(repeats.coded(names)) == names).all()
+    assert len(repeats.coded(np.arange(300, dtype=np.uint64))) == 301
