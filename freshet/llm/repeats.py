@@ -24,7 +24,7 @@ other than id and text are not read. A text is held whole by its task, with abou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -253,11 +253,10 @@ def _back(table: pa.Table, bits: list[np.ndarray]) -> pa.Table:
     return pa.table({"bucket": table["bucket"].take(at), "block": table["block"].take(at), "bits": pa.array([np.packbits(bits[i]).tobytes() for i in told], pa.binary())})
 
 
-def _asked(held: DataFrame, sent: DataFrame, answer) -> DataFrame:
-    """`held` with `back`: what the buckets of `sent` answer each block."""
+def _replies(sent: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """What the buckets of `sent` answer each block: block and back. They are written, so that what was sent can go."""
     replies = sent.groupBy("bucket").applyInArrow(answer, _BACK)
-    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("back"))
-    return held.join(gathered, "block", "left")
+    return materialise(replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("back")), "repeats-replies")
 
 
 def _each(df: DataFrame, schema: str, fn) -> DataFrame:
@@ -338,13 +337,12 @@ def removed(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_col:
         stored = materialise(blocks(docs, id_col, text_col, block_bytes), "repeats-blocks")
         total = stored.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
         bits = _bits_for(total * len(COVERS[period]) // period, least)
-        asked = _asked(stored, _each(stored, _SENT, cover_sent(bits)), _shared)
-        marked = materialise(_each(asked, _BLOCK + ", n_candidates long, candidates binary", candidates(bits)), "repeats-candidates")
+        ranked = _replies(_each(stored, _SENT, cover_sent(bits)), _shared)
+        marked = materialise(_each(stored.join(ranked, "block", "left"), _BLOCK + ", n_candidates long, candidates binary", candidates(bits)), "repeats-candidates")
         held.release(marked)
         total = marked.agg(F.coalesce(F.sum("n_candidates"), F.lit(0))).first()[0]
         bits = _bits_for(total, least)
-        replies = _each(marked, _SENT, suffixes_sent(bits)).groupBy("bucket").applyInArrow(_repeated, _BACK)
-        replies = materialise(replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("back")), "repeats-replies")
+        replies = _replies(_each(marked, _SENT, suffixes_sent(bits)), _repeated)
         held.keep(marked, replies)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
     out = _each(marked.join(replies, "block", "left"), schema, cut_out(bits))
