@@ -17,7 +17,7 @@ from freshet.config import ModelConfig
 from freshet.functions import columns, crs, geometry
 from freshet.operators import control_points, folds, gages, network, runoff, spatial
 from freshet.plans import inputs
-from freshet.plans.model import enforced, run_model
+from freshet.plans.model import enforced, in_system, run_model
 from freshet.scratch import cut, scratch_root
 from freshet.sources import flo, tables
 
@@ -118,7 +118,7 @@ def model_run(spark, sf_dir):
     options = inputs.model_files(spark, sf_dir, folder)
     run_model(ModelConfig.of(**options, basin_name_value="lattice", start_date=START, end_date=MODEL_END, runoff_coeff_m_per_month=COEFFICIENT), spark)
     out = spark.read.csv(options["output_file"], schema="date date, comid long, flow_cms double, lat double, lon double", header=True)
-    return out.select("date", "comid", "flow_cms", "lat", "lon")
+    return out.select("date", "comid", "flow_cms", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
 
 
 def local_area(spark, sf_dir):
@@ -313,6 +313,39 @@ def utm_forward(spark, sf_dir):
     return placed.select("comid", F.format_string("%.3f", "e").alias("easting"), F.format_string("%.3f", "n").alias("northing"), (F.abs(lon - F.col("lon")) < 1e-8).alias("lon_back"), (F.abs(lat - F.col("lat")) < 1e-8).alias("lat_back"))
 
 
+#: An equal-area system of the whole country, as a .prj file has it, and a basin in degrees between the lattice's points.
+ALBERS = """PROJCS["NAD_1983_Albers",GEOGCS["GCS_North_American_1983",DATUM["D_North_American_1983",SPHEROID["GRS_1980",6378137.0,298.257222101]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],
+PROJECTION["Albers"],PARAMETER["False_Easting",0.0],PARAMETER["False_Northing",0.0],PARAMETER["Central_Meridian",-96.0],PARAMETER["Standard_Parallel_1",29.5],PARAMETER["Standard_Parallel_2",45.5],PARAMETER["Latitude_Of_Origin",23.0],UNIT["Meter",1.0]]"""
+DEGREES = (-100.00390625, 27.501953125, -97.00390625, 31.001953125)
+
+
+def _lattice_degrees(spark, sf_dir):
+    return inputs.sites(spark, sf_dir).select("comid", (F.lit(-102.0) + F.col("x") / 16384.0).alias("lon"), (F.lit(26.0) + F.col("y") / 16384.0).alias("lat"))
+
+
+def albers_forward(spark, sf_dir):
+    """Every lattice point in an equal-area system and back."""
+    system = crs.from_wkt(ALBERS)
+    x, y = crs.from_degrees(system)(F.col("lon"), F.col("lat"))
+    placed = _lattice_degrees(spark, sf_dir).withColumn("x", x).withColumn("y", y)
+    lon, lat = crs.to_degrees(system)(F.col("x"), F.col("y"))
+    return placed.select("comid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), (F.abs(lon - F.col("lon")) < 1e-8).alias("lon_back"), (F.abs(lat - F.col("lat")) < 1e-8).alias("lat_back"))
+
+
+def basin_in_albers(spark, sf_dir):
+    """Lines in metres of one system, the basin in degrees: it is brought to the lines' system."""
+    system = crs.from_wkt(ALBERS)
+    point = lambda lon, lat: F.struct(lon.alias("x"), lat.alias("y"))
+    degrees = F.array(F.array(point(F.col("lon"), F.col("lat")), point(F.col("lon") + 0.0001, F.col("lat"))))
+    lines = _lattice_degrees(spark, sf_dir).select("comid", geometry.transformed(degrees, crs.from_degrees(system)).alias("parts"))
+    west, south, east, north = DEGREES
+    # Sides of many corners: a straight side in degrees is a curve in metres.
+    corners = [(west, south), (east, south), (east, north), (west, north), (west, south)]
+    ring = [{"x": a + (c - a) * k / 64, "y": b + (d - b) * k / 64} for (a, b), (c, d) in zip(corners, corners[1:]) for k in range(64)]
+    basin = spark.createDataFrame([([[*ring, ring[0]]],)], f"parts {geometry.PARTS}")
+    return spatial.intersecting(lines, in_system(basin, crs.Crs(), system)).select("comid")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -351,6 +384,8 @@ QUERIES = {
         basin_lines,
         line_measures,
         utm_forward,
+        albers_forward,
+        basin_in_albers,
     )
 }
 
@@ -451,6 +486,8 @@ r AS (SELECT comid, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)
 SELECT comid, printf('%.3f', {d(500000.0)} + {d(crs._SCALE)} * (eta + {east})) AS easting, printf('%.3f', {d(crs._SCALE)} * (xi + {north})) AS northing, true AS lon_back, true AS lat_back FROM r"""
 
 
+_Q = "(1 - e ** 2) * ({0} / (1 - e ** 2 * {0} ** 2) - 1 / (2 * e) * ln((1 - e * {0}) / (1 + e * {0})))"
+
 ORACLES = {
     "flow_monthly": f"WITH RECURSIVE {_UNIT} SELECT date, comid, {_FLOW} AS flow_cms FROM unit CROSS JOIN {_MONTHS}",
     "flo_parse": f"""WITH obs AS (SELECT * FROM {_OBS}), years AS (SELECT DISTINCT gage_id, year(date) AS y FROM obs)
@@ -497,7 +534,7 @@ UNION ALL VALUES ('a value', 'not a number', 0), ('a year', 'not a number', 0),
     "routed_numbers": f"WITH {_SEGS} SELECT row_number() OVER (ORDER BY comid DESC) AS comid, 'P' || comid AS permanent_ FROM segs WHERE comid % 23 <> 0",
     "model_run": f"""WITH RECURSIVE {_UNIT.replace("segs AS", "every_seg AS", 1).replace("), links AS", "), " + _INSIDE + ", links AS", 1)}, {_AT_HOME}, {_PATHS}, {_LOST},
 flow AS (SELECT date, comid, {_FLOW} AS q FROM lost CROSS JOIN {_MONTHS} WHERE date <= DATE '{MODEL_END}'), {_ENFORCED}
-SELECT f.date, f.comid, COALESCE(l.q, f.q) AS flow_cms, p.lat, p.lon
+SELECT f.date, f.comid, COALESCE(l.q, f.q) AS flow_cms, round(p.lat, 3) AS lat, round(p.lon, 3) AS lon
 FROM flow f JOIN {_LATTICE} p USING (comid) LEFT JOIN last l USING (date, comid)""",
     "basin_name_filter": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region WHERE lower(r_name) = 'europe'",
     "basin_options": "SELECT DISTINCT n_name AS name FROM nation",
@@ -512,4 +549,11 @@ SELECT CASE WHEN comid % 7 = 0 THEN NULL WHEN comid % 5 = 0 THEN 'P' ELSE 'P' ||
 SELECT comid, printf('%.6f', 500 + 130 * k) AS length, printf('%.4f', (500 * (x + 150) + 130 * k * (x + 300 + 60 * k)) / (500 + 130 * k)) AS cx,
 printf('%.4f', (500 * (y + 200) + 130 * k * (y + 400 + 25 * k)) / (500 + 130 * k)) AS cy FROM l""",
     "utm_forward": _utm_sql(),
+    "albers_forward": f"""WITH c AS (SELECT sqrt(f * (2 - f)) AS e, radians(CAST(29.5 AS DOUBLE)) AS p1, radians(CAST(45.5 AS DOUBLE)) AS p2, radians(CAST(23 AS DOUBLE)) AS p0 FROM (SELECT 1 / CAST(298.257222101 AS DOUBLE) AS f)),
+k AS (SELECT e, {_Q.format("sin(p1)")} AS q1, {_Q.format("sin(p2)")} AS q2, {_Q.format("sin(p0)")} AS q0, cos(p1) ** 2 / (1 - e ** 2 * sin(p1) ** 2) AS m1, cos(p2) ** 2 / (1 - e ** 2 * sin(p2) ** 2) AS m2 FROM c),
+n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n, m1 + (m1 - m2) / (q2 - q1) * q1 AS c FROM k),
+p AS (SELECT comid, n, radians(CAST(-102 AS DOUBLE) + x / 16384 + 96) * n AS turn, CAST(6378137 AS DOUBLE) * sqrt(c - n * q0) / n AS rho0,
+  CAST(6378137 AS DOUBLE) * sqrt(c - n * {_Q.format("sin(radians(CAST(26 AS DOUBLE) + y / 16384))")}) / n AS rho FROM {_SITES} CROSS JOIN n)
+SELECT comid, round(rho * sin(turn), 3) AS x, round(rho0 - rho * cos(turn), 3) AS y, true AS lon_back, true AS lat_back FROM p""",
+    "basin_in_albers": f"""SELECT comid FROM {_SITES} WHERE CAST(-102 AS DOUBLE) + x / 16384 BETWEEN {DEGREES[0]} AND {DEGREES[2]} AND CAST(26 AS DOUBLE) + y / 16384 BETWEEN {DEGREES[1]} AND {DEGREES[3]}""",
 }

@@ -35,11 +35,23 @@ def is_geographic(box: tuple[float, float, float, float]) -> bool:
     return -180 <= box[0] and box[2] <= 180 and -90 <= box[1] and box[3] <= 90
 
 
-def build_network(spark: SparkSession, flow: DataFrame, basin: DataFrame, vaa: DataFrame | None = None) -> Network:
-    """Flowlines that touch the basin, routed, as a checked acyclic network."""
+def in_system(polygons: DataFrame, source: crs.Crs | None, target: crs.Crs | None) -> DataFrame:
+    """SP3: the polygons' corners in the target's coordinates; as they are where a system isn't known."""
+    if source is None or target is None or source == target or source.geographic and target.geographic:
+        return polygons
+    return polygons.withColumn("parts", geometry.transformed(F.col("parts"), crs.between(source, target)))
+
+
+def build_network(spark: SparkSession, flow: DataFrame, basin: DataFrame, vaa: DataFrame | None = None, system: crs.Crs | None = None) -> Network:
+    """Flowlines that touch the basin, routed, as a checked acyclic network.
+
+    Both are in coordinates of `system`; lines of a projected one are in degrees from here on.
+    """
     inside = cut(spatial.intersecting(flow, basin), "inside")
     if inside.isEmpty():
         raise ValueError(f"no flowline touches the basin; regions in the source: {', '.join(tables.vpu_sample(flow)) or 'unknown'}")
+    if system and not system.geographic:
+        inside = inside.withColumn("parts", geometry.transformed(F.col("parts"), crs.to_degrees(system)))
     segments = network.routed(inside, vaa)
     links = cut(network.edges(segments), "edges")
     nodes = network.validate(segments, links, log.info)["nodes"]
@@ -107,11 +119,13 @@ def run_model(cfg: ModelConfig, spark: SparkSession, progress_cb: Callable[[int,
         progress(1, "reading the basin and flowlines")
         basin = spatial.basin(tables.read_any(spark, cfg.basin_shp), cfg.basin_name_field, cfg.basin_name_value)
         source = archives.prepare(cfg.flowline_source)
+        system = flowlines.crs_of(spark, source)
+        basin = in_system(basin, tables.crs_of(spark, cfg.basin_shp), system)
         flow = flowlines.read(spark, source, cfg.flowline_layer, geometry.bounds(basin))
         vaa = None
         if not {"fromnode", "tonode"} <= set(flow.columns):
             vaa = tables.vaa(spark, cfg.vaa_file) if cfg.vaa_file else flowlines.embedded_vaa(spark, source)
-        net = build_network(spark, flow, basin, vaa)
+        net = build_network(spark, flow, basin, vaa, system)
         levels = network.levels(net.segments, net.closure)
         progress(20, "network built")
         at = cut(centroids(net), "centroids")

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.functions import geometry
+from freshet.functions import crs, geometry
 from freshet.functions.columns import lower_names, number
 from freshet.operators.numbering import row_numbers
 from freshet.sources import shapefile, tables
@@ -65,6 +65,17 @@ def read(spark: SparkSession, source: str, layer: str | None = None, bbox: Bbox
     return normalised(tables.read_any(spark, source, bbox))
 
 
+def crs_of(spark: SparkSession, source: str) -> crs.Crs | None:
+    """The coordinate system of a source's lines, None where nothing says it; tiles of different systems are an error."""
+    path = Path(source)
+    if not path.is_dir():
+        return tables.crs_of(spark, source)
+    found = {str(held): held for held in (tables.crs_of(spark, str(t)) for t in sorted(path.glob(TILE_PATTERN))) if held}
+    if len(found) > 1:
+        raise ValueError(f"the tiles in {source} have {len(found)} coordinate systems")
+    return next(iter(found.values()), None)
+
+
 def embedded_vaa(spark: SparkSession, source: str, reader: LayerReader = driver_layer_reader) -> DataFrame:
     """The routing table of every geodatabase below `source`; ones that can't be read are left out."""
     path = Path(source)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.functions import geometry
+from freshet.functions import crs, geometry
 from freshet.functions.columns import lower_names, require
 from freshet.sources import shapefile
 
@@ -49,6 +49,19 @@ def read_any(spark: SparkSession, path: str, bbox: Bbox | None = None) -> DataFr
     return out
 
 
+def crs_of(spark: SparkSession, path: str) -> crs.Crs | None:
+    """The coordinate system that a source names: a shapefile's .prj, degrees for GeoJSON; None where nothing says it."""
+    kind = path.lower().rstrip("/").rsplit(".", 1)[-1]
+    if kind in ("geojsonl", "geojsons"):
+        return crs.Crs()
+    if kind != "shp":
+        return None
+    beside = spark._jvm.org.apache.hadoop.fs.Path(path[:-4] + ".prj")
+    if not beside.getFileSystem(spark._jsc.hadoopConfiguration()).exists(beside):
+        return None
+    return crs.from_wkt(spark.read.text(path[:-4] + ".prj", wholetext=True).first()[0])
+
+
 def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """One feature a line: its properties as columns, and `parts`. Files of any size are read in parallel."""
     kinds = dict(spark.read.json(path).dtypes)

@@ -13,7 +13,7 @@ from freshet.__main__ import parse_args
 from freshet.config import ModelConfig
 from freshet.functions import columns, crs, geometry
 from freshet.operators import spatial
-from freshet.plans.model import build_network, run_model
+from freshet.plans.model import build_network, centroids, in_system, run_model
 from freshet.sources import archives, flo, flowlines, shapefile, tables
 from freshet.streaming import observations
 
@@ -72,6 +72,65 @@ def test_utm(spark):
     assert [crs.utm_zone(*b) for b in ((-98, -96), (-180, -180), (179, 180))] == [14, 1, 60]
 
 
+#: Published worked examples of the projections (Clarke 1866): degrees and metres.
+CLARKE = 'SPHEROID["Clarke_1866",6378206.4,294.978698213898]'
+EXAMPLES = [
+    (f'PROJCS["a",GEOGCS["g",DATUM["d",{CLARKE}]],PROJECTION["Albers"],PARAMETER["Central_Meridian",-96.0],PARAMETER["Standard_Parallel_1",29.5],PARAMETER["Standard_Parallel_2",45.5],PARAMETER["Latitude_Of_Origin",23.0],UNIT["Meter",1.0]]', (-75.0, 35.0), (1885472.7, 1535925.0)),
+    (f'PROJCS["l",GEOGCS["g",DATUM["d",{CLARKE}]],PROJECTION["Lambert_Conformal_Conic"],PARAMETER["Central_Meridian",-96.0],PARAMETER["Standard_Parallel_1",33.0],PARAMETER["Standard_Parallel_2",45.0],PARAMETER["Latitude_Of_Origin",23.0],UNIT["Meter",1.0]]', (-75.0, 35.0), (1894410.9, 1564649.5)),
+    (f'PROJCS["t",GEOGCS["g",DATUM["d",{CLARKE}]],PROJECTION["Transverse_Mercator"],PARAMETER["Central_Meridian",-75.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Meter",1.0]]', (-73.5, 40.5), (127106.5, 4484124.4)),
+]
+
+
+@pytest.mark.parametrize(("text", "degrees", "metres"), EXAMPLES)
+def test_projections(spark, text, degrees, metres):
+    system = crs.from_wkt(text)
+    x, y = crs.from_degrees(system)(F.lit(degrees[0]), F.lit(degrees[1]))
+    row = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert (row.x, row.y) == pytest.approx(metres, abs=0.1)
+    for shift in ('PARAMETER["False_Easting",1500.0],PARAMETER["False_Northing",-700.0],', ""):
+        moved = crs.from_wkt(text.replace("PARAMETER", shift + "PARAMETER", 1).replace('"Meter",1.0', '"Foot_US",0.3048006096012192'))
+        points = spark.createDataFrame([(degrees[0] + i / 3, degrees[1] - i / 5) for i in range(-9, 9)], "lon double, lat double")
+        x, y = crs.from_degrees(moved)(F.col("lon"), F.col("lat"))
+        lon, lat = crs.to_degrees(moved)(F.col("x"), F.col("y"))
+        for r in points.withColumns({"x": x, "y": y}).select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
+            assert abs(r.lon2 - r.lon) < 1e-8 and abs(r.lat2 - r.lat) < 1e-8
+    first = points.withColumns({"x": x, "y": y}).where(f"lon = {degrees[0]}").first()
+    assert (first.x * 0.3048006096012192, first.y * 0.3048006096012192) == pytest.approx(metres, abs=0.1)
+
+
+def test_systems(spark, tmp_path):
+    assert crs.from_wkt(shapefile.WGS84_WKT).geographic
+    with pytest.raises(ValueError, match="unknown projection"):
+        crs.from_wkt(EXAMPLES[0][0].replace('"Albers"', '"Robinson"'))
+    with pytest.raises(ValueError, match="ellipsoid"):
+        crs.from_wkt("LOCAL")
+    web = crs.from_wkt('PROJCS["w",GEOGCS["g",DATUM["d",SPHEROID["WGS_1984",6378137.0,298.257223563]]],PROJECTION["Mercator_Auxiliary_Sphere"],PARAMETER["Central_Meridian",0.0],UNIT["Meter",1.0]]')
+    x, y = crs.from_degrees(web)(F.lit(-97.0), F.lit(31.0))
+    lon, lat = crs.between(web, crs.from_wkt(shapefile.WGS84_WKT))(x, y)
+    row = spark.range(1).select(x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat")).first()
+    assert tuple(row) == pytest.approx((-10797990.6, 3632749.1, -97.0, 31.0), abs=0.1)
+    (tmp_path / "a.prj").write_text(EXAMPLES[0][0])
+    assert tables.crs_of(spark, str(tmp_path / "a.shp")).kind == "albers" and tables.crs_of(spark, str(tmp_path / "b.shp")) is None
+    for name, text in (("NHDFlowline_1", EXAMPLES[0][0]), ("NHDFlowline_2", EXAMPLES[1][0])):
+        (tmp_path / f"{name}.prj").write_text(text)
+        (tmp_path / f"{name}.shp").write_bytes(b"")
+    with pytest.raises(ValueError, match="2 coordinate systems"):
+        flowlines.crs_of(spark, str(tmp_path))
+
+
+def test_a_projected_network_is_in_degrees(spark):
+    system = crs.from_wkt(EXAMPLES[0][0])
+    degrees = spark.createDataFrame([(f"P{i}", float(i), float(i), float(i + 1), float(9 - i), [[{"x": -97.0 + i, "y": 31.0}, {"x": -96.9 + i, "y": 31.0}]]) for i in range(1, 5)], f"permanent_ string, nhdplusid double, fromnode double, tonode double, hydroseq double, parts {geometry.PARTS}")
+    flow = degrees.withColumn("parts", geometry.transformed(F.col("parts"), crs.from_degrees(system)))
+    square = spark.createDataFrame([([[{"x": x, "y": y} for x, y in ((-98.0, 30.0), (-94.5, 30.0), (-94.5, 32.0), (-98.0, 32.0), (-98.0, 30.0))]],)], f"parts {geometry.PARTS}")
+    net = build_network(spark, flow, in_system(square, crs.Crs(), system), system=system)
+    plain = build_network(spark, degrees, square)
+    assert net.zone == plain.zone is not None
+    at = lambda n: {r.comid: (r.lon, r.lat) for r in centroids(n).collect()}
+    got, want = at(net), at(plain)
+    assert set(got) == set(want) == {1, 2} and all(got[c] == pytest.approx(want[c], abs=1e-7) for c in got)
+
+
 def test_unknown_flows_are_empty_in_the_csv(spark, tmp_path):
     flows = spark.createDataFrame([(date(2010, 1, 1), 7, float("nan"), 31.5, None, 0), (date(2010, 1, 1), 8, 2.5, 31.5, -97.0, 1)], "date date, comid long, flow_cms double, lat double, lon double, topo_level long")
     for _ in range(2):  # a file that is there is replaced
