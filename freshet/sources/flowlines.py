@@ -62,7 +62,7 @@ def read(spark: SparkSession, source: str, layer: str | None = None, bbox: Bbox
         if not tiles:
             raise FileNotFoundError(f"{source} has neither geodatabases nor {TILE_PATTERN}")
         return normalised(tables.union_tiles([shapefile.read(spark, t, bbox).withColumn("file_row", F.col("file_row") + (i << 40)) for i, t in enumerate(tiles)]))
-    return normalised(tables.read_any(spark, source, bbox))
+    return normalised(tables.read_any(spark, source, bbox, ordered=True))
 
 
 def crs_of(spark: SparkSession, source: str) -> crs.Crs | None:

@@ -12,7 +12,7 @@ from freshet import sinks
 from freshet.__main__ import parse_args
 from freshet.config import ModelConfig
 from freshet.functions import columns, crs, geometry
-from freshet.operators import spatial
+from freshet.operators import network, spatial
 from freshet.plans.model import build_network, centroids, in_system, run_model
 from freshet.sources import archives, flo, flowlines, shapefile, tables
 from freshet.streaming import observations
@@ -327,6 +327,37 @@ def test_tables(spark, tmp_path):
     assert tables.vpu_sample(spark.createDataFrame([("b",), ("a",), (None,)], "vpuid string")) == ["a", "b"]
 
 
+@pytest.mark.parametrize("kind", ["parquet", "csv", "geojsonl"])
+def test_rows_without_ids_are_numbered_in_the_order_of_the_files(spark, tmp_path, kind):
+    """Rows against their values' order, in several files and splits; COMIDs follow too."""
+    path = tmp_path / f"flow.{kind}"
+    rows = [(f"{1000 - i}", float(-i), float(i), float(i + 1), 5.0) for i in range(600)]
+    table = spark.createDataFrame(rows, "name string, fromnode double, tonode double, hydroseq double, areasqkm double")
+    ordered = table.repartitionByRange(3, F.col("fromnode").desc()).sortWithinPartitions(F.col("fromnode").desc())
+    if kind == "geojsonl":
+        ordered.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*table.columns).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates")).alias("geometry"))).alias("value")).write.text(str(path))
+    else:
+        getattr(ordered.write.option("header", True), kind)(str(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = flowlines.read(spark, f"file://{path}")
+        assert {int(r.permanent_): r.name for r in got.collect()} == {i + 1: r[0] for i, r in enumerate(rows)}
+        assert {r.comid: r.name for r in network.routed(got).collect()} == {i + 1: r[0] for i, r in enumerate(rows)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_control_points_keep_the_order_of_a_file_in_splits(spark, tmp_path):
+    path = tmp_path / "cp.csv"
+    path.write_text("LONG,UP_CP,Next_DS_CP,ChLosFac,LAT\n" + "".join(f"1,{997 * i % 500:04d},x,0.5,2\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = tables.control_points(spark, str(path)).orderBy("file_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.file_row, r.UP_CP) for r in rows] == [(i, f"{997 * i % 500:04d}") for i in range(500)]
+
+
 def test_archives(tmp_path):
     assert archives.prepare(str(tmp_path)) == str(tmp_path)
     name = "NHDPLUS_H_1201_HU4_GDB.zip"
