@@ -14,6 +14,7 @@ from freshet.config import ModelConfig
 from freshet.functions import crs, geometry
 from freshet.functions.columns import months
 from freshet.operators import control_points, folds, gages, network, runoff, spatial
+from freshet.progress import ticking
 from freshet.scratch import cut, scope
 from freshet.sources import archives, flo, flowlines, tables
 
@@ -149,8 +150,9 @@ def run_model(cfg: ModelConfig, spark: SparkSession, progress_cb: Callable[[int,
             coefficient = gages.calibrate(observations, unit, dates, cfg.calibration_months)
             log.info("calibrated coefficient: %.6f m a month", coefficient)
         progress(42, "flows")
-        out = flows(net, unit, dates, coefficient, steps, control_points.members(path_rows), None if placed is None else observations)
-        result = cut(out.join(at.select("comid", "lat", "lon"), "comid").join(levels, "comid").select("date", "comid", "flow_cms", "lat", "lon", "topo_level"), "flows")
+        with ticking(spark, lambda percent: progress(percent, "flows"), 42, 92):
+            out = flows(net, unit, dates, coefficient, steps, control_points.members(path_rows), None if placed is None else observations)
+            result = cut(out.join(at.select("comid", "lat", "lon"), "comid").join(levels, "comid").select("date", "comid", "flow_cms", "lat", "lon", "topo_level"), "flows")
         held.keep(result)
     progress(92, "writing")
     sinks.write_flows(result, cfg.output_file)

@@ -2,6 +2,7 @@
 
 import random
 import threading
+import time
 from pathlib import Path
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from freshet import scratch
 from freshet.operators import joins
 from freshet.operators.components import components
+from freshet.progress import ticking
 
 
 def folders(spark):
@@ -119,3 +121,19 @@ def test_components(spark, monkeypatch, many):
     assert {(r.node, r.root) for r in got.collect()} == {(x, find(x)) for e in edges if e[0] != e[1] for x in e}
     assert len(folders(spark) - before) == 1
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_ticks_rise_while_tasks_end(spark):
+    def slow(batches):
+        time.sleep(0.15)
+        yield from batches
+
+    seen = []
+    with ticking(spark, seen.append, 42, 92, every=0.05):
+        assert spark.range(0, 40, 1, 40).mapInArrow(slow, "id long").count() == 40
+    assert len(seen) > 3 and seen == sorted(set(seen)) and 42 < seen[0] and seen[-1] < 92
+    ended = list(seen)
+    spark.range(10).count()
+    assert seen == ended
+    with pytest.raises(ZeroDivisionError), ticking(spark, seen.append, 0, 10):
+        1 / 0
