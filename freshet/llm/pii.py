@@ -6,8 +6,10 @@ when a denying word stands before, and count from `THRESHOLD` on. An IBAN ends a
 longest stretch of whole tokens, as the checksum confirms. Every scan is linear in the text: no pattern is tried again
 inside a run that it has already read, but for an IBAN's, of 34 characters at most, which may begin at each token.
 
-Cases: a null or empty text has no spans; equal and overlapping spans of different kinds are all reported; repeated
-rows each get their row; masking joins overlapping spans.
+Cases: a null or empty text has no spans, an empty table no rows; equal and overlapping spans of different kinds are all
+reported, and a tie of two starts goes by the order of KINDS; repeated rows, and rows with the same id or none, each get their
+row; texts of any length are searched whole; other columns are not read by `find` and carried through by `masked`, whatever
+their names; masking joins overlapping spans.
 """
 
 from __future__ import annotations
