@@ -449,7 +449,7 @@ folded(k, comid, q) AS (
   FROM folded s JOIN held h ON h.k = s.k + 1 JOIN folded u ON u.k = s.k AND u.comid = h.up JOIN folded d ON d.k = s.k AND d.comid = h.ds
   LEFT JOIN mem m ON m.k = h.k AND m.node = s.comid
 ), left_over AS (SELECT comid, arg_max(q, k) AS q FROM folded GROUP BY comid),
-lost AS (SELECT comid, COALESCE(l.q, u.q) AS q FROM unit u LEFT JOIN left_over l USING (comid))"""
+lost AS MATERIALIZED (SELECT comid, COALESCE(l.q, u.q) AS q FROM unit u LEFT JOIN left_over l USING (comid))"""
 _ENFORCED = f"""obs AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY gage_id, comid) AS k FROM {_COMPILED} WHERE comid IN (SELECT comid FROM unit)),
 reach AS (SELECT DISTINCT src, node FROM walks WHERE src IN (SELECT comid FROM obs)),
 state(date, k, comid, q) AS (
@@ -533,7 +533,7 @@ UNION ALL VALUES ('a value', 'not a number', 0), ('a year', 'not a number', 0),
     "vaa_join_permanent": f"WITH {_SEGS} SELECT comid, 'P' || comid AS permanent_, fromnode, tonode, hydroseq FROM segs WHERE comid % 17 <> 0 AND comid % 19 <> 0",
     "routed_numbers": f"WITH {_SEGS} SELECT row_number() OVER (ORDER BY comid DESC) AS comid, 'P' || comid AS permanent_ FROM segs WHERE comid % 23 <> 0",
     "model_run": f"""WITH RECURSIVE {_UNIT.replace("segs AS", "every_seg AS", 1).replace("), links AS", "), " + _INSIDE + ", links AS", 1)}, {_AT_HOME}, {_PATHS}, {_LOST},
-flow AS (SELECT date, comid, {_FLOW} AS q FROM lost CROSS JOIN {_MONTHS} WHERE date <= DATE '{MODEL_END}'), {_ENFORCED}
+flow AS (SELECT date, comid, {_FLOW} AS q FROM (SELECT comid, q, CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{MODEL_END}', INTERVAL 1 MONTH)) AS DATE) AS date FROM lost)), {_ENFORCED}
 SELECT f.date, f.comid, COALESCE(l.q, f.q) AS flow_cms, round(p.lat, 3) AS lat, round(p.lon, 3) AS lon
 FROM flow f JOIN {_LATTICE} p USING (comid) LEFT JOIN last l USING (date, comid)""",
     "basin_name_filter": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region WHERE lower(r_name) = 'europe'",
