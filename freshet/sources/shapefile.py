@@ -6,9 +6,10 @@ tile by two gigabytes.
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.geometry import PARTS
+from freshet.operators.numbering import row_numbers
+from freshet.scratch import cut, scope
 
 #: The text that names WGS 84 degrees in a .prj file (fixed value).
 WGS84_WKT = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
@@ -131,37 +134,77 @@ def read(spark: SparkSession, paths: str | list[str], bbox: Bbox | None = None)
     return tiles.mapInArrow(run, schema)
 
 
-def write_points(df: DataFrame, path: str, x: str = "LON", y: str = "LAT") -> None:
-    """Write the rows as a point shapefile in WGS84 degrees. A shapefile has one writer: keep `df` to one month's points."""
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    table = df.toArrow()
-    rows = table.to_pylist()
-    kinds = {name: "C" if pa.types.is_string(table.schema.field(name).type) else "I" if pa.types.is_integer(table.schema.field(name).type) else "F" for name in table.column_names}
-    width = {"C": 64, "I": 18, "F": 24}
-    size = 1 + sum(width[k] for k in kinds.values())
-    dbf = bytearray(struct.pack("<4BIHH20x", 3, 126, 1, 1, len(rows), 33 + 32 * len(kinds), size))
+#: Records that a task encodes at once; bytes that a file of the format may have.
+BLOCK, LARGEST = 16_384, 2**31 - 1
+_WIDTH = {"C": 64, "I": 18, "F": 24}
+
+
+def _dbf_record(row: dict, kinds: dict[str, str]) -> bytes:
+    out = bytearray(b" ")
     for name, kind in kinds.items():
-        dbf += struct.pack("<11sc4xBB14x", name.encode("ascii")[:10], b"C" if kind == "C" else b"N", width[kind], 15 if kind == "F" else 0)
-    dbf += b"\r"
-    shp, shx = bytearray(), bytearray()
-    for i, row in enumerate(rows):
-        dbf += b" "
-        for name, kind in kinds.items():
-            value = row[name]
-            if kind == "F":
-                text = "" if value is None or value != value else f"{value:.15g}" if abs(value) < 1e15 else f"{value:.12e}"
-                dbf += text.rjust(width[kind]).encode()
-            else:
-                text = ("" if value is None else str(value)).encode()[: width[kind]]
-                dbf += text.rjust(width[kind]) if kind == "I" else text.ljust(width[kind])
-        shx += struct.pack(">2i", (100 + len(shp)) // 2, 10)
-        shp += struct.pack(">2i", i + 1, 10) + struct.pack("<i2d", 1, row[x], row[y])
-    dbf += b"\x1a"
-    xs, ys = [r[x] for r in rows] or [0.0], [r[y] for r in rows] or [0.0]
-
-    def header(body: bytes) -> bytes:
-        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 1, min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0)
-
-    for suffix, data in ((".shp", header(shp) + shp), (".shx", header(shx) + shx), (".dbf", bytes(dbf)), (".prj", WGS84_WKT.encode()), (".cpg", b"UTF-8")):
-        out.with_suffix(suffix).write_bytes(bytes(data))
+        value, width = row[name], _WIDTH[kind]
+        if kind == "F":
+            text = "" if value is None or value != value else f"{value:.15g}" if abs(value) < 1e15 else f"{value:.12e}"
+            out += text.rjust(width).encode()
+        else:
+            text = ("" if value is None else str(value)).encode()[:width]
+            out += text.rjust(width) if kind == "I" else text.ljust(width)
+    return bytes(out)
+
+
+def _point_blocks(df: DataFrame, kinds: dict[str, str], x: str, y: str) -> DataFrame:
+    """block, and the bytes of its records in each of the three files; `df` has `_record`, from 0."""
+
+    def encode(block: pa.Table) -> pa.Table:
+        block = block.sort_by("_record")
+        record = block["_record"].to_numpy().astype(np.int64)
+        shp = np.zeros(len(record), np.dtype([("number", ">i4"), ("words", ">i4"), ("kind", "<i4"), ("x", "<f8"), ("y", "<f8")]))
+        shp["number"], shp["words"], shp["kind"], shp["x"], shp["y"] = record + 1, 10, 1, block[x].to_numpy(), block[y].to_numpy()
+        shx = np.full((len(record), 2), 10, ">i4")
+        shx[:, 0] = 50 + record * (shp.itemsize // 2)
+        dbf = b"".join(_dbf_record(row, kinds) for row in block.to_pylist())
+        return pa.table({"block": pa.array([int(record[0]) // BLOCK], pa.int64()), "shp": pa.array([shp.tobytes()], pa.binary()), "shx": pa.array([shx.tobytes()], pa.binary()), "dbf": pa.array([dbf], pa.binary())})
+
+    return df.groupBy(F.floor(F.col("_record") / BLOCK).alias("block")).applyInArrow(encode, "block long, shp binary, shx binary, dbf binary")
+
+
+def write_points(df: DataFrame, path: str, x: str = "LON", y: str = "LAT") -> None:
+    """Write the rows in their order as a point shapefile in WGS84 degrees, to any store that Spark reaches.
+
+    Tasks encode the records in blocks; the driver writes the blocks one after another, and holds those of one partition.
+    A shapefile is one file: keep `df` to one month's points. A row without a place, and more rows than the format
+    holds, raise ValueError before anything is written.
+    """
+    spark = df.sparkSession
+    kinds = {name: "C" if kind == "string" else "I" if kind in ("bigint", "int", "smallint", "tinyint") else "F" for name, kind in df.dtypes}
+    with scope(spark):
+        placed = cut(df.withColumn("_at", F.monotonically_increasing_id()), "points")
+        nowhere = F.col(x).isNull() | F.isnan(x) | F.col(y).isNull() | F.isnan(y)
+        n, missing, *box = placed.agg(F.count(F.lit(1)), F.count_if(nowhere), *[F.coalesce(of(F.col(c).cast("double")), F.lit(0.0)) for of in (F.min, F.max) for c in (x, y)]).first()
+        if missing:
+            raise ValueError(f"{missing} points have no place")
+        size = 1 + sum(_WIDTH[k] for k in kinds.values())
+        if max(100 + 28 * n, 33 + 32 * len(kinds) + n * size) > LARGEST:
+            raise ValueError(f"{n} points are more than a shapefile holds")
+        blocks = cut(_point_blocks(row_numbers(placed, ["_at"], "_record", first=0).drop("_at"), kinds, x, y), "point-blocks")
+
+        header = lambda body: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + body) // 2) + struct.pack("<2i8d", 1000, 1, *box, 0, 0, 0, 0)
+        fields = b"".join(struct.pack("<11sc4xBB14x", name.encode("ascii")[:10], b"C" if kind == "C" else b"N", _WIDTH[kind], 15 if kind == "F" else 0) for name, kind in kinds.items())
+        dbf = struct.pack("<4BIHH20x", 3, 126, 1, 1, n, 33 + 32 * len(kinds), size) + fields + b"\r"
+        stem = re.sub(r"\.[^./]+$", "", path)
+        for suffix, head, tail in (("shp", header(28 * n), b""), ("shx", header(8 * n), b""), ("dbf", dbf, b"\x1a")):
+            bodies = (bytes(r[0]) for r in blocks.orderBy("block").select(suffix).toLocalIterator())
+            write_file(spark, f"{stem}.{suffix}", chain([head], bodies, [tail]))
+        write_file(spark, f"{stem}.prj", [WGS84_WKT.encode()])
+        write_file(spark, f"{stem}.cpg", [b"UTF-8"])
+
+
+def write_file(spark: SparkSession, path: str, pieces: Iterable[bytes]) -> None:
+    """One file of the pieces, one after another, through Spark's file access."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for piece in pieces:
+            out.write(bytearray(piece))
+    finally:
+        out.close()
