@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.operators.components import components
 from freshet.operators.numbering import row_numbers
 from freshet.scratch import cut
 
@@ -23,53 +22,72 @@ def scaled(flow: Column, scales: str) -> Column:
     return F.aggregate(F.array_sort(F.coalesce(F.col(scales), F.array())), flow, lambda q, s: q * s.scale)
 
 
-#: Steps, and segments at their ends, that one task folds; where there are more, each river is folded by itself.
+#: Steps, and hits of theirs on the steps' ends, that one task folds at once.
 FOLDED = 200_000
 
 
+def loss_turns(steps: DataFrame, hits: DataFrame) -> tuple[DataFrame, int]:
+    """`steps` with turn, and the number of turns: runs of steps in order that hold FOLDED steps and hits, or end with the step that goes beyond."""
+    weighed = steps.join(hits.groupBy("step").agg(F.count(F.lit(1)).alias("n")), "step", "left").withColumn("n", 1 + F.coalesce("n", F.lit(0)))
+    total = weighed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total <= FOLDED:
+        return weighed.withColumn("turn", F.lit(0).cast("long")).drop("n"), min(total, 1)
+    placed = cut(weighed.repartitionByRange("step").withColumn("part", F.spark_partition_id()), "loss-steps")
+    base = placed.groupBy("part").agg(F.sum("n").alias("held")).selectExpr("part", "coalesce(sum(held) over (order by part rows between unbounded preceding and 1 preceding), 0) as base")
+    before = F.col("base") + F.sum("n").over(Window.partitionBy("part").orderBy("step")) - F.col("n")
+    turned = cut(placed.join(F.broadcast(base), "part").withColumn("turn", F.floor(before / FOLDED)).drop("part", "base", "n"), "loss-turns")
+    return turned, turned.agg(F.max("turn")).first()[0] + 1
+
+
+def _fold_losses(pdf: pd.DataFrame) -> pd.DataFrame:
+    ends, steps = pdf[pdf.step.isna()], pdf[pdf.step.notna()].sort_values("step")
+    at = {int(c): i for i, c in enumerate(ends.comid)}
+    q = ends.q.to_numpy(float, na_value=np.nan).copy()
+    hit: dict[int, list[int]] = {}
+    for i, in_steps in enumerate(ends.in_steps):
+        for k in in_steps if in_steps is not None else ():
+            hit.setdefault(int(k), []).append(i)
+    scales = []
+    for k, up, ds, loss in zip(steps.step, steps.up, steps.ds, steps.loss):
+        down = q[at[int(ds)]]
+        scale = q[at[int(up)]] * (1.0 - loss) / down if down > 0 else 1.0
+        scales.append(scale)
+        q[hit.get(int(k), [])] *= scale
+    return pd.DataFrame({"step": steps.step.astype("int64"), "scale": np.array(scales, float)})
+
+
 def loss_scales(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFrame:
     """step and scale for each control-point pair, in order of step.
 
     `steps` has step, up, ds, loss; `members` has step, comid: the path without its head; `flow` has comid, q.
-    A step's factor is q_up (1 - loss) / q_ds if q_ds is over 0, else 1. Steps that share no segment, directly or
-    through others, don't change each other's factors: beyond FOLDED, a task folds one such set, the control points of a river
-    and its tributaries.
+    A step's factor is q_up (1 - loss) / q_ds if q_ds is over 0, else 1. A task folds one turn of steps, over the flows at
+    their own ends; between turns the flows at all ends are brought up to date, so a river of any number of control
+    points never makes a group over the bound.
     """
     spark = steps.sparkSession
-    ends = steps.select("step", F.explode(F.array("up", "ds")).alias("comid"))
-    n = steps.count()
-    if not n:
-        return spark.createDataFrame([], "step long, scale double")
+    ends = steps.select(F.explode(F.array("up", "ds")).alias("comid")).distinct()
     # Hits beside the ends are those of members at ends only, so few steps have few rows.
-    inner = cut(members.join(ends.select("comid").distinct(), "comid", "left_semi").select("step", "comid"), "loss-inner")
-    if n <= FOLDED and inner.count() <= FOLDED:
-        of = steps.select("step", F.lit(0).cast("long").alias("river"))
-    else:
-        # Steps are numbered below zero, so that they are nodes of their own beside the segments.
-        used = ends.unionByName(members.select("step", "comid")).select((-1 - F.col("step")).alias("a"), F.col("comid").alias("b"))
-        rivers = components(used, "loss-rivers")
-        of = rivers.where("node < 0").select((-1 - F.col("node")).alias("step"), F.col("root").alias("river"))
-    held = inner.join(of, "step").groupBy("river", "comid").agg(F.collect_list("step").alias("in_steps"))
-    held = ends.join(of, "step").select("river", "comid").distinct().join(held, ["river", "comid"], "left").join(flow, "comid", "left")
-    rows = steps.join(of, "step").select("river", "step", "up", "ds", "loss").unionByName(held.select("river", "comid", "q", "in_steps"), allowMissingColumns=True)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends, steps = pdf[pdf.step.isna()], pdf[pdf.step.notna()].sort_values("step")
-        at = {int(c): i for i, c in enumerate(ends.comid)}
-        q = ends.q.to_numpy(float, na_value=np.nan).copy()
-        hit: dict[int, list[int]] = {}
-        for i, in_steps in enumerate(ends.in_steps):
-            for k in in_steps if in_steps is not None else ():
-                hit.setdefault(int(k), []).append(i)
-        scales = []
-        for k, up, ds, loss in zip(steps.step, steps.up, steps.ds, steps.loss):
-            down = q[at[int(ds)]]
-            scale = q[at[int(up)]] * (1.0 - loss) / down if down > 0 else 1.0
-            scales.append(scale)
-            q[hit.get(int(k), [])] *= scale
-        return pd.DataFrame({"step": steps.step.astype("int64"), "scale": np.array(scales, float)})
-
-    return cut(rows.groupBy("river").applyInPandas(fold, "step long, scale double"), "loss-scales")
+    hits = cut(members.join(ends, "comid", "left_semi").select("step", "comid"), "loss-hits")
+    steps, turns = loss_turns(steps, hits)
+    if not turns:
+        return spark.createDataFrame([], "step long, scale double")
+    q = ends.join(flow.select("comid", "q"), "comid", "left")
+    if turns > 1:
+        hits = cut(hits.join(steps.select("step", "turn"), "step"), "loss-hits", "turn")
+        q = cut(q, "loss-flows")
+    out = None
+    for turn in range(turns):
+        now = steps.where(F.col("turn") == turn).select("step", "up", "ds", "loss")
+        used = now.select(F.explode(F.array("up", "ds")).alias("comid")).distinct()
+        within = (hits.where(F.col("turn") == turn) if turns > 1 else hits).select("step", "comid")
+        held = used.join(within.join(used, "comid", "left_semi").groupBy("comid").agg(F.collect_list("step").alias("in_steps")), "comid", "left").join(q, "comid", "left")
+        rows = now.unionByName(held.select("comid", "q", "in_steps"), allowMissingColumns=True).withColumn("turn", F.lit(turn))
+        scales = cut(rows.groupBy("turn").applyInPandas(_fold_losses, "step long, scale double"), "loss-scales")
+        out = scales if out is None else out.unionByName(scales)
+        if turn + 1 < turns:
+            told = within.join(scales, "step").groupBy("comid").agg(F.collect_list(F.struct("step", "scale")).alias("scales"))
+            q = cut(q.join(told, "comid", "left").select("comid", scaled(F.col("q"), "scales").alias("q")), "loss-flows")
+    return out
 
 
 def apply_losses(steps: DataFrame, members: DataFrame, flow: DataFrame) -> DataFrame:

@@ -143,6 +143,34 @@ def test_random_losses_equal_a_plain_fold(spark):
     assert loss_case(spark, pairs, local, ends) == pytest.approx(list(q.values()))
 
 
+@pytest.mark.parametrize("most", [60, 150])
+def test_one_river_in_turns(spark, monkeypatch, most):
+    """One connected river whose steps cover each other: no turn is over the bound, and the flows are those of a plain loop to the last digit."""
+    monkeypatch.setattr(folds, "FOLDED", most)
+    rng = random.Random(most)
+    q = {i: rng.uniform(0.1, 9.0) if i % 7 else 0.0 for i in range(60)}
+    spans = [(k, *sorted(rng.sample(range(60), 2)), rng.choice([0.0, 0.25, 0.5])) for k in range(-20, 20)]
+    rng.shuffle(spans)
+    steps = spark.createDataFrame([(k, a, b, f) for k, a, b, f in spans], "step long, up long, ds long, loss double")
+    members = spark.createDataFrame([(k, i) for k, a, b, _ in spans for i in range(a + 1, b + 1)], "step long, comid long")
+    flow = spark.createDataFrame(list(q.items()), "comid long, q double")
+    got = folds.apply_losses(steps, members, flow)
+    for k, a, b, f in sorted(spans):
+        scale = q[a] * (1 - f) / q[b] if q[b] > 0 else 1.0
+        for i in range(a + 1, b + 1):
+            q[i] *= scale
+    assert {r.comid: r.q for r in got.collect()} == q
+    ends = {i for _, a, b, _ in spans for i in (a, b)}
+    weight = {k: 1 + sum(i in ends for i in range(a + 1, b + 1)) for k, a, b, _ in spans}
+    hits = members.join(spark.createDataFrame([(i,) for i in ends], "comid long"), "comid", "left_semi")
+    turned, turns = folds.loss_turns(steps, hits)
+    turn = {r.step: r.turn for r in turned.collect()}
+    assert sorted(turn) == sorted(weight) and [turn[k] for k in sorted(turn)] == sorted(turn.values()) and turns == max(turn.values()) + 1 > 1
+    for t in range(turns):
+        of = [weight[k] for k in sorted(turn) if turn[k] == t]
+        assert sum(of[:-1]) < most + max(weight.values())
+
+
 def test_rivers_are_folded_apart(spark):
     """Two rivers and a step that no other touches, with steps in mixed order."""
     pairs = [(1, 2), (2, 3), (11, 12), (12, 13), (21, 22)]

@@ -1,5 +1,6 @@
 """Readers, writers, scalar expressions, geometry, and a whole model run from files."""
 
+import math
 import random
 import struct
 import zipfile
@@ -178,6 +179,42 @@ def test_intersects_equals_a_plain_version(spark):
     assert spatial.intersecting(flow, basin.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edges, pieces", [(2, 3)])
+def test_crowded_cells_have_quarters(spark, monkeypatch, edges, pieces):
+    monkeypatch.setattr(spatial, "EDGES", edges)
+    monkeypatch.setattr(spatial, "PIECES", pieces)
+    monkeypatch.setattr(spatial, "DEPTH", 3)
+    test_intersects_equals_a_plain_version(spark)
+
+
+def test_lines_in_one_corner_of_a_basin(spark, monkeypatch):
+    """A round basin of 20,000 edges, and lines that crowd at one place of it: no cell holds many of both."""
+    monkeypatch.setattr(spatial, "PIECES", 64)
+    n, held = 20_000, {}
+    ring = [{"x": 100 * math.cos(2 * math.pi * i / n), "y": 100 * math.sin(2 * math.pi * i / n)} for i in range(n)]
+    basin = spark.createDataFrame([([[*ring, ring[0]]],)], f"parts {geometry.PARTS}")
+    rng = random.Random(3)
+    places = [(70.7 + rng.gauss(0, 0.5), 70.7 + rng.gauss(0, 0.5), rng.uniform(-0.05, 0.05)) for _ in range(4000)] + [(-90.0, 0.0, 1.0), (99.9, 0.0, 1.0), (101.0, 0.0, 1.0)]
+    lines = spark.createDataFrame([(i, line((x, y), (x + d, y + d))) for i, (x, y, d) in enumerate(places)], f"comid long, parts {geometry.PARTS}")
+    plain = spatial.quartered
+
+    def watched(*args):
+        held["cells"] = plain(*args)
+        return held["cells"]
+
+    monkeypatch.setattr(spatial, "quartered", watched)
+    got = {r.comid for r in spatial.intersecting(lines, basin).collect()}
+    apothem = 100 * math.cos(math.pi / n)
+    ends = lambda x, y, d: [math.hypot(x, y), math.hypot(x + d, y + d)]
+    sure = {i: min(ends(*p)) < apothem for i, p in enumerate(places) if not any(apothem <= r <= 100 for r in ends(*p))}
+    assert len(sure) > 3990 and {i for i in got if i in sure} == {i for i, inside in sure.items() if inside}
+    edges, pieces = held["cells"][:2]
+    of = lambda df, c: df.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias(c))
+    most = of(edges, "e").join(of(pieces, "p"), ["level", "cx", "cy"]).agg(F.max(F.col("e") * F.col("p")), F.max("level")).first()
+    assert most[0] <= 64 * 4000 and most[1] >= 2
+    assert of(edges, "e").join(of(pieces, "p"), ["level", "cx", "cy"]).where("p > 64 and e > 64").count() == 0
+
+
 def test_lines_go_by_their_row(spark):
     """Repeated and missing ids, and whole rows that are there twice; a COMID that occurs twice inside the basin is an error."""
     line = lambda x: [[{"x": x, "y": 1.0}, {"x": x + 0.5, "y": 1.0}]]
@@ -214,6 +251,33 @@ def test_point_shapefile_round_trip(spark, tmp_path):
     assert tables.read_any(spark, str(tmp_path / "deep" / "points.dbf")).count() == 1
     with pytest.raises(ValueError, match="no flows"):
         sinks.write_points(flows, str(tmp_path / "x.shp"), "2011-01-01")
+    with pytest.raises(ValueError, match="1 points have no place"):
+        sinks.write_points(flows.withColumn("lat", F.lit(None).cast("double")), str(tmp_path / "x.shp"), "2010-01-01")
+    assert not list(tmp_path.glob("x.*"))
+
+
+def test_points_are_written_in_blocks(spark, tmp_path, monkeypatch):
+    """The files' bytes are those of one plain writer, wherever blocks and partitions end; a second run replaces the first."""
+    monkeypatch.setattr(shapefile, "BLOCK", 7)
+    rows = [(f"név {i}" if i % 5 else None, i * 10**12, None if i % 4 == 0 else -1.5 / (i + 1), -97.0 + i / 8, 31.0 - i / 16) for i in range(40)]
+    schema = "NAME string, COMID long, FLOW double, LON double, LAT double"
+    for n in (0, 1, 40):
+        df = spark.createDataFrame(rows[:n], schema).repartition(1).repartitionByRange(3, "LON").sortWithinPartitions("LON")
+        shapefile.write_points(df, str(tmp_path / "p.shp"))
+        number = lambda v: (f"{v:.15g}" if v is not None else "").rjust(24).encode()
+        text = lambda v: (v or "").encode()[:64].ljust(64)
+        dbf = b"".join(b" " + text(a) + str(b).rjust(18).encode() + number(c) + number(d) + number(e) for a, b, c, d, e in rows[:n])
+        shp = b"".join(struct.pack(">2i", i + 1, 10) + struct.pack("<i2d", 1, r[3], r[4]) for i, r in enumerate(rows[:n]))
+        shx = b"".join(struct.pack(">2i", 50 + 14 * i, 10) for i in range(n))
+        xs, ys = [r[3] for r in rows[:n]] or [0.0], [r[4] for r in rows[:n]] or [0.0]
+        for suffix, body in (("shp", shp), ("shx", shx)):
+            head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 1, min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0)
+            assert (tmp_path / f"p.{suffix}").read_bytes() == head + body
+        assert (tmp_path / "p.dbf").read_bytes()[33 + 32 * 5 :] == dbf + b"\x1a"
+        assert shapefile.read(spark, str(tmp_path / "p.shp")).count() == n
+    monkeypatch.setattr(shapefile, "LARGEST", 1000)
+    with pytest.raises(ValueError, match="more than a shapefile holds"):
+        shapefile.write_points(df, str(tmp_path / "q.shp"))
 
 
 def polyline(path, shapes, names, bounds=False):
