@@ -295,6 +295,20 @@ def basin_lines(spark, sf_dir):
     return spatial.intersecting(twice.drop("comid").withColumn("x", F.col("parts")[0][0]["x"]), _rectangles(spark)).select("permanent_", "x")
 
 
+#: A square on its corner around the origin: half its width, and the length of an edge along an axis. The cells' corners lie on its edges.
+HALF, EDGE = 65_536, 16
+
+
+def basin_crowded(spark, sf_dir):
+    """A basin of many edges; three of four lines crowd at one place of them."""
+    k = lambda sx, sy, turn: F.transform(F.sequence(F.lit(0), F.lit(HALF // EDGE - 1)), lambda i: F.struct((sx * (F.lit(HALF) - i * EDGE if turn else i * EDGE)).cast("double").alias("x"), (sy * (i * EDGE if turn else F.lit(HALF) - i * EDGE)).cast("double").alias("y")))
+    ring = F.concat(k(1, 1, True), k(-1, 1, False), k(-1, -1, True), k(1, -1, False))
+    basin = spark.range(1).select(ring.alias("ring")).select(F.array(F.concat("ring", F.slice("ring", 1, 1))).alias("parts"))
+    at = inputs.sites(spark, sf_dir).selectExpr("comid", "if(comid % 4 = 0, x * 1.5D - 98304, 32264 + x / 128) + 0.25D as x", "if(comid % 4 = 0, y - 64064, 31767 + y / 64) + 0.125D as y", "(comid % 17 - 8) * if(comid % 4 = 0, 64.0D, 1.0D) as dx", "(comid % 13 - 6) * if(comid % 4 = 0, 64.0D, 1.0D) as dy")
+    ends = F.array(F.struct("x", "y"), F.struct((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")))
+    return spatial.intersecting(at.select("comid", F.array(ends).alias("parts")), basin).select("comid")
+
+
 def line_measures(spark, sf_dir):
     """Length and centroid of lines with two legs."""
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -382,6 +396,7 @@ QUERIES = {
         vpu_sample,
         spatial_intersects,
         basin_lines,
+        basin_crowded,
         line_measures,
         utm_forward,
         albers_forward,
@@ -545,6 +560,11 @@ SELECT comid FROM l WHERE {" OR ".join(_touch(*r) for r in RECTANGLES)}""",
     "basin_lines": f"""WITH l AS (SELECT comid, x, y, CAST(3000 + comid % 17 AS DOUBLE) AS dx, CAST(5000 - comid % 13 AS DOUBLE) AS dy FROM {_SITES}),
 t AS (SELECT * FROM l UNION ALL SELECT * FROM l WHERE comid % 3 = 0)
 SELECT CASE WHEN comid % 7 = 0 THEN NULL WHEN comid % 5 = 0 THEN 'P' ELSE 'P' || comid END AS permanent_, x FROM t WHERE {" OR ".join(_touch(*r) for r in RECTANGLES)}""",
+    "basin_crowded": f"""WITH w AS (SELECT *, comid % 4 = 0 AS far FROM {_SITES}),
+l AS (SELECT comid, CASE WHEN far THEN x * 1.5 - 98304 ELSE 32264 + x / 128 END + CAST(0.25 AS DOUBLE) AS x, CASE WHEN far THEN y - 64064 ELSE 31767 + y / 64 END + CAST(0.125 AS DOUBLE) AS y,
+  CAST((comid % 17 - 8) * (CASE WHEN far THEN 64 ELSE 1 END) AS DOUBLE) AS dx, CAST((comid % 13 - 6) * (CASE WHEN far THEN 64 ELSE 1 END) AS DOUBLE) AS dy FROM w)
+SELECT comid FROM l WHERE least(abs(x) + abs(y), abs(x + dx) + abs(y + dy), CASE WHEN x * (x + dx) < 0 THEN abs(y - x * dy / dx) ELSE 1e300 END,
+  CASE WHEN y * (y + dy) < 0 THEN abs(x - y * dx / dy) ELSE 1e300 END) <= {HALF}""",
     "line_measures": f"""WITH l AS (SELECT comid, x, y, CAST(comid % 5 + 1 AS DOUBLE) AS k FROM {_SITES})
 SELECT comid, printf('%.6f', 500 + 130 * k) AS length, printf('%.4f', (500 * (x + 150) + 130 * k * (x + 300 + 60 * k)) / (500 + 130 * k)) AS cx,
 printf('%.4f', (500 * (y + 200) + 130 * k * (y + 400 + 25 * k)) / (500 + 130 * k)) AS cy FROM l""",
