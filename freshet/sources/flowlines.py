@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
+from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,31 +46,62 @@ def read_layer(spark: SparkSession, path: str, preferred: str | None, bbox: Bbox
     raise error
 
 
+def _suffix(path: str) -> str:
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return "." + name.rsplit(".", 1)[1].lower() if "." in name else ""
+
+
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, bool]] | None:
+    """What a folder holds and whether each is a folder, in order, on any store that Spark reaches; None if it isn't a folder.
+
+    Paths have a scheme where `folder` has one.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at) or not files.getFileStatus(at).isDirectory():
+        return None
+    bare = at.toUri().getScheme() is None
+    return sorted((f.getPath().toUri().getPath() if bare else f.getPath().toString(), f.isDirectory()) for f in files.listStatus(at))
+
+
+def _tiles(spark: SparkSession, folder: str) -> list[str]:
+    return [path for path, _ in listed(spark, folder) or () if fnmatchcase(path.rsplit("/", 1)[-1], TILE_PATTERN)]
+
+
+def _stores(spark: SparkSession, source: str) -> list[str]:
+    """The geodatabases, which are folders, at or below `source`, in order."""
+    if _suffix(source) == ".gdb":
+        return [source]
+    below = listed(spark, source) or ()
+    return sorted(store for path, is_folder in below if is_folder for store in _stores(spark, path))
+
+
 def read(spark: SparkSession, source: str, layer: str | None = None, bbox: Bbox | None = None, reader: LayerReader = driver_layer_reader) -> DataFrame:
-    """A .gdb, a folder of them (searched through), a folder of shapefile tiles, or one file."""
-    path = Path(source)
-    if path.suffix.lower() == ".gdb":
+    """A .gdb, a folder of them (searched through), a folder of shapefile tiles, a folder of Parquet files, or one file."""
+    if _suffix(source) == ".gdb":
         return normalised(read_layer(spark, source, layer, bbox, reader))
-    if path.is_dir() and path.suffix.lower() not in (".parquet", ".csv", ".json"):
-        stores = sorted(map(str, path.rglob("*.gdb")))
-        if stores:
-            out = tables.union_tiles([read_layer(spark, s, layer, bbox, reader) for s in stores])
-            if out.isEmpty():
-                raise ValueError(f"no flowlines inside the bounds in {source}")
-            return normalised(out)
-        tiles = sorted(map(str, path.glob(TILE_PATTERN)))
-        if not tiles:
-            raise FileNotFoundError(f"{source} has neither geodatabases nor {TILE_PATTERN}")
+    held = None if _suffix(source) in (".parquet", ".csv", ".json", ".geojsonl", ".geojsons") else listed(spark, source)
+    if held is None:
+        return normalised(tables.read_any(spark, source, bbox, ordered=True))
+    stores = _stores(spark, source)
+    if stores:
+        out = tables.union_tiles([read_layer(spark, s, layer, bbox, reader) for s in stores])
+        if out.isEmpty():
+            raise ValueError(f"no flowlines inside the bounds in {source}")
+        return normalised(out)
+    tiles = _tiles(spark, source)
+    if tiles:
         return normalised(tables.union_tiles([shapefile.read(spark, t, bbox).withColumn("file_row", F.col("file_row") + (i << 40)) for i, t in enumerate(tiles)]))
-    return normalised(tables.read_any(spark, source, bbox, ordered=True))
+    if any(_suffix(path) == ".parquet" or is_folder and "=" in path.rsplit("/", 1)[-1] for path, is_folder in held):
+        return normalised(tables.read_any(spark, source, bbox, ordered=True))
+    raise FileNotFoundError(f"{source} has neither geodatabases nor {TILE_PATTERN} nor Parquet files")
 
 
 def crs_of(spark: SparkSession, source: str) -> crs.Crs | None:
     """The coordinate system of a source's lines, None where nothing says it; tiles of different systems are an error."""
-    path = Path(source)
-    if not path.is_dir():
+    if listed(spark, source) is None:
         return tables.crs_of(spark, source)
-    found = {str(held): held for held in (tables.crs_of(spark, str(t)) for t in sorted(path.glob(TILE_PATTERN))) if held}
+    found = {str(held): held for held in (tables.crs_of(spark, t) for t in _tiles(spark, source)) if held}
     if len(found) > 1:
         raise ValueError(f"the tiles in {source} have {len(found)} coordinate systems")
     return next(iter(found.values()), None)
@@ -78,10 +109,8 @@ def crs_of(spark: SparkSession, source: str) -> crs.Crs | None:
 
 def embedded_vaa(spark: SparkSession, source: str, reader: LayerReader = driver_layer_reader) -> DataFrame:
     """The routing table of every geodatabase below `source`; ones that can't be read are left out."""
-    path = Path(source)
-    stores = [source] if path.suffix.lower() == ".gdb" else sorted(map(str, path.rglob("*.gdb")))
     found = []
-    for store in stores:
+    for store in _stores(spark, source):
         try:
             found.append(lower_names(reader(spark, store, VAA_LAYER, None)))
         except Exception:  # noqa: BLE001, S112  left out by intent

@@ -356,6 +356,14 @@ def test_flowline_dispatch(spark, tmp_path):
     got = flowlines.read(spark, str(tmp_path)).orderBy("file_row").collect()
     assert [(r.name, r.permanent_) for r in got] == [("n1a", "1"), ("n1b", "2"), ("n2a", "3"), ("n2b", "4")]
     assert flowlines.read(spark, str(tmp_path / "NHDFlowline_1.shp")).count() == 2
+    # By a path with a scheme, as on a shared store; a folder of Parquet files needs no suffix.
+    assert flowlines.read(spark, f"file://{tmp_path}").orderBy("file_row").collect() == got
+    spark.createDataFrame(got[:3]).drop("file_row", "parts").write.parquet(str(tmp_path / "plain"))
+    for path in (str(tmp_path / "plain"), f"file://{tmp_path}/plain"):
+        assert flowlines.read(spark, path).count() == 3
+    (tmp_path / "deep" / "er" / "b.gdb").mkdir(parents=True)
+    assert flowlines._stores(spark, f"file://{tmp_path}/deep") == [f"file:{tmp_path}/deep/er/b.gdb"] and flowlines._stores(spark, str(tmp_path / "deep")) == [str(tmp_path / "deep" / "er" / "b.gdb")]
+    (tmp_path / "deep" / "er" / "b.gdb").rmdir()
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         flowlines.read(spark, str(tmp_path / "empty"))
