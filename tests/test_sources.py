@@ -295,6 +295,68 @@ def polyline(path, shapes, names, bounds=False):
     path.with_suffix(".dbf").write_bytes(dbf)
 
 
+def indexed(path, shapes, deleted=()):
+    """A line shapefile with an index; shapes are lists of parts or None, and the records lie in the file from last to first."""
+    fields = b"".join(struct.pack("<11sc4xBB14x", name, kind, width, 0) for name, kind, width in ((b"NAME", b"C", 10), (b"SIZE", b"N", 8), (b"OPEN", b"L", 1)))
+    dbf = bytearray(struct.pack("<4BIHH20x", 3, 126, 1, 1, len(shapes), 32 * 4 + 1, 20) + fields + b"\r")
+    bodies = []
+    for i, parts in enumerate(shapes):
+        points = [p for part in parts or () for p in part]
+        starts = [sum(map(len, parts[:k])) for k in range(len(parts))] if parts else []
+        box = (min(x for x, _ in points), min(y for _, y in points), max(x for x, _ in points), max(y for _, y in points)) if points else ()
+        body = struct.pack("<i4d2i", 3, *box, len(starts), len(points)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points) if parts else struct.pack("<i", 0)
+        bodies.append(struct.pack(">2i", i + 1, len(body) // 2) + body)
+        dbf += (b"*" if i in deleted else b" ") + f"n{i}".encode().ljust(10) + (b"x" if i % 5 == 0 else str(i).encode()).rjust(8) + b"T?F"[i % 3 : i % 3 + 1]
+    shp, places = b"", {}
+    for i in reversed(range(len(bodies))):
+        places[i] = 50 + len(shp) // 2
+        shp += bodies[i]
+    shx = b"".join(struct.pack(">2i", places[i], (len(bodies[i]) - 8) // 2) for i in range(len(bodies)))
+    for suffix, data in ((".shp", shp), (".shx", shx)):
+        path.with_suffix(suffix).write_bytes(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(data)) // 2) + struct.pack("<2i8d", 1000, 3, *[0.0] * 8) + data)
+    path.with_suffix(".dbf").write_bytes(dbf)
+
+
+def test_a_tile_is_read_by_many_tasks(spark, tmp_path):
+    """Records of several parts, empty and deleted ones, by index; every size of piece gives the same rows."""
+    shapes = [None if i % 11 == 3 else [[(i + k / 8, k) for k in range(2 + i % 4)] for _ in range(1 + i % 3)] for i in range(200)]
+    indexed(tmp_path / "a", shapes, deleted={0, 7, 199})
+    expected = [(f"n{i}", None if i % 5 == 0 else float(i), (True, None, False)[i % 3], i, s and [[tuple(map(float, p)) for p in part] for part in s]) for i, s in enumerate(shapes) if i not in {0, 7, 199}]
+    path, rows = str(tmp_path / "a.shp"), None
+    for piece, tasks in ((1, 200), (5000, None), (1 << 20, 1)):
+        df = shapefile.read(spark, f"file://{path}", piece=piece)
+        n = df.rdd.getNumPartitions()
+        assert n == tasks if tasks else 2 < n < 20
+        rows = [(r.NAME, r.SIZE, r.OPEN, r.file_row, r.parts and [[(p.x, p.y) for p in part] for part in r.parts]) for r in df.orderBy("file_row").collect()]
+        assert rows == expected
+    some = shapefile.read(spark, path, (10, 0, 20, 9), columns=["SIZE"], piece=3000)
+    assert some.columns == ["SIZE", "file_row", "parts"]
+    inside = {i for i, s in enumerate(shapes) if s and i <= 20 and max(x for part in s for x, _ in part) >= 10}
+    assert {r.file_row for r in some.collect() if r.parts} == inside - {0, 7, 199} and some.count() == 197
+    table = shapefile.read(spark, str(tmp_path / "a.dbf"), columns=["NAME"], piece=500)
+    assert table.rdd.getNumPartitions() > 5 and sorted((r.file_row, r.NAME) for r in table.collect()) == [(e[3], e[0]) for e in expected]
+    indexed(tmp_path / "none", [])
+    assert shapefile.read(spark, str(tmp_path / "none.shp")).count() == 0
+
+
+def test_whole_tiles_give_the_same_rows(spark, tmp_path):
+    """Without an index a tile is one row of bytes; so it is on stores that only Spark reaches."""
+    for name in ("a", "b"):
+        polyline(tmp_path / name, [[(i, 0), (i, 1 + j)] for j in range(3) for i in range(5)], [f"{name}{i}" for i in range(15)], bounds=True)
+    paths = [str(tmp_path / f"{name}.shp") for name in ("b", "a")]
+    whole = shapefile.read(spark, paths, (0, 0, 2, 2)).orderBy("file_row").collect()
+    assert [r.NAME for r in whole] == [f"{name}{i}" for name in ("b", "a") for i in range(15)]
+    for name in ("a", "b"):
+        data, places, at = (tmp_path / f"{name}.shp").read_bytes(), [], 100
+        while at < len(data):
+            words = struct.unpack(">I", data[at + 4 : at + 8])[0]
+            places.append(struct.pack(">2i", at // 2, words))
+            at += 8 + 2 * words
+        (tmp_path / f"{name}.shx").write_bytes(data[:100] + b"".join(places))
+    split = shapefile.read(spark, paths, (0, 0, 2, 2), piece=200)
+    assert split.rdd.getNumPartitions() > 6 and split.orderBy("file_row").collect() == whole
+
+
 def test_shapes_outside_the_bounds_are_not_read(spark, tmp_path):
     polyline(tmp_path / "a", [[(0, 0), (0, 1)], [(50, 2), (50, 3)]], ["in", "out"], bounds=True)
     rows = shapefile.read(spark, str(tmp_path / "a.shp"), (-1, -1, 1, 1)).orderBy("file_row").collect()
