@@ -63,6 +63,27 @@ def bounds(df: DataFrame, parts: str = "parts") -> tuple[float, float, float, fl
     return None if row[0] is None else tuple(row)
 
 
+def box(parts: Column) -> tuple[Column, Column, Column, Column]:
+    """West, south, east, north of each row's points; null without one."""
+    points = F.flatten(parts)
+    xs, ys = F.transform(points, lambda p: p.x), F.transform(points, lambda p: p.y)
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
+def curve(x: Column, y: Column, within: tuple[float, float, float, float]) -> Column:
+    """A point's place on a Z-order curve over the box `within`, with 2^15 steps a side: near places have near points."""
+
+    def spread(value: Column, low: float, high: float) -> Column:
+        step = F.least(F.greatest(F.floor((value - low) / ((high - low) or 1.0) * (1 << 15)), F.lit(0)), F.lit((1 << 15) - 1)).cast("long")
+        # A zero bit between any two bits.
+        for by, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            step = step.bitwiseOR(F.shiftleft(step, by)).bitwiseAND(F.lit(mask).cast("long"))
+        return step
+
+    west, south, east, north = within
+    return spread(x, west, east).bitwiseOR(F.shiftleft(spread(y, south, north), 1))
+
+
 def from_geojson(kind: Column, coordinates: Column) -> Column:
     """Parts from a GeoJSON geometry's type and the text of its coordinates; further dimensions are left out."""
     point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))

@@ -6,8 +6,6 @@ digits between engines: compare doubles with a tolerance.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +16,8 @@ from freshet.functions import columns, crs, geometry
 from freshet.operators import control_points, folds, gages, network, runoff, spatial
 from freshet.plans import inputs
 from freshet.plans.model import enforced, in_system, run_model
-from freshet.scratch import cut, scratch_root
-from freshet.sources import flo, tables
+from freshet.scratch import cut, new_folder
+from freshet.sources import flo, flowlines, shapefile, tables
 
 COEFFICIENT = 0.0008
 #: Nearly all months of shipping: one at each end is left off. Calibration takes the first of them.
@@ -114,7 +112,7 @@ def routed_numbers(spark, sf_dir):
 
 def model_run(spark, sf_dir):
     """A whole run from files to the CSV file: basin, routing table by text ids, control points, losses, gages, places."""
-    folder = f"{scratch_root(spark)}/freshet/model-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "model")
     options = inputs.model_files(spark, sf_dir, folder)
     run_model(ModelConfig.of(**options, basin_name_value="lattice", start_date=START, end_date=MODEL_END, runoff_coeff_m_per_month=COEFFICIENT), spark)
     out = spark.read.csv(options["output_file"], schema="date date, comid long, flow_cms double, lat double, lon double", header=True)
@@ -229,7 +227,7 @@ def flo_bad_numbers(spark, sf_dir):
     cases = {"as it is": good, "a value": good.unionAll(spark.sql("select 'G0 1950 x 1 1 1 1 1 1 1 1 1 1 1'")), "a year": good.unionAll(spark.sql("select 'G0 199x 1 1 1 1 1 1 1 1 1 1 1 1'")), "short lines only": good.where(F.size(F.split(F.trim("value"), r"\s+")) < 14)}
     out = []
     for name, lines in cases.items():
-        path = f"{scratch_root(spark)}/freshet/flo-{uuid.uuid4().hex}"
+        path = f"{new_folder(spark, 'flo')}/file.flo"
         lines.write.text(path)
         try:
             out.append((name, "", flo.read(spark, path).count()))
@@ -273,6 +271,10 @@ def vpu_sample(spark, sf_dir):
 RECTANGLES = ((10_000.5, 20_000.5, 60_000.5, 70_000.5), (80_000.5, 5_000.5, 120_000.5, 30_000.5))
 
 
+#: Bytes of a tile that a task of `tiles_by_record` reads.
+PIECE = 1 << 15
+
+
 def _rectangles(spark):
     ring = lambda w, s, e, n: [[{"x": x, "y": y} for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))]]
     return spark.createDataFrame([(ring(*r),) for r in RECTANGLES], f"parts {geometry.PARTS}")
@@ -360,6 +362,28 @@ def basin_in_albers(spark, sf_dir):
     return spatial.intersecting(lines, in_system(basin, crs.Crs(), system)).select("comid")
 
 
+def tiles_by_record(spark, sf_dir):
+    """The lattice in three point tiles; each is read by several tasks, and its ids are its order. The tiles' tables give the other column."""
+    folder = new_folder(spark, "tiles")
+    lattice = _lattice_degrees(spark, sf_dir).withColumnsRenamed({"lon": "LON", "lat": "LAT"})
+    for k in range(3):
+        tile = lattice.where(F.col("comid") % 3 == k).select(F.col("comid").alias("COMID"), (F.col("comid") * 7 % 101).cast("double").alias("AREA"), "LON", "LAT")
+        shapefile.write_points(tile.repartitionByRange("COMID").sortWithinPartitions("COMID"), f"{folder}/{k}.shp")
+    paths = [f"{folder}/{k}.shp" for k in (2, 0, 1)]
+    places = flowlines.normalised(shapefile.read(spark, paths, columns=["COMID"], piece=PIECE))
+    areas = shapefile.read(spark, [p.replace(".shp", ".dbf") for p in paths], columns=["AREA"], piece=PIECE)
+    at = F.col("parts")[0][0]
+    return places.join(areas, "file_row").select("permanent_", F.col("comid").cast("long").alias("comid"), F.col("AREA").alias("area"), at.x.alias("lon"), at.y.alias("lat"))
+
+
+def flowlines_by_place(spark, sf_dir):
+    """Lines laid out by place, of which a box is read; their numbers in the source stay."""
+    folder = new_folder(spark, "place")
+    lines = _lines(spark, sf_dir).select(F.concat(F.lit("P"), "comid").alias("permanent_"), (-F.col("comid")).alias("file_row"), "parts")
+    sinks.write_flowlines(lines, f"{folder}/lines.parquet")
+    return flowlines.read(spark, f"{folder}/lines.parquet", bbox=RECTANGLES[0]).select("permanent_", "file_row", *tables.BOUNDS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -401,6 +425,8 @@ QUERIES = {
         utm_forward,
         albers_forward,
         basin_in_albers,
+        tiles_by_record,
+        flowlines_by_place,
     )
 }
 
@@ -576,4 +602,9 @@ p AS (SELECT comid, n, radians(CAST(-102 AS DOUBLE) + x / 16384 + 96) * n AS tur
   CAST(6378137 AS DOUBLE) * sqrt(c - n * {_Q.format("sin(radians(CAST(26 AS DOUBLE) + y / 16384))")}) / n AS rho FROM {_SITES} CROSS JOIN n)
 SELECT comid, round(rho * sin(turn), 3) AS x, round(rho0 - rho * cos(turn), 3) AS y, true AS lon_back, true AS lat_back FROM p""",
     "basin_in_albers": f"""SELECT comid FROM {_SITES} WHERE CAST(-102 AS DOUBLE) + x / 16384 BETWEEN {DEGREES[0]} AND {DEGREES[2]} AND CAST(26 AS DOUBLE) + y / 16384 BETWEEN {DEGREES[1]} AND {DEGREES[3]}""",
+    "tiles_by_record": f"""SELECT CAST(row_number() OVER (ORDER BY (comid + 1) % 3, comid) AS VARCHAR) AS permanent_, comid, CAST(comid * 7 % 101 AS DOUBLE) AS area,
+CAST(-102 AS DOUBLE) + x / 16384 AS lon, CAST(26 AS DOUBLE) + y / 16384 AS lat FROM {_SITES}""",
+    "flowlines_by_place": f"""WITH l AS (SELECT comid, row_number() OVER (ORDER BY comid DESC) - 1 AS file_row, x AS xmin, y AS ymin, x + 3000 + comid % 17 AS xmax, y + 5000 - comid % 13 AS ymax FROM {_SITES})
+SELECT 'P' || comid AS permanent_, file_row, xmin, ymin, xmax, ymax FROM l
+WHERE xmin <= {RECTANGLES[0][2]} AND xmax >= {RECTANGLES[0][0]} AND ymin <= {RECTANGLES[0][3]} AND ymax >= {RECTANGLES[0][1]}""",
 }

@@ -91,6 +91,15 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder's path of its own in the shared folder; what is in it goes when the session's JVM ends."""
+    path = f"{scratch_root(spark)}/freshet/{tag}-{uuid.uuid4().hex}"
+    files, at = _at(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """Write `df` once, in folders by the columns `by`, and read it back. Loops do this each round: plans stay short and lost executors cost no recomputation."""
     spark = df.sparkSession

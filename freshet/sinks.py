@@ -1,12 +1,15 @@
-"""Results as files (K1, K2)."""
+"""Results as files (K1, K2), and flowlines laid out for pruned reads (S3)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.functions import geometry
 from freshet.functions.columns import clipped, scientific
-from freshet.sources import shapefile
+from freshet.operators.numbering import row_numbers
+from freshet.scratch import scope
+from freshet.sources import shapefile, tables
 
 
 def write_flows(flows: DataFrame, path: str) -> None:
@@ -49,6 +52,22 @@ def _write_csv(df: DataFrame, path: str) -> None:
     files.delete(folder, True)
 
 
+def write_flowlines(lines: DataFrame, path: str, page_rows: int = 4096) -> None:
+    """Lines as Parquet in the order of their places, each with its bounds, so that a read of a box skips files, row groups and pages.
+
+    `file_row` becomes a number, 0, 1, ..., so that ids that follow the order of the source still do. Lines without a
+    point keep null bounds, and no box holds them. Bounds are those of `tables.BOUNDS`, in the lines' own coordinates.
+    """
+    with scope(lines.sparkSession):
+        numbered = row_numbers(lines.withColumnRenamed("file_row", "_place"), ["_place"], "file_row", first=0).drop("_place")
+        bounded = numbered.withColumns(dict(zip(tables.BOUNDS, geometry.box(F.col("parts")))))
+        whole = bounded.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+        within = (0.0, 0.0, 0.0, 0.0) if whole[0] is None else tuple(whole)
+        order = [geometry.curve((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, within), F.col("file_row")]
+        placed = bounded.repartitionByRange(*order).sortWithinPartitions(*order)
+        placed.write.mode("overwrite").option("parquet.page.row.count.limit", page_rows).option("parquet.block.size", 32 << 20).parquet(path)
+
+
 def points_of(flows: DataFrame, day: str) -> DataFrame:
     """One month as DATE, COMID, FLOW_CMS, FLOW_TXT, LAT, LON; ValueError when the month isn't there."""
     month = flows.where(F.col("date") == F.lit(day).cast("date"))

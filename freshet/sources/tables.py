@@ -34,7 +34,7 @@ def read_any(spark: SparkSession, path: str, bbox: Bbox | None = None, ordered:
     Shapes are in `parts`; a Parquet table may have them as well-known binary in `geometry`. With `bbox`, shapes that
     lie outside it may be left out: those of a Parquet table whose rows have their bounds, before they are read. Rows
     without an id of their own are all kept, since their place gives them one. With `ordered`, rows get their place in
-    the files as `file_row`, which shapefiles always have.
+    the files as `file_row`, which shapefiles always have, and Parquet tables that keep one.
     """
     placed = in_file_order if ordered else lambda df: df
     kind = path.lower().rstrip("/").rsplit(".", 1)[-1]
@@ -52,7 +52,7 @@ def read_any(spark: SparkSession, path: str, bbox: Bbox | None = None, ordered:
         west, south, east, north = bbox
         xmin, ymin, xmax, ymax = (F.col(lower[c]) for c in BOUNDS)
         out = out.where((xmin <= east) & (xmax >= west) & (ymin <= north) & (ymax >= south))
-    out = placed(out)
+    out = out if "file_row" in lower else placed(out)
     at = lower.get("geometry")
     if at and dict(out.dtypes)[at] == "binary" and "parts" not in lower:
         out = geometry.from_wkb(out, at)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from freshet import sinks
 from freshet.__main__ import parse_args
 from freshet.config import ModelConfig
+from freshet.convert import convert
 from freshet.functions import columns, crs, geometry
 from freshet.operators import network, spatial
 from freshet.plans.model import build_network, centroids, in_system, run_model
@@ -370,6 +371,32 @@ def test_shapes_outside_the_bounds_are_not_read(spark, tmp_path):
     assert tables.read_any(spark, str(tmp_path / "c.parquet"), (0.5, 0.5, 2.0, 2.0)).count() == 2  # their place is their id
 
 
+def test_flowlines_laid_out_by_place(spark, tmp_path):
+    """A box reads a small share of the rows; ids, their order and rows without a shape stay."""
+    rows = [(1000 - i, None if i == 5 else [[{"x": -100 + (i * 37 % 100) / 10, "y": 30 + (i * 61 % 99) / 10}, {"x": -99.95 + (i * 37 % 100) / 10, "y": 30.05 + (i * 61 % 99) / 10}]]) for i in range(4000)]
+    source, target = str(tmp_path / "source.parquet"), str(tmp_path / "by_place.parquet")
+    ordered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, name int, parts {geometry.PARTS}").repartition(1).sortWithinPartitions("i").drop("i")
+    ordered.write.parquet(source)
+    before = {r.permanent_: r.name for r in flowlines.read(spark, source).collect()}
+    for _ in range(2):
+        whole = convert(spark, source, target)
+        assert {r.permanent_: r.name for r in whole.collect()} == before and sorted(r.file_row for r in whole.collect()) == list(range(4000))
+        assert {int(r.permanent_) - 1 for r in whole.where("parts is null").collect()} == {5} == {r.file_row for r in whole.where("xmin is null").collect()}
+    sinks.write_flowlines(whole.drop(*tables.BOUNDS).repartition(4), target + "2", page_rows=50)
+    box = (-97.0, 33.0, -96.5, 33.5)
+    part = flowlines.read(spark, target + "2", bbox=box)
+    held = {r.file_row for r in part.collect()}
+    meets = lambda a, b: b["x"] >= box[0] and a["x"] <= box[2] and b["y"] >= box[1] and a["y"] <= box[3]
+    assert held == {i for i, (_, parts) in enumerate(rows) if parts and meets(*parts[0])} and held
+    part._jdf.queryExecution().executedPlan().executeCollect()
+    scan = part._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 4000 / 4
+    with pytest.raises(ValueError, match="must not be the source"):
+        convert(spark, target, target + "/")
+    x, y = F.lit(5.0), F.lit(3.0)
+    assert one(spark, geometry.curve(x, y, (0.0, 0.0, 32768.0, 32768.0))) == 0b011011 and one(spark, geometry.curve(x, y, (5.0, 3.0, 5.0, 3.0))) == 0
+
+
 def test_geojson_lines(spark, tmp_path):
     (tmp_path / "layer.geojsonl").write_text(
         """{"type":"Feature","properties":{"NHDPlusID":1.5,"Permanent_Identifier":"a"},"geometry":{"type":"LineString","coordinates":[[1,2,9],[3,4,9]]}}
