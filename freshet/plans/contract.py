@@ -272,7 +272,7 @@ RECTANGLES = ((10_000.5, 20_000.5, 60_000.5, 70_000.5), (80_000.5, 5_000.5, 120_
 
 
 #: Bytes of a tile that a task of `tiles_by_record` reads.
-PIECE = 1 << 15
+PIECE = 1 << 16
 
 
 def _rectangles(spark):
@@ -376,6 +376,17 @@ def tiles_by_record(spark, sf_dir):
     return places.join(areas, "file_row").select("permanent_", F.col("comid").cast("long").alias("comid"), F.col("AREA").alias("area"), at.x.alias("lon"), at.y.alias("lat"))
 
 
+def tile_folder(spark, sf_dir):
+    """A folder of tiles, taken in the order of their names; the second lacks a column, and other files are passed over."""
+    folder = new_folder(spark, "tile-folder")
+    lattice = _lattice_degrees(spark, sf_dir).select((F.col("comid") + 0.25).alias("NHDPlusID"), (F.col("comid") % 50).cast("double").alias("AreaSqKm"), F.col("lon").alias("LON"), F.col("lat").alias("LAT"), "comid")
+    shared = lattice.where("comid % 4 < 3").repartitionByRange("comid").sortWithinPartitions("comid")
+    for name, tile in (("NHDFlowline_2", shared.where("comid % 4 = 1").drop("AreaSqKm")), ("NHDFlowline_10", shared.where("comid % 4 <> 1")), ("Other_1", shared)):
+        shapefile.write_points(tile.drop("comid"), f"{folder}/{name}.shp")
+    at = F.col("parts")[0][0]
+    return flowlines.read(spark, folder).select("permanent_", columns.whole_id("nhdplusid").alias("comid"), "areasqkm", at.x.alias("lon"), at.y.alias("lat"))
+
+
 def flowlines_by_place(spark, sf_dir):
     """Lines laid out by place, of which a box is read; their numbers in the source stay."""
     folder = new_folder(spark, "place")
@@ -426,6 +437,7 @@ QUERIES = {
         albers_forward,
         basin_in_albers,
         tiles_by_record,
+        tile_folder,
         flowlines_by_place,
     )
 }
@@ -604,6 +616,8 @@ SELECT comid, round(rho * sin(turn), 3) AS x, round(rho0 - rho * cos(turn), 3) A
     "basin_in_albers": f"""SELECT comid FROM {_SITES} WHERE CAST(-102 AS DOUBLE) + x / 16384 BETWEEN {DEGREES[0]} AND {DEGREES[2]} AND CAST(26 AS DOUBLE) + y / 16384 BETWEEN {DEGREES[1]} AND {DEGREES[3]}""",
     "tiles_by_record": f"""SELECT CAST(row_number() OVER (ORDER BY (comid + 1) % 3, comid) AS VARCHAR) AS permanent_, comid, CAST(comid * 7 % 101 AS DOUBLE) AS area,
 CAST(-102 AS DOUBLE) + x / 16384 AS lon, CAST(26 AS DOUBLE) + y / 16384 AS lat FROM {_SITES}""",
+    "tile_folder": f"""SELECT CAST(row_number() OVER (ORDER BY comid % 4 = 1, comid) AS VARCHAR) AS permanent_, comid, CASE WHEN comid % 4 <> 1 THEN CAST(comid % 50 AS DOUBLE) END AS areasqkm,
+CAST(-102 AS DOUBLE) + x / 16384 AS lon, CAST(26 AS DOUBLE) + y / 16384 AS lat FROM {_SITES} WHERE comid % 4 < 3""",
     "flowlines_by_place": f"""WITH l AS (SELECT comid, row_number() OVER (ORDER BY comid DESC) - 1 AS file_row, x AS xmin, y AS ymin, x + 3000 + comid % 17 AS xmax, y + 5000 - comid % 13 AS ymax FROM {_SITES})
 SELECT 'P' || comid AS permanent_, file_row, xmin, ymin, xmax, ymax FROM l
 WHERE xmin <= {RECTANGLES[0][2]} AND xmax >= {RECTANGLES[0][0]} AND ymin <= {RECTANGLES[0][3]} AND ymax >= {RECTANGLES[0][1]}""",
