@@ -69,10 +69,10 @@ def graded(months: DataFrame, config: Config) -> DataFrame:
 
 def run(spark: SparkSession, config: Config) -> None:
     with scope(spark):
-        segments = cut(inputs.segments(spark, config.tables), "report-segments")
+        segments = cut(inputs.segments(spark, config.tables, apart=True), "report-segments")
         links = cut(network.edges(segments), "report-edges")
         closure = network.powers(links, segments.count())
-        unit = network.accumulate(runoff.local_area(segments).withColumnRenamed("area_km2", "q"), closure)
+        unit = inputs.named(network.accumulate(runoff.local_area(segments).withColumnRenamed("area_km2", "q"), closure))
         observed = gages.compile_observations(inputs.observations(spark, config.tables), config.start, config.end, inputs.crosswalk(spark, config.tables))
         observed, read = counted(observed, "report read")
         months, wrote = counted(compared(observed, unit, config), "report months")

@@ -95,6 +95,25 @@ def test_random_networks(spark, seed):
     assert {tuple(r) for r in network.reach(sources, closure).collect()} == expected
 
 
+def test_a_contracted_network_gives_what_paths_give(spark, monkeypatch):
+    """A river, braids that lead past a segment, and a mesh; its tables are as large as the edges, however many pairs are far apart."""
+    monkeypatch.setattr(network, "LAST", 40)
+    pairs = sorted({(i, i + 1) for i in range(1, 60)} | {(i, i + 2) for i in range(3, 50, 9)} | {(60 + a, 60 + b) for a, b in random_dag(3)})
+    n = max(b for _, b in pairs)
+    closure = network.powers(edge_table(spark, pairs), n)
+    assert closure.moves and closure.rest.count() <= 40
+    assert sum(m.count() for m in closure.moves) + closure.rest.count() <= 1.5 * len(pairs)
+    q, level = {i: float(i % 7) for i in range(1, n + 1)}, dict.fromkeys(range(1, n + 1), 0)
+    for i, j in pairs:  # in order of the upper end
+        q[j] += q[i]
+        level[j] = max(level[j], level[i] + 1)
+    assert as_list(network.accumulate(flow_table(spark, [i % 7 for i in range(1, n + 1)]), closure)) == list(q.values())
+    segments = spark.range(1, n + 1).withColumnRenamed("id", "comid")
+    assert {r.comid: r.topo_level for r in network.levels(segments, closure).collect()} == level
+    with pytest.raises(ValueError, match="cycle"):
+        network.powers(edge_table(spark, [*pairs, (30, 10)]), n)
+
+
 def loss_case(spark, pairs, local, ends):
     links, n = edge_table(spark, pairs), len(local)
     steps = spark.createDataFrame([(k, up, ds, f) for k, (up, ds, f) in enumerate(ends)], "step long, up long, ds long, loss double")
