@@ -188,6 +188,24 @@ def test_crowded_cells_have_quarters(spark, monkeypatch, edges, pieces):
     test_intersects_equals_a_plain_version(spark)
 
 
+def test_long_lines_are_not_quartered(spark, monkeypatch):
+    """Many lines longer than the cells, over a basin of few edges: quarters would hold as many of them each, so there are none."""
+    monkeypatch.setattr(spatial, "PIECES", 8)
+    basin = spark.createDataFrame([([[{"x": x, "y": y} for x, y in ((0.0, 0.0), (64.0, 0.0), (64.0, 64.0), (0.0, 64.0), (0.0, 0.0))]],)], f"parts {geometry.PARTS}")
+    ends = [((x * 1.3 - 10, y * 1.7 - 10), (x * 1.3 - 5, y * 1.7 - 3)) for x in range(60) for y in range(45)]
+    lines = spark.createDataFrame([(i, line(*e)) for i, e in enumerate(ends)], f"comid long, parts {geometry.PARTS}")
+    plain, held = spatial.quartered, {}
+    monkeypatch.setattr(spatial, "quartered", lambda *args: held.setdefault("cells", plain(*args)))
+    got = {r.comid for r in spatial.intersecting(lines, basin).collect()}
+    assert held["cells"][1].agg(F.max("level")).first()[0] == 0
+
+    def meets(a, b):  # the stretches of the line within both sides' bounds share one
+        spans = [sorted(((0 - p) / (q - p), (64 - p) / (q - p))) for p, q in zip(a, b)]
+        return max(0, *(low for low, _ in spans)) <= min(1, *(high for _, high in spans))
+
+    assert got == {i for i, e in enumerate(ends) if meets(*e)}
+
+
 def test_lines_in_one_corner_of_a_basin(spark, monkeypatch):
     """A round basin of 20,000 edges, and lines that crowd at one place of it: no cell holds many of both."""
     monkeypatch.setattr(spatial, "PIECES", 64)
