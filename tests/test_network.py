@@ -65,6 +65,11 @@ def test_levels_and_summary(spark):
         network.validate(segments.limit(0), edge_table(spark, []))
 
 
+def test_edges_of_a_comid_of_two_rows_count_once(spark):
+    segments = spark.createDataFrame([(1,), (1,), (2,)], "comid long")
+    assert network.summary(segments, edge_table(spark, [(1, 2)])).first().asDict() == {"nodes": 3, "edges": 1, "sources": 2, "sinks": 1}
+
+
 def random_dag(seed, n=40):
     rng = random.Random(seed)
     return sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(1, n + 1), rng.randrange(1, n + 1)) for _ in range(60)) if a != b})
