@@ -54,3 +54,11 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(contract.QUERIES) == set(contract.ORACLES)
+
+
+@pytest.mark.parametrize("name", ["vaa_join_routed", "vaa_join_permanent"])
+def test_a_braid_with_a_comid_of_the_tree_keeps_its_own_row(spark, monkeypatch, name):
+    rows = [(7, 7.0, 3.0, 7.0, 1.0), (7, 2.0, 1.0, 1.5, 1.0)]
+    monkeypatch.setattr(contract.inputs, "segments", lambda spark, sf_dir: spark.createDataFrame(rows, "comid long, fromnode double, tonode double, hydroseq double, areasqkm double"))
+    got = sorted(tuple(r) for r in contract.QUERIES[name](spark, "").collect())
+    assert got == sorted((7, "P7", *r[1:4]) for r in rows)
