@@ -70,6 +70,16 @@ def test_edges_of_a_comid_of_two_rows_count_once(spark):
     assert network.summary(segments, edge_table(spark, [(1, 2)])).first().asDict() == {"nodes": 3, "edges": 1, "sources": 2, "sinks": 1}
 
 
+def test_a_gap_is_no_observation(spark):
+    closure = network.powers(edge_table(spark, CHAIN), 3)
+    day = date(2010, 1, 1)
+    flow = spark.createDataFrame([(day, 1, 1.0), (day, 2, 3.0), (day, 3, 7.0)], "date date, comid long, flow_cms double")
+    obs = spark.createDataFrame([(day, "A", 2, 6.0), (day, "B", 1, float("nan"))], "date date, gage_id string, comid long, flow_cms double")
+    reached = network.reach(obs.select("comid"), closure)
+    got = folds.enforce_gages(obs, reached, flow).orderBy("comid").collect()
+    assert [r.flow_cms for r in got] == [1.0, 6.0, 14.0]
+
+
 def random_dag(seed, n=40):
     rng = random.Random(seed)
     return sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(1, n + 1), rng.randrange(1, n + 1)) for _ in range(60)) if a != b})
