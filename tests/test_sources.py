@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import zlib
 import zipfile
 from datetime import date
 
@@ -611,3 +612,10 @@ def test_model_run(spark, tmp_path):
         run_model(ModelConfig.of(**{**whole.__dict__, "calibrate": True}), spark)
     calibrated = run_model(ModelConfig.of(**{**cfg.__dict__, "output_shapefile": None, "calibrate": True}), spark)
     assert calibrated.count() == 8
+
+
+def test_point_blocks_reach_the_driver_compressed(spark):
+    df = spark.range(5000).select(F.col("id").alias("_record"), F.col("id").alias("COMID"), (F.col("id") / 128 - 102).alias("LON"), (F.col("id") * 7919 % 2003 / 256 + 26).alias("LAT"))
+    row = shapefile._point_blocks(df, {"COMID": "I", "LON": "F", "LAT": "F"}, "LON", "LAT").first()
+    sent, whole = (sum(len(f(row[name])) for name in ("shp", "shx", "dbf")) for f in (bytes, zlib.decompress))
+    assert whole == 5000 * (28 + 8 + 1 + 18 + 24 + 24) and 3 * sent < whole
