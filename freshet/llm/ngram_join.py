@@ -12,7 +12,8 @@ Comparisons on tokens only link sets into candidate groups. Inside each group, s
 are exact. A group of up to `BLOCK` sets is compared pair by pair. In a larger one, every set is compared with a few
 pivots (the n-grams that most sets of a cluster have). One less the Jaccard similarity is a metric, so two sets are
 linked for certain if their distances from a pivot add up to at most the threshold's, and not linked for certain if
-they differ by more. Only sets that no pivot decides on are compared, in blocks of bounded size. Near copies of one text
+they differ by more. Nor are two sets linked if what either shares with any other set of the group is too little for that. Only
+sets that neither decides on are compared, in blocks of bounded size. Near copies of one text
 cost comparisons in proportion to their number, and nothing but a count of links and one edge a set is emitted.
 
 No key gathers its rows in a task: nodes, groups, classes and repeated rows that hold a great share of all are few,
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm import textfeatures
@@ -50,6 +51,7 @@ BLOCK = 256  # sets of a chunk; two chunks meet in a block
 BLOCK_GRAMS = 2_000_000  # n-grams of a chunk, on average
 PIVOTS = 12  # of a group of more than one chunk, at most
 RINGS = 100  # a set's distance from its pivot is known in such parts
+LIMIT = RINGS * (THRESHOLD[1] - THRESHOLD[0]) // THRESHOLD[1]  # the distance at the threshold
 
 _rng = np.random.default_rng(20_001)
 _FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -378,8 +380,8 @@ def placed_sets(groups: DataFrame, docs: DataFrame, n: int, block: int) -> DataF
 
 
 def ringed(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the sets of groups of more than one chunk: row, group, copies, n_grams, pivot, ring (distance from the pivot, rounded up);
-    and of their groups, far: for each two pivots, their distance, rounded down."""
+    """Of the sets of groups of more than one chunk: row, group, copies, n_grams, pivot, ring (distance from the pivot, rounded up),
+    shared (n-grams that other sets of the group have too); and of their groups, far: for each two pivots, their distance, rounded down."""
     spark, parts = held.sparkSession, shuffle_partitions(held.sparkSession)
     pivot_schema = "group long, pivot int, far array<int>, grams binary"
     pivot_arrow = arrow_schema(spark, pivot_schema)
@@ -417,38 +419,72 @@ def ringed(held: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     placed = rows.withColumn("place", F.xxhash64("group", "chunk")).repartition(parts, "place").sortWithinPartitions("place", "group", "chunk", "pivot")
     rings = materialise(placed.mapInArrow(lambda batches: by_key(batches, "place", measure), ring_schema), "join-rings")
+    shared = F.col("n_grams") - F.coalesce("alone", F.lit(0))
+    rings = rings.join(alone(held), "row", "left").select("row", "group", "copies", "n_grams", "pivot", "ring", shared.alias("shared"))
     far = pivots.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pivot", "far"))).alias("far"))  # at most PIVOTS
     return rings, far.select("group", F.col("far.far").alias("far"))
 
 
+def alone(held: DataFrame) -> DataFrame:
+    """row, alone: how many of the set's n-grams no other set of its group has; sets without any are left out.
+
+    A task gives the distinct n-grams of a batch, so those that all sets of a group have are hardly shuffled.
+    """
+    schema = "group long, gram long, n long, row long"
+    arrow = arrow_schema(held.sparkSession, schema)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, row = batch.column("group").to_numpy(), batch.column("row").to_numpy()
+            for g in np.unique(group):
+                rows = np.flatnonzero(group == g)
+                value, of, _ = _sets_of(batch.column("grams").take(pa.array(rows)).to_pylist())
+                found, first, times = np.unique(value, return_index=True, return_counts=True)
+                yield to_batch({"group": np.full(len(found), g), "gram": found.view(np.int64), "n": times, "row": row[rows[of[first]]]}, arrow)
+
+    each = held.select("group", "row", "grams").mapInArrow(grams, schema).groupBy("group", "gram").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    return each.where("n = 1").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def decided(rings: DataFrame, far: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """What the pivots say. row, root, links of each set, as far as it is certain; and block, row, copies, side, own for each
-    comparison of a set's chunk with another that they leave open.
+    """What the pivots say. row, root, links of each set, as far as it is certain; and block, row, copies, pivot, ring, side, own
+    for each comparison of a set's stratum with another that may hold links that aren't.
 
-    A cell is the sets of one pivot and ring, at most PIVOTS * (RINGS + 1) in a group. Cells are linked, or not linked, or open as a whole.
+    A cell is the sets of one pivot and ring, at most PIVOTS * (RINGS + 1) in a group. Cells are linked for certain as a whole.
+    A stratum is about `block` sets of one pivot, next to each other by their rings. A set that shares too little with all
+    others of its group for any link is in none.
     """
-    limit = RINGS * (THRESHOLD[1] - THRESHOLD[0]) // THRESHOLD[1]
-    count = F.count(F.lit(1))
-    cells = rings.groupBy("group", "pivot", "ring").agg(count.alias("sets"), F.sum("copies").alias("copies"), F.min("row").alias("least"), F.greatest(F.ceil(count / block), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("chunks"))
-    of_group = cells.groupBy("group").agg(F.sum("sets").alias("n"), F.collect_list(F.struct("pivot", "ring", "copies", "least", "chunks")).alias("cells")).join(far, "group")
+    up, down = THRESHOLD
+    rings = materialise(rings.withColumn("may", down * F.col("shared") >= up * F.col("n_grams")), "join-rings")
+    weight = F.greatest(F.count_if("may") / block, F.sum(F.when(F.col("may"), F.col("n_grams")).otherwise(0)) / BLOCK_GRAMS)
+    cells = rings.groupBy("group", "pivot", "ring").agg(F.count(F.lit(1)).alias("sets"), F.sum("copies").alias("copies"), F.min("row").alias("least"), weight.alias("weight"))
+    before = Window.partitionBy("group", "pivot").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)  # at most RINGS rows
+    cells = cells.withColumn("at", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    of_group = cells.groupBy("group").agg(F.sum("sets").alias("n"), F.collect_list(F.struct("pivot", "ring", "copies", "least", "weight", "at")).alias("cells"))
     rows = spread_join(rings, of_group, "group", rings.count())
-    linked_cells = F.filter("cells", lambda c: (c.pivot == F.col("pivot")) & (c.ring + F.col("ring") <= limit))
-    certain = rows.select("row", linked_cells.alias("linked"), F.when(2 * F.col("ring") <= limit, F.col("copies")).otherwise(F.lit(0)).alias("own"))
+    linked_cells = F.filter("cells", lambda c: (c.pivot == F.col("pivot")) & (c.ring + F.col("ring") <= LIMIT))
+    own_cell = F.filter("cells", lambda c: (c.pivot == F.col("pivot")) & (c.ring == F.col("ring")))[0]
+    part = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 20)) / (1 << 20)
+    stratum = F.floor(own_cell["at"] + own_cell["weight"] * part)
+    certain = materialise(rows.select("row", "group", "copies", "n_grams", "pivot", "ring", "shared", "may", stratum.alias("stratum"), linked_cells.alias("linked"), F.when(2 * F.col("ring") <= LIMIT, F.col("copies")).otherwise(F.lit(0)).alias("own")), "join-certain")
     closest = F.array_min(F.transform("linked", lambda c: F.struct(c.ring.alias("ring"), c.least.alias("least"))))["least"]
     sure = certain.select("row", F.coalesce(closest, F.col("row")).alias("root"), (F.aggregate("linked", F.lit(0).cast("long"), lambda acc, c: acc + c.copies) - F.col("own")).alias("links"))
 
-    def is_open(c: Column) -> Column:
-        apart = F.greatest(c.ring - F.col("ring"), F.col("ring") - c.ring) - 1
-        one = (c.ring + F.col("ring") > limit) & (apart < limit)
-        return F.when(c.pivot == F.col("pivot"), one).otherwise(F.get(F.get("far", F.col("pivot")), c.pivot) - F.col("ring") - c.ring <= limit)
+    placed = certain.where("may").select("row", "group", "copies", "n_grams", "pivot", "ring", "shared", "stratum")
+    strata = placed.groupBy("group", "pivot", "stratum").agg(F.count(F.lit(1)).alias("sets"), F.min("ring").alias("low"), F.max("ring").alias("high"), F.min("n_grams").alias("least"), F.max("shared").alias("most"))
+    of_group = strata.groupBy("group").agg(F.sum("sets").alias("n"), F.collect_list(F.struct("pivot", "stratum", "low", "high", "least", "most")).alias("strata")).join(far, "group")
 
-    # A chunk of a cell meets each chunk of an open cell in one block.
-    number = lambda pivot, ring, chunk: (pivot * (RINGS + 2) + ring).cast("long") * F.lit(1 << 32) + chunk
-    own_cell = F.filter("cells", lambda c: (c.pivot == F.col("pivot")) & (c.ring == F.col("ring")))[0]
-    me = number(F.col("pivot"), F.col("ring"), F.pmod(F.xxhash64("row", F.lit(5)), own_cell["chunks"]))
-    met = rows.select("row", "group", "copies", me.alias("me"), F.explode(F.filter("cells", is_open)).alias("c"))
-    met = met.select("row", "group", "copies", "me", "c", F.explode(F.sequence(F.lit(0), F.col("c.chunks") - 1)).alias("chunk")).withColumn("other", number(F.col("c.pivot"), F.col("c.ring"), F.col("chunk")))
-    return sure, met.select(F.xxhash64("group", F.least("me", "other"), F.greatest("me", "other")).alias("block"), "row", "copies", (F.col("me") > F.col("other")).cast("int").alias("side"), (F.col("me") == F.col("other")).alias("own"))
+    def is_open(s: Column) -> Column:
+        apart = F.greatest(s.low - F.col("ring"), F.col("ring") - s.high) - 1
+        one = (s.high + F.col("ring") > LIMIT) & (apart < LIMIT)
+        near = F.when(s.pivot == F.col("pivot"), one).otherwise(F.get(F.get("far", F.col("pivot")), s.pivot) - F.col("ring") - s.high <= LIMIT)
+        return near & ((up + down) * F.least(s.most, F.col("shared")) >= up * (s.least + F.col("n_grams")))
+
+    # A stratum meets each open one in one block. Sets stay away from strata that hold nothing open for them.
+    number = lambda pivot, stratum: pivot.cast("long") * F.lit(1 << 32) + stratum
+    met = spread_join(placed, of_group, "group", placed.count()).withColumn("s", F.explode(F.filter("strata", is_open)))
+    met = met.select("row", "group", "copies", "pivot", "ring", number(F.col("pivot"), F.col("stratum")).alias("me"), number(F.col("s.pivot"), F.col("s.stratum")).alias("other"))
+    return sure, met.select(F.xxhash64("group", F.least("me", "other"), F.greatest("me", "other")).alias("block"), "row", "copies", "pivot", "ring", (F.col("me") > F.col("other")).cast("int").alias("side"), (F.col("me") == F.col("other")).alias("own"))
 
 
 def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK) -> tuple[DataFrame, bool]:
@@ -459,7 +495,7 @@ def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK)
     """
     spark = docs.sparkSession
     held = materialise(placed_sets(groups, docs, n, block), "join-placed")
-    blocks = held.where("chunks = 1").select(F.xxhash64("group").alias("block"), "row", "copies", F.lit(0).alias("side"), F.lit(True).alias("own"), "grams", F.lit(True).alias("settled"))
+    blocks = held.where("chunks = 1").select(F.xxhash64("group").alias("block"), "row", "copies", F.lit(0).alias("pivot"), F.lit(RINGS + 1).alias("ring"), F.lit(0).alias("side"), F.lit(True).alias("own"), "grams", F.lit(True).alias("settled"))
     sure, is_open = None, False
     large = held.where("chunks > 1")
     if not large.isEmpty():
@@ -473,6 +509,7 @@ def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK)
     def compare(key: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
         row, copies = table["row"].to_numpy(), table["copies"].to_numpy()
         side, own = table["side"].to_numpy(), table["own"].to_numpy()
+        pivot, ring = table["pivot"].to_numpy(), table["ring"].to_numpy()
         links, root = np.zeros(len(row), np.int64), np.arange(len(row))
         for low, high in _groups_in(key):
             value, of, lengths = _sets_of(table["grams"][low:high].to_pylist())
@@ -483,6 +520,9 @@ def verified(groups: DataFrame, docs: DataFrame, n: int = N, block: int = BLOCK)
                 continue
             i, j = linked(value, of, lengths, left, right)
             a, b = left[i], right[j]
+            # Links that the pivots are certain of are counted already.
+            new = (pivot[low + a] != pivot[low + b]) | (ring[low + a] + ring[low + b] > LIMIT)
+            a, b = a[new], b[new]
             if same:
                 a, b = a[a != b], b[a != b]  # each pair both ways
                 np.add.at(links, low + a, copies[low + b])

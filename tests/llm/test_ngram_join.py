@@ -111,6 +111,25 @@ def test_pivots_decide_on_near_copies_and_leave_the_rest_to_blocks(spark, monkey
     assert got == brute(rows) and compared[1] > 0
 
 
+def test_loose_copies_meet_few_others(spark, monkeypatch):
+    """Looser copies than any link allows are compared with none, and the others by strata of a bounded number of sets, not ring by ring."""
+    compared = []
+    real = ngram_join.decided
+
+    def decided(*args):
+        sure, met = real(*args)
+        compared.append(met.count())
+        return sure, met
+
+    monkeypatch.setattr(ngram_join, "decided", decided)
+    rng = random.Random(6)
+    rows = list(enumerate(near_copies(rng, [f"w{i}" for i in range(150)], 400, 20)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(df, block=64).collect()}
+    assert got == brute(rows)
+    assert 0 < compared[0] < 4 * 400
+
+
 def test_distances_from_a_pivot_are_rounded_both_ways():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40), dtype=np.uint64)) for _ in range(50)]
