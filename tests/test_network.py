@@ -265,6 +265,18 @@ def test_gages_of_many_months_against_a_plain_loop(spark, monkeypatch, scales):
     assert not any("hashpartitioning" in line and "date" in line.split("hashpartitioning", 1)[1] for line in plan.splitlines())
 
 
+def test_no_row_of_a_month_and_segment_carries_the_months_scales(spark):
+    """A month's scales are as many as gages: copied into each row they would be gages, months and segments multiplied."""
+    closure = network.powers(edge_table(spark, CHAIN), 3)
+    flow = spark.createDataFrame([(date(2010, m, 1), c, q) for m in (1, 2) for c, q in ((1, 1.0), (2, None), (3, 7.0))], "date date, comid long, flow_cms double")
+    obs = spark.createDataFrame([(date(2010, 1, 1), "A", 1, 3.0)], "date date, gage_id string, comid long, flow_cms double")
+    out = folds.enforce_gages(obs, network.reach(obs.select("comid"), closure), flow)
+    assert sorted((r.date.month, r.comid, r.flow_cms) for r in out.collect() if r.comid != 2) == [(1, 1, 3.0), (1, 3, 21.0), (2, 1, 1.0), (2, 3, 7.0)]
+    assert [r.flow_cms for r in out.where("comid = 2").collect()] == [None, None]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("scales" in line for line in plan.splitlines())
+
+
 def test_calibration(spark):
     best = 0.0001 + 4 * (0.0049 / 29)
     obs = spark.createDataFrame([(date(2010, 1, 1), "A", 1, best * 1e6 / 2592000)], "date date, gage_id string, comid long, flow_cms double")
