@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from freshet import scratch
 from freshet.operators import control_points, folds, gages, joins, nearest, network, runoff
 
 CHAIN = [(1, 2), (2, 3)]
@@ -369,3 +370,40 @@ def test_snapping_and_keep_first(spark):
     assert got["B"].DS_COMID is None and got["C"].UP_COMID == 2 and got["C"].DS_COMID is None
     steps = control_points.pairs(control_points.snap(points, sites), sites).collect()
     assert [(r.step, r.up, r.ds) for r in steps] == [(0, 1, 2)]
+
+
+class Written:
+    """Tags and rows of the tables that `module` writes, and the scratch folders and shuffles that stay."""
+
+    def __init__(self, spark, monkeypatch, module):
+        self.spark, self.rows = spark, []
+        plain = module.cut
+
+        def cut(df, tag, *by):
+            out = plain(df, tag, *by)
+            self.rows.append((tag, out.count()))
+            return out
+
+        monkeypatch.setattr(module, "cut", cut)
+        self.before = self.folders()
+
+    def folders(self):
+        files, at = scratch._at(self.spark, scratch.scratch_root(self.spark) + "/freshet")
+        return {f.getPath().getName() for f in files.listStatus(at)} if files.exists(at) else set()
+
+    def left(self):
+        return sorted(name.rsplit("-", 1)[0] for name in self.folders() - self.before)
+
+
+def shuffles(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
+@pytest.mark.parametrize("last", [0, 200_000])
+def test_reach_leaves_one_table_and_no_shuffles(spark, monkeypatch, last):
+    monkeypatch.setattr(network, "LAST", last)
+    closure = network.powers(edge_table(spark, [(i, i + 1) for i in range(1, 20)]), 20)
+    written, before = Written(spark, monkeypatch, network), shuffles(spark)
+    got = network.reach(spark.createDataFrame([(1,), (7,)], "comid long"), closure)
+    assert written.left() == ["reach"] and shuffles(spark) <= before
+    assert {tuple(r) for r in got.collect()} == {(s, c, c - s) for s in (1, 7) for c in range(s, 21)}
