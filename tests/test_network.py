@@ -407,3 +407,25 @@ def test_reach_leaves_one_table_and_no_shuffles(spark, monkeypatch, last):
     got = network.reach(spark.createDataFrame([(1,), (7,)], "comid long"), closure)
     assert written.left() == ["reach"] and shuffles(spark) <= before
     assert {tuple(r) for r in got.collect()} == {(s, c, c - s) for s in (1, 7) for c in range(s, 21)}
+
+
+def test_paths_keep_no_more_of_the_tree_than_their_ends_need(spark, monkeypatch):
+    links = edge_table(spark, [(i, i + 1) for i in range(1, 40)])
+    closure = network.powers(links, 40)
+    steps = spark.createDataFrame([(1, 1, 4, 0.1), (2, 2, 2, 0.1), (3, 30, 5, 0.1)], "step long, up long, ds long, loss double")
+    written, before = Written(spark, monkeypatch, control_points), shuffles(spark)
+    rows = control_points.paths(steps, links, closure)
+    assert written.left() == ["cp-paths"] and shuffles(spark) <= before
+    assert max(n for tag, n in written.rows if tag == "cp-parents") == 3
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4)]
+
+
+def test_a_level_of_cells_has_not_as_many_as_sites(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF", 4)
+    sites = spark.range(4096).selectExpr("id as comid", "cast(id div 64 as double) as x", "cast(id % 64 as double) as y")
+    asked = spark.createDataFrame([("a", 3.2, 7.1), ("b", 60.0, 60.4)], "qid string, x double, y double")
+    written = Written(spark, monkeypatch, nearest)
+    found = nearest.nearest(asked, sites)
+    assert written.left() == ["nearest"]
+    assert sum(n for tag, n in written.rows if tag == "tree-levels") < 4096
+    assert {(r.qid, r.comid) for r in found.collect()} == {("a", 3 * 64 + 7), ("b", 60 * 64 + 60)}
