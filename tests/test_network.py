@@ -429,3 +429,14 @@ def test_a_level_of_cells_has_not_as_many_as_sites(spark, monkeypatch):
     assert written.left() == ["nearest"]
     assert sum(n for tag, n in written.rows if tag == "tree-levels") < 4096
     assert {(r.qid, r.comid) for r in found.collect()} == {("a", 3 * 64 + 7), ("b", 60 * 64 + 60)}
+
+
+def test_losses_leave_their_scales_only(spark, monkeypatch):
+    monkeypatch.setattr(folds, "FOLDED", 2)
+    steps = spark.createDataFrame([(i, i, i + 1, 0.5) for i in range(1, 6)], "step long, up long, ds long, loss double")
+    members = steps.selectExpr("step", "ds as comid")
+    flow = flow_table(spark, [8, 8, 8, 8, 8, 8])
+    written, before = Written(spark, monkeypatch, folds), shuffles(spark)
+    out = folds.apply_losses(steps, members, flow)
+    assert set(written.left()) == {"loss-scales"} and shuffles(spark) <= before
+    assert as_list(out) == [8, 4, 2, 1, 0.5, 0.25]
