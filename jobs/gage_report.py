@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from freshet.functions.columns import local_runoff, month_seconds
 from freshet.operators import gages, network, runoff
 from freshet.plans import inputs
-from freshet.scratch import cut, scope
+from freshet.scratch import cut, scope, tidy_shuffles
 from jobs.common import counted, main
 
 log = logging.getLogger("jobs.gage_report")
@@ -68,7 +68,7 @@ def graded(months: DataFrame, config: Config) -> DataFrame:
 
 
 def run(spark: SparkSession, config: Config) -> None:
-    with scope(spark):
+    with scope(spark), tidy_shuffles(spark):
         segments = cut(inputs.segments(spark, config.tables, apart=True), "report-segments")
         links = cut(network.edges(segments), "report-edges")
         closure = network.powers(links, segments.count())

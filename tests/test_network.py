@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from freshet import scratch
 from freshet.operators import control_points, folds, gages, joins, nearest, network, runoff
+from freshet.plans import contract
 
 CHAIN = [(1, 2), (2, 3)]
 Y = [(1, 3), (2, 3), (3, 4)]
@@ -440,3 +441,10 @@ def test_losses_leave_their_scales_only(spark, monkeypatch):
     out = folds.apply_losses(steps, members, flow)
     assert set(written.left()) == {"loss-scales"} and shuffles(spark) <= before
     assert as_list(out) == [8, 4, 2, 1, 0.5, 0.25]
+
+
+@pytest.mark.parametrize("name", ["net_cycles", "net_topo_level", "flow_monthly", "flow_one_month_points", "calibrate_rmse", "calibrate_unknown", "reach_descendants", "cp_paths", "loss_apply"])
+def test_a_query_leaves_its_result_only(spark, monkeypatch, name):
+    written = Written(spark, monkeypatch, contract)
+    contract.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert written.left() == {"net_cycles": [], "net_topo_level": ["levels"], "calibrate_unknown": ["flow", "unknown"], "reach_descendants": ["reach"], "cp_paths": ["path-rows"], "loss_apply": ["lost"]}.get(name, ["flow"])
