@@ -350,6 +350,14 @@ def test_nearest(spark, monkeypatch, leaf, many):
     assert got == {q: (c, d) for q, (d, c) in want.items()}
 
 
+def test_nearest_where_a_pass_ends_with_its_first_level(spark):
+    """Of 100 sites 80 lie in one quarter, whose own quarters hold no more than a leaf: its sites are found one level below it."""
+    places = [(i, float(i % 9), float(i // 9)) for i in range(80)] + [(80 + i, 100.0 - i, 100.0) for i in range(20)]
+    sites = spark.createDataFrame(places, "comid long, x double, y double")
+    got = nearest.nearest(sites.selectExpr("comid as qid", "x + 0.25 as x", "y"), sites).collect()
+    assert sorted((r.qid, r.comid, r.distance) for r in got) == [(i, i, 0.25) for i, _, _ in places]
+
+
 def test_nearest_without_sites_or_extent(spark):
     rows = spark.createDataFrame([("a", 1.0, 2.0)], "qid string, x double, y double")
     none = spark.createDataFrame([], "comid long, x double, y double")
