@@ -1,5 +1,6 @@
 """Every query that has SQL against DuckDB on the smallest tables."""
 
+import calendar
 import datetime
 import math
 from pathlib import Path
@@ -62,3 +63,27 @@ def test_a_braid_with_a_comid_of_the_tree_keeps_its_own_row(spark, monkeypatch,
     monkeypatch.setattr(contract.inputs, "segments", lambda spark, sf_dir: spark.createDataFrame(rows, "comid long, fromnode double, tonode double, hydroseq double, areasqkm double"))
     got = sorted(tuple(r) for r in contract.QUERIES[name](spark, "").collect())
     assert got == sorted((7, "P7", *r[1:4]) for r in rows)
+
+
+def test_a_model_run_keeps_the_kinds_of_segments_apart(spark, duck, tmp_path):
+    """Some segments of the tree have comids of braids, others lie outside the basin; all of these have none above or below, so the SQL is asked without the first."""
+    where = "case when p_partkey < 190 then p_partkey when p_partkey < 195 then 999810 + p_partkey else 1999802 + p_partkey end"
+    duck.sql("create table parts as select * replace (" + where + f" as p_partkey) from '{SF_DIR}/part.parquet'")
+    duck.sql(f"copy parts to '{tmp_path}/part.parquet' (format parquet)")
+    for name in ("nation", "supplier", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF_DIR}/{name}.parquet")
+    both = "p_partkey between 999999 and 1100000"
+    duck.sql(f"create or replace view part as select * from parts where not {both}")
+    meet = duck.sql(f"select p_partkey + 1 as comid, p_size, p_partkey * 7919 % 1009 as x, p_partkey * 104729 % 2003 as y from parts where {both}").fetchall()
+    columns = ["date", "comid", "flow_cms", "lat", "lon"]
+    expected = [list(map(plain, r)) for r in duck.sql(f"select {', '.join(columns)} from ({contract.ORACLES['model_run']})").fetchall()]
+    for day in sorted({r[0] for r in expected}):
+        seconds = calendar.monthrange(*map(int, day.split("-")[:2]))[1] * 86400
+        for comid, size, x, y in meet:
+            flow = contract.COEFFICIENT * size * 1e6 / seconds
+            expected.append([day, comid, flow, round(26.0003 + y * 64 / 16384, 3), round(-102 + x * 128 / 16384 + 0.0052, 3)])
+    got = [[plain(r[c]) for c in columns] for r in contract.QUERIES["model_run"](spark, str(tmp_path)).collect()]
+    order = lambda r: (r[0], r[1], r[3], r[4])
+    got, expected = sorted(got, key=order), sorted(expected, key=order)
+    assert len(meet) == 5 and len(got) == len(expected) == 12 * (190 + 5 + 2 + 10)
+    assert all(same(x, y) for a, b in zip(got, expected) for x, y in zip(a, b))
